@@ -5,3 +5,4 @@ from labeltrail.plans.tables import Tables
 from labeltrail.plans import trace_queries  # noqa: F401  isort: skip
 
 __all__ = ["BUILDERS", "ORACLES", "Tables"]
+from labeltrail.plans import metric_queries  # noqa: F401  isort: skip
