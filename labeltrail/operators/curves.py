@@ -52,22 +52,95 @@ def grid_totals(rows: DataFrame, by: list[str], score: str, steps: int, sums: di
     return grid.withColumnRenamed("quantile", "threshold")
 
 
-def safe_cutoff(rows: DataFrame, by: list[str], score: str, y: str, desired: float, minimum: int = 100,
-                steps: int = 1000) -> DataFrame:
-    """Lowest quantile cutoff whose accepted set is large enough and whose Wilson bound holds."""
+def safe_cutoffs(rows: DataFrame, by: list[str], score: str, y: str, targets: list[float], minimum: int = 100,
+                 steps: int = 1000) -> DataFrame:
+    """Per target precision: lowest quantile cutoff with enough rows and a Wilson bound that holds."""
     grid = grid_totals(rows, by, score, steps, {"correct": F.sum(F.col(y).cast("int"))})
+    grid = grid.withColumn("target", F.explode(F.array(*[F.lit(float(x)) for x in targets])))
     low = wilson_lower("correct", "accepted")
-    ok = (F.col("accepted") >= minimum) & (low >= desired) & (F.col("n_rows") >= minimum)
+    ok = (F.col("accepted") >= minimum) & (low >= F.col("target")) & (F.col("n_rows") >= minimum)
     pick = F.min(F.when(ok, F.struct("threshold", "accepted", "correct", low.alias("low")))).alias("b")
-    out = grid.groupBy(*by).agg(pick, F.max("n_rows").alias("queries"))
+    out = grid.groupBy(*by, "target").agg(pick, F.max("n_rows").alias("queries"))
     hit = F.coalesce("b.accepted", F.lit(0))
     return out.select(
-        *by, F.coalesce("b.threshold", F.lit(NO_CUTOFF)).alias("threshold"), hit.alias("accepted"),
+        *by, "target", F.coalesce("b.threshold", F.lit(NO_CUTOFF)).alias("threshold"), hit.alias("accepted"),
         F.coalesce("b.correct", F.lit(0)).alias("accepted_correct"),
         F.round(ratio("b.correct", "b.accepted"), 9).alias("precision"), F.round("b.low", 9).alias("wilson_lower"),
         F.round(ratio(hit, F.col("queries")), 9).alias("coverage"))
 
 
+def safe_cutoff(rows: DataFrame, by: list[str], score: str, y: str, desired: float, minimum: int = 100,
+                steps: int = 1000) -> DataFrame:
+    return safe_cutoffs(rows, by, score, y, [desired], minimum, steps).drop("target")
+
+
+def hierarchy_rules(tops: dict[str, DataFrame], by: list[str], scores: dict[str, str], y: dict[str, str],
+                    targets: list[float], minimum: int = 100, steps: int = 1000) -> DataFrame:
+    """Cutoffs per (group, level, target); deeper levels only see rows that pass the L3 cutoff.
+
+    `tops` holds the selected row per query and group for each level, L3 first.
+    """
+    levels = list(tops)
+    base = levels[0]
+    first = safe_cutoffs(tops[base], by, scores[base], y[base], targets, minimum, steps).withColumn("level", F.lit(base))
+    out, gate = first, first.select(*by, "target", F.col("threshold").alias("_gate"))
+    for level in levels[1:]:
+        gated = tops[level].join(gate, by).where(F.col(scores[base]) >= F.col("_gate"))
+        rule = safe_cutoffs(gated.withColumnRenamed("target", "_want"), [*by, "_want"], scores[level], y[level],
+                            targets, minimum, steps).where(F.col("_want") == F.col("target")).drop("_want")
+        # A group whose gate admits nobody still needs its (unreachable) cutoff row.
+        empty = gate.select(*by, "target").join(rule, [*by, "target"], "left").withColumn("level", F.lit(level))
+        out = out.unionByName(empty.fillna({"threshold": NO_CUTOFF, "accepted": 0, "accepted_correct": 0, "coverage": 0.0}))
+    return out
+
+
+def guarded_cutoff(rows: DataFrame, score: str, y: str, cluster: str, source: str, internal: str, target: float,
+                   guard: float, replicates: int, context: str, steps: int = 120, minimum: int = 50,
+                   min_clusters: int = 20, guard_rows: int = 8) -> DataFrame:
+    """Quantile cutoff with the most accepted rows such that precision, its cluster-bootstrap
+    lower bound and every sizeable outside source hold; one row, or none when nothing qualifies.
+    """
+    totals = running_totals(rows, [], score, {"_n": F.count("*")}, "asc")
+    n_all = totals.agg(F.max("cum__n").alias("_total"))
+    step = F.floor((F.col("cum__n") - 1) * F.lit(steps) / F.greatest(F.col("_total") - 1, F.lit(1))).cast("int")
+    mark = totals.join(F.broadcast(n_all)).select(score, step.alias("_s"))
+    cells = rows.groupBy(score, source, cluster).agg(F.count("*").alias("n"), F.sum(F.col(y).cast("int")).alias("ok"))
+    cells = cells.join(mark, score).groupBy("_s", source, cluster).agg(F.sum("n").alias("n"), F.sum("ok").alias("ok"))
+    upto = F.explode(F.sequence(F.lit(0), F.col("_s"))).alias("step")
+    per_source = cells.groupBy("_s", source).agg(F.sum("n").alias("n"), F.sum("ok").alias("ok")).select(source, "n", "ok", upto)
+    per_source = per_source.groupBy("step", source).agg(F.sum("n").alias("n"), F.sum("ok").alias("ok"))
+    breach = (F.col(source) != internal) & (F.col("n") >= guard_rows) & (F.col("ok") / F.col("n") < guard)
+    acc = per_source.groupBy("step").agg(F.sum("n").alias("accepted"), F.sum("ok").alias("correct"),
+                                         n_if(breach).alias("breaches"))
+    cl = cells.groupBy(cluster).agg(F.max("_s").alias("_s")).groupBy("_s").agg(F.count("*").alias("c")).select(
+        "c", upto).groupBy("step").agg(F.sum("c").alias("clusters"))
+    cuts = exact_quantiles(rows, score, steps).select("step", F.col("quantile").alias("threshold"))
+    grid = cuts.join(acc, "step").join(cl, "step").withColumn("precision", F.col("correct") / F.col("accepted"))
+    first_steps = grid.groupBy("threshold").agg(F.min("step").alias("step"))
+    grid = grid.join(first_steps, ["threshold", "step"], "left_semi")
+    fine = grid.where((F.col("accepted") >= minimum) & (F.col("clusters") >= min_clusters)
+                      & (F.col("precision") >= target) & (F.col("breaches") == 0))
+    passing = fine.agg(F.array_sort(F.collect_list("step")).alias("_pass"))  # at most steps+1 numbers
+    boot = cells.groupBy("_s", cluster).agg(F.sum("n").alias("n"), F.sum("ok").alias("ok")).join(F.broadcast(passing))
+    boot = boot.select(cluster, "n", "ok", F.explode(F.filter("_pass", lambda j: j <= F.col("_s"))).alias("step"))
+    low = count_lower_bound(boot, cluster, ["step"], replicates, context)
+    good = fine.join(low, "step").where(F.col("lower") >= target)
+    return good.agg(F.max(F.struct("accepted", "precision", (-F.col("threshold")).alias("neg"), "clusters", "lower")).alias("b")).where(
+        F.col("b").isNotNull()).select(
+        (-F.col("b.neg")).alias("threshold"), "b.accepted", "b.clusters", F.round("b.precision", 9).alias("precision"),
+        F.round("b.lower", 9).alias("lower"))
+
+
+def count_lower_bound(cells: DataFrame, cluster: str, by: list[str], replicates: int, context: str) -> DataFrame:
+    """2.5% cluster-bootstrap bound of ok/n from cells that already hold counts."""
+    from labeltrail.operators.resample import component_draws, replicate_sums
+
+    totals = cells.groupBy(cluster, *by).agg(F.sum("ok").alias("ok"), F.sum("n").alias("n"))
+    draws = component_draws(totals, cluster, replicates, context, by)
+    reps = replicate_sums(totals, draws, cluster, by, ["ok", "n"], by)
+    return reps.groupBy(*by).agg(F.percentile(ratio("ok", "n"), F.lit(0.025)).alias("lower"))
+
+
 def best_f1_cutoff(rows: DataFrame, by: list[str], score: str, y: str, weight: str, steps: int = 200) -> DataFrame:
     """Cutoff of the largest weighted F1 over quantile cutoffs; lowest cutoff on ties."""
     w, t = F.col(weight).cast("double"), F.col(y).cast("boolean")

@@ -161,3 +161,40 @@ def audit_existing(existing: DataFrame, model: DataFrame) -> DataFrame:
     return existing.join(model, "query_id", "left").select(
         "query_id", "existing_level", mine.alias("existing_label"), theirs.alias("model_label"),
         status.alias("status"), basis.alias("basis"))
+
+
+def score_change(rows: DataFrame, key: list[str], budgets: dict[int, int], rank: str, raw: str, cal: str, label: str, ok: str,
+                 row_id: str, carry: list[str]) -> DataFrame:
+    """Raw-score winner against calibrated-score winner per key and budget, with both top sets.
+
+    Ties inside a winner go to the smallest row id.  Top sets come from counts per score
+    value, so a large pool is combined on the map side.
+    """
+    grid = F.explode(F.array(*[F.struct(F.lit(b).alias("budget"), F.lit(k).alias("_k")) for b, k in budgets.items()])).alias("_b")
+    pool = rows.select("*", grid).where(F.col(rank) <= F.col("_b._k")).withColumn("budget", F.col("_b.budget")).drop("_b")
+    by = [*key, "budget"]
+    win = lambda s, p: top_one(pool, by, [(s, "desc"), (row_id, "asc")]).select(
+        *by, F.col(row_id).alias(f"{p}_winner"), F.col(label).alias(f"_{p}_label"), F.col(ok).alias(f"_{p}_ok"),
+        *([F.col(c) for c in carry] if p == "raw" else []))
+    tops = pool.groupBy(*by).agg(F.max(raw).alias("_mr"), F.max(cal).alias("_mc"))
+    marked = pool.join(tops, by)
+    r_top, c_top = F.col(raw) == F.col("_mr"), F.col(cal) == F.col("_mc")
+    stats = marked.groupBy(*by).agg(
+        F.count("*").alias("candidate_rows"), F.count_distinct(label).alias("candidate_labels"),
+        F.max(F.col(ok).cast("int")).alias("matching_candidate"), F.count(F.when(r_top, 1)).alias("raw_top_rows"),
+        F.count_distinct(F.when(r_top, F.col(label))).alias("raw_top_labels"), F.count(F.when(c_top, 1)).alias("calibrated_top_rows"),
+        F.count_distinct(F.when(c_top, F.col(label))).alias("calibrated_top_labels"),
+        F.count_distinct(F.when(c_top, F.col(raw))).alias("raw_levels_in_calibrated_top"),
+        F.max((F.col(ok) & c_top).cast("int")).alias("_cm"), F.max((F.col(ok) & r_top).cast("int")).alias("_rm"))
+    out = win(raw, "raw").join(win(cal, "calibrated"), by).join(stats, by)
+    i = lambda cond: cond.cast("int")
+    a, b = F.col("_raw_ok"), F.col("_calibrated_ok")
+    return out.select(
+        *by, *carry, "candidate_rows", "candidate_labels", "matching_candidate", "raw_top_rows", "raw_top_labels",
+        "calibrated_top_rows", "calibrated_top_labels", "raw_levels_in_calibrated_top",
+        i(F.col("calibrated_top_rows") > F.col("raw_top_rows")).alias("top_set_expanded"), "raw_winner", "calibrated_winner",
+        i(F.col("raw_winner") != F.col("calibrated_winner")).alias("winner_row_changed"),
+        i(F.col("_raw_label") != F.col("_calibrated_label")).alias("winner_label_changed"),
+        i(a).alias("raw_concordant"), i(b).alias("calibrated_concordant"), i(a & ~b).alias("raw_only_concordant"),
+        i(b & ~a).alias("calibrated_only_concordant"), i(~b & (F.col("_cm") == 1)).alias("calibrated_tie_loss"),
+        i(~a & (F.col("_rm") == 1)).alias("raw_tie_loss"))
