@@ -7,3 +7,4 @@ from labeltrail.plans import trace_queries  # noqa: F401  isort: skip
 __all__ = ["BUILDERS", "ORACLES", "Tables"]
 from labeltrail.plans import metric_queries  # noqa: F401  isort: skip
 from labeltrail.plans import selection_queries  # noqa: F401  isort: skip
+from labeltrail.plans import resample_queries  # noqa: F401  isort: skip

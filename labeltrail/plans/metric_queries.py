@@ -432,7 +432,7 @@ def _a29(t):
     return curves.ece_equal_width(t.scored, ["role"], "ident", "same_l3")
 
 
-TOP_SQL = {"v_top": """select query_id, component_id, "role", stratum, raw, cal, ident, same_l3, same_l4, same_exact, l3, l4, reference_id, family from (
+TOP_SQL = {"v_top": """select query_id, component_id, "role", stratum, raw, cal, ident, same_l3, same_l4, same_exact, l3, l4, reference_id, family, weight from (
     select *, row_number() over (partition by query_id order by cal desc, raw desc, reference_id) rn from v_scored) where rn = 1"""}
 
 
