@@ -46,6 +46,18 @@ def bucket(text, n: int) -> Column:
     return F.pmod(u60(text), F.lit(n)).cast("int")
 
 
+def bucket64(text, n: int) -> Column:
+    """Bucket number from all 64 leading hash bits."""
+    return F.pmod(u64(text), F.lit(n).cast("decimal(20,0)")).cast("int")
+
+
+def stable_split(group, seed: int, namespace: str) -> Column:
+    """train/validation/test at 70/15/15 of the group's hash; unassigned groups stay apart."""
+    g = _col(group)
+    named = split_by_share(key_text(seed, namespace, g), [("train", 0.70), ("validation", 0.15), ("test", 0.15)])
+    return F.when(g.isNull() | (g == "") | (g == "UNASSIGNED"), "UNASSIGNED").otherwise(named)
+
+
 def split_by_share(text, shares: list[tuple[str, float]]) -> Column:
     """Named split by cumulative shares of the unit interval; last name takes the rest."""
     x = unit_interval(text)

@@ -21,3 +21,212 @@ def with_frequencies(rows: DataFrame, names: dict[str, str]) -> DataFrame:
         n = rows.groupBy(column).agg(F.count("*").alias(name))
         out = out.join(n, column)
     return out
+
+
+def bernoulli_sample(rows: DataFrame, key: list[str], target: int, seed: int) -> DataFrame:
+    """Hash sample with probability target/universe; weight is its inverse."""
+    universe = rows.agg(F.count("*").alias("_u"))
+    p = F.least(F.lit(1.0), F.lit(float(target)) / F.col("_u"))
+    x = attach_one_row(rows, universe).withColumn("sampling_probability", p)
+    kept = x.where(unit_interval(key_text(seed, *[F.col(k) for k in key])) <= F.col("sampling_probability"))
+    return kept.withColumn("sample_weight", 1 / F.col("sampling_probability")).drop("_u")
+
+
+def pps_scale(rows: DataFrame, weight: str, target: float) -> DataFrame:
+    """One-row scale c with sum(min(1, c*w)) = target, solved exactly from sorted weights.
+
+    With the b heaviest rows saturated, c = (target - b) / weight of the rest; the first
+    value in descending order whose own c*w stays at or below 1 settles b.
+    """
+    from labeltrail.operators.ranking import running_totals
+
+    s = running_totals(rows, [], weight, {"n": F.count("*"), "_w": F.sum(weight)}, "desc")
+    total = rows.agg(F.sum(weight).alias("_tw"), F.count("*").alias("_tn"))
+    x = attach_one_row(s, total)
+    rest = F.col("_tw") - (F.col("cum__w") - F.col("_w"))
+    c = (F.lit(float(target)) - (F.col("cum_n") - F.col("n"))) / rest
+    pick = F.max(F.when(c * F.col(weight) <= 1, F.struct(F.col(weight).alias("value"), c.alias("c"))))
+    return x.agg(F.when(F.max("_tn") <= target, F.lit(float("inf"))).otherwise(pick["c"]).alias("scale"))
+
+
+def pps_sample(rows: DataFrame, weight: str, target: int, key: list[str], salt: str) -> DataFrame:
+    """Independent inclusion with probability min(1, scale*weight), expected size `target`."""
+    x = attach_one_row(rows, pps_scale(rows, weight, target))
+    x = x.withColumn("sampling_probability", F.least(F.lit(1.0), F.col("scale") * F.col(weight))).drop("scale")
+    h = unit_interval(key_text(*[F.col(k) for k in key], salt))
+    return x.where(h <= F.col("sampling_probability")).withColumn("sample_weight", 1 / F.col("sampling_probability"))
+
+
+def take_uniform(rows: DataFrame, by: list[str], n: int, stage: str, key: list[str], name: str) -> DataFrame:
+    """First n rows per group in keyed-hash order, with inclusion probability min(1, n/size).
+
+    Rows with a null group pass untouched with probability 1.
+    """
+    known = F.lit(True)
+    for c in by:
+        known = known & F.col(c).isNotNull()
+    grouped = rows.where(known)
+    size = grouped.groupBy(*by).agg(F.count("*").alias("_size"))
+    h = u60(key_text(stage, *[F.col(c) for c in by], *[F.col(k) for k in key]))
+    kept = top_k(grouped.withColumn("_h", h), by, [("_h", "asc"), *[(k, "asc") for k in key]], n, "_r")
+    kept = kept.join(size, by).withColumn(name, F.least(F.lit(1.0), F.lit(float(n)) / F.col("_size")))
+    return kept.drop("_h", "_r", "_size").unionByName(rows.where(~known).withColumn(name, F.lit(1.0)))
+
+
+def balanced_sample(pairs: DataFrame, key: list[str], cluster: list[str], exact: str, label: str, hard: str, target: int,
+                    max_exact: int, max_label: int, difficult_share: float = 0.5) -> DataFrame:
+    """Cluster dedup, caps per exact label and per label, then difficult/ordinary quotas.
+
+    The quota step needs only the two stratum sizes, which are read as scalars.
+    """
+    s = take_uniform(pairs, cluster, 1, "CLUSTER", key, "p_cluster")
+    s = take_uniform(s, [exact], max_exact, "EXACT_CAP", key, "p_exact")
+    s = take_uniform(s, [label], max_label, "LABEL_CAP", key, "p_label")
+    sizes = {bool(r[0]): r[1] for r in s.groupBy(hard).count().collect()}  # two rows
+    d, o = sizes.get(True, 0), sizes.get(False, 0)
+    if d + o > target:
+        dq = min(d, -int(-target * difficult_share // 1))
+        oq = min(o, target - dq)
+        extra = min(d - dq, target - dq - oq)
+        dq += extra
+        oq += min(o - oq, target - dq - oq)
+    else:
+        dq, oq = d, o
+    out = None
+    for flag, quota, size, name in ((True, dq, d, "DIFFICULT"), (False, oq, o, "ORDINARY")):
+        part = s.where(F.col(hard) == flag).withColumn("_h", u60(key_text("TARGET", name, *[F.col(k) for k in key])))
+        if quota < size:
+            part = ranked(part, [], [("_h", "asc"), *[(k, "asc") for k in key]], "_q").where(F.col("_q") <= quota).drop("_q")
+        part = part.withColumns({"stratum": F.lit(name), "p_target": F.lit(quota / size if size else 1.0)}).drop("_h")
+        out = part if out is None else out.unionByName(part)
+    p = F.col("p_cluster") * F.col("p_exact") * F.col("p_label") * F.col("p_target")
+    return out.withColumn("sampling_probability", p)
+
+
+def cube_root_weights(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """Weight (1/n1 * 1/n2 * ...)^(1/3) over value frequencies, scaled to mean 1."""
+    x = with_frequencies(rows, {f"_n{i}": c for i, c in enumerate(columns)})
+    product = F.lit(1.0)
+    for i in range(len(columns)):
+        product = product / F.col(f"_n{i}")
+    x = x.withColumn("_raw", F.pow(product, F.lit(1.0 / len(columns)))).drop(*[f"_n{i}" for i in range(len(columns))])
+    mean = x.agg(F.avg("_raw").alias("_mean"))
+    return attach_one_row(x, mean).withColumn("sample_weight", F.col("_raw") / F.col("_mean")).drop("_raw", "_mean")
+
+
+def hard_case_flags(identity, qcov, tcov, structure_rank, same_l3, same_l4, same_exact, exact_known, same_family) -> Column:
+    """`+`-joined hard-case flags of a pair; empty text when none applies."""
+    z = lambda c: F.coalesce(c, F.lit(False))
+    divergent = ~z(same_l4) | (exact_known & ~z(same_exact))
+    adequate = (qcov >= 0.70) & (tcov >= 0.70) & identity.isNotNull()
+    flags = {
+        "H1_SAME_L3_DIFFERENT_L4": same_l3 & ~same_l4,
+        "H2_SAME_L4_DIFFERENT_EXACT": same_l4 & exact_known & ~z(same_exact),
+        "H3_HIGH_IDENTITY_DIVERGENCE": adequate & (identity >= 0.40) & divergent,
+        "H4_STRUCTURE_TOP_DIVERGENCE": (structure_rank <= 10) & divergent,
+        "H5_SAME_FAMILY_DIVERGENCE": same_family & divergent,
+        "H6_LOW_IDENTITY_SAME_EXACT": adequate & (identity < 0.30) & exact_known & z(same_exact)}
+    return F.array_join(F.filter(F.array(*[F.when(z(c), F.lit(k)) for k, c in flags.items()]), lambda x: x.isNotNull()), "+")
+
+
+def pool_picks(queries: DataFrame, pool: DataFrame, k: int, source: str, own: str | None = None) -> DataFrame:
+    """k uniform picks per query from the pool of its label, without pairing query and pool.
+
+    queries: (query_id, label[, own item]); pool: (label, item).  The pool of a label is
+    indexed once in hash order; a query takes k evenly spaced positions from a keyed start,
+    so every eligible item has inclusion probability min(1, k/n).  The query's own item is
+    skipped by shifting positions past it.
+    """
+    p = ranked(pool.withColumn("_h", u60(key_text(source, F.col("label"), F.col("item")))), ["label"],
+               [("_h", "asc"), ("item", "asc")], "_pos").withColumn("_pos", F.col("_pos") - 1).drop("_h")
+    n = p.groupBy("label").agg(F.count("*").alias("_n"))
+    q = queries.join(n, "label")
+    if own is not None:
+        mine = p.select("label", F.col("item").alias(own), F.col("_pos").alias("_own"))
+        q = q.join(mine, ["label", own], "left")
+        q = q.withColumn("_n", F.col("_n") - F.col("_own").isNotNull().cast("int"))
+    else:
+        q = q.withColumn("_own", F.lit(None).cast("bigint"))
+    q = q.where(F.col("_n") > 0).withColumn("_k", F.least(F.lit(k), F.col("_n")))
+    start = F.pmod(u60(key_text(source, F.col("query_id"), F.col("label"))), F.col("_n"))
+    q = q.withColumn("_start", start).withColumn("_i", F.explode(F.sequence(F.lit(0), (F.col("_k") - 1).cast("int"))))
+    j = F.pmod(F.col("_start") + F.floor(F.col("_i") * F.col("_n") / F.col("_k")), F.col("_n"))
+    pos = F.when(F.col("_own").isNotNull() & (j >= F.col("_own")), j + 1).otherwise(j)
+    picks = q.withColumn("_pos", pos).join(p, ["label", "_pos"])
+    return picks.select("query_id", "label", "item", (F.col("_k") / F.col("_n")).alias("inclusion_probability"))
+
+
+def divergent_picks(truth: DataFrame, pool: DataFrame, k: int, source: str) -> DataFrame:
+    """k uniform picks per query from all pool items whose label is not documented for it.
+
+    truth: (query_id, label); pool: (label, item).  Items are indexed in (label, item)
+    order, so a documented label is one block of indexes.  The j-th eligible position is
+    shifted past the query's blocks, which needs only the blocks, never the pool.
+    """
+    p = ranked(pool, [], [("label", "asc"), ("item", "asc")], "_pos").withColumn("_pos", F.col("_pos") - 1)
+    blocks = p.groupBy("label").agg(F.min("_pos").alias("start"), F.count("*").alias("size"))
+    total = p.agg(F.count("*").alias("_total"))
+    q = truth.select("query_id", "label").distinct().join(blocks, "label", "left").groupBy("query_id").agg(
+        F.array_sort(F.collect_list(F.when(F.col("start").isNotNull(), F.struct("start", "size")))).alias("_b"),
+        F.coalesce(F.sum("size"), F.lit(0)).alias("_out"))
+    q = attach_one_row(q, total).withColumn("_n", F.col("_total") - F.col("_out")).where(F.col("_n") > 0)
+    q = q.withColumn("_k", F.least(F.lit(k), F.col("_n")))
+    start = F.pmod(u60(key_text(source, F.col("query_id"))), F.col("_n"))
+    q = q.withColumn("_start", start).withColumn("_i", F.explode(F.sequence(F.lit(0), (F.col("_k") - 1).cast("int"))))
+    j = F.pmod(F.col("_start") + F.floor(F.col("_i") * F.col("_n") / F.col("_k")), F.col("_n"))
+    q = q.withColumn("_pos", F.aggregate("_b", j.cast("bigint"), lambda x, b: F.when(x >= b["start"], x + b["size"]).otherwise(x)))
+    return q.join(p, "_pos").select("query_id", "label", "item", F.col("_n").alias("eligible"),
+                                    (F.col("_k") / F.col("_n")).alias("inclusion_probability"))
+
+
+def domain_balanced_weights(rows: DataFrame, weight: str, source: str) -> DataFrame:
+    """Equal total weight per source, rescaled to mean 1."""
+    per = rows.groupBy(source).agg(F.sum(weight).alias("_w"))
+    n = rows.agg(F.count("*").alias("_n"), F.count_distinct(source).alias("_d"))
+    x = attach_one_row(rows.join(per, source), n)
+    return x.withColumn("balanced_weight", F.col(weight) / F.greatest("_w", F.lit(1e-12)) * F.col("_n") / F.col("_d")).drop("_w", "_n", "_d")
+
+
+def assign_roles(components: DataFrame, key: str, size: str, shares: list[tuple[str, float]], reserve: int, seed: int) -> DataFrame:
+    """Role per component: reserve the smallest for every role but the first, fill the rest by quota.
+
+    The `reserve * (roles-1)` smallest components go round-robin; the remainder is cut in
+    hash order where its running size crosses the cumulative shares.
+    """
+    from labeltrail.operators.ranking import running_totals
+
+    names = [r for r, _ in shares]
+    others = names[1:]
+    held = reserve * len(others)
+    x = components.withColumn("_h", u60(key_text(seed, F.col(key))))
+    small = x.orderBy(size, "_h", key).limit(held)
+    small = ranked(small, [], [(size, "asc"), ("_h", "asc"), (key, "asc")], "_i")
+    small = small.withColumn("role", F.element_at(F.array(*[F.lit(o) for o in others]), (F.pmod(F.col("_i") - 1, F.lit(len(others))) + 1).cast("int")))
+    rest = x.join(small.select(key), key, "left_anti")
+    run = running_totals(rest, [], "_h", {"_s": F.sum(size)}, "asc").select("_h", (F.col("cum__s") - F.col("_s")).alias("_before"))
+    total = rest.agg(F.sum(size).alias("_total"))
+    rest = attach_one_row(rest.join(run, "_h"), total)
+    frac, edge, role = F.col("_before") / F.col("_total"), 0.0, None
+    for name, share in shares[:-1]:
+        edge = round(edge + share, 12)
+        role = F.when(frac < edge, name) if role is None else role.when(frac < edge, name)
+    rest = rest.withColumn("role", role.otherwise(shares[-1][0]))
+    cols = [key, size, "role"]
+    return small.select(*cols).unionByName(rest.select(*cols))
+
+
+def contiguous_shards(rows: DataFrame, by: list[str], key: str, size: int) -> DataFrame:
+    """Shard number of each id in sorted order inside its role."""
+    r = ranked(rows.select(*by, key).distinct(), by, [(key, "asc")], "_r")
+    return r.select(*by, key, F.floor((F.col("_r") - 1) / size).cast("int").alias("shard"))
+
+
+def holdout_by_labels(items: DataFrame, labels: DataFrame, seed: int, namespace: str) -> DataFrame:
+    """Split of a multi-label item: its labels' common split, excluded when they disagree."""
+    from labeltrail.functions.hashing import stable_split
+
+    s = labels.select("query_id", stable_split("label", seed, namespace).alias("s")).distinct()
+    g = s.groupBy("query_id").agg(F.count("*").alias("_n"), F.min("s").alias("_s"))
+    out = items.select("query_id").join(g, "query_id", "left")
+    split = F.when(F.col("_n").isNull(), "UNASSIGNED_NO_LABEL").when(F.col("_n") == 1, F.col("_s")).otherwise("EXCLUDED_CROSS_SPLIT")
+    return out.select("query_id", split.alias("split"))

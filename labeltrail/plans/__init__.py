@@ -8,3 +8,5 @@ __all__ = ["BUILDERS", "ORACLES", "Tables"]
 from labeltrail.plans import metric_queries  # noqa: F401  isort: skip
 from labeltrail.plans import selection_queries  # noqa: F401  isort: skip
 from labeltrail.plans import resample_queries  # noqa: F401  isort: skip
+from labeltrail.plans import sampling_queries  # noqa: F401  isort: skip
+from labeltrail.plans import ranking_queries  # noqa: F401  isort: skip
