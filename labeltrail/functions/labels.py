@@ -17,13 +17,14 @@ def sorted_json(values: Column) -> Column:
     return F.to_json(F.array_sort(F.array_distinct(values)))
 
 
-def canonical_label(text, prefix: str = "EC") -> Column:
-    """Dotted label with 3 or 4 parts of digits (or `-`), without prefix or blanks; else raises."""
-    v = F.regexp_replace(F.trim(c(text)), rf"^(?i:{prefix})[\s:]*", "")
+def canonical_label(text, parts: int | None = None, prefix: str = "EC") -> Column:
+    """Dotted label of 3 or 4 parts (digits or `-`) without prefix or blanks; blank text is null."""
+    v = F.regexp_replace(F.trim(c(text)), rf"^(?i){prefix}[ :]*", "")
     v = F.regexp_replace(v, r"\s+", "")
-    ok = v.rlike(r"^[0-9]+(\.([0-9]+|-)){2,3}$")
+    repeat = "{2,3}" if parts is None else f"{{{parts - 1}}}"
+    ok = v.rlike(r"^([0-9]+|-)(\.([0-9]+|-))" + repeat + "$")
     return F.when(c(text).isNull() | (v == ""), F.lit(None).cast("string")).when(ok, v).otherwise(
-        F.raise_error(F.concat(F.lit("not a dotted label: "), v)))
+        F.raise_error(F.concat(F.lit("malformed label: "), v)))
 
 
 def ancestor(label, parts: int = 3) -> Column:
@@ -33,9 +34,11 @@ def ancestor(label, parts: int = 3) -> Column:
 
 
 def canonical_id(text, prefix: str = "RHEA") -> Column:
-    """`PREFIX:digits` from any text holding the digits; null when there are none."""
-    digits = F.regexp_extract(F.trim(c(text)), rf"^(?i:{prefix}:)?([0-9]+)$", 1)
-    return F.when(digits != "", F.concat(F.lit(prefix + ":"), digits))
+    """`PREFIX:digits`; blank text is null, anything else raises."""
+    v = F.regexp_replace(F.regexp_replace(F.trim(c(text)), rf"^(?i){prefix}[ :]*", ""), r"\s+", "")
+    return F.when(c(text).isNull() | (v == ""), F.lit(None).cast("string")).when(
+        v.rlike("^[0-9]+$"), F.concat(F.lit(prefix + ":"), v)).otherwise(
+        F.raise_error(F.concat(F.lit("malformed id: "), v)))
 
 
 def json_set(text) -> Column:
@@ -53,10 +56,9 @@ def json_object_ids(text, field: str = "id") -> Column:
 
 
 def accession(name) -> Column:
-    """Accession inside a model name such as `AF-P12345-F1-model`; else the upper-cased name."""
-    v = F.upper(F.trim(c(name)))
-    inner = F.regexp_extract(v, r"^AF-([A-Z0-9]+)-F[0-9]+", 1)
-    return F.when(inner != "", inner).otherwise(F.regexp_replace(v, r"\.(PDB|CIF)(\.GZ)?$", ""))
+    """Accession inside a predicted-model name, else the first word, upper-cased."""
+    inner = F.regexp_extract(c(name), r"(?i)AF-([A-Z0-9]+)-F[0-9]+", 1)
+    return F.upper(F.when(inner != "", inner).otherwise(F.element_at(F.split(F.trim(c(name)), r"\s+"), 1)))
 
 
 def leading_integer(text) -> Column:
@@ -71,11 +73,11 @@ def equation_sides(text, token: str) -> tuple[Column, Column]:
 
 
 def signature(left, right, directional: bool = True) -> Column:
-    """Order-free hash of two participant sides; directionless ignores which side is left."""
+    """Order-free hash of two participant sides; directionless also ignores which side is left."""
     a, b = (F.array_join(F.array_sort(c(x)), ",") for x in (left, right))
-    if not directional:
-        a, b = F.least(a, b), F.greatest(a, b)
-    return F.sha2(F.concat_ws(">", a, b), 256)
+    text = F.concat_ws(">>", a, b) if directional else F.concat_ws("||", F.least(a, b), F.greatest(a, b))
+    empty = (F.size(c(left)) == 0) & (F.size(c(right)) == 0)
+    return F.when(~empty, F.sha2(text, 256))
 
 
 def jaccard(a, b) -> Column:
@@ -120,11 +122,11 @@ def ordered_case(x: Column, edges: list[tuple[float, str]], last: str) -> Column
 
 
 def evidence_tier(codes, gold: list[str], silver: list[str]) -> Column:
-    """gold if any gold code, else silver, else other; none for no codes."""
+    """Best tier of an evidence-code set."""
     v = c(codes)
     lit = lambda xs: F.array(*[F.lit(x) for x in xs])
-    return (F.when(v.isNull() | (F.size(v) == 0), "none").when(F.arrays_overlap(v, lit(gold)), "gold")
-            .when(F.arrays_overlap(v, lit(silver)), "silver").otherwise("other"))
+    return (F.when(v.isNull() | (F.size(v) == 0), "UNATTRIBUTED").when(F.arrays_overlap(v, lit(gold)), "GOLD")
+            .when(F.arrays_overlap(v, lit(silver)), "SILVER").otherwise("OTHER"))
 
 
 def keyword_class(text, rules: list[tuple[str, str]], default: str = "other") -> Column:
@@ -137,10 +139,51 @@ def keyword_class(text, rules: list[tuple[str, str]], default: str = "other") ->
 
 
 def member_share(values, members: list[str]) -> Column:
-    """Share of list entries (with repeats) that belong to a fixed set; null for empty lists."""
+    """Share of list entries (with repeats) that belong to a fixed set; 0 for empty lists."""
     v = c(values)
     keep = F.filter(v, lambda x: x.isin(members))
-    return F.when(F.size(v) > 0, F.size(keep) / F.size(v))
+    return F.when(F.size(v) > 0, F.size(keep) / F.size(v)).otherwise(0.0)
+
+
+# Length bins, taxonomy strata and cofactor keywords, in decision order.
+LENGTH_BINS = [(150, "0001-0150"), (250, "0151-0250"), (400, "0251-0400"), (600, "0401-0600"), (1000, "0601-1000")]
+TAXONOMY = ["BACTERIA", "ARCHAEA", "EUKARYOTA", "VIRUSES"]
+COFACTORS = [("NAD_OR_NADP", "nad"), ("FLAVIN", "flavin|fad|fmn"), ("COENZYME_A", "coenzyme a|coa"),
+             ("ATP", "atp|adenosine triphosphate"), ("METAL", "iron|zinc|magnesium|manganese|copper|cobalt")]
+NO_VALUE = ["", "UNASSIGNED", "NAN", "NONE", "NA"]
+
+
+def length_bin(n) -> Column:
+    return ordered_case(c(n), LENGTH_BINS, "1001+")
+
+
+def taxonomy_stratum(lineage, names: list[str] = TAXONOMY) -> Column:
+    """First domain name found in the lineage text."""
+    text = F.upper(F.coalesce(c(lineage), F.lit("")))
+    out = None
+    for n in names:
+        out = F.when(text.contains(n), n) if out is None else out.when(text.contains(n), n)
+    return out.otherwise("OTHER_OR_UNKNOWN")
+
+
+def family_stratum(family, clan) -> Column:
+    has = lambda x, none: ~F.upper(F.trim(F.coalesce(c(x), F.lit("")))).isin(none)
+    fam, cl = has(family, NO_VALUE), has(clan, [*NO_VALUE, "NO_CLAN"])
+    return F.when(~fam, "NO_FAMILY").when(~cl, "FAMILY_NO_CLAN").otherwise("FAMILY_WITH_CLAN")
+
+
+def structure_stratum(experimental, predicted) -> Column:
+    e, p = F.coalesce(c(experimental), F.lit(False)), F.coalesce(c(predicted), F.lit(False))
+    return F.when(e, "EXPERIMENTAL").when(p, "PREDICTED_ONLY").otherwise("NO_STRUCTURE")
+
+
+def interpolate(x, xs: list[float], ys: list[float]) -> Column:
+    """Piecewise-linear lookup, clipped at both ends (breakpoints are a short fitted list)."""
+    v = c(x).cast("double")
+    out = F.when(v <= xs[0], F.lit(float(ys[0])))
+    for x0, x1, y0, y1 in zip(xs[:-1], xs[1:], ys[:-1], ys[1:]):
+        out = out.when(v <= x1, F.lit(float(y0)) + F.lit((y1 - y0) / (x1 - x0)) * (v - F.lit(float(x0))))
+    return out.when(v.isNotNull(), F.lit(float(ys[-1])))
 
 
 def any_flag(*flags) -> Column:

@@ -137,3 +137,86 @@ def tolerant_difference(a: DataFrame, b: DataFrame, keys: list[str], columns: li
     same = F.col("_a").isNotNull() & F.col("_b").isNotNull() & (
         (F.col("left").isNull() & F.col("right").isNull()) | F.coalesce(close, F.lit(False)))
     return long.where(~same).drop("_a", "_b")
+
+
+def monotonicity_violations(df: DataFrame, by: list[str], raw: str, cal: str) -> DataFrame:
+    """Steps where the calibrated value falls although the raw value rises, per group."""
+    from labeltrail.operators.ranking import previous_row
+
+    steps = df.groupBy(*by, raw).agg(F.min(cal).alias("_lo"), F.max(cal).alias("_hi"))
+    p = previous_row(steps, by, [(raw, "asc")], ["_hi"])
+    return p.groupBy(*by).agg(n_if(F.col("_lo") < F.col("prev__hi")).alias("violations"))
+
+
+def block_starts(df: DataFrame, group: str, order: list[tuple[str, str]]) -> DataFrame:
+    """How many separate runs each group forms in input order (1 = grouped input)."""
+    from labeltrail.operators.ranking import previous_row
+
+    p = previous_row(df.select(group, *[c for c, _ in order if c != group]), [], order, [group])
+    start = ~F.col(group).eqNullSafe(F.col("prev_" + group))
+    return p.groupBy(group).agg(n_if(start).alias("blocks"), F.count("*").alias("rows"))
+
+
+def block_order_violations(df: DataFrame, group: str, order: list[tuple[str, str]]) -> DataFrame:
+    """Block starts whose group id does not exceed the one before."""
+    from labeltrail.operators.ranking import previous_row
+
+    p = previous_row(df.select(group, *[c for c, _ in order if c != group]), [], order, [group])
+    return p.agg(n_if(F.col(group) != F.col("prev_" + group)).alias("block_changes"),
+                 n_if(F.col(group) < F.col("prev_" + group)).alias("decreasing"))
+
+
+def ranked_group_problems(df: DataFrame, by: str, rank: str, raw_rank: str, component: str) -> DataFrame:
+    """Groups whose ranks are not 1..n, whose raw ranks do not increase, or that repeat a component."""
+    from labeltrail.operators.ranking import previous_row
+
+    n = df.groupBy(by).agg(F.count("*").alias("n"), F.max(rank).alias("top"), F.min(rank).alias("first"),
+                           F.count_distinct(component).alias("components"))
+    p = previous_row(df.select(by, rank, raw_rank), [by], [(rank, "asc")], [raw_rank])
+    falls = p.groupBy(by).agg(n_if(F.col(raw_rank) <= F.col("prev_" + raw_rank)).alias("falls"))
+    j = n.join(falls, by)
+    return j.select(by, ((F.col("first") != 1) | (F.col("top") != F.col("n"))).cast("int").alias("rank_gap"),
+                    (F.col("falls") > 0).cast("int").alias("raw_rank_order"),
+                    (F.col("components") < F.col("n")).cast("int").alias("repeated_component"))
+
+
+def role_guard(pairs: DataFrame, roles: DataFrame, key: str, query_roles: list[str], reference_role: str) -> DataFrame:
+    """Counts of pairs whose query or reference sits in a role it must not be in."""
+    q = roles.select(F.col(key).alias("query_id"), F.col("role").alias("query_role"))
+    r = roles.select(F.col(key).alias("reference_id"), F.col("role").alias("reference_role"))
+    j = pairs.join(q, "query_id", "left").join(r, "reference_id", "left")
+    ok_q = F.coalesce(F.col("query_role").isin(query_roles), F.lit(False))
+    ok_r = F.coalesce(F.col("reference_role") == reference_role, F.lit(False))
+    return j.agg(F.count("*").alias("pairs"), n_if(~ok_q).alias("bad_query"), n_if(~ok_r).alias("bad_reference"))
+
+
+def unit_normalised(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Percent columns to fractions: divide a column by 100 when its maximum exceeds 1."""
+    from labeltrail.operators.ranking import attach_one_row
+
+    top = df.agg(*[F.max(c).alias("_max_" + c) for c in columns])
+    x = attach_one_row(df, top)
+    return x.withColumns({c: F.when(F.col("_max_" + c) > 1, F.col(c) / 100).otherwise(F.col(c)) for c in columns}).drop(
+        *["_max_" + c for c in columns])
+
+
+def member_census(nodes: DataFrame, members: DataFrame) -> DataFrame:
+    """Node representative against its members: coverage both ways and equal content hashes.
+
+    nodes: (node_id, content_hash); members: (node_id, member_id, content).
+    """
+    m = members.select("node_id", "member_id", F.sha2("content", 256).alias("member_hash"))
+    j = nodes.join(m, "node_id", "full_outer")
+    status = (F.when(F.col("content_hash").isNull(), "MEMBER_WITHOUT_NODE").when(F.col("member_id").isNull(), "NODE_WITHOUT_MEMBER")
+              .when(F.col("content_hash") != F.col("member_hash"), "HASH_DIFFERS").otherwise("EXACT"))
+    return j.groupBy(status.alias("status")).agg(F.count("*").alias("rows"), F.count_distinct("node_id").alias("nodes"))
+
+
+def raw_hit_problems(text_rows: DataFrame, numeric: list[str], signed: list[str]) -> DataFrame:
+    """Unparseable, non-finite or negative raw fields per modality; signed modalities may go below zero."""
+    items = F.inline(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("text")) for c in numeric]))
+    x = text_rows.select("modality", items).withColumn("v", F.col("text").try_cast("double"))
+    finite = F.col("v").isNotNull() & ~F.isnan("v") & (F.abs("v") < float("inf"))
+    may_be_negative = (F.col("field") == "bits") & F.col("modality").isin(signed)
+    return x.groupBy("modality", "field").agg(
+        F.count("*").alias("rows"), n_if(~finite).alias("unparseable"), n_if(finite & (F.col("v") < 0) & ~may_be_negative).alias("negative"))

@@ -227,3 +227,14 @@ def exact_quantiles(
 def attach_one_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
     """Add the columns of an ungrouped aggregate (exactly one row) to every row."""
     return df.join(F.broadcast(one_row))
+
+
+def previous_row(df: DataFrame, by: list[str], order: Order, columns: list[str]) -> DataFrame:
+    """Attach `prev_*` values of the row before, over a total order.
+
+    Rows are numbered and joined to their neighbour, so an ungrouped order needs no
+    single-task window.
+    """
+    r = ranked(df, by, order, "_i")
+    p = r.select(*by, (F.col("_i") + 1).alias("_i"), *[F.col(c).alias("prev_" + c) for c in columns])
+    return r.join(p, [*by, "_i"], "left").drop("_i")

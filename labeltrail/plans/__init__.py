@@ -1,12 +1,8 @@
-"""Query registry; importing the modules below fills it."""
+"""Query registry; importing the query modules fills it."""
 
+from labeltrail.plans import trace_queries, metric_queries, selection_queries, resample_queries  # noqa: F401
+from labeltrail.plans import sampling_queries, ranking_queries, check_queries, expression_queries  # noqa: F401
 from labeltrail.plans.registry import BUILDERS, ORACLES
 from labeltrail.plans.tables import Tables
-from labeltrail.plans import trace_queries  # noqa: F401  isort: skip
 
 __all__ = ["BUILDERS", "ORACLES", "Tables"]
-from labeltrail.plans import metric_queries  # noqa: F401  isort: skip
-from labeltrail.plans import selection_queries  # noqa: F401  isort: skip
-from labeltrail.plans import resample_queries  # noqa: F401  isort: skip
-from labeltrail.plans import sampling_queries  # noqa: F401  isort: skip
-from labeltrail.plans import ranking_queries  # noqa: F401  isort: skip
