@@ -219,6 +219,8 @@ def oracle(sql: str, extra: dict[str, str] | None = None) -> str:
     if not needed:
         return body
     ctes = ",\n".join(f"{n} as ({views[n]})" for n in needed)
+    if body.lower().startswith("with recursive "):
+        return f"with recursive {ctes},\n{body[15:]}"
     if body.lower().startswith("with "):
         return f"with {ctes},\n{body[5:]}"
     return f"with {ctes}\n{body}"
