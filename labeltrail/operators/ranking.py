@@ -238,3 +238,8 @@ def previous_row(df: DataFrame, by: list[str], order: Order, columns: list[str])
     r = ranked(df, by, order, "_i")
     p = r.select(*by, (F.col("_i") + 1).alias("_i"), *[F.col(c).alias("prev_" + c) for c in columns])
     return r.join(p, [*by, "_i"], "left").drop("_i")
+
+
+def settled(one_row: DataFrame) -> DataFrame:
+    """Compute an ungrouped aggregate once and keep its single row as a literal table."""
+    return one_row.sparkSession.createDataFrame([one_row.first()], one_row.schema)

@@ -38,3 +38,19 @@ def cut_lineage(df: DataFrame) -> DataFrame:
             folder = tempfile.mkdtemp(prefix="spark-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
         sc.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+def shared_folder(spark: SparkSession, prefix: str) -> str:
+    """A new folder name for staged tables, below the cluster's checkpoint folder.
+
+    Only a local master without that setting falls back to its own temporary folder.
+    """
+    import uuid
+
+    sc = spark.sparkContext
+    base = sc.getConf().get("spark.checkpoint.dir", None)
+    if base is None:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
+        base = os.environ.get("TMPDIR", "/tmp")
+    return f"{base.rstrip('/')}/{prefix}-{uuid.uuid4().hex}"
