@@ -126,12 +126,11 @@ def _s13(t):
 
 
 def xml(t):
-    p = place(t, "entries.xml")
-    e = lambda x: F.concat_ws("", *[F.lit(v) if isinstance(v, str) else v for v in x])
-    c = F.col
-    rec = e(["<entry><id>", c("p_partkey"), "</id><name>", c("p_name"), '</name><activity code="A">', c("p_type"), '</activity><activity code="B">', c("p_brand"),
-             '</activity><site position="', c("p_size"), '" role="binding"/><site position="', c("p_size") + 1, '" role="catalytic"/></entry>'])
-    t.raw("part").select(rec.alias("value")).write.text(p)
+    p, c = place(t, "entries.xml"), F.col
+    act = F.array(*[F.struct(F.lit(k).alias("_code"), c(v).alias("_VALUE")) for k, v in (("A", "p_type"), ("B", "p_brand"))])
+    site = F.array(*[F.struct((c("p_size") + d).alias("_position"), F.lit(r).alias("_role")) for d, r in ((0, "binding"), (1, "catalytic"))])
+    e = t.raw("part").select(c("p_partkey").alias("id"), c("p_name").alias("name"), act.alias("activity"), site.alias("site"))
+    e.write.format("xml").option("rowTag", "entry").option("rootTag", "entries").save(p)
     return p
 
 

@@ -159,8 +159,9 @@ VIEWS = {
         from (select *, ('0x'||substr(sha256('role|'||o_custkey::varchar),1,16))::ubigint::double/18446744073709551616.0 h
               from orders)""",
     "v_truth": """select distinct query_id, endpoint, label from (
-        select query_id, unnest(['L3','L4','EXACT']) endpoint, unnest([l3,l4,exact]) label
-        from v_hits join v_refs using (reference_id) where flag = 'R') where label is not null""",
+        select query_id, e.endpoint, case e.endpoint when 'L3' then l3 when 'L4' then l4 else exact end label
+        from (select query_id, l3, l4, exact from v_hits join v_refs using (reference_id) where flag = 'R')
+        cross join (select unnest(['L3','L4','EXACT']) endpoint) e) where label is not null""",
     "v_library": """select distinct endpoint, label from (
         select unnest(['L3','L4']) endpoint, unnest([l3,l4]) label from v_refs)
         where ('0x'||substr(sha256('lib|'||label),1,16))::ubigint::double/18446744073709551616.0 < 0.85""",
