@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from labeltrail.functions.measures import n_if, ratio, wilson_lower
 from labeltrail.operators.ranking import exact_quantiles, ranked, running_totals
+from labeltrail.session import cut_lineage
 
 NO_CUTOFF = 1.000001
 
@@ -36,15 +37,15 @@ def ranking_metrics(rows: DataFrame, by: list[str], score: str, y: str, weight:
 def grid_totals(rows: DataFrame, by: list[str], score: str, steps: int, sums: dict[str, Column]) -> DataFrame:
     """For each quantile cutoff j/steps of the score: the cutoff and sums over rows at or above it."""
     clean = rows.where(F.col(score).isNotNull())
-    totals = running_totals(clean, by, score, {"_n": F.count(F.lit(1)), **sums}, "asc")
-    n_all = totals.groupBy(*by).agg(F.max("cum__n").alias("_total"))
-    cuts = exact_quantiles(clean, score, steps, by)
+    totals = cut_lineage(running_totals(clean, by, score, {"n": F.count(F.lit(1)), **sums}, "asc"))
+    n_all = totals.groupBy(*by).agg(F.max("cum_n").alias("_total"))
+    cuts = exact_quantiles(clean, score, steps, by, totals=totals)
     joined = totals.join(n_all, by) if by else totals.join(F.broadcast(n_all))
     span = F.greatest(F.col("_total") - 1, F.lit(1))
-    last = F.floor((F.col("cum__n") - 1) * F.lit(steps) / span).cast("int")
+    last = F.floor((F.col("cum_n") - 1) * F.lit(steps) / span).cast("int")
     step = F.when(F.col("_total") == 1, F.lit(steps)).otherwise(last)
     per = joined.groupBy(*by, step.alias("step")).agg(
-        F.sum("_n").alias("accepted"), *[F.sum(k).alias(k) for k in sums])
+        F.sum("n").alias("accepted"), *[F.sum(k).alias(k) for k in sums])
     above = Window.partitionBy(*(by or [F.lit(0)])).orderBy(F.col("step").desc()).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
     grid = cuts.join(per, [*by, "step"], "left").fillna(0, ["accepted", *sums])
@@ -82,7 +83,7 @@ def hierarchy_rules(tops: dict[str, DataFrame], by: list[str], scores: dict[str,
     """
     levels = list(tops)
     base = levels[0]
-    first = safe_cutoffs(tops[base], by, scores[base], y[base], targets, minimum, steps).withColumn("level", F.lit(base))
+    first = cut_lineage(safe_cutoffs(tops[base], by, scores[base], y[base], targets, minimum, steps)).withColumn("level", F.lit(base))
     out, gate = first, first.select(*by, "target", F.col("threshold").alias("_gate"))
     for level in levels[1:]:
         gated = tops[level].join(gate, by).where(F.col(scores[base]) >= F.col("_gate"))
@@ -100,12 +101,13 @@ def guarded_cutoff(rows: DataFrame, score: str, y: str, cluster: str, source: st
     """Quantile cutoff with the most accepted rows such that precision, its cluster-bootstrap
     lower bound and every sizeable outside source hold; one row, or none when nothing qualifies.
     """
-    totals = running_totals(rows, [], score, {"_n": F.count("*")}, "asc")
-    n_all = totals.agg(F.max("cum__n").alias("_total"))
-    step = F.floor((F.col("cum__n") - 1) * F.lit(steps) / F.greatest(F.col("_total") - 1, F.lit(1))).cast("int")
+    rows = cut_lineage(rows.select(score, y, cluster, source))
+    totals = cut_lineage(running_totals(rows, [], score, {"n": F.count("*")}, "asc"))
+    n_all = totals.agg(F.max("cum_n").alias("_total"))
+    step = F.floor((F.col("cum_n") - 1) * F.lit(steps) / F.greatest(F.col("_total") - 1, F.lit(1))).cast("int")
     mark = totals.join(F.broadcast(n_all)).select(score, step.alias("_s"))
     cells = rows.groupBy(score, source, cluster).agg(F.count("*").alias("n"), F.sum(F.col(y).cast("int")).alias("ok"))
-    cells = cells.join(mark, score).groupBy("_s", source, cluster).agg(F.sum("n").alias("n"), F.sum("ok").alias("ok"))
+    cells = cut_lineage(cells.join(mark, score).groupBy("_s", source, cluster).agg(F.sum("n").alias("n"), F.sum("ok").alias("ok")))
     upto = F.explode(F.sequence(F.lit(0), F.col("_s"))).alias("step")
     per_source = cells.groupBy("_s", source).agg(F.sum("n").alias("n"), F.sum("ok").alias("ok")).select(source, "n", "ok", upto)
     per_source = per_source.groupBy("step", source).agg(F.sum("n").alias("n"), F.sum("ok").alias("ok"))
@@ -114,8 +116,9 @@ def guarded_cutoff(rows: DataFrame, score: str, y: str, cluster: str, source: st
                                          n_if(breach).alias("breaches"))
     cl = cells.groupBy(cluster).agg(F.max("_s").alias("_s")).groupBy("_s").agg(F.count("*").alias("c")).select(
         "c", upto).groupBy("step").agg(F.sum("c").alias("clusters"))
-    cuts = exact_quantiles(rows, score, steps).select("step", F.col("quantile").alias("threshold"))
+    cuts = exact_quantiles(rows, score, steps, totals=totals).select("step", F.col("quantile").alias("threshold"))
     grid = cuts.join(acc, "step").join(cl, "step").withColumn("precision", F.col("correct") / F.col("accepted"))
+    grid = cut_lineage(grid)  # one row per grid point
     first_steps = grid.groupBy("threshold").agg(F.min("step").alias("step"))
     grid = grid.join(first_steps, ["threshold", "step"], "left_semi")
     fine = grid.where((F.col("accepted") >= minimum) & (F.col("clusters") >= min_clusters)

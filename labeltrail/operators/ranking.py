@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from labeltrail.session import cut_lineage
+
 Order = list[tuple[str, str]]
 PLAIN_WINDOW_ROWS = 1_000_000
 
@@ -131,7 +133,9 @@ def running_totals(
 
     Equal values are one step, so curves built on the result are tie-safe.
     """
-    grouped = df.groupBy(*by, value).agg(*[c.alias(k) for k, c in sums.items()])
+    # Materialised once: size check, boundaries and every consumer of a curve read this
+    # reduced table instead of running the pipeline above it again.
+    grouped = cut_lineage(df.groupBy(*by, value).agg(*[c.alias(k) for k, c in sums.items()]))
     order = [(value, direction)]
     if largest_group(grouped, by) <= plain_rows:
         w = Window.partitionBy(*(by or [F.lit(0)])).orderBy(*_sort_cols(order)).rowsBetween(
@@ -181,16 +185,20 @@ def exact_quantiles(
     steps: int,
     by: list[str] | None = None,
     plain_rows: int = PLAIN_WINDOW_ROWS,
+    totals: DataFrame | None = None,
 ) -> DataFrame:
     """Linear-interpolation quantiles at j/steps, j = 0..steps, one row per j.
 
     Works from running counts of distinct values, so no task holds a whole column:
     a value covering ranks [a, b] answers exactly the grid points whose lower or
-    upper neighbour rank lies in it.
+    upper neighbour rank lies in it.  `totals` passes ascending running totals (n, cum_n)
+    that the caller already holds.
     """
     by = by or []
-    clean = df.where(F.col(value).isNotNull())
-    steps_df = running_totals(clean, by, value, {"n": F.count(F.lit(1))}, "asc", plain_rows)
+    if totals is None:
+        clean = df.where(F.col(value).isNotNull())
+        totals = running_totals(clean, by, value, {"n": F.count(F.lit(1))}, "asc", plain_rows)
+    steps_df = totals
     total = steps_df.groupBy(*by).agg(F.max("cum_n").alias("_total"))
     rows = _null_safe_join(steps_df, total, by) if by else attach_one_row(steps_df, total)
     m = F.lit(steps)

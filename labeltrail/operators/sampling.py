@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from labeltrail.functions.hashing import bucket, key_text, split_by_share, u60, unit_interval
 from labeltrail.functions.measures import n_if
 from labeltrail.operators.ranking import attach_one_row, ranked, top_k
+from labeltrail.session import cut_lineage
 
 
 def with_frequencies(rows: DataFrame, names: dict[str, str]) -> DataFrame:
@@ -81,7 +82,7 @@ def balanced_sample(pairs: DataFrame, key: list[str], cluster: list[str], exact:
     """
     s = take_uniform(pairs, cluster, 1, "CLUSTER", key, "p_cluster")
     s = take_uniform(s, [exact], max_exact, "EXACT_CAP", key, "p_exact")
-    s = take_uniform(s, [label], max_label, "LABEL_CAP", key, "p_label")
+    s = cut_lineage(take_uniform(s, [label], max_label, "LABEL_CAP", key, "p_label"))
     sizes = {bool(r[0]): r[1] for r in s.groupBy(hard).count().collect()}  # two rows
     d, o = sizes.get(True, 0), sizes.get(False, 0)
     if d + o > target:
@@ -105,7 +106,7 @@ def balanced_sample(pairs: DataFrame, key: list[str], cluster: list[str], exact:
 
 def cube_root_weights(rows: DataFrame, columns: list[str]) -> DataFrame:
     """Weight (1/n1 * 1/n2 * ...)^(1/3) over value frequencies, scaled to mean 1."""
-    x = with_frequencies(rows, {f"_n{i}": c for i, c in enumerate(columns)})
+    x = with_frequencies(cut_lineage(rows), {f"_n{i}": c for i, c in enumerate(columns)})
     product = F.lit(1.0)
     for i in range(len(columns)):
         product = product / F.col(f"_n{i}")
