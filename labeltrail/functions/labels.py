@@ -97,11 +97,14 @@ def cosine(a, b) -> Column:
 
 
 def composition(text, alphabet: str) -> Column:
-    """Share of each symbol of the alphabet among the symbols of the alphabet in a text."""
+    """Share of each symbol of the alphabet among the symbols of the alphabet in a text.
+
+    A flat array of 20 plain divisions: the shared total is computed once per row.
+    """
     t = c(text)
-    n = F.array(*[(F.length(t) - F.length(F.replace(t, F.lit(s), F.lit("")))).cast("double") for s in alphabet])
-    total = F.aggregate(n, F.lit(0.0), lambda s, x: s + x)
-    return F.transform(n, lambda x: F.when(total > 0, x / total).otherwise(F.lit(0.0)))
+    total = F.length(F.regexp_replace(t, f"[^{alphabet}]", ""))
+    return F.array(*[F.coalesce(F.try_divide(
+        (F.length(t) - F.length(F.replace(t, F.lit(s), F.lit("")))).cast("double"), total.cast("double")), F.lit(0.0)) for s in alphabet])
 
 
 def length_ratio(a, b) -> Column:
