@@ -81,10 +81,13 @@ def union_by_aggregation(parts: list[DataFrame], first: list[str], least: list[s
     return out.groupBy("query_id", "reference_id").agg(*aggs)
 
 
-def budget_rank(rows: DataFrame, score: str, name: str, by: str = "query_id") -> DataFrame:
-    """Rank distinct references of a query by best fused score (null last, ties by id)."""
+def budget_rank(rows: DataFrame, score: str, name: str, by: str = "query_id", bounded: bool = False) -> DataFrame:
+    """Rank distinct references of a query by best fused score (null last, ties by id).
+
+    A union of top-k modalities holds at most the sum of their k per query: pass `bounded`.
+    """
     per = rows.groupBy(by, "reference_id").agg(F.coalesce(F.max(score), F.lit(float("-inf"))).alias("_best"))
-    per = ranked(per, [by], [("_best", "desc"), ("reference_id", "asc")], name)
+    per = ranked(per, [by], [("_best", "desc"), ("reference_id", "asc")], name, bounded=bounded)
     return rows.join(per.select(by, "reference_id", name), [by, "reference_id"])
 
 

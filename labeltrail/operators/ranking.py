@@ -86,9 +86,14 @@ def ranked(
     order: Order,
     name: str = "rank",
     plain_rows: int = PLAIN_WINDOW_ROWS,
+    bounded: bool = False,
 ) -> DataFrame:
-    """Row number of every row in its group, over a total order (list the tie keys)."""
-    if largest_group(df, by) <= plain_rows:
+    """Row number of every row in its group, over a total order (list the tie keys).
+
+    `bounded` says the caller already cut every group to a fixed size, so the size check
+    (one count over the input) is not needed.
+    """
+    if bounded or largest_group(df, by) <= plain_rows:
         w = Window.partitionBy(*(by or [F.lit(0)])).orderBy(*_sort_cols(order))
         return df.withColumn(name, F.row_number().over(w).cast("bigint"))
     n = slices_for(df)

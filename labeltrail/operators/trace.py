@@ -42,7 +42,7 @@ def support_trace(queries: DataFrame, library: DataFrame, candidates: DataFrame,
         _any(F.col("union_match")).alias("union_match"),
         _any(F.col("union_match") & F.col("best").isNotNull()).alias("retained_match"),
         F.max("best").alias("top"), F.max(F.when(F.col("union_match"), F.col("best"))).alias("best_true"),
-        F.max(F.when(F.col("best").isNotNull(), F.struct("best", "n_labels"))).alias("_top"),
+        F.max_by("n_labels", "best").alias("_top"),
         _any(F.col("has_chosen")).alias("has_chosen"), F.max("chosen_score").alias("chosen_score"),
         F.max("chosen_label").alias("selected_label"), _any(F.col("concordant")).alias("concordant"))
     out = queries.select(*KEY, (F.size("truth_labels") > 0).alias("evaluable")).join(lib, KEY, "left")
@@ -63,7 +63,7 @@ def support_trace(queries: DataFrame, library: DataFrame, candidates: DataFrame,
         as_int("retained_match").alias("retained_match"), "selected_candidate_id",
         F.when(F.col("has_chosen"), F.col("selected_label")).alias("selected_label"),
         F.when(F.col("evaluable") & F.col("has_chosen"), as_int("concordant")).alias("selected_concordant"),
-        F.coalesce("_top.n_labels", F.lit(0)).alias("top_score_labels"), as_int("accepted").alias("accepted"))
+        F.coalesce("_top", F.lit(0)).alias("top_score_labels"), as_int("accepted").alias("accepted"))
 
 
 def set_trace(
@@ -179,13 +179,19 @@ def score_change(rows: DataFrame, key: list[str], budgets: dict[int, int], rank:
     tops = pool.groupBy(*by).agg(F.max(raw).alias("_mr"), F.max(cal).alias("_mc"))
     marked = pool.join(tops, by)
     r_top, c_top = F.col(raw) == F.col("_mr"), F.col(cal) == F.col("_mc")
-    stats = marked.groupBy(*by).agg(
-        F.count("*").alias("candidate_rows"), F.count_distinct(label).alias("candidate_labels"),
-        F.max(F.col(ok).cast("int")).alias("matching_candidate"), F.count(F.when(r_top, 1)).alias("raw_top_rows"),
-        F.count_distinct(F.when(r_top, F.col(label))).alias("raw_top_labels"), F.count(F.when(c_top, 1)).alias("calibrated_top_rows"),
-        F.count_distinct(F.when(c_top, F.col(label))).alias("calibrated_top_labels"),
-        F.count_distinct(F.when(c_top, F.col(raw))).alias("raw_levels_in_calibrated_top"),
-        F.max((F.col(ok) & c_top).cast("int")).alias("_cm"), F.max((F.col(ok) & r_top).cast("int")).alias("_rm"))
+    # Labels are counted through one row per label, so only one distinct count (raw values
+    # inside the calibrated top set) is left and no row is expanded per distinct column.
+    flag = lambda c: F.max(c.cast("int"))
+    per_label = marked.groupBy(*by, label).agg(
+        F.count("*").alias("n"), F.count(F.when(r_top, 1)).alias("nr"), F.count(F.when(c_top, 1)).alias("nc"),
+        flag(F.col(ok)).alias("ok_any"), flag(F.col(ok) & c_top).alias("_cm"), flag(F.col(ok) & r_top).alias("_rm"))
+    stats = per_label.groupBy(*by).agg(
+        F.sum("n").alias("candidate_rows"), F.count("*").alias("candidate_labels"), F.max("ok_any").alias("matching_candidate"),
+        F.sum("nr").alias("raw_top_rows"), F.count(F.when(F.col("nr") > 0, 1)).alias("raw_top_labels"),
+        F.sum("nc").alias("calibrated_top_rows"), F.count(F.when(F.col("nc") > 0, 1)).alias("calibrated_top_labels"),
+        F.max("_cm").alias("_cm"), F.max("_rm").alias("_rm"))
+    levels = marked.where(c_top).groupBy(*by).agg(F.count_distinct(raw).alias("raw_levels_in_calibrated_top"))
+    stats = stats.join(levels, by)
     out = win(raw, "raw").join(win(cal, "calibrated"), by).join(stats, by)
     i = lambda cond: cond.cast("int")
     a, b = F.col("_raw_ok"), F.col("_calibrated_ok")

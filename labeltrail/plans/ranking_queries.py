@@ -15,6 +15,7 @@ from labeltrail.plans.metric_queries import VOTE_SQL, agreement
 from labeltrail.plans.registry import query
 from labeltrail.plans.selection_queries import H60
 from labeltrail.plans.trace_queries import FUSED_SQL, fused, fused_scored
+from labeltrail.session import cut_lineage
 
 PAIR_RAW = """(select query_id, reference_id, price, qty, cluster_id from v_pairs join v_refs using (reference_id))"""
 
@@ -73,16 +74,16 @@ def _w06(t):
 
 @query("w07_fused_budget_rank", "select query_id, reference_id, fused_rank from v_fused_rank", FUSED_SQL)
 def _w07(t):
-    return cd.budget_rank(fused(t), "fused_score", "fused_rank").select("query_id", "reference_id", "fused_rank")
+    return cd.budget_rank(fused(t), "fused_score", "fused_rank", bounded=True).select("query_id", "reference_id", "fused_rank")
 
 
 @query("w08_strategy_ranks", """select query_id, reference_id, row_number() over (partition by query_id order by fused_score desc, reference_id) fused_rank,
     case when sequence_rank is not null then row_number() over (partition by query_id order by sequence_rank nulls last, reference_id) end seq_rank, case when structure_rank is not null then row_number() over (partition by query_id order by structure_rank nulls last, reference_id) end str_rank from v_fused""", FUSED_SQL)
 def _w08(t):
     f = fused(t)
-    out = cd.budget_rank(f, "fused_score", "fused_rank")
+    out = cd.budget_rank(f, "fused_score", "fused_rank", bounded=True)
     for col, name in (("sequence_rank", "seq_rank"), ("structure_rank", "str_rank")):
-        r = ranked(f.where(F.col(col).isNotNull()).select("query_id", "reference_id", col), ["query_id"], [(col, "asc"), ("reference_id", "asc")], name)
+        r = ranked(f.where(F.col(col).isNotNull()).select("query_id", "reference_id", col), ["query_id"], [(col, "asc"), ("reference_id", "asc")], name, bounded=True)
         out = out.join(r.drop(col), ["query_id", "reference_id"], "left")
     return out.select("query_id", "reference_id", "fused_rank", "seq_rank", "str_rank")
 
@@ -123,7 +124,7 @@ def label_rows(t):
 @query("w14_four_ranking_policies", """select query_id, label, row_number() over (partition by query_id order by score desc, clusters desc, ident desc, label) rank_score, row_number() over (partition by query_id order by disc, ident desc, label) rank_first,
     row_number() over (partition by query_id order by ident desc, disc, label) rank_similarity, row_number() over (partition by query_id order by clusters desc, refs desc, ident desc, label) rank_frequency from v_lab""", LABEL_SQL)
 def _w14(t):
-    out = label_rows(t)
+    out = cut_lineage(label_rows(t))
     d, a = "desc", "asc"
     for name, order in {"rank_score": [("score", d), ("clusters", d), ("ident", d)], "rank_first": [("disc", a), ("ident", d)],
                         "rank_similarity": [("ident", d), ("disc", a)], "rank_frequency": [("clusters", d), ("refs", d), ("ident", d)]}.items():

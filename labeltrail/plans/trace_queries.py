@@ -142,7 +142,7 @@ def fused(t):
 
 
 def fused_scored(t):
-    f = budget_rank(fused(t), "fused_score", "fused_rank")
+    f = budget_rank(fused(t), "fused_score", "fused_rank", bounded=True)
     s = t.scored.select("query_id", "reference_id", "raw", "cal", "l3", "l4", "same_l3", "same_l4",
                         "component_id", "stratum", "role")
     return f.select("query_id", "reference_id", "fused_rank", "fused_score").join(s, ["query_id", "reference_id"])
