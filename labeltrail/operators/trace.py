@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from labeltrail.functions.states import BUDGET_STATES, SET_TRACE_STATES, TRACE_STATES, first_true
-from labeltrail.operators.ranking import ranked, top_one
+from labeltrail.operators.ranking import top_one
+from labeltrail.session import cut_lineage
 
 KEY = ["query_id", "endpoint"]
 
@@ -170,6 +171,8 @@ def score_change(rows: DataFrame, key: list[str], budgets: dict[int, int], rank:
     Ties inside a winner go to the smallest row id.  Top sets come from counts per score
     value, so a large pool is combined on the map side.
     """
+    # Both winners, the top scores and the top sets read the pool: materialise it once.
+    rows = cut_lineage(rows.select(*key, *carry, rank, raw, cal, label, ok, row_id))
     grid = F.explode(F.array(*[F.struct(F.lit(b).alias("budget"), F.lit(k).alias("_k")) for b, k in budgets.items()])).alias("_b")
     pool = rows.select("*", grid).where(F.col(rank) <= F.col("_b._k")).withColumn("budget", F.col("_b.budget")).drop("_b")
     by = [*key, "budget"]

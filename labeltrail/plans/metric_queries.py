@@ -182,14 +182,17 @@ def _a10(t):
         "query_id", "role", "has_structure", "c.*")
     q = q.join(n, ["query_id", "endpoint"], "left").join(ceiling(t), ["query_id", "endpoint", "modality", "k"], "left")
     q = q.fillna(0, ["nt", "labels", "true_labels"])
-    g = metrics.tagged(q, {"all": F.lit(True), **{r: F.col("role") == r for r in ("TRAIN", "DEV", "CAL_FIT", "CAL_RULE", "RETEST")}}, "part")
-    g = metrics.tagged(g, {"all_queries": F.lit(True), "structure_available": F.col("has_structure")}, "cohort")
     known, good = F.col("nt") > 0, F.col("true_labels") > 0
-    return g.groupBy("part", "cohort", "modality", "k", "endpoint").agg(
-        F.count("*").alias("total_queries"), ms.n_if(known).alias("truth_queries"),
-        ms.n_if(known & (F.col("labels") > 0)).alias("with_candidate"), ms.n_if(known & good).alias("correct_queries"),
-        F.round(ms.ratio(ms.n_if(known & good), ms.n_if(known)), 9).alias("any_correct_recall"),
-        F.round(ms.ratio(F.sum(F.when(known, F.col("true_labels") / F.col("nt"))), ms.n_if(known)), 9).alias("macro_label_recall"))
+    # Sums per (role, structure flag) first: the overlapping parts and cohorts are then
+    # copies of a few summary rows instead of copies of every query.
+    small = q.groupBy("role", "has_structure", "modality", "k", "endpoint").agg(
+        F.count("*").alias("n"), ms.n_if(known).alias("t"), ms.n_if(known & (F.col("labels") > 0)).alias("c"), ms.n_if(known & good).alias("g"),
+        F.sum(F.when(known, F.col("true_labels") / F.col("nt"))).alias("r"))
+    x = metrics.tagged(small, {"all": F.lit(True), **{r: F.col("role") == r for r in ("TRAIN", "DEV", "CAL_FIT", "CAL_RULE", "RETEST")}}, "part")
+    x = metrics.tagged(x, {"all_queries": F.lit(True), "structure_available": F.col("has_structure")}, "cohort")
+    return x.groupBy("part", "cohort", "modality", "k", "endpoint").agg(
+        F.sum("n").alias("total_queries"), F.sum("t").alias("truth_queries"), F.sum("c").alias("with_candidate"), F.sum("g").alias("correct_queries"),
+        F.round(ms.ratio(F.sum("g"), F.sum("t")), 9).alias("any_correct_recall"), F.round(ms.ratio(F.sum("r"), F.sum("t")), 9).alias("macro_label_recall"))
 
 
 @query("a12_weighted_rate", """select "role", round(sum(weight*same_l3::int)/sum(weight), 9) rate_l3, round(sum(weight*same_l4::int)/sum(weight), 9) rate_l4

@@ -9,6 +9,7 @@ from labeltrail.operators import metrics, trace
 from labeltrail.operators.candidates import budget_rank, fused_union, modality_ranks
 from labeltrail.operators.ranking import top_one
 from labeltrail.plans.registry import query
+from labeltrail.session import cut_lineage
 
 TRACE_SQL = {
     "v_trace": """select q.query_id, q.endpoint,
@@ -149,7 +150,7 @@ def fused_scored(t):
 
 
 def budget_states(t):
-    rows = fused_scored(t)
+    rows = cut_lineage(fused_scored(t).select("query_id", "reference_id", "l3", "l4", "cal", "fused_rank"))
     parts = [trace.budget_trace(rows, t.truth, t.library, e, c, "cal", "fused_rank", 3)
              for e, c in (("L3", "l3"), ("L4", "l4"))]
     return parts[0].unionByName(parts[1])
