@@ -167,6 +167,7 @@ def ece_equal_width(rows: DataFrame, by: list[str], p: str, y: str, bins: int =
 
 def equal_count_bins(rows: DataFrame, by: list[str], p: str, y: str, tie: str, bins: int = 10) -> DataFrame:
     """Calibration table over equal-count bins of the ranked probability."""
+    rows = cut_lineage(rows.select(*by, p, y, tie))
     r = ranked(rows, by, [(p, "asc"), (tie, "asc")], "_rank")
     n = rows.groupBy(*by).agg(F.count("*").alias("_total"))
     r = r.join(n, by) if by else r.join(F.broadcast(n))
@@ -184,6 +185,7 @@ def ece_equal_count(bins: DataFrame, by: list[str]) -> DataFrame:
 
 def risk_coverage(rows: DataFrame, by: list[str], p: str, y: str, tie: str, points: int = 100) -> DataFrame:
     """Precision and risk of the most confident share of rows, for an even coverage grid."""
+    rows = cut_lineage(rows.select(*by, p, y, tie))
     r = ranked(rows, by, [(p, "desc"), (tie, "asc")], "_rank")
     n = rows.groupBy(*by).agg(F.count("*").alias("_total"))
     r = r.join(n, by) if by else r.join(F.broadcast(n))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from labeltrail.functions.hashing import key_text, u60
 from labeltrail.operators.ranking import ranked
+from labeltrail.session import cut_lineage
 
 
 def exact_stratum_match(rows: DataFrame, stratum: list[Column], treated: Column, control: Column, key: list[str],
@@ -17,17 +18,19 @@ def exact_stratum_match(rows: DataFrame, stratum: list[Column], treated: Column,
     tasks.  `cap` keeps the first pairs in (stratum, position) order.
     """
     name = F.concat_ws("|", *[F.coalesce(c.cast("string"), F.lit("MISSING")) for c in stratum])
-    base = rows.withColumn("stratum_key", name)
+    base = rows.select(*key, name.alias("stratum_key"), treated.alias("_treated"), control.alias("_control"))
+    base = cut_lineage(base.where(F.col("_treated") | F.col("_control")))  # read once per side and size check
 
-    def side(cond: Column, tag: str) -> DataFrame:
+    def side(cond: str, tag: str) -> DataFrame:
         h = u60(key_text(tag, *[F.col(k) for k in key]))
         s = base.where(cond).withColumn("_h", h)
         s = ranked(s, ["stratum_key"], [("_h", "asc"), *[(k, "asc") for k in key]], "position")
         return s.select("stratum_key", "position", *[F.col(k).alias(f"{tag.lower()}_{k}") for k in key])
 
-    pairs = side(treated, "T").join(side(control, "C"), ["stratum_key", "position"])
+    pairs = side("_treated", "T").join(side("_control", "C"), ["stratum_key", "position"])
     if cap is None:
         return pairs
+    pairs = cut_lineage(pairs)
     n = pairs.groupBy("stratum_key").agg(F.count("*").alias("_n"))
     n = ranked(n, [], [("stratum_key", "asc")], "_i")
     from labeltrail.operators.ranking import running_totals

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from labeltrail.functions.hashing import key_text, u60
 from labeltrail.functions.measures import n_if, ratio
 from labeltrail.operators.ranking import attach_one_row, dense_index, ranked, running_totals
+from labeltrail.session import cut_lineage
 
 
 def component_draws(components: DataFrame, key: str, replicates: int, context: str,
@@ -69,8 +70,8 @@ def bootstrap_ratios(rows: DataFrame, component: str, by: list[str], columns: li
 
     All groups share the draws, so their replicates are paired.
     """
-    totals = rows.groupBy(component, *by).agg(*[F.sum(c).alias(c) for c in columns])
-    draws = component_draws(universe if universe is not None else rows, component, replicates, context)
+    totals = cut_lineage(rows.groupBy(component, *by).agg(*[F.sum(c).alias(c) for c in columns]))
+    draws = component_draws(universe if universe is not None else totals, component, replicates, context)
     sums = replicate_sums(totals, draws, component, by, columns)
     reps = sums.select(*by, "replicate", *[v.alias(k) for k, v in ratios.items()])
     point = totals.groupBy(*by).agg(*[F.sum(c).alias(c) for c in columns], F.count("*").alias("components"))
@@ -82,7 +83,7 @@ def bootstrap_ratios(rows: DataFrame, component: str, by: list[str], columns: li
 def precision_lower_bound(rows: DataFrame, cluster: str, by: list[str], y: str, replicates: int, context: str,
                           all_correct_is_one: bool = False) -> DataFrame:
     """Cluster bootstrap interval of precision; a single cluster returns its point value."""
-    totals = rows.groupBy(cluster, *by).agg(F.sum(F.col(y).cast("int")).alias("ok"), F.count("*").alias("n"))
+    totals = cut_lineage(rows.groupBy(cluster, *by).agg(F.sum(F.col(y).cast("int")).alias("ok"), F.count("*").alias("n")))
     draws = component_draws(totals, cluster, replicates, context, by)
     reps = replicate_sums(totals, draws, cluster, by, ["ok", "n"], by).withColumn("precision", ratio("ok", "n"))
     ci = interval(reps, by, ["precision"], replicates)
@@ -98,7 +99,7 @@ def precision_lower_bound(rows: DataFrame, cluster: str, by: list[str], y: str,
 
 def row_bootstrap_mean(rows: DataFrame, key: str, value: str, by: list[str], replicates: int, context: str) -> DataFrame:
     """Row bootstrap of the mean: each row is its own component."""
-    clean = rows.where(F.col(value).isNotNull()).select(*by, key, F.col(value).cast("double").alias("v"), F.lit(1).alias("one"))
+    clean = cut_lineage(rows.where(F.col(value).isNotNull()).select(*by, key, F.col(value).cast("double").alias("v"), F.lit(1).alias("one")))
     draws = component_draws(clean, key, replicates, context, by)
     reps = replicate_sums(clean, draws, key, by, ["v", "one"], by).withColumn("mean", ratio("v", "one"))
     point = clean.groupBy(*by).agg(F.count("*").alias("n"), F.round(F.avg("v"), 9).alias("mean"))
@@ -108,7 +109,7 @@ def row_bootstrap_mean(rows: DataFrame, key: str, value: str, by: list[str], rep
 
 def row_bootstrap_median(rows: DataFrame, key: str, value: str, by: list[str], replicates: int, context: str) -> DataFrame:
     """Row bootstrap of the median from multiplicities: the value where the drawn copies reach half."""
-    clean = rows.where(F.col(value).isNotNull()).select(*by, key, F.col(value).cast("double").alias("v"))
+    clean = cut_lineage(rows.where(F.col(value).isNotNull()).select(*by, key, F.col(value).cast("double").alias("v")))
     draws = component_draws(clean, key, replicates, context, by)
     drawn = clean.join(draws, [*by, key])
     steps = running_totals(drawn, [*by, "replicate"], "v", {"m": F.sum("multiplicity")}, "asc")
@@ -127,6 +128,7 @@ def ranking_difference_bootstrap(rows: DataFrame, component: str, scores: tuple[
 
     Rows are reduced to (component, score) cells before the multiplicities multiply them.
     """
+    rows = cut_lineage(rows.select(component, *scores, y, weight))
     draws = component_draws(rows, component, replicates, context)
     w, t = F.col(weight).cast("double"), F.col(y).cast("boolean")
     parts = []
@@ -164,6 +166,7 @@ def top_share_bootstrap(rows: DataFrame, component: str, score: str, tie: str, y
 
     floor(share * n) copies are kept per replicate; a row straddling the cut counts in part.
     """
+    rows = cut_lineage(rows.select(component, score, tie, y))
     draws = component_draws(rows, component, replicates, context)
     cells = ranked(rows.select(component, score, tie, F.col(y).cast("int").alias("y")), [],
                    [(score, "desc"), (tie, "asc")], "position").join(draws, component)

@@ -52,6 +52,7 @@ def pps_scale(rows: DataFrame, weight: str, target: float) -> DataFrame:
 
 def pps_sample(rows: DataFrame, weight: str, target: int, key: list[str], salt: str) -> DataFrame:
     """Independent inclusion with probability min(1, scale*weight), expected size `target`."""
+    rows = cut_lineage(rows)
     x = attach_one_row(rows, pps_scale(rows, weight, target))
     x = x.withColumn("sampling_probability", F.least(F.lit(1.0), F.col("scale") * F.col(weight))).drop("scale")
     h = unit_interval(key_text(*[F.col(k) for k in key], salt))
@@ -80,8 +81,9 @@ def balanced_sample(pairs: DataFrame, key: list[str], cluster: list[str], exact:
 
     The quota step needs only the two stratum sizes, which are read as scalars.
     """
-    s = take_uniform(pairs, cluster, 1, "CLUSTER", key, "p_cluster")
-    s = take_uniform(s, [exact], max_exact, "EXACT_CAP", key, "p_exact")
+    # Every stage counts and ranks its input, so each is materialised before the next.
+    s = cut_lineage(take_uniform(cut_lineage(pairs), cluster, 1, "CLUSTER", key, "p_cluster"))
+    s = cut_lineage(take_uniform(s, [exact], max_exact, "EXACT_CAP", key, "p_exact"))
     s = cut_lineage(take_uniform(s, [label], max_label, "LABEL_CAP", key, "p_label"))
     sizes = {bool(r[0]): r[1] for r in s.groupBy(hard).count().collect()}  # two rows
     d, o = sizes.get(True, 0), sizes.get(False, 0)
