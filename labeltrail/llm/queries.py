@@ -43,3 +43,29 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     out = encode_decode(table(spark, sf_dir, "documents"), vocabulary_path())
     return out.select("doc_id", "n_tokens", F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+#: Categories of the chain, in order, as conditions over the columns of `labels`.
+TOXICITY = {"low_quality": "quality = 0", "toxic": "toxic = 1"}
+
+
+@query
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probabilities of each category and the decision for every document."""
+    from labeltrail.llm.toxicity import fit_toxicity, score_toxicity
+
+    docs = table(spark, sf_dir, "documents")
+    return score_toxicity(docs, fit_toxicity(docs, table(spark, sf_dir, "labels"), TOXICITY))
+
+
+@query
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document; learnt from the four fifths that are not held out."""
+    from labeltrail.llm.langid import fit_language_codes, predict_language
+
+    docs = table(spark, sf_dir, "documents")
+    fifth = F.crc32(F.col("doc_id").cast("string")) % 5
+    model = fit_language_codes(docs, fifth != 0)
+    out = predict_language(docs, model)
+    return out.select("doc_id", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False)).alias("held_out"),
+                      "lang_pred", "score", "ambiguous")
