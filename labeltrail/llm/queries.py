@@ -69,3 +69,11 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = predict_language(docs, model)
     return out.select("doc_id", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False)).alias("held_out"),
                       "lang_pred", "score", "ambiguous")
+
+
+@query
+def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose two-word shingle sets are at least 80 % alike."""
+    from labeltrail.llm.hyperminhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), words_per_shingle=2, percent=80)
