@@ -77,3 +77,11 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from labeltrail.llm.hyperminhash import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents"), words_per_shingle=2, percent=80)
+
+
+@query
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and the test items at least half of whose words they give away."""
+    from labeltrail.llm.decontamination import contaminated
+
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
