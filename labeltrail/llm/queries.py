@@ -85,3 +85,12 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from labeltrail.llm.decontamination import contaminated
 
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every place of a 200-byte string that starts anywhere else goes."""
+    from labeltrail.llm.repeats import remove_repeats
+
+    out = remove_repeats(table(spark, sf_dir, "documents"), length=200, keep_first=False)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
