@@ -157,10 +157,10 @@ def near_duplicates(docs: DataFrame, words_per_shingle: int = 5, percent: int =
     the smallest id reachable over links, kept says that it is the document's own.
 
     Equal sets are one class from the start.  Classes share a bucket if a band of registers agrees.  Buckets work in
-    rounds: the smallest component of a bucket gives a pivot, which is compared with the members outside that
-    component and then leaves.  A bucket ends when one component is left, so a bucket of thousands of copies costs one comparison
-    each, and every pair of one bucket that could join two components is compared in the end; nothing is capped.  Corrected estimates
-    rule pairs out 6 standard deviations below the threshold, full sets confirm the rest.
+    rounds: the smallest components of a bucket give pivots (1, then 16, 64, ...), which are compared with the members outside
+    their component and then leave.  A bucket ends when one component is left, so a bucket of thousands of copies costs one
+    comparison each, and every pair of one bucket that could join two components is compared in the end; nothing is capped.
+    Corrected estimates rule pairs out 6 standard deviations below the threshold, full sets confirm the rest.
 
     Null or empty texts and texts without words: 0 shingles, linked with nothing.  Rows with one id are one vertex.
     Null ids are linked with nothing and have a null component and kept true.  Empty table: no rows.  Other columns of `docs`
@@ -174,7 +174,7 @@ def near_duplicates(docs: DataFrame, words_per_shingle: int = 5, percent: int =
 
     # a set of three shingles or fewer has no partner at 80 % but its equals
     least = 2 if percent <= 50 else int(np.ceil(percent / (100 - percent))) if percent < 100 else None
-    links, rounds = [], 0
+    links = []
     if least is not None:
         nodes = members.where(F.col("n") >= least).join(
             classes.select("n", "s1", "s2", "node"), ["n", "s1", "s2"]).where(F.col("doc_id") == F.col("node"))
@@ -184,18 +184,20 @@ def near_duplicates(docs: DataFrame, words_per_shingle: int = 5, percent: int =
         buckets = staged(keys.join(full, "key"), "buckets")
         wanted = buckets.select(F.col("node").alias("doc_id")).distinct()
         texts = staged(docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text")).join(wanted, "doc_id", "left_semi"), "texts")
-        component, tested = None, None
+        component, tested, pivots = None, None, 1
         while True:
             if component is None:
-                rows = buckets.withColumn("component", F.col("node"))
-                pivots = rows.groupBy("key").agg(F.min("node").alias("pivot")).withColumn("own", F.col("pivot"))
+                rows = buckets.withColumns({"component": F.col("node"), "c": F.lit(1).cast("long")})
             else:
                 rows = buckets.join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
-                sizes = rows.groupBy("key", "component").agg(F.count("*").alias("c"), F.min("node").alias("node"))
-                small = sizes.groupBy("key").agg(F.min(F.struct("c", "component", "node")).alias("s"), F.count("*").alias("parts")).where("parts > 1")
-                pivots = small.select("key", F.col("s.node").alias("pivot"), F.col("s.component").alias("own"))
-            open_rows = staged(rows.join(pivots, "key"), "open")
-            pairs = open_rows.where(F.col("component") != F.col("own")).select(
+                sizes = rows.groupBy("key", "component").agg(F.count("*").alias("c"))
+                mixed = sizes.groupBy("key").agg(F.count("*").alias("parts")).where("parts > 1").select("key")
+                rows = rows.join(sizes.join(mixed, "key"), ["key", "component"])
+            rows = staged(rows.select("key", "node", "component", "c"), "open")
+            place = F.row_number().over(Window.partitionBy("key").orderBy("c", "component", "node"))
+            first = staged(rows.withColumn("place", place).where(F.col("place") <= pivots).select(
+                "key", F.col("node").alias("pivot"), F.col("component").alias("own")), "pivots")
+            pairs = rows.join(first, "key").where(F.col("component") != F.col("own")).select(
                 F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
             if tested is not None:
                 pairs = pairs.join(tested, ["a", "b"], "left_anti")
@@ -203,12 +205,12 @@ def near_duplicates(docs: DataFrame, words_per_shingle: int = 5, percent: int =
             found = staged(_verified(pairs, texts, words_per_shingle, percent).distinct(), "links")
             links.append(found)
             tested = pairs if tested is None else tested.unionByName(pairs)
-            rounds += 1
-            buckets = open_rows.where(F.col("node") != F.col("pivot")).select("key", "node")
+            buckets = rows.join(first.select("key", F.col("pivot").alias("node")), ["key", "node"], "left_anti").select("key", "node")
             again = buckets.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
             buckets = staged(buckets.join(again.select("key"), "key"), "buckets")
             if buckets.isEmpty():
                 break
+            pivots = max(16, 4 * pivots)
             all_links = links[0]
             for more in links[1:]:
                 all_links = all_links.unionByName(more)
