@@ -94,3 +94,12 @@ def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     out = remove_repeats(table(spark, sf_dir, "documents"), length=200, keep_first=False)
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weighted-sampling fingerprints of every text and its edited text."""
+    from labeltrail.llm.fingerprints import edited_fingerprints
+
+    out = edited_fingerprints(table(spark, sf_dir, "documents"), samples=64)
+    return out.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
