@@ -103,3 +103,14 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     out = edited_fingerprints(table(spark, sf_dir, "documents"), samples=64)
     return out.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
+@query
+def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and digests of personal data in every document."""
+    from labeltrail.llm.pii import KINDS, count_kind, find_personal, fit_redactor, span_text
+
+    docs = table(spark, sf_dir, "documents")
+    out = find_personal(docs, fit_redactor(docs))
+    counts = [count_kind("base", k).alias(f"n_{k}") for k in KINDS]
+    return out.select("doc_id", *counts, F.sha2(span_text("base"), 256).alias("base_sha256"), span_text("spans").alias("spans"))
