@@ -8,8 +8,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from labeltrail.llm.buckets import bucket_links, shared_buckets
 from labeltrail.llm.common import staged, text_of
 from labeltrail.llm.tokens import SPACES, chunks, distinct, mix, shingles, words
 from labeltrail.operators.components import connected_minimum
@@ -180,41 +180,10 @@ def near_duplicates(docs: DataFrame, words_per_shingle: int = 5, percent: int =
             classes.select("n", "s1", "s2", "node"), ["n", "s1", "s2"]).where(F.col("doc_id") == F.col("node"))
         sketch_of = nodes.select("node", "n", "registers").dropDuplicates(["node", "n"])
         keys = nodes.select("node", F.explode("bands").alias("key")).distinct()
-        full = keys.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
-        buckets = staged(keys.join(full, "key"), "buckets")
+        buckets = shared_buckets(keys)
         wanted = buckets.select(F.col("node").alias("doc_id")).distinct()
         texts = staged(docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text")).join(wanted, "doc_id", "left_semi"), "texts")
-        component, tested, pivots = None, None, 1
-        while True:
-            if component is None:
-                rows = buckets.withColumns({"component": F.col("node"), "c": F.lit(1).cast("long")})
-            else:
-                rows = buckets.join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
-                sizes = rows.groupBy("key", "component").agg(F.count("*").alias("c"))
-                mixed = sizes.groupBy("key").agg(F.count("*").alias("parts")).where("parts > 1").select("key")
-                rows = rows.join(sizes.join(mixed, "key"), ["key", "component"])
-            rows = staged(rows.select("key", "node", "component", "c"), "open")
-            place = F.row_number().over(Window.partitionBy("key").orderBy("c", "component", "node"))
-            first = staged(rows.withColumn("place", place).where(F.col("place") <= pivots).select(
-                "key", F.col("node").alias("pivot"), F.col("component").alias("own")), "pivots")
-            pairs = rows.join(first, "key").where(F.col("component") != F.col("own")).select(
-                F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
-            if tested is not None:
-                pairs = pairs.join(tested, ["a", "b"], "left_anti")
-            pairs = staged(_plausible(pairs, sketch_of, percent), "pairs")
-            found = staged(_verified(pairs, texts, words_per_shingle, percent).distinct(), "links")
-            links.append(found)
-            tested = pairs if tested is None else tested.unionByName(pairs)
-            buckets = rows.join(first.select("key", F.col("pivot").alias("node")), ["key", "node"], "left_anti").select("key", "node")
-            again = buckets.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
-            buckets = staged(buckets.join(again.select("key"), "key"), "buckets")
-            if buckets.isEmpty():
-                break
-            pivots = max(16, 4 * pivots)
-            all_links = links[0]
-            for more in links[1:]:
-                all_links = all_links.unionByName(more)
-            component = connected_minimum(all_links.select("a", "b")).select("node", F.col("canonical").alias("component"))
+        links = bucket_links(buckets, lambda pairs: _plausible(pairs, sketch_of, percent), lambda pairs: _verified(pairs, texts, words_per_shingle, percent))
     for more in links:
         edges = edges.unionByName(more)
     final = connected_minimum(edges).select(F.col("node").alias("doc_id"), "canonical")

@@ -114,3 +114,12 @@ def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = find_personal(docs, fit_redactor(docs))
     counts = [count_kind("base", k).alias(f"n_{k}") for k in KINDS]
     return out.select("doc_id", *counts, F.sha2(span_text("base"), 256).alias("base_sha256"), span_text("spans").alias("spans"))
+
+
+@query
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines that repeat earlier ones; the text as a digest."""
+    from labeltrail.llm.line_dedup import dedup_lines
+
+    out = dedup_lines(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
