@@ -76,6 +76,29 @@ def duplicate_lines(docs: DataFrame, size: int = 12, similarity: float = 0.8, id
     return gone.groupBy("doc_id", "mark").agg(F.array_sort(F.collect_set("at")).alias("removed"))
 
 
+def _free(names: list[str], stem: str) -> str:
+    """A column name that is not among `names`."""
+    while stem in names:
+        stem = "_" + stem
+    return stem
+
+
+def _rebuilt(docs: DataFrame, size: int, similarity: float, id_col: str, text_col: str) -> tuple[DataFrame, Column, Column]:
+    """`docs` with the text less its repeated lines and an extra last column with their positions; the counts of lines and of removed ones."""
+    gone = duplicate_lines(docs, size, similarity, id_col, text_col).select(F.struct("doc_id", "mark").alias("k"), "removed")
+    key, removed = _free(docs.columns, "_key"), _free(docs.columns, "_removed")
+    keyed = docs.withColumn(key, F.struct(F.col(id_col).alias("doc_id"), F.crc32(text_of(text_col)).alias("mark")))
+    gone = gone.withColumnsRenamed({"k": key, "removed": removed})
+    both = keyed.join(gone, keyed[key].eqNullSafe(gone[key]), "left").select(*[keyed[c] for c in docs.columns], gone[removed])
+    parts = F.split(F.col(text_col), "\n")
+    text = F.when(F.col(removed).isNull(), F.col(text_col)).otherwise(
+        F.array_join(F.filter(parts, lambda x, i: ~F.array_contains(F.col(removed), i)), "\n"))
+    n_removed = F.greatest(F.coalesce(F.size(removed), F.lit(0)), F.lit(0))
+    # lines of the rebuilt text and the removed ones; without a line left there is none to count
+    n_left = F.when(F.col(text_col).isNull(), 0).when((F.col(text_col) == "") & (n_removed > 0), 0).otherwise(F.size(parts))
+    return both.withColumn(text_col, text), n_left + n_removed, n_removed
+
+
 def dedup_lines(docs: DataFrame, size: int = 12, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`docs` with the text less its repeated lines, and the columns n_lines and n_removed.
 
@@ -83,12 +106,12 @@ def dedup_lines(docs: DataFrame, size: int = 12, similarity: float = 0.8, id_col
     goes become empty.  Rows repeated whole are one document and keep the same lines; null ids come first in the order of lines.
     Empty table: no rows.  Columns of `docs` named n_lines or n_removed are replaced.
     """
-    gone = duplicate_lines(docs, size, similarity, id_col, text_col).withColumnsRenamed({"doc_id": "_id", "mark": "_mark", "removed": "_removed"})
-    own = F.crc32(text_of(text_col))
+    out, n_lines, n_removed = _rebuilt(docs, size, similarity, id_col, text_col)
     kept = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    both = docs.join(gone, docs[id_col].eqNullSafe(F.col("_id")) & (own == F.col("_mark")), "left").select(*[docs[c] for c in kept], "_removed")
-    parts = F.split(F.col(text_col), "\n")
-    text = F.when(F.col("_removed").isNull(), F.col(text_col)).otherwise(
-        F.array_join(F.filter(parts, lambda x, i: ~F.array_contains(F.col("_removed"), i)), "\n"))
-    return both.withColumns({"n_lines": F.coalesce(F.size(parts), F.lit(0)), "n_removed": F.coalesce(F.size("_removed"), F.lit(0)), text_col: text}).select(
-        *kept, "n_lines", "n_removed")
+    return out.select(*kept, n_lines.alias("n_lines"), n_removed.alias("n_removed"))
+
+
+def without_repeated_lines(docs: DataFrame, size: int = 12, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The columns of `docs`; documents that had lines and lost all of them go, all others stay."""
+    out, _, n_removed = _rebuilt(docs, size, similarity, id_col, text_col)
+    return out.where(~((n_removed > 0) & (F.trim(F.replace(F.col(text_col), F.lit("\n"), F.lit(""))) == ""))).select(*docs.columns)

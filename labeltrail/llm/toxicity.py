@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labeltrail.llm.common import text_of
@@ -76,15 +76,15 @@ def words_of(text: str) -> set[str]:
 
 
 def _best_threshold(p: np.ndarray, y: np.ndarray) -> float:
-    """The middle of the gap below the cut of best F1 over held-out probabilities; 0.5 if a class is absent."""
+    """The middle of the gap below the cut of best F(1/2), precision counting double, over held-out probabilities; at least 0.15, 0.5 if a class is absent."""
     if y.min() == y.max():
         return 0.5
     order = np.argsort(-p, kind="stable")
     hits = np.cumsum(y[order])
-    f1 = 2 * hits / (np.arange(1, len(y) + 1) + y.sum())
-    at = int(np.argmax(f1))
+    worth = 1.25 * hits / (np.arange(1, len(y) + 1) + 0.25 * y.sum())
+    at = int(np.argmax(worth))
     ranked = p[order]
-    return float((ranked[at] + (ranked[at + 1] if at + 1 < len(ranked) else 0.0)) / 2)
+    return max(0.15, float((ranked[at] + (ranked[at + 1] if at + 1 < len(ranked) else 0.0)) / 2))
 
 
 def fit_chain(rows: list[set[str]], labels: np.ndarray, categories: list[str], max_words: int = 600, folds: int = 5, ridge: float = 0.3) -> Chain:
@@ -152,30 +152,44 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, categories: dict[str, str],
     return fit_chain([set(w) for w in found["words"]], y, list(categories))
 
 
-def score_toxicity(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The id (or the columns of `keep`), `p_<category>` for each category, and `toxic`: the last category passes its threshold.
-
-    Every whole text is scored, without a shuffle.  A null or empty text gets the probabilities of the intercepts and is
-    never toxic.  Repeated rows and null ids pass through.  Clashing columns of `docs` are not read unless kept, and a kept
-    column named like an output is replaced by it.
-    """
-    outputs = [f"p_{c}" for c in chain.categories] + ["toxic"]
-    columns = [c for c in keep if c not in outputs] if keep is not None else [id_col]
+def category_chances(docs: DataFrame, chain: Chain, text_col: str = "text") -> Column:
+    """A column with the array of category probabilities of each whole text, in chain order."""
     shared = docs.sparkSession.sparkContext.broadcast(chain)
     width = len(chain.categories)
 
-    def run(texts: pa.Array) -> np.ndarray:
+    def score(texts: list[str | None]) -> np.ndarray:
         m = shared.value
         known, get = m.words.keys(), m.words.__getitem__
-        return m.probabilities([[*map(get, known & words_of(t))] if t else [] for t in texts.to_pylist()])
+        return m.probabilities([[*map(get, known & words_of(t))] if t else [] for t in texts])
 
-    def udf(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            p = np.vstack([run(texts.slice(i, 500)) for i in range(0, len(texts), 500)]) if len(texts) else np.zeros((0, width))
-            yield pa.FixedSizeListArray.from_arrays(pa.array(p.ravel()), width).cast(pa.list_(pa.float64()))
-
-    p = F.arrow_udf(udf, "array<double>") if hasattr(F, "arrow_udf") else None
-    scored = docs.select(*[F.col(c) for c in columns], F.col(text_col).alias("_text"), p(F.col(text_col)).alias("_p"))
-    some = F.length(F.trim(F.coalesce("_text", F.lit("")))) > 0
-    toxic = some & (F.col("_p")[width - 1] > chain.thresholds[-1])
-    return scored.select(*columns, *[F.col("_p")[k].alias(name) for k, name in enumerate(outputs[:-1])], toxic.alias("toxic"))
+            p = [score(texts.slice(i, 500).to_pylist()) for i in range(0, len(texts), 500)]
+            yield pa.FixedSizeListArray.from_arrays(pa.array(np.vstack([np.zeros((0, width)), *p]).ravel()), width).cast(pa.list_(pa.float64()))
+
+    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(run, "array<double>")(F.col(text_col))
+
+
+def is_toxic(chances: Column, chain: Chain, text_col: str = "text") -> Column:
+    """The last category passes its threshold; never for a text without a visible character."""
+    return (F.length(F.trim(F.coalesce(F.col(text_col), F.lit("")))) > 0) & (chances[len(chain.categories) - 1] > chain.thresholds[-1])
+
+
+def score_toxicity(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, p_<category> for each category, toxic) of every whole text, without a shuffle.
+
+    A null or empty text gets the probabilities of the intercepts and is never toxic.  Repeated rows and null ids pass
+    through.  Empty table: no rows.  Other columns are not read.
+    """
+    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    scored = source.withColumn("p", category_chances(source, chain))
+    return scored.select("doc_id", *[F.col("p")[k].alias(f"p_{c}") for k, c in enumerate(chain.categories)], is_toxic(F.col("p"), chain).alias("toxic"))
+
+
+def without_toxic(docs: DataFrame, chain: Chain, text_col: str = "text") -> DataFrame:
+    """The rows of `docs`, with their columns as they are, that the chain does not call toxic."""
+    name = "_chances"
+    while name in docs.columns:
+        name = "_" + name
+    return docs.withColumn(name, category_chances(docs, chain, text_col)).where(~is_toxic(F.col(name), chain, text_col)).select(*[F.col(c) for c in docs.columns])
