@@ -9,6 +9,7 @@ weight, over the sum of the greater.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -86,10 +87,12 @@ def _bucketed(source: DataFrame, n: int) -> DataFrame:
     return source.withColumn("bucket", found)
 
 
-def edited_fingerprints(docs: DataFrame, samples: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def edited_fingerprints(docs: DataFrame, samples: int = 64, id_col: str = "doc_id", text_col: str = "text",
+                        edited_as: Callable[[Column], Column] = lambda text: text) -> DataFrame:
     """Fingerprints of every text and of its edited text, in which the last third comes from the next document.
 
-    Returns (doc_id, n_chars, edited, fingerprint, edited_fingerprint, near_edited, near_next).  The next document is the one
+    Returns (doc_id, n_chars, edited, fingerprint, edited_fingerprint, near_edited, near_next); `edited_as` maps the edited text to
+    what is returned of it, as a digest is far less to move.  The next document is the one
     before in id order, after the least id the greatest; rows with one id are ordered by the hash of their text.  Null ids come
     after all others.
 
@@ -124,7 +127,7 @@ def edited_fingerprints(docs: DataFrame, samples: int = 64, id_col: str = "doc_i
     found = signatures(both.select("bucket", "place", "x.which", "x.text"), ["bucket", "place", "which"], samples)
     found = found.groupBy("bucket", "place").agg(F.max(F.when(F.col("which") == 0, F.col("signature"))).alias("own"),
                                                  F.max(F.when(F.col("which") == 1, F.col("signature"))).alias("new"))
-    out = rows.select("bucket", "place", "doc_id", F.length("text").cast("long").alias("n_chars"), "edited").join(found, ["bucket", "place"], "left")
+    out = rows.select("bucket", "place", "doc_id", F.length("text").cast("long").alias("n_chars"), edited_as(F.col("edited")).alias("edited")).join(found, ["bucket", "place"], "left")
     by_place = Window.partitionBy("bucket").orderBy("place")
     out = out.withColumns({"last": F.lead("place").over(by_place).isNull(), "following": F.lead("own").over(by_place)})
     out = out.join(after.select("bucket", "after_signature"), "bucket")

@@ -101,8 +101,8 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weighted-sampling fingerprints of every text and its edited text."""
     from labeltrail.llm.fingerprints import edited_fingerprints
 
-    out = edited_fingerprints(table(spark, sf_dir, "documents"), samples=64)
-    return out.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+    out = edited_fingerprints(table(spark, sf_dir, "documents"), samples=64, edited_as=lambda text: F.sha2(text, 256))
+    return out.select("doc_id", "n_chars", F.col("edited").alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
 
 
 @query
