@@ -144,18 +144,16 @@ def predict_language(docs: DataFrame, model: OutputCodes | None, id_col: str = "
     source = source.withColumn("lettered", F.col("text").rlike(r"\p{L}"))
     if model is None:
         return source.select("doc_id", F.lit(UNDETERMINED).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(True).alias("ambiguous"))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        names = np.array([*m.languages, UNDETERMINED], dtype=object)
+        names = np.array([*model.languages, UNDETERMINED], dtype=object)
         for batch in batches:
             for first, end, data, offsets in chunks(batch.column("text")):
                 part = batch.slice(first, end - first)
                 known = np.array(part.column("lettered").to_pylist(), dtype=bool)
-                at, score, unsure = m.predict(ngram_features(data, offsets))
+                at, score, unsure = model.predict(ngram_features(data, offsets))
                 yield pa.record_batch([
-                    part.column("doc_id"), pa.array(names[np.where(known, at, len(m.languages))], pa.string()),
+                    part.column("doc_id"), pa.array(names[np.where(known, at, len(model.languages))], pa.string()),
                     pa.array(np.where(known, score, 0.0).astype(float)), pa.array(unsure | ~known)], ["doc_id", "lang_pred", "score", "ambiguous"])
 
     kind = source.schema["doc_id"].dataType.simpleString()

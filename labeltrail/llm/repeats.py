@@ -7,11 +7,11 @@ needed only against `length`, and the order only up to the names of runs, which
 suffixes about.
 
 Windows (strings of `length` bytes) are named in three steps, each for what the one before left open:
-1. every window picks the smallest hash of its 32-byte words, an anchor inside it.  Consecutive windows with one anchor are a
+1. every window picks the smallest hash of its 64-byte words, an anchor inside it.  Consecutive windows with one anchor are a
    block.  Equal windows have equal anchors, so blocks with different anchor words never meet.  Blocks alike in all bytes
    are settled whole.
-2. blocks with a shared anchor but other bytes are cut by distance from the anchor into pieces of at most 8 windows, and
-   pieces alike in all bytes are settled.
+2. blocks with a shared anchor but other bytes are cut by distance from the anchor into pieces of at most 8 windows.  Pieces meet
+   if the bytes that all their windows share are equal, and pieces alike in all bytes are settled.
 3. what is left is named window by window.
 """
 
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from labeltrail.llm.common import staged, text_of
 from labeltrail.llm.tokens import chunks, mix, powers
 
-WORD = 32
+WORD = 64
 PIECE = 8
 #: Bits of a position inside a segment; longer texts are cut into overlapping segments.
 PLACE = np.uint64(24)
@@ -105,51 +105,48 @@ def _all_blocks(source: DataFrame, length: int) -> DataFrame:
 
 
 def _pieces(source: DataFrame, length: int) -> DataFrame:
-    """Blocks of each text (column `open`) cut into pieces, with the name of every window."""
+    """Blocks of each text (column `open`) cut into pieces, with the name of every window; a piece's anchor is what its windows share."""
     kind = source.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "mark", "first", "count", "many", "anchor", "bytes", "windows"]
+        names = ["doc_id", "mark", "first", "count", "far", "many", "anchor", "bytes", "windows"]
         for batch in batches:
             for i, wanted in enumerate(batch.column("open").to_pylist()):
-                data = np.frombuffer(batch.column("text")[i].as_buffer() or b"", dtype=np.uint8)
-                total, out = _sums(data), []
-                for block in wanted:
-                    starts = np.arange(block["first"], block["first"] + block["count"])
-                    piece = (block["far"] + block["first"] - starts) // PIECE
-                    window = mix(_hash(total, starts, starts + length)).view(np.int64)
-                    cut = np.flatnonzero(np.r_[True, piece[1:] != piece[:-1]])
-                    for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(starts)]):
-                        s, n = int(starts[a]), b - a
-                        far = block["far"] + block["first"] - s
-                        key = mix(np.array([block["anchor"]], np.int64).view(np.uint64) ^ mix(np.array([int(piece[a])], np.uint64)))
-                        same = mix(_hash(total, np.array([s]), np.array([s + n - 1 + length])) ^ mix(np.array([far * 65536 + n], np.uint64)))
-                        out.append((s, n, block["many"], key.view(np.int64)[0], same.view(np.int64)[0], window[a:b]))
-                if out:
-                    s, n, many, key, same, window = zip(*out)
-                    ids = [batch.column(c).take(pa.array(np.full(len(out), i))) for c in ("doc_id", "mark")]
-                    yield pa.record_batch([*ids, pa.array(s, pa.int64()), pa.array(n, pa.int16()), pa.array(many, pa.int64()), pa.array(np.array(key)),
-                                           pa.array(np.array(same)), pa.array(window, pa.list_(pa.int64()))], names)
-
-    return source.mapInArrow(run, f"doc_id {kind}, mark int, first long, count smallint, many long, anchor long, bytes long, windows array<long>")
+                data = np.frombuffer(batch.column("text")[i].as_buffer(), dtype=np.uint8)
+                total = _sums(data)
+                first, count, far, many = (np.array([b[c] for b in wanted], dtype=np.int64) for c in ("first", "count", "far", "many"))
+                block = np.repeat(np.arange(len(wanted)), count)
+                starts = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + first[block]
+                place = (first + far)[block]  # of the anchor word
+                piece = (place - starts) // PIECE
+                cut = np.flatnonzero(np.r_[True, (piece[1:] != piece[:-1]) | (block[1:] != block[:-1])])
+                n = np.diff(np.r_[cut, len(starts)])
+                s, end = starts[cut], place[cut] - piece[cut] * PIECE
+                core = mix(_hash(total, end, end - PIECE + 1 + length) ^ mix(piece[cut].astype(np.uint64)))
+                apart = place[cut] - s
+                same = mix(_hash(total, s, s + n - 1 + length) ^ mix((apart * 65536 + n).astype(np.uint64)))
+                window = mix(_hash(total, starts, starts + length)).view(np.int64)
+                ids = [batch.column(c).take(pa.array(np.full(len(cut), i))) for c in ("doc_id", "mark")]
+                yield pa.record_batch([*ids, pa.array(s), pa.array(n.astype(np.int16)), pa.array(apart.astype(np.int16)), pa.array(many[block[cut]]),
+                                       pa.array(core.view(np.int64)), pa.array(same.view(np.int64)),
+                                       pa.ListArray.from_arrays(pa.array(np.r_[cut, len(starts)].astype(np.int32)), pa.array(window))], names)
+
+    return source.mapInArrow(run, f"doc_id {kind}, mark int, first long, count smallint, far smallint, many long, anchor long, bytes long, windows array<long>")
 
 
 def _settle(rows: DataFrame, keep_first: bool) -> tuple[DataFrame, DataFrame]:
     """Split blocks or pieces into settled spans (doc_id, mark, first, count) and the representatives still open.
 
-    A run of equal bytes is settled but, with keep_first, for its smallest position.  One member of each run stays open if its
-    anchor has other runs, and stands for `many` members.
+    A run of equal bytes is settled but, with keep_first, for its smallest position.  The smallest position of each run stays
+    open if its anchor has other runs, and stands for `many` members.
     """
-    place = F.struct("doc_id", "mark", "first")
-    runs = rows.groupBy("anchor", "bytes").agg(F.sum("many").alias("all"), F.min(place).alias("least"))
-    runs = staged(runs, "runs")
-    others = runs.groupBy("anchor").agg(F.count("*").alias("runs"))
+    place = F.struct("doc_id", "mark", "first", "count", "far")
+    runs = staged(rows.groupBy("anchor", "bytes").agg(F.sum("many").alias("all"), F.min(place).alias("least")), "runs")
     joined = rows.join(runs.where("all > 1"), ["anchor", "bytes"])
-    settled = joined.where(place != F.col("least")) if keep_first else joined
-    open_runs = runs.join(others.where("runs > 1").select("anchor"), "anchor")
-    # the smallest position of a run carries the run's windows on
-    still = rows.join(open_runs, ["anchor", "bytes"]).where(place == F.col("least")).withColumn("many", F.least("all", F.lit(2)))
-    return settled.select("doc_id", "mark", "first", "count"), still.select(*rows.columns)
+    settled = joined.where(~place.eqNullSafe(F.col("least"))) if keep_first else joined
+    mixed = runs.groupBy("anchor").agg(F.count("*").alias("runs")).where("runs > 1").select("anchor")
+    still = runs.join(mixed, "anchor").select("least.*", "anchor", F.least("all", F.lit(2)).alias("many"))
+    return settled.select("doc_id", "mark", "first", "count"), still
 
 
 def repeated_spans(docs: DataFrame, length: int = 200, keep_first: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -160,16 +157,19 @@ def repeated_spans(docs: DataFrame, length: int = 200, keep_first: bool = True,
     rows = staged(every.join(shared, "anchor").withColumn("many", F.lit(1).cast("long")), "shared")
     settled, still = _settle(rows, keep_first)
     wanted = still.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("first", "count", "far", "anchor", "many")).alias("open"))
-    # rows repeated whole need one text
     texts = source.join(wanted.withColumnsRenamed({"doc_id": "_id", "mark": "_mark"}), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark")))
-    pieces = staged(_pieces(texts.select("doc_id", "mark", "text", "open"), length).dropDuplicates(["doc_id", "mark", "first", "anchor"]), "pieces")
-    settled_pieces, left = _settle(pieces, keep_first)
-    single = staged(left.select("doc_id", "mark", "many", "anchor", F.posexplode("windows").alias("i", "window"), "first").withColumn(
-        "first", F.col("first") + F.col("i")), "windows")
+    pieces = staged(_pieces(texts.select("doc_id", "mark", "text", "open"), length), "pieces")
+    once = pieces.drop("windows").dropDuplicates(["doc_id", "mark", "first", "anchor"])  # rows repeated whole
+    common = once.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor")
+    settled_pieces, left = _settle(once.join(common, "anchor"), keep_first)
+    left = left.select(F.struct("doc_id", "mark", "first").alias("k"), "anchor", "many")
+    named = pieces.select(F.struct("doc_id", "mark", "first").alias("p"), F.col("anchor").alias("a"), "windows").dropDuplicates(["p", "a"])
+    single = left.join(named, F.col("k").eqNullSafe(F.col("p")) & (F.col("anchor") == F.col("a"))).select("k.*", "many", "anchor", F.posexplode("windows").alias("i", "window"))
+    single = staged(single.withColumn("first", F.col("first") + F.col("i")).drop("i"), "windows")
     place = F.struct("doc_id", "mark", "first")
     names = single.groupBy("anchor", "window").agg(F.sum("many").alias("all"), F.min(place).alias("least")).where("all > 1")
     named = single.join(names, ["anchor", "window"])
-    named = named.where(place != F.col("least")) if keep_first else named
+    named = named.where(~place.eqNullSafe(F.col("least"))) if keep_first else named
     spans = settled.unionByName(settled_pieces).unionByName(named.select("doc_id", "mark", "first", F.lit(1).cast("smallint").alias("count")))
     return spans.groupBy("doc_id", "mark").agg(F.collect_list(F.array(F.col("first"), F.col("count").cast("long"))).alias("spans"))
 

@@ -152,15 +152,13 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, categories: dict[str, str],
     return fit_chain([set(w) for w in found["words"]], y, list(categories))
 
 
-def category_chances(docs: DataFrame, chain: Chain, text_col: str = "text") -> Column:
+def category_chances(chain: Chain, text_col: str = "text") -> Column:
     """A column with the array of category probabilities of each whole text, in chain order."""
-    shared = docs.sparkSession.sparkContext.broadcast(chain)
     width = len(chain.categories)
 
     def score(texts: list[str | None]) -> np.ndarray:
-        m = shared.value
-        known, get = m.words.keys(), m.words.__getitem__
-        return m.probabilities([[*map(get, known & words_of(t))] if t else [] for t in texts])
+        known, get = chain.words.keys(), chain.words.__getitem__
+        return chain.probabilities([[*map(get, known & words_of(t))] if t else [] for t in texts])
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
@@ -183,7 +181,7 @@ def score_toxicity(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_c
     through.  Empty table: no rows.  Other columns are not read.
     """
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    scored = source.withColumn("p", category_chances(source, chain))
+    scored = source.withColumn("p", category_chances(chain))
     return scored.select("doc_id", *[F.col("p")[k].alias(f"p_{c}") for k, c in enumerate(chain.categories)], is_toxic(F.col("p"), chain).alias("toxic"))
 
 
@@ -192,4 +190,4 @@ def without_toxic(docs: DataFrame, chain: Chain, text_col: str = "text") -> Data
     name = "_chances"
     while name in docs.columns:
         name = "_" + name
-    return docs.withColumn(name, category_chances(docs, chain, text_col)).where(~is_toxic(F.col(name), chain, text_col)).select(*[F.col(c) for c in docs.columns])
+    return docs.withColumn(name, category_chances(chain, text_col)).where(~is_toxic(F.col(name), chain, text_col)).select(*[F.col(c) for c in docs.columns])
