@@ -117,7 +117,8 @@ def edited_fingerprints(docs: DataFrame, samples: int = 64, id_col: str = "doc_i
         marks.withColumnRenamed("signature", "after_signature"), "from", "left").drop("from")
 
     inside = Window.partitionBy("bucket").orderBy(*order)
-    rows = source.withColumns({"place": F.row_number().over(inside), "next": F.lead("text").over(inside)})
+    # as many partitions as ranges: the terms of one range fit a task's memory
+    rows = source.repartition(n, "bucket").withColumns({"place": F.row_number().over(inside), "next": F.lead("text").over(inside)})
     rows = rows.join(after.select("bucket", "after"), "bucket")
     tail = F.floor(F.length("text") / 3).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), F.length("text") - tail), F.substring(F.coalesce("next", "after"), F.lit(1), tail))
