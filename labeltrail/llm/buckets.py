@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -18,14 +18,20 @@ def shared_buckets(keys: DataFrame) -> DataFrame:
     return staged(keys.join(full, "key"), "buckets")
 
 
-def bucket_links(buckets: DataFrame, plausible: Callable[[DataFrame], DataFrame], verified: Callable[[DataFrame], DataFrame]) -> list[DataFrame]:
+def bucket_links(buckets: DataFrame, plausible: Callable[[DataFrame], DataFrame], verified: Callable[[DataFrame], DataFrame],
+                 fits: Callable[[Callable[[str], Column], Callable[[str], Column]], Column] | None = None) -> list[DataFrame]:
     """Tables of verified links (a, b) that connect whatever the buckets' pairs can connect.
 
-    Works in rounds.  The smallest components of a bucket give pivots (1, then 16, 64, ...); each is compared with the members
-    outside its component and leaves.  A bucket ends when one component is left: a group of copies costs one comparison a
-    member, and any pair that could still join two components is compared in the end.  Pairs are not compared twice.
+    buckets: key, node and facts about the node, by which `fits` rules pairs out before they are made.  Works in rounds:
+    1. the first node of each bucket is compared with the others and leaves.
+    2. members of the 16 smallest components of a bucket meet four members of each other component, which mostly joins what
+       belongs together.
+    3. and on: members of the 16, 64, ... smallest components meet all members of other components, and leave.
+    A bucket ends when one component is left: a group of copies costs a few comparisons a member, and any pair that could
+    still join two components is compared in the end.  Pairs are not verified twice.
     """
-    links, component, tested, pivots = [], None, None, 1
+    facts = [c for c in buckets.columns if c not in ("key", "node")]
+    links, component, tested, turn = [], None, None, 0
     while True:
         if component is None:
             rows = buckets.withColumns({"component": F.col("node"), "c": F.lit(1).cast("long")})
@@ -34,28 +40,36 @@ def bucket_links(buckets: DataFrame, plausible: Callable[[DataFrame], DataFrame]
             sizes = rows.groupBy("key", "component").agg(F.count("*").alias("c"))
             mixed = sizes.groupBy("key").agg(F.count("*").alias("parts")).where("parts > 1").select("key")
             rows = rows.join(sizes.join(mixed, "key"), ["key", "component"])
-        rows = rows.select("key", "node", "component", "c")
-        if component is not None:
+        rows = rows.select("key", "node", "component", "c", *facts)
+        if turn:
             rows = staged(rows, "open")
-        if pivots == 1:
-            first = rows.groupBy("key").agg(F.min("node").alias("pivot")).withColumn("own", F.col("pivot"))
-        else:
+            if rows.isEmpty():
+                return links
             place = F.row_number().over(Window.partitionBy("key").orderBy("c", "component", "node"))
-            first = rows.withColumn("place", place).where(F.col("place") <= pivots).select("key", F.col("node").alias("pivot"), F.col("component").alias("own"))
-        first = staged(first, "pivots")
-        pairs = rows.join(first, "key").where(F.col("component") != F.col("own")).select(
-            F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
+            first = rows.withColumn("place", place).where(F.col("place") <= 16 * 4 ** max(turn - 2, 0)).drop("place")
+        else:
+            first = rows.join(rows.groupBy("key").agg(F.min("node").alias("node")), ["key", "node"])
+        first = staged(first.select("key", F.col("node").alias("pivot"), F.col("component").alias("own"), *[F.col(c).alias(f"pivot_{c}") for c in facts]), "pivots")
+        others = rows
+        if turn == 1:
+            among = F.row_number().over(Window.partitionBy("key", "component").orderBy(F.xxhash64("node"), "node"))
+            others = rows.withColumn("place", among).where(F.col("place") <= 4).drop("place")
+        met = F.col("component") != F.col("own")
+        if fits is not None:
+            met = met & fits(F.col, lambda c: F.col(f"pivot_{c}"))
+        pairs = others.join(first, "key").where(met).select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = staged(plausible(pairs), "pairs")
         links.append(staged(verified(pairs).distinct(), "links"))
         tested = pairs if tested is None else tested.unionByName(pairs)
-        buckets = rows.join(first.select("key", F.col("pivot").alias("node")), ["key", "node"], "left_anti").select("key", "node")
-        again = buckets.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
-        buckets = staged(buckets.join(again.select("key"), "key"), "buckets")
-        if buckets.isEmpty():
-            return links
-        pivots = max(16, 4 * pivots)
+        if turn != 1:  # pivots have met everybody
+            buckets = rows.join(first.select("key", F.col("pivot").alias("node")), ["key", "node"], "left_anti")
+            again = buckets.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
+            buckets = staged(buckets.join(again.select("key"), "key").select("key", "node", *facts), "buckets")
+            if buckets.isEmpty():
+                return links
+        turn += 1
         found = links[0]
         for more in links[1:]:
             found = found.unionByName(more)

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labeltrail.llm.buckets import bucket_links, shared_buckets
@@ -78,7 +79,8 @@ def estimate(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.n
 
 
 def sketches(docs: DataFrame, words_per_shingle: int, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, n, s1, s2, registers, bands): size and two hashes of each whole text's shingle set, and its sketch."""
+    """(doc_id, n, s1, s2, registers, bands, low1, low2): size and two hashes of each whole text's shingle set, its sketch, and
+    the lowest bits of the registers as two integers."""
     source = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
     kind = source.schema["doc_id"].dataType.simpleString()
 
@@ -95,13 +97,15 @@ def sketches(docs: DataFrame, words_per_shingle: int, id_col: str, text_col: str
                     sums[1][rows[starts]] = np.add.reduceat(mix(hashes ^ np.uint64(0x5851F42D4C957F2D)), starts)
                 registers = registers_of(rows, hashes, n_rows)
                 bands = bands_of(registers)
+                low = np.ascontiguousarray(np.packbits((registers & 1).astype(np.uint8), axis=1)).view(np.int64)
                 yield pa.record_batch([
                     batch.column("doc_id").slice(first, n_rows), pa.array(n.astype(np.int64)), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)),
                     pa.array([r.tobytes() for r in registers], pa.binary()),
-                    pa.FixedSizeListArray.from_arrays(pa.array(bands.ravel()), bands.shape[1]).cast(pa.list_(pa.int64()))],
-                    ["doc_id", "n", "s1", "s2", "registers", "bands"])
+                    pa.FixedSizeListArray.from_arrays(pa.array(bands.ravel()), bands.shape[1]).cast(pa.list_(pa.int64())),
+                    pa.array(np.ascontiguousarray(low[:, 0])), pa.array(np.ascontiguousarray(low[:, 1]))],
+                    ["doc_id", "n", "s1", "s2", "registers", "bands", "low1", "low2"])
 
-    return source.mapInArrow(run, f"doc_id {kind}, n long, s1 long, s2 long, registers binary, bands array<long>")
+    return source.mapInArrow(run, f"doc_id {kind}, n long, s1 long, s2 long, registers binary, bands array<long>, low1 long, low2 long")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, words_per_shingle: int, percent: int) -> DataFrame:
@@ -130,6 +134,14 @@ def _verified(pairs: DataFrame, texts: DataFrame, words_per_shingle: int, percen
     return both.mapInArrow(run, f"a {kind}, b {kind}")
 
 
+def _near(a: Callable[[str], Column], b: Callable[[str], Column], percent: int) -> Column:
+    """Sizes allow the similarity, and the lowest register bits differ by at most SLACK standard deviations more than at it."""
+    share = (1 - percent / 100) / 2  # of differing bits at the threshold
+    apart = F.bit_count(a("low1").bitwiseXOR(b("low1"))) + F.bit_count(a("low2").bitwiseXOR(b("low2")))
+    spread = math.sqrt(REGISTERS * share * (1 - share)) * F.sqrt(REGISTERS / F.least(a("n"), b("n"), F.lit(REGISTERS)))
+    return (100 * F.least(a("n"), b("n")) >= percent * F.greatest(a("n"), b("n"))) & (apart <= REGISTERS * share + SLACK * spread)
+
+
 def _plausible(pairs: DataFrame, sketch: DataFrame, percent: int) -> DataFrame:
     """Pairs that sizes and corrected estimates leave possible."""
     side = lambda c: sketch.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("registers").alias(f"r_{c}"))
@@ -156,11 +168,10 @@ def near_duplicates(docs: DataFrame, words_per_shingle: int = 5, percent: int =
     Two documents are linked if their sets of word shingles have 100 * intersection >= percent * union; component_id is
     the smallest id reachable over links, kept says that it is the document's own.
 
-    Equal sets are one class from the start.  Classes share a bucket if a band of registers agrees.  Buckets work in
-    rounds: the smallest components of a bucket give pivots (1, then 16, 64, ...), which are compared with the members outside
-    their component and then leave.  A bucket ends when one component is left, so a bucket of thousands of copies costs one
-    comparison each, and every pair of one bucket that could join two components is compared in the end; nothing is capped.
-    Corrected estimates rule pairs out 6 standard deviations below the threshold, full sets confirm the rest.
+    Equal sets are one class from the start.  Classes share a bucket if a band of registers agrees; buckets are worked off in
+    rounds (bucket_links), where every pair that could join two components is compared in the end and nothing is capped.
+    Sizes, register bits and corrected estimates rule pairs out 6 standard deviations below the threshold, full sets confirm
+    the rest.
 
     Null or empty texts and texts without words: 0 shingles, linked with nothing.  Rows with one id are one vertex.
     Null ids are linked with nothing and have a null component and kept true.  Empty table: no rows.  Other columns of `docs`
@@ -179,11 +190,12 @@ def near_duplicates(docs: DataFrame, words_per_shingle: int = 5, percent: int =
         nodes = members.where(F.col("n") >= least).join(
             classes.select("n", "s1", "s2", "node"), ["n", "s1", "s2"]).where(F.col("doc_id") == F.col("node"))
         sketch_of = nodes.select("node", "n", "registers").dropDuplicates(["node", "n"])
-        keys = nodes.select("node", F.explode("bands").alias("key")).distinct()
-        buckets = shared_buckets(keys)
+        once = nodes.dropDuplicates(["node", "n"])
+        buckets = shared_buckets(once.select("node", "n", "low1", "low2", F.explode("bands").alias("key")))
         wanted = buckets.select(F.col("node").alias("doc_id")).distinct()
         texts = staged(docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text")).join(wanted, "doc_id", "left_semi"), "texts")
-        links = bucket_links(buckets, lambda pairs: _plausible(pairs, sketch_of, percent), lambda pairs: _verified(pairs, texts, words_per_shingle, percent))
+        links = bucket_links(buckets, lambda pairs: _plausible(pairs, sketch_of, percent),
+                             lambda pairs: _verified(pairs, texts, words_per_shingle, percent), lambda a, b: _near(a, b, percent))
     for more in links:
         edges = edges.unionByName(more)
     final = connected_minimum(edges).select(F.col("node").alias("doc_id"), "canonical")
