@@ -99,32 +99,41 @@ def group_representative(groups: DataFrame, members: DataFrame, key: str, order:
         "status", F.when(F.col(order[0][0]).isNull(), "UNAVAILABLE").otherwise("SELECTED"))
 
 
+#: The relations users compare between releases.
+STABLE, REVISED, TURNED = "stable_id_stable_chemistry", "stable_id_chemistry_revision", "direction_change"
+SPLIT, MERGED, RENAMED = "split", "merge", "chemistry_equivalent_id_change"
+OBSOLETE, NOVEL = "obsolete_without_exact_replacement", "genuinely_novel_chemistry"
+
+
 def release_map(source: DataFrame, target: DataFrame) -> DataFrame:
-    """Relation of each source entity to the next release.
+    """Relation of each source entity to the next release, and of each target entity without a source.
 
     Tables: (entity_id, hash_any, hash_directed); hash_any ignores direction.  Ids present
     in both releases are compared; the others are looked up by hash, where several targets
-    mean a split and several sources of one hash a merge.
+    mean a split and several sources of one hash a merge.  A target that no source led to is told by the sources of its
+    hash: none makes it novel, one a change of id, more a merge; a null hash has none.
     """
     s = source.select(F.col("entity_id").alias("source_id"), F.col("hash_any").alias("s_any"), F.col("hash_directed").alias("s_dir"))
     t = target.select(F.col("entity_id").alias("target_id"), F.col("hash_any").alias("t_any"), F.col("hash_directed").alias("t_dir"))
     same = s.join(t, s.source_id == t.target_id, "left")
     by_id = same.where(F.col("target_id").isNotNull()).select(
-        "source_id", "target_id", F.when(~F.col("s_any").eqNullSafe(F.col("t_any")), "stable_id_revised")
-        .when(~F.col("s_dir").eqNullSafe(F.col("t_dir")), "direction_change").otherwise("stable_id_stable").alias("relation"))
+        "source_id", "target_id", F.when(~F.col("s_any").eqNullSafe(F.col("t_any")), REVISED)
+        .when(~F.col("s_dir").eqNullSafe(F.col("t_dir")), TURNED).otherwise(STABLE).alias("relation"))
     rest = same.where(F.col("target_id").isNull()).select("source_id", "s_any")
     n_src = s.where(F.col("s_any").isNotNull()).groupBy("s_any").agg(F.count("*").alias("n_sources"))
     n_tgt = t.where(F.col("t_any").isNotNull()).groupBy(F.col("t_any").alias("s_any")).agg(F.count("*").alias("n_targets"))
     found = rest.join(n_src, "s_any", "left").join(n_tgt, "s_any", "left")
-    relation = (F.when(F.col("n_targets").isNull(), "obsolete").when(F.col("n_targets") > 1, "split")
-                .when(F.col("n_sources") > 1, "merge").otherwise("equivalent_id_change"))
+    relation = (F.when(F.col("n_targets").isNull(), OBSOLETE).when(F.col("n_targets") > 1, SPLIT)
+                .when(F.col("n_sources") > 1, MERGED).otherwise(RENAMED))
     found = found.withColumn("relation", relation)
-    pairs = found.where(F.col("relation") != "obsolete").join(
+    pairs = found.where(F.col("relation") != OBSOLETE).join(
         t.select(F.col("t_any").alias("s_any"), "target_id"), "s_any").select("source_id", "target_id", "relation")
-    gone = found.where(F.col("relation") == "obsolete").select("source_id", F.lit(None).cast("bigint").alias("target_id"), "relation")
+    gone = found.where(F.col("relation") == OBSOLETE).select("source_id", F.lit(None).cast("bigint").alias("target_id"), "relation")
     old = by_id.unionByName(pairs).unionByName(gone)
-    new = t.select("target_id").join(old.select("target_id"), "target_id", "left_anti").select(
-        F.lit(None).cast("bigint").alias("source_id"), "target_id", F.lit("new").alias("relation"))
+    left = t.select("target_id", "t_any").join(old.select("target_id").where("target_id is not null").distinct(), "target_id", "left_anti")
+    left = left.join(n_src.withColumnRenamed("s_any", "t_any"), "t_any", "left")
+    new = left.select(F.lit(None).cast("bigint").alias("source_id"), "target_id",
+                      F.when(F.col("n_sources").isNull(), NOVEL).when(F.col("n_sources") > 1, MERGED).otherwise(RENAMED).alias("relation"))
     return old.unionByName(new)
 
 

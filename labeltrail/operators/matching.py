@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labeltrail.functions.hashing import key_text, u60
-from labeltrail.operators.ranking import ranked
+from labeltrail.operators.ranking import null_safe_join, ranked
 from labeltrail.session import cut_lineage
 
 
@@ -44,13 +44,13 @@ def rank_caliper_match(rows: DataFrame, strata: list[str], side: str, order: str
                        calipers: dict[str, float], carry: list[str]) -> DataFrame:
     """Pair the i-th high row with the i-th low row of a stratum (by `order`), keep close pairs.
 
-    A caliper only applies when both values are present.
+    A caliper only applies when both values are present.  Null strata are strata.
     """
     r = ranked(rows, [*strata, side], [(order, "asc"), *[(k, "asc") for k in key]], "position")
     cols = [*key, *calipers, *carry]
     pick = lambda v, p: r.where(F.col(side) == v).select(
         *strata, "position", *[F.col(c).alias(f"{p}_{c}") for c in dict.fromkeys(cols)])
-    j = pick(1, "high").join(pick(0, "low"), [*strata, "position"])
+    j = null_safe_join(pick(1, "high"), pick(0, "low"), [*strata, "position"])
     for c, limit in calipers.items():
         gap = F.abs(F.col("high_" + c) - F.col("low_" + c))
         j = j.where(gap.isNull() | (gap <= limit))

@@ -110,12 +110,12 @@ def ranked(
     offsets = work.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).withColumn(
         "_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
     inside = Window.partitionBy(*keys).orderBy(*_sort_cols(order))
-    out = _null_safe_join(work, offsets.drop("_n"), keys)
+    out = null_safe_join(work, offsets.drop("_n"), keys)
     out = out.withColumn(name, (F.row_number().over(inside) + F.col("_before")).cast("bigint"))
     return out.drop("_p1", "_s1", "_s2", "_before")
 
 
-def _null_safe_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     renamed = right
     for k in keys:
         renamed = renamed.withColumnRenamed(k, "_r_" + k)
@@ -156,7 +156,7 @@ def running_totals(
     offsets = offsets.drop(*[f"_t_{k}" for k in sums])
     inside = Window.partitionBy(*keys).orderBy(*_sort_cols(order)).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
-    out = _null_safe_join(work, offsets, keys)
+    out = null_safe_join(work, offsets, keys)
     out = out.withColumns({f"cum_{k}": F.sum(k).over(inside) + F.col(f"_b_{k}") for k in sums})
     return out.drop("_p1", "_s1", *[f"_b_{k}" for k in sums])
 
@@ -205,7 +205,7 @@ def exact_quantiles(
         totals = running_totals(clean, by, value, {"n": F.count(F.lit(1))}, "asc", plain_rows)
     steps_df = totals
     total = steps_df.groupBy(*by).agg(F.max("cum_n").alias("_total"))
-    rows = _null_safe_join(steps_df, total, by) if by else attach_one_row(steps_df, total)
+    rows = null_safe_join(steps_df, total, by) if by else attach_one_row(steps_df, total)
     m = F.lit(steps)
     span = F.greatest(F.col("_total") - 1, F.lit(1))
     first, last = F.col("cum_n") - F.col("n"), F.col("cum_n") - 1
@@ -228,7 +228,7 @@ def exact_quantiles(
 
     low = side(low_from, low_to, "_low")
     high = side(high_from, high_to, "_high").drop("_total")
-    both = _null_safe_join(low, high, [*by, "step"])
+    both = null_safe_join(low, high, [*by, "step"])
     h = F.col("step") * (F.col("_total") - 1) / m
     frac = h - F.floor(h)
     return both.select(

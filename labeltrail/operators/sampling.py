@@ -19,8 +19,8 @@ def with_frequencies(rows: DataFrame, names: dict[str, str]) -> DataFrame:
     """
     out = rows
     for name, column in names.items():
-        n = rows.groupBy(column).agg(F.count("*").alias(name))
-        out = out.join(n, column)
+        n = rows.groupBy(F.col(column).alias("_value")).agg(F.count("*").alias(name))
+        out = out.join(n, out[column].eqNullSafe(n["_value"])).drop("_value")  # a null is a value of its own
     return out
 
 

@@ -151,21 +151,21 @@ def _j16(t):
     return joins.group_representative(t.refs, m, "cluster_id", [("ref_price", "desc"), ("reference_id", "asc")]).select("cluster_id", "reference_id", "status")
 
 
-REL_SQL = {"v_src": "select p_partkey entity_id, p_name||'|'||(p_partkey // 3) ha, p_name||'|'||(p_partkey // 3)||'|'||(p_size % 2) hd from part where p_partkey % 5 <> 0",
-    "v_tgt": "select case when p_partkey % 7 = 0 then p_partkey + 1000000 else p_partkey end entity_id, case when p_partkey % 11 = 0 then 'revised' else p_name end||'|'||(p_partkey // 3) ha, p_name||'|'||(p_partkey // 3)||'|'||(case when p_partkey % 13 = 0 then 1 - p_size % 2 else p_size % 2 end) hd from part where p_partkey % 4 <> 0",
-    "v_rel": """select s.entity_id source_id, t.entity_id target_id, case when s.ha <> t.ha then 'stable_id_revised' when s.hd <> t.hd then 'direction_change' else 'stable_id_stable' end relation from v_src s join v_tgt t using (entity_id)
-      union all select s.entity_id, t.entity_id, case when nt > 1 then 'split' when ns > 1 then 'merge' else 'equivalent_id_change' end from v_src s join (select ha, count(*) ns from v_src group by 1) a using (ha) join (select ha, count(*) nt from v_tgt group by 1) b using (ha) join v_tgt t on t.ha = s.ha where s.entity_id not in (select entity_id from v_tgt)
-      union all select entity_id, null, 'obsolete' from v_src where entity_id not in (select entity_id from v_tgt) and ha not in (select ha from v_tgt)""",
-    "v_rel2": "select * from v_rel union all select null, entity_id, 'new' from v_tgt where entity_id not in (select target_id from v_rel where target_id is not null)"}
+REL_SQL = {"v_src": "select p_partkey entity_id, p_brand||'|'||(p_partkey // 3) ha, p_brand||'|'||(p_partkey // 3)||'|'||(p_size % 2) hd from part where p_partkey % 5 <> 0",
+    "v_tgt": "select case when p_partkey % 7 = 0 then p_partkey + 1000000 else p_partkey end entity_id, case when p_partkey % 11 = 0 then 'revised' else p_brand end||'|'||(p_partkey // 3) ha, p_brand||'|'||(p_partkey // 3)||'|'||(case when p_partkey % 13 = 0 then 1 - p_size % 2 else p_size % 2 end) hd from part where p_partkey % 4 <> 0",
+    "v_rel": """select s.entity_id source_id, t.entity_id target_id, case when s.ha <> t.ha then 'stable_id_chemistry_revision' when s.hd <> t.hd then 'direction_change' else 'stable_id_stable_chemistry' end relation from v_src s join v_tgt t using (entity_id)
+      union all select s.entity_id, t.entity_id, case when nt > 1 then 'split' when ns > 1 then 'merge' else 'chemistry_equivalent_id_change' end from v_src s join (select ha, count(*) ns from v_src group by 1) a using (ha) join (select ha, count(*) nt from v_tgt group by 1) b using (ha) join v_tgt t on t.ha = s.ha where s.entity_id not in (select entity_id from v_tgt)
+      union all select entity_id, null, 'obsolete_without_exact_replacement' from v_src where entity_id not in (select entity_id from v_tgt) and ha not in (select ha from v_tgt)""",
+    "v_rel2": "select * from v_rel union all select null, t.entity_id, case when coalesce(ns, 0) = 0 then 'genuinely_novel_chemistry' when ns > 1 then 'merge' else 'chemistry_equivalent_id_change' end from v_tgt t left join (select ha, count(*) ns from v_src group by 1) a using (ha) where t.entity_id not in (select target_id from v_rel where target_id is not null)"}
 
 
 def releases(t):
     p, k = t.raw("part"), F.col("p_partkey")
     third = F.floor(k / 3)
-    src = p.where(k % 5 != 0).select(k.alias("entity_id"), F.concat_ws("|", "p_name", third).alias("hash_any"), F.concat_ws("|", "p_name", third, F.col("p_size") % 2).alias("hash_directed"))
-    name = F.when(k % 11 == 0, "revised").otherwise(F.col("p_name"))
+    src = p.where(k % 5 != 0).select(k.alias("entity_id"), F.concat_ws("|", "p_brand", third).alias("hash_any"), F.concat_ws("|", "p_brand", third, F.col("p_size") % 2).alias("hash_directed"))
+    name = F.when(k % 11 == 0, "revised").otherwise(F.col("p_brand"))
     side = F.when(k % 13 == 0, 1 - F.col("p_size") % 2).otherwise(F.col("p_size") % 2)
-    tgt = p.where(k % 4 != 0).select(F.when(k % 7 == 0, k + 1000000).otherwise(k).alias("entity_id"), F.concat_ws("|", name, third).alias("hash_any"), F.concat_ws("|", "p_name", third, side).alias("hash_directed"))
+    tgt = p.where(k % 4 != 0).select(F.when(k % 7 == 0, k + 1000000).otherwise(k).alias("entity_id"), F.concat_ws("|", name, third).alias("hash_any"), F.concat_ws("|", "p_brand", third, side).alias("hash_directed"))
     return src, tgt
 
 
@@ -174,10 +174,10 @@ def _j17(t):
     return joins.release_map(*releases(t))
 
 
-@query("j31_release_id_resolution", """select source_id, case when n = 1 and not bad then lo end target_id, case when n = 1 and not bad then rel else 'UNRESOLVED:'||rel end status from (select source_id, count(distinct target_id) n, min(target_id) lo, bool_or(relation not in ('stable_id_stable','direction_change','merge','equivalent_id_change')) bad, array_to_string(list_sort(list(distinct relation)), '+') rel from v_rel2 where source_id is not null group by 1)""", REL_SQL)
+@query("j31_release_id_resolution", """select source_id, case when n = 1 and not bad then lo end target_id, case when n = 1 and not bad then rel else 'UNRESOLVED:'||rel end status from (select source_id, count(distinct target_id) n, min(target_id) lo, bool_or(relation not in ('stable_id_stable_chemistry','direction_change','merge','chemistry_equivalent_id_change')) bad, array_to_string(list_sort(list(distinct relation)), '+') rel from v_rel2 where source_id is not null group by 1)""", REL_SQL)
 def _j31(t):
     cross = joins.release_map(*releases(t)).where(F.col("source_id").isNotNull())
-    return joins.release_lookup(cross, ["stable_id_stable", "direction_change", "merge", "equivalent_id_change"])
+    return joins.release_lookup(cross, [joins.STABLE, joins.TURNED, joins.MERGED, joins.RENAMED])
 
 
 @query("j18_release_membership", """with c as (select distinct o_custkey k from orders), h as (select o_custkey k, max(case when o_orderdate < timestamp '1996-01-01' then o_orderpriority end) a, max(case when o_orderdate >= timestamp '1996-01-01' and o_orderdate < timestamp '2000-01-01' then o_orderpriority end) b from orders group by 1)
