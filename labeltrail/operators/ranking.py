@@ -2,42 +2,25 @@
 
 `top_k` filters a `row_number`, which Spark turns into a WindowGroupLimit: every
 map task sends at most k rows of a group.  `ranked` and `running_totals` need all
-rows, so when a group is large they cut its order range into slices (boundaries
-from `approxQuantile`, used as literals), number the rows inside each slice in
-parallel and add the row count of the earlier slices.
+rows, so they range-partition by group and full sort key, with Spark's own order of
+nulls and NaN, number or add up the rows inside each part in parallel, and add what
+the earlier parts of the group hold.  There is one path for every size.
 """
 
 from __future__ import annotations
 
-import math
-
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from labeltrail.session import cut_lineage
 
 Order = list[tuple[str, str]]
-PLAIN_WINDOW_ROWS = 1_000_000
 
 
 def _sort_cols(order: Order) -> list[Column]:
     return [F.col(c).desc_nulls_last() if d == "desc" else F.col(c).asc_nulls_last() for c, d in order]
 
 
-def slices_for(df: DataFrame) -> int:
-    """Number of slices: one per shuffle partition, bounded."""
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(2, min(n, 1000))
-
-
-def largest_group(df: DataFrame, by: list[str]) -> int:
-    """Row count of the biggest group: one number, from a map-side combined count."""
-    counts = df.groupBy(*by).count() if by else df.agg(F.count(F.lit(1)).alias("count"))
-    return counts.agg(F.max("count")).first()[0] or 0
-
-
 def top_k(df: DataFrame, by: list[str], order: Order, k: int, name: str = "rank") -> DataFrame:
     """First k rows per group in a total order, with their rank."""
     w = Window.partitionBy(*by).orderBy(*_sort_cols(order))
@@ -49,73 +32,40 @@ def top_one(df: DataFrame, by: list[str], order: Order) -> DataFrame:
     return top_k(df, by, order, 1, "_top").drop("_top")
 
 
-def order_position(df: DataFrame, column: str, direction: str = "asc") -> Column:
-    """A double that never contradicts the sort order of the column."""
-    kind = df.schema[column].dataType
-    if isinstance(kind, T.StringType):
-        head = F.rpad(F.substring(F.hex(F.encode(F.col(column), "UTF-8")), 1, 12), 12, "0")
-        pos = F.conv(head, 16, 10).cast("double")
-    elif isinstance(kind, (T.DateType, T.TimestampType)):
-        pos = F.col(column).cast("timestamp").cast("double")
-    else:
-        pos = F.col(column).cast("double")
-    pos = -pos if direction == "desc" else pos
-    return F.coalesce(pos, F.lit(float("inf")))
-
+def _parts(df: DataFrame, by: list[str], order: Order) -> DataFrame:
+    """Rows range-partitioned by group and order, with the number of their part in `_part`.
 
-def cut_points(df: DataFrame, column: str, n: int) -> tuple[list[float], list[float]]:
-    """(slice boundaries, values too frequent for one slice) of a numeric column."""
-    probs = [i / n for i in range(1, n)]
-    found = df.where(F.col(column) < float("inf")).approxQuantile(column, probs, 0.5 / n)
-    heavy = sorted({v for v in found if found.count(v) > 1})
-    points = set(found) | {math.nextafter(v, math.inf) for v in heavy}
-    return sorted(points), heavy
+    Materialised, so that the numbers stay the same for every later step.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(n, *[F.col(b).asc() for b in by], *_sort_cols(order))
+    return cut_lineage(ranged.withColumn("_part", F.spark_partition_id()))
 
 
-def with_slice(df: DataFrame, column: str, points: list[float], name: str) -> DataFrame:
-    if not points:
-        return df.withColumn(name, F.lit(0))
-    splits = [-math.inf, *points, math.inf]
-    sliced = Bucketizer(splits=splits, inputCol=column, outputCol=name, handleInvalid="keep").transform(df)
-    return sliced.withColumn(name, F.col(name).cast("int"))
+def _earlier(by: list[str]) -> Window:
+    """The earlier parts of a group; a group has at most a row per part here."""
+    return Window.partitionBy(*(by or [F.lit(0)])).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
 
 
-def ranked(
-    df: DataFrame,
-    by: list[str],
-    order: Order,
-    name: str = "rank",
-    plain_rows: int = PLAIN_WINDOW_ROWS,
-    bounded: bool = False,
-) -> DataFrame:
+def ranked(df: DataFrame, by: list[str], order: Order, name: str = "rank", bounded: bool = False) -> DataFrame:
     """Row number of every row in its group, over a total order (list the tie keys).
 
-    `bounded` says the caller already cut every group to a fixed size, so the size check
-    (one count over the input) is not needed.
+    `bounded` says the caller already cut every group to a fixed size, so a plain window will do.
     """
-    if bounded or largest_group(df, by) <= plain_rows:
+    if bounded:
         w = Window.partitionBy(*(by or [F.lit(0)])).orderBy(*_sort_cols(order))
         return df.withColumn(name, F.row_number().over(w).cast("bigint"))
-    n = slices_for(df)
-    work = df.withColumn("_p1", order_position(df, *order[0]))
-    points, heavy = cut_points(work, "_p1", n)
-    work = with_slice(work, "_p1", points, "_s1").withColumn("_s2", F.lit(0))
-    if heavy and len(order) > 1:
-        work = work.withColumn("_p2", order_position(df, *order[1]))
-        inner, _ = cut_points(work.where(F.col("_p1").isin(heavy)), "_p2", n)
-        work = with_slice(work, "_p2", inner, "_s3")
-        work = work.withColumn("_s2", F.when(F.col("_p1").isin(heavy), F.col("_s3")).otherwise(0)).drop("_p2", "_s3")
-    keys = [*by, "_s1", "_s2"]
-    before = Window.partitionBy(*(by or [F.lit(0)])).orderBy("_s1", "_s2").rowsBetween(Window.unboundedPreceding, -1)
+    work, keys = _parts(df, by, order), [*by, "_part"]
     offsets = work.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).withColumn(
-        "_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+        "_before", F.coalesce(F.sum("_n").over(_earlier(by)), F.lit(0)))
     inside = Window.partitionBy(*keys).orderBy(*_sort_cols(order))
     out = null_safe_join(work, offsets.drop("_n"), keys)
     out = out.withColumn(name, (F.row_number().over(inside) + F.col("_before")).cast("bigint"))
-    return out.drop("_p1", "_s1", "_s2", "_before")
+    return out.drop("_part", "_before")
 
 
-def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on equal keys, where a null equals a null; the keys come from the left."""
     renamed = right
     for k in keys:
         renamed = renamed.withColumnRenamed(k, "_r_" + k)
@@ -123,42 +73,23 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFr
     for k in keys:
         c = left[k].eqNullSafe(renamed["_r_" + k])
         cond = c if cond is None else cond & c
-    return left.join(renamed, cond, "inner").drop(*["_r_" + k for k in keys])
+    return left.join(renamed, cond, how).drop(*["_r_" + k for k in keys])
 
 
-def running_totals(
-    df: DataFrame,
-    by: list[str],
-    value: str,
-    sums: dict[str, Column],
-    direction: str = "desc",
-    plain_rows: int = PLAIN_WINDOW_ROWS,
-) -> DataFrame:
+def running_totals(df: DataFrame, by: list[str], value: str, sums: dict[str, Column], direction: str = "desc") -> DataFrame:
     """Totals per distinct value and running totals `cum_*` up to and including it.
 
     Equal values are one step, so curves built on the result are tie-safe.
     """
-    # Materialised once: size check, boundaries and every consumer of a curve read this
-    # reduced table instead of running the pipeline above it again.
-    grouped = cut_lineage(df.groupBy(*by, value).agg(*[c.alias(k) for k, c in sums.items()]))
     order = [(value, direction)]
-    if largest_group(grouped, by) <= plain_rows:
-        w = Window.partitionBy(*(by or [F.lit(0)])).orderBy(*_sort_cols(order)).rowsBetween(
-            Window.unboundedPreceding, Window.currentRow)
-        return grouped.withColumns({f"cum_{k}": F.sum(k).over(w) for k in sums})
-    work = grouped.withColumn("_p1", order_position(grouped, value, direction))
-    points, _ = cut_points(work, "_p1", slices_for(df))
-    work = with_slice(work, "_p1", points, "_s1")
-    keys = [*by, "_s1"]
-    before = Window.partitionBy(*(by or [F.lit(0)])).orderBy("_s1").rowsBetween(Window.unboundedPreceding, -1)
+    work, keys = _parts(df.groupBy(*by, value).agg(*[c.alias(k) for k, c in sums.items()]), by, order), [*by, "_part"]
     offsets = work.groupBy(*keys).agg(*[F.sum(k).alias(f"_t_{k}") for k in sums])
-    offsets = offsets.withColumns({f"_b_{k}": F.coalesce(F.sum(f"_t_{k}").over(before), F.lit(0)) for k in sums})
+    offsets = offsets.withColumns({f"_b_{k}": F.coalesce(F.sum(f"_t_{k}").over(_earlier(by)), F.lit(0)) for k in sums})
     offsets = offsets.drop(*[f"_t_{k}" for k in sums])
-    inside = Window.partitionBy(*keys).orderBy(*_sort_cols(order)).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)
+    inside = Window.partitionBy(*keys).orderBy(*_sort_cols(order)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     out = null_safe_join(work, offsets, keys)
     out = out.withColumns({f"cum_{k}": F.sum(k).over(inside) + F.col(f"_b_{k}") for k in sums})
-    return out.drop("_p1", "_s1", *[f"_b_{k}" for k in sums])
+    return out.drop("_part", *[f"_b_{k}" for k in sums])
 
 
 def dense_index(df: DataFrame, key: str, within: list[str] | None = None, slices: int = 64) -> DataFrame:
@@ -189,7 +120,6 @@ def exact_quantiles(
     value: str,
     steps: int,
     by: list[str] | None = None,
-    plain_rows: int = PLAIN_WINDOW_ROWS,
     totals: DataFrame | None = None,
 ) -> DataFrame:
     """Linear-interpolation quantiles at j/steps, j = 0..steps, one row per j.
@@ -202,7 +132,7 @@ def exact_quantiles(
     by = by or []
     if totals is None:
         clean = df.where(F.col(value).isNotNull())
-        totals = running_totals(clean, by, value, {"n": F.count(F.lit(1))}, "asc", plain_rows)
+        totals = running_totals(clean, by, value, {"n": F.count(F.lit(1))}, "asc")
     steps_df = totals
     total = steps_df.groupBy(*by).agg(F.max("cum_n").alias("_total"))
     rows = null_safe_join(steps_df, total, by) if by else attach_one_row(steps_df, total)
@@ -250,7 +180,7 @@ def previous_row(df: DataFrame, by: list[str], order: Order, columns: list[str])
     """
     r = ranked(df, by, order, "_i")
     p = r.select(*by, (F.col("_i") + 1).alias("_i"), *[F.col(c).alias("prev_" + c) for c in columns])
-    return r.join(p, [*by, "_i"], "left").drop("_i")
+    return null_safe_join(r, p, [*by, "_i"], "left").drop("_i")
 
 
 def settled(one_row: DataFrame) -> DataFrame:

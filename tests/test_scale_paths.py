@@ -1,7 +1,8 @@
-"""The sliced paths for hot groups must equal the plain windows."""
+"""The range-partitioned paths must equal the plain windows."""
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from labeltrail.operators import components, curves, learning, matching, ranking, resample, sampling
@@ -16,28 +17,39 @@ def skewed(spark):
     return df.cache()
 
 
+@pytest.fixture(scope="module")
+def odd_keys(spark):
+    """One group holds most rows; null groups, shared string prefixes, null, NaN, -0.0, ids above 2**53."""
+    i = F.col("id")
+    return spark.range(600).select(
+        (F.lit(2**60) + i).alias("id"), F.when(i % 5 < 3, 0).when(i % 5 == 4, 1).alias("g"),
+        F.concat(F.lit("a long shared prefix "), F.pmod(i * 37, F.lit(90)).cast("string")).alias("t"),
+        F.when(i % 11 == 0, F.lit(float("nan"))).when(i % 7 == 0, F.lit(-0.0)).when(i % 3 == 0, F.lit(0.0)).when(i % 13 != 0, F.pmod(i * 7919, F.lit(50)) / 50).alias("d")).cache()
+
+
 @pytest.mark.parametrize("by", [[], ["g"]])
-@pytest.mark.parametrize("order", [[("s", "desc"), ("id", "asc")], [("s", "asc"), ("id", "desc")]])
-def test_ranked_sliced_equals_plain(skewed, by, order):
-    a = ranking.ranked(skewed, by, order).select("id", "rank")
-    b = ranking.ranked(skewed, by, order, plain_rows=0).select("id", "rank")
-    assert a.exceptAll(b).count() == 0 and b.count() == 3000
+@pytest.mark.parametrize("order", [[("t", "asc"), ("id", "desc")], [("d", "desc"), ("id", "asc")], [("d", "asc"), ("t", "desc"), ("id", "asc")], [("id", "desc")]])
+def test_ranked_equals_the_plain_window(odd_keys, by, order):
+    a = ranking.ranked(odd_keys, by, order, bounded=True).select("id", "rank")
+    b = ranking.ranked(odd_keys, by, order).select("id", "rank")
+    assert a.exceptAll(b).count() == 0 and b.count() == 600
 
 
 @pytest.mark.parametrize("by", [[], ["g"]])
-def test_running_totals_sliced_equals_plain(skewed, by):
-    sums = {"n": F.count("*"), "y": F.sum("y")}
-    a = ranking.running_totals(skewed, by, "s", sums)
-    b = ranking.running_totals(skewed, by, "s", sums, plain_rows=0)
-    cols = [*by, "s", "cum_n", "cum_y"]
+@pytest.mark.parametrize("direction", ["asc", "desc"])
+def test_running_totals_equal_the_plain_window(odd_keys, by, direction):
+    b = ranking.running_totals(odd_keys, by, "d", {"n": F.count("*"), "s": F.sum(F.lit(1.0))}, direction)
+    col = F.col("d").desc_nulls_last() if direction == "desc" else F.col("d").asc_nulls_last()
+    w = Window.partitionBy(*(by or [F.lit(0)])).orderBy(col).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    a = odd_keys.groupBy(*by, "d").agg(F.count("*").alias("n")).withColumn("cum_n", F.sum("n").over(w))
+    cols = [*by, "d", "n", "cum_n"]
     assert a.select(cols).exceptAll(b.select(cols)).count() == 0 and a.count() == b.count()
 
 
 def test_exact_quantiles_match_numpy(skewed):
     x = np.array([r.s for r in skewed.select("s").collect()])
-    for plain in (10**6, 0):
-        q = ranking.exact_quantiles(skewed, "s", 200, plain_rows=plain).orderBy("step").collect()
-        assert np.allclose([r.quantile for r in q], np.quantile(x, np.linspace(0, 1, 201)), atol=1e-12)
+    q = ranking.exact_quantiles(skewed, "s", 200).orderBy("step").collect()
+    assert np.allclose([r.quantile for r in q], np.quantile(x, np.linspace(0, 1, 201)), atol=1e-12)
 
 
 def test_dense_index_is_a_permutation(skewed):
