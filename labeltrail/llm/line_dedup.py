@@ -35,15 +35,21 @@ def shingle_hashes(line: Column, size: int) -> Column:
 
 
 def _bands(lines: DataFrame, size: int) -> DataFrame:
-    """(key, node) for each band of each distinct line of a row."""
+    """(key, node, n) for each band of each distinct line of a row; n is the number of its shingles.
+
+    A band with one value is keyed together with the next value of the line, so that a single common shingle never makes a key.
+    """
     hashes = F.transform(_runs(F.col("line"), size), lambda s: F.xxhash64(s))
     # class in bits 59 to 62, the rest of the hash below
-    placed = F.sort_array(F.transform(hashes, lambda h: F.shiftleft(F.pmod(h, F.lit(CLASSES)), 59).bitwiseOR(F.shiftrightunsigned(h, 5))))
+    placed = F.sort_array(F.array_distinct(F.transform(hashes, lambda h: F.shiftleft(F.pmod(h, F.lit(CLASSES)), 59).bitwiseOR(F.shiftrightunsigned(h, 5)))))
     rows = lines.select("node", placed.alias("p"))
-    rows = rows.select("node", F.filter("p", lambda x, i: (i == 0) | (F.shiftright(x, 59) != F.shiftright(F.get("p", i - 1), 59))).alias("m"))
-    keys = F.transform("m", lambda x, i: F.when((i > 0) & (F.shiftright(F.get("m", i - 1), 60) == F.shiftright(x, 60)), F.lit(None)).when(
-        F.shiftright(F.get("m", i + 1), 60) == F.shiftright(x, 60), F.xxhash64(x, F.get("m", i + 1))).otherwise(F.xxhash64(x)))
-    return rows.select("node", F.explode(keys).alias("key")).where("key is not null")
+    rows = rows.select("node", F.size("p").alias("n"), F.filter("p", lambda x, i: (i == 0) | (F.shiftright(x, 59) != F.shiftright(F.get("p", i - 1), 59))).alias("m"))
+
+    def key(x: Column, i: Column) -> Column:
+        follows = (i > 0) & (F.shiftright(F.get("m", i - 1), 60) == F.shiftright(x, 60))
+        return F.when(~follows, F.xxhash64(x, F.coalesce(F.get("m", i + 1), F.get("m", F.lit(0)))))
+
+    return rows.select("node", "n", F.explode(F.transform("m", key)).alias("key")).where("key is not null")
 
 
 def duplicate_lines(docs: DataFrame, size: int = 12, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -64,7 +70,7 @@ def duplicate_lines(docs: DataFrame, size: int = 12, similarity: float = 0.8, id
         both = both.withColumn("inside", F.size(F.array_intersect("sa", "sb")))
         return both.where(F.col("inside") >= similarity * (F.size("sa") + F.size("sb") - F.col("inside"))).select("a", "b")
 
-    links = bucket_links(buckets, lambda pairs: pairs, verified)
+    links = bucket_links(buckets, lambda pairs: pairs, verified, lambda a, b: F.least(a("n"), b("n")) >= similarity * F.greatest(a("n"), b("n")))
     found = links[0]
     for more in links[1:]:
         found = found.unionByName(more)
