@@ -7,7 +7,7 @@ needed only against `length`, and the order only up to the names of runs, which
 suffixes about.
 
 Windows (strings of `length` bytes) are named in three steps, each for what the one before left open:
-1. every window picks the smallest hash of its 64-byte words, an anchor inside it.  Consecutive windows with one anchor are a
+1. every window picks the smallest hash of its words of 64 bytes (a third of `length` if that is less), an anchor inside it.  Consecutive windows with one anchor are a
    block.  Equal windows have equal anchors, so blocks with different anchor words never meet.  Blocks alike in all bytes
    are settled whole.
 2. blocks with a shared anchor but other bytes are cut by distance from the anchor into pieces of at most 8 windows.  Pieces meet
@@ -24,11 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labeltrail.llm.common import staged, text_of
+from labeltrail.llm.common import release, staged, text_of
 from labeltrail.llm.tokens import chunks, mix, powers
 
+#: Anchor words have a third of the length, at most this many bytes.
 WORD = 64
 PIECE = 8
+LEAST_LENGTH = 24
 #: Bits of a position inside a segment; longer texts are cut into overlapping segments.
 PLACE = np.uint64(24)
 
@@ -59,10 +61,10 @@ def blocks(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarr
     n = len(data)
     if n < length:
         return tuple(np.zeros(0, np.uint64 if i > 3 else np.int64) for i in range(6))
-    total = _sums(data)
-    at = np.arange(n - WORD + 1)
-    words = _hash(total, at, at + WORD)
-    least = _least((words & ~np.uint64((1 << int(PLACE)) - 1)) | at.astype(np.uint64), length - WORD + 1)
+    total, word = _sums(data), min(WORD, length // 3)
+    at = np.arange(n - word + 1)
+    words = _hash(total, at, at + word)
+    least = _least((words & ~np.uint64((1 << int(PLACE)) - 1)) | at.astype(np.uint64), length - word + 1)
     row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[:len(least)]
     whole = np.arange(len(least)) + length <= offsets[row + 1]
     new = np.r_[True, (least[1:] != least[:-1]) | (row[1:] != row[:-1])]
@@ -134,8 +136,8 @@ def _pieces(source: DataFrame, length: int) -> DataFrame:
     return source.mapInArrow(run, f"doc_id {kind}, mark int, first long, count smallint, far smallint, many long, anchor long, bytes long, windows array<long>")
 
 
-def _settle(rows: DataFrame, keep_first: bool) -> tuple[DataFrame, DataFrame]:
-    """Split blocks or pieces into settled spans (doc_id, mark, first, count) and the representatives still open.
+def _settle(rows: DataFrame, keep_first: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Split blocks or pieces into settled spans (doc_id, mark, first, count) and the representatives still open; last the staged runs.
 
     A run of equal bytes is settled but, with keep_first, for its smallest position.  The smallest position of each run stays
     open if its anchor has other runs, and stands for `many` members.
@@ -146,22 +148,26 @@ def _settle(rows: DataFrame, keep_first: bool) -> tuple[DataFrame, DataFrame]:
     settled = joined.where(~place.eqNullSafe(F.col("least"))) if keep_first else joined
     mixed = runs.groupBy("anchor").agg(F.count("*").alias("runs")).where("runs > 1").select("anchor")
     still = runs.join(mixed, "anchor").select("least.*", "anchor", F.least("all", F.lit(2)).alias("many"))
-    return settled.select("doc_id", "mark", "first", "count"), still
+    return settled.select("doc_id", "mark", "first", "count"), still, runs
 
 
 def repeated_spans(docs: DataFrame, length: int = 200, keep_first: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, mark, spans) of the texts that hold a string of `length` bytes found elsewhere too; spans: [first window, windows]."""
+    if length < LEAST_LENGTH:
+        raise ValueError(f"length must be at least {LEAST_LENGTH}")
     source = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text")).withColumn("mark", _mark())
     every = staged(_all_blocks(source, length), "blocks")
     shared = every.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor")
     rows = staged(every.join(shared, "anchor").withColumn("many", F.lit(1).cast("long")), "shared")
-    settled, still = _settle(rows, keep_first)
+    release(every)
+    del every, shared
+    settled, still, runs = _settle(rows, keep_first)
     wanted = still.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("first", "count", "far", "anchor", "many")).alias("open"))
     texts = source.join(wanted.withColumnsRenamed({"doc_id": "_id", "mark": "_mark"}), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark")))
     pieces = staged(_pieces(texts.select("doc_id", "mark", "text", "open"), length), "pieces")
     once = pieces.drop("windows").dropDuplicates(["doc_id", "mark", "first", "anchor"])  # rows repeated whole
     common = once.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor")
-    settled_pieces, left = _settle(once.join(common, "anchor"), keep_first)
+    settled_pieces, left, piece_runs = _settle(once.join(common, "anchor"), keep_first)
     left = left.select(F.struct("doc_id", "mark", "first").alias("k"), "anchor", "many")
     named = pieces.select(F.struct("doc_id", "mark", "first").alias("p"), F.col("anchor").alias("a"), "windows").dropDuplicates(["p", "a"])
     single = left.join(named, F.col("k").eqNullSafe(F.col("p")) & (F.col("anchor") == F.col("a"))).select("k.*", "many", "anchor", F.posexplode("windows").alias("i", "window"))
@@ -171,7 +177,11 @@ def repeated_spans(docs: DataFrame, length: int = 200, keep_first: bool = True,
     named = single.join(names, ["anchor", "window"])
     named = named.where(~place.eqNullSafe(F.col("least"))) if keep_first else named
     spans = settled.unionByName(settled_pieces).unionByName(named.select("doc_id", "mark", "first", F.lit(1).cast("smallint").alias("count")))
-    return spans.groupBy("doc_id", "mark").agg(F.collect_list(F.array(F.col("first"), F.col("count").cast("long"))).alias("spans"))
+    spans = staged(spans.groupBy("doc_id", "mark").agg(F.collect_list(F.array(F.col("first"), F.col("count").cast("long"))).alias("spans")), "spans")
+    done = (rows, pieces, single, runs, piece_runs)
+    del settled, still, wanted, texts, once, common, settled_pieces, left, named, names
+    release(*done)
+    return spans
 
 
 def _mark():
