@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from labeltrail.operators import trace
@@ -157,7 +158,7 @@ def _s16(t):
     try:
         writers.write_new(orders(t), p)
         refused = False
-    except Exception:  # the second write of the same folder must fail
+    except AnalysisException:  # the path exists already
         refused = True
     return t.spark.read.parquet(p).withColumn("refused", F.lit(refused))
 
