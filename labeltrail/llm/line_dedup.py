@@ -1,7 +1,7 @@
 """Fuzzy line deduplication in built-in expressions: MinHash bands, exact Jaccard, components, one line kept per component.
 
-The shingles of a line are its runs of `size` characters that begin at a word's start.  Their hashes fall into twelve
-classes; the least of each class is a signature value that two lines share with the chance of their Jaccard similarity, and two
+The shingles of a line are its runs of `size` characters, one from every character on; a shorter line is one shingle.  Their
+hashes fall into twelve classes; the least of each class is a signature value that two lines share with the chance of their Jaccard similarity, and two
 neighbouring classes form a band.
 """
 
@@ -25,13 +25,16 @@ def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.withColumn("node", F.xxhash64("line"))
 
 
-def _runs(line: Column, size: int) -> Column:
-    return F.regexp_extract_all(line, F.lit(rf"(?s)(?=(\S.{{0,{size - 1}}}))\S++"), F.lit(1))
+def shingle_hashes(line: Column, size: int) -> Column:
+    """Distinct hashes of the runs of `size` characters that begin at any character; a shorter line is one run.
 
+    Characters of four bytes make a run a slice of known place, so a line of any length costs one pass.
+    """
+    def runs(data: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.length(data) - 4 * size, F.lit(0)) + 1, F.lit(4))
+        return F.transform(starts, lambda i: F.xxhash64(F.substring(data, i, F.lit(4 * size))))
 
-def shingle_hashes(line: Column, size: int) -> Column:
-    """Distinct hashes of the runs of up to `size` characters that begin at a word."""
-    return F.array_distinct(F.transform(_runs(line, size), lambda s: F.xxhash64(s)))
+    return F.array_distinct(F.flatten(F.transform(F.array(F.encode(line, "UTF-32")), runs)))  # encoded once a line
 
 
 def _bands(lines: DataFrame, size: int) -> DataFrame:
@@ -39,17 +42,21 @@ def _bands(lines: DataFrame, size: int) -> DataFrame:
 
     A band with one value is keyed together with the next value of the line, so that a single common shingle never makes a key.
     """
-    hashes = F.transform(_runs(F.col("line"), size), lambda s: F.xxhash64(s))
-    # class in bits 59 to 62, the rest of the hash below
-    placed = F.sort_array(F.array_distinct(F.transform(hashes, lambda h: F.shiftleft(F.pmod(h, F.lit(CLASSES)), 59).bitwiseOR(F.shiftrightunsigned(h, 5)))))
-    rows = lines.select("node", placed.alias("p"))
-    rows = rows.select("node", F.size("p").alias("n"), F.filter("p", lambda x, i: (i == 0) | (F.shiftright(x, 59) != F.shiftright(F.get("p", i - 1), 59))).alias("m"))
+    # a class is a range of hashes; its least hash follows its border in order
+    borders = [-(1 << 63) + c * (1 << 64) // CLASSES for c in range(CLASSES)]
+    rows = lines.select("node", shingle_hashes(F.col("line"), size).alias("s"))
+    rows = rows.select("node", F.size("s").alias("n"), F.sort_array(F.concat("s", F.array(*[F.lit(b) for b in borders]))).alias("p"))
+    after = [F.get("p", F.array_position("p", F.lit(b))) for b in borders]
+    least = [F.when(v < b, v) for v, b in zip(after, borders[1:])] + [after[-1]]
+    rows = rows.select("node", "n", *[v.alias(f"m{c}") for c, v in enumerate(least)])
+    m = [F.col(f"m{c}") for c in range(CLASSES)]
 
-    def key(x: Column, i: Column) -> Column:
-        follows = (i > 0) & (F.shiftright(F.get("m", i - 1), 60) == F.shiftright(x, 60))
-        return F.when(~follows, F.xxhash64(x, F.coalesce(F.get("m", i + 1), F.get("m", F.lit(0)))))
+    def key(c: int) -> Column:
+        one, two = m[c], m[c + 1]
+        following = F.coalesce(*m[c + 2:], *m[:c + 2])
+        return F.when(one.isNotNull() | two.isNotNull(), F.xxhash64(F.coalesce(one, two), F.when(one.isNotNull() & two.isNotNull(), two).otherwise(following)))
 
-    return rows.select("node", "n", F.explode(F.transform("m", key)).alias("key")).where("key is not null")
+    return rows.select("node", "n", F.explode(F.array(*[key(c) for c in range(0, CLASSES, 2)])).alias("key")).where("key is not null")
 
 
 def duplicate_lines(docs: DataFrame, size: int = 12, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -61,14 +68,17 @@ def duplicate_lines(docs: DataFrame, size: int = 12, similarity: float = 0.8, id
     lines = _lines(docs, id_col, text_col)
     buckets = shared_buckets(_bands(lines, size).distinct())
     wanted = buckets.select("node").distinct()
-    sets = staged(lines.select("node", "line").join(wanted, "node", "left_semi").dropDuplicates(["node"]).select(
-        "node", shingle_hashes(F.col("line"), size).alias("s")), "shingles")
+    texts = staged(lines.select("node", "line").join(wanted, "node", "left_semi").dropDuplicates(["node"]), "lines")
+
+    def alike(a: Column, b: Column) -> Column:
+        n = F.size(a) + F.size(b)
+        fit = F.least(F.size(a), F.size(b)) >= similarity * F.greatest(F.size(a), F.size(b))
+        return fit & F.exists(F.array(F.size(F.array_intersect(a, b))), lambda inside: inside >= similarity * (n - inside))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
-        both = both.where(F.least(F.size("sa"), F.size("sb")) >= similarity * F.greatest(F.size("sa"), F.size("sb")))
-        both = both.withColumn("inside", F.size(F.array_intersect("sa", "sb")))
-        return both.where(F.col("inside") >= similarity * (F.size("sa") + F.size("sb") - F.col("inside"))).select("a", "b")
+        both = pairs.join(texts.select(F.col("node").alias("a"), F.col("line").alias("la")), "a").join(texts.select(F.col("node").alias("b"), F.col("line").alias("lb")), "b")
+        sets = F.struct(shingle_hashes(F.col("la"), size).alias("a"), shingle_hashes(F.col("lb"), size).alias("b"))
+        return both.where(F.exists(F.array(sets), lambda s: alike(s["a"], s["b"]))).select("a", "b")  # each set is made once
 
     links = bucket_links(buckets, lambda pairs: pairs, verified, lambda a, b: F.least(a("n"), b("n")) >= similarity * F.greatest(a("n"), b("n")))
     found = links[0]

@@ -205,6 +205,32 @@ def test_line_dedup(spark):
     assert {r.doc_id for r in without_repeated_lines(frame(spark, texts)).collect()} == {0, 1, 2, 3, 5, 7}
 
 
+def kept_lines(texts, size=12, percent=80):
+    """Brute force: each line's component under shingle sets at every position; the first line of a component stays."""
+    lines = [(i, k, x.strip(" ")) for i, t in enumerate(texts) for k, x in enumerate(t.split("\n")) if x.strip(" ")]
+    sets = {n: {x[a:a + size] for a in range(max(len(x) - size, 0) + 1)} for n, (_, _, x) in enumerate(lines)}
+    root = components(sets, percent)
+    gone = {lines[n][:2] for n in sets if root[n] != n}
+    return ["\n".join(x for k, x in enumerate(t.split("\n")) if (i, k) not in gone) for i, t in enumerate(texts)]
+
+
+def test_line_dedup_without_blanks(spark):
+    from labeltrail.llm.line_dedup import dedup_lines
+
+    rng = random.Random(12)
+    same = "".join(chr(0x4E00 + rng.randrange(900)) for _ in range(12))
+    pool = ["https://www.example.com/products/1", "https://www.example.com/contact-us", "2024-05-01T10:15:30.123Z", "2024-05-01T19:59:59.999Z",
+            *[same + "".join(chr(0x4E00 + rng.randrange(900)) for _ in range(40)) for _ in range(4)], *["😀" * 3 + "".join(chr(0x1F600 + rng.randrange(40)) for _ in range(60)) for _ in range(3)],
+            *["".join(rng.choice("abcdef/+0123") for _ in range(300)) for _ in range(4)], "short", "shorter", prose(rng, 60)]
+    for base in [x for x in pool if len(x) > 100]:
+        pool += [base[:150] + "#" + base[151:], base[:100] + "".join(rng.choice("xyz") for _ in range(100)) + base[200:]]
+    rng.shuffle(pool)
+    texts = ["\n".join(rng.choice(pool) for _ in range(3)) for _ in range(20)]
+    want = kept_lines(texts)
+    for r in dedup_lines(frame(spark, texts)).collect():
+        assert r.text == want[r.doc_id]
+
+
 def test_fingerprints(spark, odd_texts):
     from labeltrail.llm.fingerprints import edited_fingerprints
 
