@@ -106,17 +106,14 @@ def fit_codes(x: np.ndarray, names: list[str], ridge: float = 0.3) -> OutputCode
 def fit_language_codes(docs: DataFrame, learn_from: Column, per_language: int = 400, text_col: str = "text", lang_col: str = "lang") -> OutputCodes | None:
     """Fit on at most `per_language` texts of each language: those first by the hash of their text.
 
-    A language's row count gives the share of hash values that holds about four times as many texts; only these go on to
-    the exact cut, so nothing else is shuffled.  Only the sample's features reach the driver.  None without a row.
+    Hashes are cut first and texts are read for the chosen ones only, so copies change nothing and no other text is shuffled.
+    Only the sample's features reach the driver.  None without a row.
     """
     rows = docs.where(learn_from & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     rows = rows.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.xxhash64(text_col).alias("h"))
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
-    near = rows.join(F.broadcast(counts), "lang").where(  # a row per language
-        F.shiftrightunsigned("h", 1) < F.lit(4.0 * per_language) / F.col("n") * F.lit(2.0**63))
-    near = near.dropDuplicates(["lang", "h"])
     place = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    chosen = near.withColumn("place", place).where(F.col("place") <= per_language).select("text", "lang", "h")
+    first = rows.select("lang", "h").distinct().withColumn("place", place).where(F.col("place") <= per_language).drop("place")
+    chosen = rows.join(F.broadcast(first), ["lang", "h"]).dropDuplicates(["lang", "h"]).select("text", "lang", "h")  # at most per_language hashes a language
     found = chosen.mapInArrow(_features, "lang string, h long, x binary").toPandas()
     if not len(found):
         return None

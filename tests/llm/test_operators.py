@@ -302,6 +302,16 @@ def test_language(spark):
         assert len({tuple(r) for r in code}) == n
 
 
+def test_language_of_many_copies(spark):
+    from labeltrail.llm.langid import fit_language_codes
+
+    texts = [f"eau oux {i}" for i in range(30)] + [f"ka lo mi {i % 10}" for i in range(4000)]
+    docs = frame(spark, texts, langs=["cc"] * 30 + ["aa"] * 4000)
+    rows = docs.dropDuplicates(["text"])  # copies change nothing
+    whole, plain = (fit_language_codes(d, F.lit(True), per_language=20) for d in (docs, rows))
+    assert whole.languages == plain.languages == ["aa", "cc"] and np.array_equal(whole.weights, plain.weights)
+
+
 def test_toxicity(spark):
     from labeltrail.llm.queries import TOXICITY
     from labeltrail.llm.toxicity import fit_toxicity, score_toxicity, without_toxic
