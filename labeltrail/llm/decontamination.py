@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from labeltrail.llm.common import staged, text_of
-from labeltrail.llm.tokens import PUNCTUATION, chunks, distinct, shingles, words
+from labeltrail.llm.tokens import PUNCTUATION, chunks, shingles, words
 
 #: Slots of the first filter; its size is fixed, whatever the benchmark's.
 FILTER_BITS = 22
@@ -76,7 +76,7 @@ def tiles(item: np.ndarray, text: np.ndarray, least: int) -> list[tuple[int, int
 
 
 def _seeds(df: DataFrame, id_col: str, text_col: str, size: int, shared=None) -> DataFrame:
-    """(id, size in words, seed) of each distinct run of `size` words; with `shared`, only of seeds in the filter."""
+    """(id, size in words, seed, times) of each distinct run of `size` words and how often it occurs; with `shared`, only of seeds in the filter."""
     source = df.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,11 +91,16 @@ def _seeds(df: DataFrame, id_col: str, text_col: str, size: int, shared=None) ->
                 if present is not None:
                     keep = present[(seeds >> np.uint64(64 - FILTER_BITS)).astype(np.int64)]
                     rows, seeds = rows[keep], seeds[keep]
-                rows, seeds = distinct(rows, seeds)
+                order = np.lexsort((seeds, rows))
+                rows, seeds = rows[order], seeds[order]
+                at = np.flatnonzero(np.r_[True, (rows[1:] != rows[:-1]) | (seeds[1:] != seeds[:-1])]) if len(rows) else np.zeros(0, np.int64)
+                times = np.diff(np.r_[at, len(rows)])
+                rows, seeds = rows[at], seeds[at]
                 ids = batch.column("id").slice(first, end - first).take(pa.array(rows))
-                yield pa.record_batch([ids, pa.array(length[rows].astype(np.int64)), pa.array(seeds.view(np.int64))], ["id", "length", "seed"])
+                yield pa.record_batch([ids, pa.array(length[rows].astype(np.int64)), pa.array(seeds.view(np.int64)), pa.array(times.astype(np.int64))],
+                                      ["id", "length", "seed", "times"])
 
-    return source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, length long, seed long")
+    return source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, length long, seed long, times long")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = 5, coverage: float = 0.5, id_col: str = "doc_id", item_col: str = "item_id",
@@ -104,21 +109,21 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = 5, coverage
 
     Words are runs of letters and digits in small letters.  Seeds and tiles have at least `least` words.  Whole texts are
     searched.  A fixed-size bit filter of the benchmark's seeds, built from its distinct slots, spares most document
-    seeds the join; the join itself is exact for a benchmark of any size.  Pairs whose shared seeds could not cover enough are
-    not tiled.
+    seeds the join; the join itself is exact for a benchmark of any size.  Pairs whose shared seeds, at all their places in the
+    item, could not cover enough are not tiled.
 
     Null, empty and wordless texts, and items of fewer than `least` words, match nothing.  Rows with one id are tiled each by
     itself and the best covered counts.  Null ids match nothing.  Empty tables: no rows.  Other columns are not read.
     """
     items = benchmark.where(F.col(item_col).isNotNull())
-    item_seeds = _seeds(items, item_col, item_text_col, least).select(F.col("id").alias("item_id"), F.col("length").alias("item_words"), "seed")
+    item_seeds = _seeds(items, item_col, item_text_col, least).select(F.col("id").alias("item_id"), F.col("length").alias("item_words"), "seed", "times")
     slots = item_seeds.select(F.shiftrightunsigned("seed", 64 - FILTER_BITS).cast("int").alias("s")).distinct().toPandas()["s"].to_numpy()
     bits = np.zeros(1 << FILTER_BITS, dtype=bool)
     bits[slots] = True
     shared = docs.sparkSession.sparkContext.broadcast(np.packbits(bits).tobytes())
     known = docs.where(F.col(id_col).isNotNull())
     doc_seeds = _seeds(known, id_col, text_col, least, shared).select(F.col("id").alias("doc_id"), "seed")
-    pairs = doc_seeds.join(item_seeds, "seed").groupBy("doc_id", "item_id").agg(F.count("*").alias("n"), F.max("item_words").alias("item_words"))
+    pairs = doc_seeds.join(item_seeds, "seed").groupBy("doc_id", "item_id").agg(F.sum("times").alias("n"), F.min("item_words").alias("item_words"))
     pairs = staged(pairs.where(F.col("n") * least >= coverage * F.col("item_words")).select("doc_id", "item_id"), "pairs")
     doc_ids = pairs.select("doc_id").distinct()
     texts = known.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("doc_text")).join(doc_ids, "doc_id", "left_semi")

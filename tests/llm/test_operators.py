@@ -192,6 +192,15 @@ def test_decontamination_catches_reordered_passages(spark):
     assert out[4].n_tiles == 2 and out[4].covered == 40 and out[3].coverage == 1.0
 
 
+def test_decontamination_of_recurring_runs(spark):
+    from labeltrail.llm.decontamination import contaminated
+
+    item = "x x 1 " * 20
+    items = spark.createDataFrame([(7, item), (8, "p q r s t u v w"), (8, "k l m n o k l m n o"), (8, prose(random.Random(1), 100, 10**6))], "item_id long, text string")
+    out = {(r.doc_id, r.item_id): r for r in contaminated(frame(spark, ["before " + item + "after", "x x 1 x x 1", "some k l m n o k l m n o"]), items).collect()}
+    assert set(out) == {(0, 7), (2, 8)} and (out[0, 7].covered, out[0, 7].item_words, out[0, 7].coverage) == (60, 60, 1.0)
+
+
 def test_line_dedup(spark):
     from labeltrail.llm.line_dedup import dedup_lines, without_repeated_lines
 
