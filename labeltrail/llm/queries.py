@@ -123,3 +123,12 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     out = dedup_lines(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@query
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whitened embeddings on the eight components of largest variance; deviations beyond a long are null."""
+    from labeltrail.llm.whitening import whitened_components
+
+    out = whitened_components(table(spark, sf_dir, "embeddings"), k=8)
+    return out.withColumn("deviation", F.expr("try_cast(deviation as long)"))
