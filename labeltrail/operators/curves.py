@@ -136,10 +136,10 @@ def guarded_cutoff(rows: DataFrame, score: str, y: str, cluster: str, source: st
 
 def count_lower_bound(cells: DataFrame, cluster: str, by: list[str], replicates: int, context: str) -> DataFrame:
     """2.5% cluster-bootstrap bound of ok/n from cells that already hold counts."""
-    from labeltrail.operators.resample import component_draws, replicate_sums
+    from labeltrail.operators.resample import draw, replicate_sums
 
     totals = cells.groupBy(cluster, *by).agg(F.sum("ok").alias("ok"), F.sum("n").alias("n"))
-    draws = component_draws(totals, cluster, replicates, context, by)
+    draws = draw(totals, cluster, replicates, context, by)
     reps = replicate_sums(totals, draws, cluster, by, ["ok", "n"], by)
     return reps.groupBy(*by).agg(F.percentile(ratio("ok", "n"), F.lit(0.025)).alias("lower"))
 

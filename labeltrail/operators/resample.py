@@ -2,16 +2,21 @@
 
 Rows are reduced to component totals first; draws are multiplicities per (replicate,
 component) that scale those totals, so no row is ever copied.  Draw i of replicate r
-is SHA-256(context|r|i) mod k, which any engine can replay.
+is SHA-256(context|r|i) mod k, which any engine can replay.  Draws are vectors (see
+`draws`) as long as one replicate's fit a bounded block, and a joined table beyond.
 """
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from labeltrail.functions.hashing import key_text, u60
 from labeltrail.functions.measures import n_if, ratio
+from labeltrail.operators.draws import (Draws, as_rows, auc_step, average_precision_step, sorted_curve, top_share_step,
+                                        vector_draws)
+from labeltrail.operators.draws import replicate_sums as vector_sums
 from labeltrail.operators.ranking import attach_one_row, dense_index, ranked, running_totals
 from labeltrail.session import cut_lineage
 
@@ -33,6 +38,11 @@ def component_draws(components: DataFrame, key: str, replicates: int, context: s
         *within, "replicate", key, "multiplicity")
 
 
+def draw(components: DataFrame, key: str, replicates: int, context: str, within: list[str] | None = None) -> Draws | DataFrame:
+    """Draws for `replicate_sums`: vectors, or the joined table where one replicate's multiplicities exceed a block."""
+    return vector_draws(components, key, replicates, context, within) or component_draws(components, key, replicates, context, within)
+
+
 def zero_filled(draws: DataFrame, components: DataFrame, key: str, replicates: int,
                 within: list[str] | None = None) -> DataFrame:
     """Draw table with a row for every (replicate, component)."""
@@ -41,9 +51,11 @@ def zero_filled(draws: DataFrame, components: DataFrame, key: str, replicates: i
     return cells.join(draws, [*(within or []), key, "replicate"], "left").fillna(0, ["multiplicity"])
 
 
-def replicate_sums(totals: DataFrame, draws: DataFrame, key: str, by: list[str], columns: list[str],
+def replicate_sums(totals: DataFrame, draws: Draws | DataFrame, key: str, by: list[str], columns: list[str],
                    within: list[str] | None = None) -> DataFrame:
     """Sum of component totals under every replicate's multiplicities."""
+    if isinstance(draws, Draws):
+        return vector_sums(totals, draws, by, columns)
     joined = totals.join(draws, [*(within or []), key])
     groups = list(dict.fromkeys([*by, *(within or [])]))
     return joined.groupBy(*groups, "replicate").agg(*[F.sum(F.col(c) * F.col("multiplicity")).alias(c) for c in columns])
@@ -71,7 +83,7 @@ def bootstrap_ratios(rows: DataFrame, component: str, by: list[str], columns: li
     All groups share the draws, so their replicates are paired.
     """
     totals = cut_lineage(rows.groupBy(component, *by).agg(*[F.sum(c).alias(c) for c in columns]))
-    draws = component_draws(universe if universe is not None else totals, component, replicates, context)
+    draws = draw(universe if universe is not None else totals, component, replicates, context)
     sums = replicate_sums(totals, draws, component, by, columns)
     reps = sums.select(*by, "replicate", *[v.alias(k) for k, v in ratios.items()])
     point = totals.groupBy(*by).agg(*[F.sum(c).alias(c) for c in columns], F.count("*").alias("components"))
@@ -84,7 +96,7 @@ def precision_lower_bound(rows: DataFrame, cluster: str, by: list[str], y: str,
                           all_correct_is_one: bool = False) -> DataFrame:
     """Cluster bootstrap interval of precision; a single cluster returns its point value."""
     totals = cut_lineage(rows.groupBy(cluster, *by).agg(F.sum(F.col(y).cast("int")).alias("ok"), F.count("*").alias("n")))
-    draws = component_draws(totals, cluster, replicates, context, by)
+    draws = draw(totals, cluster, replicates, context, by)
     reps = replicate_sums(totals, draws, cluster, by, ["ok", "n"], by).withColumn("precision", ratio("ok", "n"))
     ci = interval(reps, by, ["precision"], replicates)
     point = totals.groupBy(*by).agg(F.sum("ok").alias("ok"), F.sum("n").alias("n"), F.count("*").alias("clusters"))
@@ -100,7 +112,7 @@ def precision_lower_bound(rows: DataFrame, cluster: str, by: list[str], y: str,
 def row_bootstrap_mean(rows: DataFrame, key: str, value: str, by: list[str], replicates: int, context: str) -> DataFrame:
     """Row bootstrap of the mean: each row is its own component."""
     clean = cut_lineage(rows.where(F.col(value).isNotNull()).select(*by, key, F.col(value).cast("double").alias("v"), F.lit(1).alias("one")))
-    draws = component_draws(clean, key, replicates, context, by)
+    draws = draw(clean, key, replicates, context, by)
     reps = replicate_sums(clean, draws, key, by, ["v", "one"], by).withColumn("mean", ratio("v", "one"))
     point = clean.groupBy(*by).agg(F.count("*").alias("n"), F.round(F.avg("v"), 9).alias("mean"))
     ci = interval(reps, by, ["mean"], replicates, 6)
@@ -129,15 +141,20 @@ def ranking_difference_bootstrap(rows: DataFrame, component: str, scores: tuple[
     Rows are reduced to (component, score) cells before the multiplicities multiply them.
     """
     rows = cut_lineage(rows.select(component, *scores, y, weight))
-    draws = component_draws(rows, component, replicates, context)
     w, t = F.col(weight).cast("double"), F.col(y).cast("boolean")
-    parts = []
+    cells = lambda name: rows.groupBy(component, F.col(name).cast("double").alias("score")).agg(
+        F.sum(F.when(t, w).otherwise(0.0)).alias("pos"), F.sum(F.when(~t, w).otherwise(0.0)).alias("neg"))
+    draws = vector_draws(rows, component, replicates, context)
+    if draws is not None:
+        ap = []
+        for name in scores:
+            total, pos, _ = sorted_curve(cells(name), [("score", "desc")], "pos", "neg", draws, average_precision_step)
+            ap.append(np.divide(total, pos, out=np.full(len(total), np.nan), where=pos > 0))
+        return interval(as_rows(draws, rows.sparkSession, {"delta": ap[1] - ap[0]}), [], ["delta"], replicates)
+    draws, parts = component_draws(rows, component, replicates, context), []
     for name in scores:
-        cells = rows.groupBy(component, F.col(name).cast("double").alias("score")).agg(
-            F.sum(F.when(t, w).otherwise(0.0)).alias("pos"), F.sum(F.when(~t, w).otherwise(0.0)).alias("neg"))
-        cells = cells.join(draws, component)
         m = F.col("multiplicity")
-        steps = running_totals(cells, ["replicate"], "score", {"pos": F.sum(F.col("pos") * m), "neg": F.sum(F.col("neg") * m)}, "desc")
+        steps = running_totals(cells(name).join(draws, component), ["replicate"], "score", {"pos": F.sum(F.col("pos") * m), "neg": F.sum(F.col("neg") * m)}, "desc")
         ap = steps.groupBy("replicate").agg(
             (F.sum(F.col("pos") * ratio("cum_pos", F.col("cum_pos") + F.col("cum_neg"))) / F.sum("pos")).alias("ap"))
         parts.append(ap.withColumnRenamed("ap", "ap_" + name))
@@ -147,10 +164,15 @@ def ranking_difference_bootstrap(rows: DataFrame, component: str, scores: tuple[
 
 def oriented_auc_bootstrap(rows: DataFrame, group: str, domain: str, p: str, replicates: int, context: str) -> DataFrame:
     """Interval of max(AUC, 1-AUC) of a domain score, resampling clusters inside each domain."""
-    draws = component_draws(rows, group, replicates, context, [domain])
-    cells = rows.groupBy(domain, group, F.col(p).cast("double").alias("score")).agg(F.count("*").alias("n"))
-    cells = cells.join(draws, [domain, group])
     one = F.col(domain) == 1
+    cells = rows.groupBy(domain, group, F.col(p).cast("double").alias("score")).agg(F.count("*").alias("n"))
+    draws = vector_draws(rows, group, replicates, context, [domain])
+    if draws is not None:
+        cells = cells.withColumns({"pos": F.when(one, F.col("n")).otherwise(0), "neg": F.when(one, 0).otherwise(F.col("n"))})
+        total, pos, neg = sorted_curve(cells, [("score", "desc")], "pos", "neg", draws, auc_step)
+        auc = np.divide(total, pos * neg, out=np.full(len(total), np.nan), where=pos * neg > 0)
+        return interval(as_rows(draws, rows.sparkSession, {"auc": np.maximum(auc, 1 - auc)}), [], ["auc"], replicates)
+    cells = cells.join(component_draws(rows, group, replicates, context, [domain]), [domain, group])
     m = F.col("n") * F.col("multiplicity")
     steps = running_totals(cells, ["replicate"], "score", {
         "pos": F.sum(F.when(one, m).otherwise(0)), "neg": F.sum(F.when(~one, m).otherwise(0))}, "desc")
@@ -167,6 +189,13 @@ def top_share_bootstrap(rows: DataFrame, component: str, score: str, tie: str, y
     floor(share * n) copies are kept per replicate; a row straddling the cut counts in part.
     """
     rows = cut_lineage(rows.select(component, score, tie, y))
+    draws = vector_draws(rows, component, replicates, context)
+    if draws is not None:
+        cells = rows.select(component, score, tie, F.lit(1).alias("n"), F.col(y).cast("int").alias("y"))
+        used, n, _ = sorted_curve(cells, [(score, "desc"), (tie, "asc")], "n", "y", draws, top_share_step(share))
+        k = np.floor(share * n)
+        top = np.divide(used, k, out=np.full(len(used), np.nan), where=k > 0)
+        return interval(as_rows(draws, rows.sparkSession, {"top_precision": top}), [], ["top_precision"], replicates)
     draws = component_draws(rows, component, replicates, context)
     cells = ranked(rows.select(component, score, tie, F.col(y).cast("int").alias("y")), [],
                    [(score, "desc"), (tie, "asc")], "position").join(draws, component)

@@ -12,7 +12,10 @@ from labeltrail.plans.registry import query
 from labeltrail.plans.selection_queries import H60, PANEL_SQL, draws_sql, index_sql, method_tops, panels, METHOD_SQL
 from labeltrail.plans.trace_queries import PAIRED_SQL, SIX_SQL, paired_modes, six_rows
 
-REPS = 40
+#: Replicates of every cluster bootstrap.
+REPS = 2000
+#: Replicates of the exported draw table, which has a row for each component and replicate.
+EXPORTED = 200
 
 
 def ci_sql(cols, digits=9):
@@ -43,20 +46,19 @@ def _r01(t):
     return resample.bootstrap_ratios(count_rows(t), "component_id", ["endpoint", "method"], ms.COUNT_COLUMNS, ms.set_measures(), REPS, "boot", t.queries)
 
 
-@query("r02_component_draws", """select c.component_id, r replicate, coalesce(d.multiplicity, 0) multiplicity from (select distinct component_id from v_queries) c
-    cross join (select unnest(range(40)) r) left join v_draws d on d.component_id = c.component_id and d.replicate = r""", BOOT)
+@query("r02_component_draws", f"""select c.component_id, r replicate, coalesce(d.multiplicity, 0) multiplicity from (select distinct component_id from v_queries) c
+    cross join (select unnest(range({EXPORTED})) r) left join v_draws d on d.component_id = c.component_id and d.replicate = r""", BOOT)
 def _r02(t):
-    return resample.zero_filled(resample.component_draws(t.queries, "component_id", REPS, "boot"), t.queries, "component_id", REPS)
+    return resample.zero_filled(resample.component_draws(t.queries, "component_id", EXPORTED, "boot"), t.queries, "component_id", EXPORTED)
 
 
-@query("r03_replay_saved_draws", """with comp as (select component_id, endpoint, sum(hit) a, sum(evaluable) b from v_counts where "method" = 'PRICE' group by 1, 2)
-    select endpoint, replicate, round(sum(a*multiplicity)::double/nullif(sum(b*multiplicity), 0), 9) any_match from comp join v_draws using (component_id) group by 1, 2""", BOOT)
+@query("r03_replay_saved_draws", """with comp as (select component_id, endpoint, "method", sum(hit) a, sum(evaluable) b from v_counts group by 1, 2, 3)
+    select endpoint, "method", replicate, round(sum(a*multiplicity)::double/nullif(sum(b*multiplicity), 0), 9) any_match from comp join v_draws using (component_id) group by 1, 2, 3""", BOOT)
 def _r03(t):
     saved = resample.component_draws(t.queries, "component_id", REPS, "boot")
-    rows = count_rows(t).where(F.col("method") == "PRICE")
-    totals = metrics.component_totals(rows, "component_id", ["endpoint"], ["hit", "evaluable"])
-    s = resample.replicate_sums(totals, saved, "component_id", ["endpoint"], ["hit", "evaluable"])
-    return s.select("endpoint", "replicate", F.round(ms.ratio("hit", "evaluable"), 9).alias("any_match"))
+    totals = metrics.component_totals(count_rows(t), "component_id", ["endpoint", "method"], ["hit", "evaluable"])
+    s = resample.replicate_sums(totals, saved, "component_id", ["endpoint", "method"], ["hit", "evaluable"])
+    return s.select("endpoint", "method", "replicate", F.round(ms.ratio("hit", "evaluable"), 9).alias("any_match"))
 
 
 @query("r04_paired_contrast", f"""with comp as (select component_id, endpoint, "method", {", ".join(f"sum({c}) {c}" for c in ms.COUNT_COLUMNS)} from v_counts group by 1, 2, 3),
@@ -65,7 +67,7 @@ def _r03(t):
       from reps a join reps b on a.endpoint = b.endpoint and a.replicate = b.replicate and a.m = 'PRICE' and b.m = 'QTY') group by 1""", BOOT)
 def _r04(t):
     totals = metrics.component_totals(count_rows(t), "component_id", ["endpoint", "method"], ms.COUNT_COLUMNS)
-    draws = resample.component_draws(t.queries, "component_id", REPS, "boot")
+    draws = resample.draw(t.queries, "component_id", REPS, "boot")
     s = resample.replicate_sums(totals, draws, "component_id", ["endpoint", "method"], ms.COUNT_COLUMNS)
     m = ms.set_measures()
     s = s.select("endpoint", "method", "replicate", m["query_concordance"].alias("c"), m["micro_precision"].alias("p"))
@@ -75,13 +77,13 @@ def _r04(t):
     return resample.interval(d, ["endpoint"], ["d_concordance", "d_precision"], REPS)
 
 
-@query("r05_finite_draw_interval", """with comp as (select component_id, stratum, priority, count(*) filter (where total > 495000) a, count(*) filter (where total > 499000) b from v_queries group by 1, 2, 3),
+@query("r05_finite_draw_interval", f"""with comp as (select component_id, stratum, priority, count(*) filter (where total > 495000) a, count(*) filter (where total > 499000) b from v_queries group by 1, 2, 3),
     reps as (select stratum, priority, replicate, sum(b*multiplicity)::double/nullif(sum(a*multiplicity), 0) v from comp join v_draws using (component_id) group by 1, 2, 3)
-    select stratum, priority, case when count(v) = 40 then round(quantile_cont(v, 0.025), 9) end v_lower, case when count(v) = 40 then round(quantile_cont(v, 0.975), 9) end v_upper, count(v) v_finite from reps group by 1, 2""", BOOT)
+    select stratum, priority, case when count(v) = {REPS} then round(quantile_cont(v, 0.025), 9) end v_lower, case when count(v) = {REPS} then round(quantile_cont(v, 0.975), 9) end v_upper, count(v) v_finite from reps group by 1, 2""", BOOT)
 def _r05(t):
     q = t.queries.withColumns({"a": (F.col("total") > 495000).cast("int"), "b": (F.col("total") > 499000).cast("int")})
     totals = metrics.component_totals(q, "component_id", ["stratum", "priority"], ["a", "b"])
-    s = resample.replicate_sums(totals, resample.component_draws(t.queries, "component_id", REPS, "boot"), "component_id", ["stratum", "priority"], ["a", "b"])
+    s = resample.replicate_sums(totals, resample.draw(t.queries, "component_id", REPS, "boot"), "component_id", ["stratum", "priority"], ["a", "b"])
     return resample.interval(s.withColumn("v", ms.ratio("b", "a")), ["stratum", "priority"], ["v"], REPS)
 
 
@@ -93,7 +95,7 @@ def _r06(t):
     w = F.col("weight")
     rows = t.scored.select("component_id", "role", w.alias("w"), (w * F.col("same_l3").cast("int")).alias("a"), (w * F.col("same_l4").cast("int")).alias("b"))
     totals = metrics.component_totals(rows, "component_id", ["role"], ["w", "a", "b"])
-    draws = resample.component_draws(totals, "component_id", REPS, "block", ["role"])
+    draws = resample.draw(totals, "component_id", REPS, "block", ["role"])
     s = resample.replicate_sums(totals, draws, "component_id", ["role"], ["w", "a", "b"], ["role"])
     return resample.interval(s.withColumns({"rate_l3": ms.ratio("a", "w"), "rate_l4": ms.ratio("b", "w")}), ["role"], ["rate_l3", "rate_l4"], REPS)
 
@@ -102,10 +104,10 @@ AP_REPS = """(select replicate, sum(pos*cp/nullif(cp+cn, 0))/sum(pos) ap from (s
       select replicate, {s} s, sum(case when same_l3 then weight*multiplicity else 0 end) pos, sum(case when not same_l3 then weight*multiplicity else 0 end) neg from v_top join dr using (component_id) group by 1, 2)) group by 1)"""
 
 
-@query("r07_ranking_difference_bootstrap", f"""with dr as ({draws_sql("v_top", "component_id", 20, "rank")})
+@query("r07_ranking_difference_bootstrap", f"""with dr as ({draws_sql("v_top", "component_id", REPS, "rank")})
     select {ci_sql(["delta"], 8)} from (select b.ap - a.ap delta from {AP_REPS.format(s="ident")} a join {AP_REPS.format(s="cal")} b using (replicate))""", TOP_SQL)
 def _r07(t):
-    out = resample.ranking_difference_bootstrap(tops(t), "component_id", ("ident", "cal"), "same_l3", "weight", 20, "rank")
+    out = resample.ranking_difference_bootstrap(tops(t), "component_id", ("ident", "cal"), "same_l3", "weight", REPS, "rank")
     return out.select(F.round("delta_lower", 8).alias("delta_lower"), F.round("delta_upper", 8).alias("delta_upper"), "delta_finite")
 
 
@@ -120,11 +122,11 @@ AUC_REPS = """(select replicate, sum(neg*(cp - pos/2.0::double))/nullif(sum(pos)
       select replicate, p, sum(case when {one} then m else 0 end) pos, sum(case when not {one} then m else 0 end) neg from {src} group by 1, 2)) group by 1)"""
 
 
-@query("r08_domain_auc_bootstrap", f"""with dr as ({draws_sql("v_dom", "component_id", 20, "auc", "domain")}),
+@query("r08_domain_auc_bootstrap", f"""with dr as ({draws_sql("v_dom", "component_id", REPS, "auc", "domain")}),
     j as (select d.*, dr.replicate, dr.multiplicity m from v_dom d join dr using (component_id, domain))
     select {ci_sql(["auc"])} from (select greatest(a, 1-a) auc from {AUC_REPS.format(one="domain = 1", src="j")})""", R08_DOM)
 def _r08(t):
-    return resample.oriented_auc_bootstrap(domain_rows(t), "component_id", "domain", "p", 20, "auc")
+    return resample.oriented_auc_bootstrap(domain_rows(t), "component_id", "domain", "p", REPS, "auc")
 
 
 PREC = """with a as (select {g}, component_id, count(*) n, sum(correct::int) ok from v_mtop group by 1, 2), dr as ({d}),
@@ -162,20 +164,20 @@ def _r11(t):
     known = F.when(F.col("component_id") % 3 != 0, F.col("component_id").cast("string"))
     p = p.withColumns({"block": F.coalesce(known, F.concat(F.lit("QUERY::"), F.col("query_id").cast("string"))), "n": F.lit(1)})
     totals = metrics.component_totals(p.withColumn("s", F.col("similarity")), "block", [], ["s", "n"])
-    s = resample.replicate_sums(totals, resample.component_draws(totals, "block", REPS, "fam"), "block", [], ["s", "n"])
+    s = resample.replicate_sums(totals, resample.draw(totals, "block", REPS, "fam"), "block", [], ["s", "n"])
     ci = resample.interval(s.withColumn("mean", ms.ratio("s", "n")), [], ["mean"], REPS, 8)
     from labeltrail.operators.ranking import attach_one_row
 
     return attach_one_row(totals.agg(F.count("*").alias("blocks")), ci)
 
 
-@query("r12_top_share_bootstrap", f"""with dr as ({draws_sql("v_top", "component_id", 20, "share")}),
+@query("r12_top_share_bootstrap", f"""with dr as ({draws_sql("v_top", "component_id", REPS, "share")}),
     pos as (select component_id, same_l3::int y, row_number() over (order by cal desc, query_id) rn from v_top),
     x as (select replicate, y, multiplicity m, sum(multiplicity) over (partition by replicate order by rn rows unbounded preceding) c, sum(multiplicity) over (partition by replicate) n from pos join dr using (component_id)),
     reps as (select replicate, sum(least(m, greatest(floor(0.1::double*n) - (c-m), 0))*y)/max(floor(0.1::double*n)) top_precision from x group by 1)
     select {ci_sql(["top_precision"])} from reps""", TOP_SQL)
 def _r12(t):
-    return resample.top_share_bootstrap(tops(t), "component_id", "cal", "query_id", "same_l3", 0.1, 20, "share")
+    return resample.top_share_bootstrap(tops(t), "component_id", "cal", "query_id", "same_l3", 0.1, REPS, "share")
 
 
 @query("r13_hierarchy_gap_bootstrap", f"""with comp as (select component_id, count(*) n, sum(same_l3::int - same_l4::int) g34, sum(same_l4::int - coalesce(same_exact, false)::int) g4x from v_scored group by 1),
