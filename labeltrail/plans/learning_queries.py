@@ -6,12 +6,13 @@ from pyspark.sql import functions as F
 
 from labeltrail.functions import measures as ms
 from labeltrail.operators import features as ft
-from labeltrail.operators import learning
+from labeltrail.operators import learning, refits
 from labeltrail.operators.candidates import expand_levels
 from labeltrail.operators.curves import left_closed_bin
 from labeltrail.operators.ranking import attach_one_row, exact_quantiles, top_k
 from labeltrail.plans.metric_queries import TOP_SQL, auc_sql, tops
 from labeltrail.plans.registry import query
+from labeltrail.plans.selection_queries import H60
 
 ISO_SQL = {"v_cell": """select "role", cal::double x, sum(weight*same_l3::int) sy, sum(weight) w from v_scored where "role" = 'CAL_FIT' group by 1, 2""",
     "v_iso": """select x, max(v) iso from (select c.x, j.x jx, min(s.sy/s.w) v from v_cell c join v_cell j on j.x <= c.x
@@ -67,21 +68,51 @@ def _l04(t):
     return x.select("query_id", "reference_id", F.round(p, 9).alias("probability"), (p >= 0.3).cast("int").alias("accepted"))
 
 
+SEED, FOLDS = 20260819, 5
+DOMAIN_COLUMNS = ["raw", "ident", "disc"]
+
+
 def domain_table(t):
-    return tops(t).select("query_id", "component_id", "raw", "ident", F.when(F.col("disc") <= 0.08, F.col("disc")).alias("disc"), (F.col("stratum") == "F").cast("int").alias("domain"))
+    """Rows of two cohorts without a common component: a role is a component's."""
+    return tops(t).select("query_id", "component_id", "raw", "ident", F.when(F.col("disc") <= 0.08, F.col("disc")).alias("disc"), (F.col("role") == "RETEST").cast("int").alias("domain"))
+
+
+FOLD_SQL = {"v_domain": """select v.query_id, v.component_id, v.raw::double raw, v.ident::double ident, case when v.disc <= 0.08 then v.disc::double end disc, ("role" = 'RETEST')::int domain from (select *, row_number() over (partition by query_id order by cal desc, raw desc, reference_id) rn from v_scored) v where rn = 1""",
+    "v_group": f"""select *, row_number() over (partition by n, domain order by h, component_id) - 1 j from (select component_id, domain, count(*) n, {H60.format(f"'{SEED}|FOLD|'||component_id")} h from v_domain group by 1, 2)""",
+    "v_class": "select domain, n, count(*) c, row_number() over (partition by domain order by n desc) i from v_group group by 1, 2",
+    "v_deal": f"""with recursive s as (select unnest([0, 1]) domain, 0::bigint i, 0::bigint n, list_transform(range({FOLDS}), lambda x: 0::bigint) loads, [0::bigint] fill
+      union all select c.domain, c.i, c.n, list_transform(range(1, {FOLDS + 1}), lambda f: s.loads[f] + c.n*(c.c // {FOLDS} + (list_position(o.fill, f) <= c.c % {FOLDS})::int)), o.fill
+      from s join v_class c on c.domain = s.domain and c.i = s.i + 1,
+      lateral (select list_transform(list_sort(list_transform(range(1, {FOLDS + 1}), lambda f: {{'l': s.loads[f], 'f': f}})), lambda e: e.f) fill) o) select * from s where i > 0""",
+    "v_fold": f"select g.component_id, (d.fill[(g.j % {FOLDS} + 1)::int] - 1)::int fold from v_group g join v_deal d using (domain, n)"}
+
+
+@query("l05b_stratified_group_folds", "select query_id, domain, fold from v_domain join v_fold using (component_id)", {**TOP_SQL, **FOLD_SQL})
+def _l05b(t):
+    return refits.stratified_group_folds(domain_table(t), "component_id", "domain", FOLDS, SEED).select("query_id", "domain", "fold")
+
+
+# Gradient steps of a fixed length, at most the inverse of the largest curvature, until they settle.
+OOF_SQL = {"v_value": """select d.query_id, d.component_id, d.domain, f.fold, raw, ident, coalesce(disc, (select median(disc) from v_domain)) disc, (disc is null)::int flag from v_domain d join v_fold f using (component_id)""",
+    "v_scale": f"""select k, count(*) n, sum(domain) n1, avg(raw) ma, stddev_pop(raw) sa, avg(ident) mb, stddev_pop(ident) sb, avg(disc) mc, stddev_pop(disc) sc, avg(flag) md, stddev_pop(flag) sd
+      from v_value join (select unnest(range({FOLDS})) k) on fold <> k group by 1""",
+    "v_x": """select k, query_id, fold, domain y, case when fold = k then 0 when domain = 1 then n/(2.0::double*n1) else n/(2.0::double*(n - n1)) end w,
+      [(raw - ma)/sa, (ident - mb)/sb, (disc - mc)/sc, (flag - md)/sd, 1.0::double] x from v_value cross join v_scale""",
+    "v_theta": f"""with recursive t as (select k, 0 i, [0.0::double, 0, 0, 0, 0] th from (select unnest(range({FOLDS})) k)
+      union all select t.k, t.i + 1, [t.th[j] - (t.th[j] + 0.1*g[j])/(1 + 0.1*1.25*n) for j in [1, 2, 3, 4, 5]] from t join (select t2.k, t2.i, [sum(r*x[1]), sum(r*x[2]), sum(r*x[3]), sum(r*x[4]), sum(r*x[5])] g, sum(w) n
+        from (select t.k, t.i, v.x, v.w, v.w*(1/(1 + exp(-list_dot_product(t.th, v.x))) - v.y) r from t join v_x v on v.k = t.k and v.w > 0) t2 group by 1, 2) q on q.k = t.k where t.i < 900)
+      select k, th from t where i = 900"""}
 
 
-@query("l05_domain_classifier_out_of_fold")
+@query("l05_domain_classifier_out_of_fold", "select query_id, y domain, fold, round(1/(1 + exp(-list_dot_product(th, x))), 4) probability from v_x join v_theta using (k) where fold = k", {**TOP_SQL, **FOLD_SQL, **OOF_SQL})
 def _l05(t):
-    p = learning.domain_probabilities(domain_table(t), ["raw", "ident", "disc"], "domain", "component_id", 3, 20260819)
+    p = refits.out_of_fold_probabilities(domain_table(t), DOMAIN_COLUMNS, "domain", "component_id", FOLDS, SEED)
     return p.select("query_id", "domain", "fold", F.round("probability", 4).alias("probability"))
 
 
 @query("l06_cohort_shift_audit")
 def _l06(t):
-    p = learning.domain_probabilities(domain_table(t), ["raw", "ident", "disc"], "domain", "component_id", 3, 20260819)
-    p = p.withColumn("p", F.round("probability", 4))
-    return learning.cohort_shift_audit(p, "component_id", "domain", "p", 20, 99, "audit")
+    return learning.cohort_shift_audit(domain_table(t), DOMAIN_COLUMNS, "component_id", "domain", SEED, "audit", FOLDS)
 
 
 @query("l07_propensity_bins")
