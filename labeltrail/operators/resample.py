@@ -8,16 +8,20 @@ is SHA-256(context|r|i) mod k, which any engine can replay.  Draws are vectors (
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from labeltrail.functions.binomial import exact_sign_p
 from labeltrail.functions.hashing import key_text, u60
 from labeltrail.functions.measures import n_if, ratio
 from labeltrail.operators.draws import (Draws, as_rows, auc_step, average_precision_step, sorted_curve, top_share_step,
                                         vector_draws)
 from labeltrail.operators.draws import replicate_sums as vector_sums
-from labeltrail.operators.ranking import attach_one_row, dense_index, ranked, running_totals
+from labeltrail.operators.ranking import attach_one_row, dense_index, null_safe_join, ranked, running_totals
 from labeltrail.session import cut_lineage
 
 
@@ -210,58 +214,105 @@ def top_share_bootstrap(rows: DataFrame, component: str, score: str, tie: str, y
     return interval(reps, [], ["top_precision"], replicates)
 
 
-def sign_flip_test(rows: DataFrame, key: str, value: str, replicates: int, context: str) -> DataFrame:
-    """Two-sided sign-flip permutation p of a mean, with the add-one correction."""
-    v = rows.where(F.col(value).isNotNull()).select(key, F.col(value).cast("double").alias("v"))
-    reps = v.select("*", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
-    bit = F.pmod(u60(key_text(context, F.col("replicate"), F.col(key))), F.lit(2))
-    flips = reps.groupBy("replicate").agg(F.sum(F.when(bit == 1, F.col("v")).otherwise(-F.col("v"))).alias("s"))
-    seen = v.agg(F.sum("v").alias("_s"), F.count("*").alias("n"))
+def sign_flip_test(rows: DataFrame, value: str, replicates: int, context: str) -> DataFrame:
+    """Two-sided sign-flip permutation p of a mean, with the add-one correction.
+
+    Rows of equal size |value| differ in sign alone: their flipped sum is |value| * (2 * ones - rows), where ones counts
+    fair bits.  A hash deals the bits of 60 rows, so work is blocks x replicates, with a block per 60 equal sizes.
+    """
+    v = F.col(value).cast("double")
+    sizes = rows.where(v.isNotNull()).groupBy(F.abs(v).alias("_v")).agg(F.count("*").alias("_c"), F.sum(v).alias("_s"))
+    sizes = cut_lineage(sizes)
+    seen = sizes.agg(F.sum("_s").alias("_s"), F.sum("_c").alias("n"))
+    blocks = sizes.where("_v > 0").withColumn("_b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("_c") - 1) / 60).cast("bigint"))))
+    m = F.least(F.col("_c") - 60 * F.col("_b"), F.lit(60)).cast("int")
+    reps = blocks.withColumn("_m", m).withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+    place = F.round(F.col("_v"), 9).cast("decimal(38,9)").cast("string")
+    bits = u60(key_text(context, F.col("replicate"), place, F.col("_b"))).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("_m")) - 1)
+    flips = reps.groupBy("replicate").agg(F.sum(F.col("_v") * (2 * F.bit_count(bits) - F.col("_m"))).alias("s"))
     x = attach_one_row(flips, seen)
     tol = F.abs(F.col("_s")) - F.lit(1e-9) * F.greatest(F.abs(F.col("_s")), F.lit(1.0))
-    return x.agg(F.max("n").alias("n"), F.round(F.max(F.col("_s") / F.col("n")), 9).alias("mean"),
-                 n_if(F.abs(F.col("s")) >= tol).alias("exceed"),
-                 F.round((n_if(F.abs(F.col("s")) >= tol) + 1) / (replicates + 1), 9).alias("p_value"))
+    hits = n_if(F.abs(F.col("s")) >= tol)
+    return x.agg(F.max("n").alias("n"), F.round(F.max(F.col("_s") / F.col("n")), 9).alias("mean"), hits.alias("exceed"),
+                 F.round((hits + 1) / (replicates + 1), 9).alias("p_value"))
+
+
+#: Clusters up to which every permutation task gets them all (key, rows and rank sum of each).
+CLUSTER_ROWS = 1 << 20
 
 
 def cluster_label_permutation(scores: DataFrame, cluster: str, domain: str, p: str, replicates: int, context: str) -> DataFrame:
-    """Permutation p of the oriented AUC when domain labels are shuffled over clusters.
+    """Permutation p of the oriented AUC of fixed scores when domain labels are shuffled over clusters.
 
-    Each replicate gives the label 1 to the clusters with the smallest hash ranks, as many
-    as carried it.  Ranks are per replicate, over clusters only.
+    Each replicate gives the label 1 to the clusters with the smallest hashes, as many as carried it.  An AUC needs no more than
+    its clusters' rows and rank sums, so scores are ranked once; a task makes one replicate at a time.  More than CLUSTER_ROWS
+    clusters are ranked by hash in one sort of clusters x replicates.  `refits.refit_permutation` fits the scores anew.
     """
-    cl = scores.groupBy(cluster).agg(F.max(domain).alias("d"))
-    n_one = cl.agg(F.sum("d").alias("_k"))
-    reps = cl.select(cluster, F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
-    reps = reps.withColumn("_h", u60(key_text(context, F.col("replicate"), F.col(cluster))))
-    reps = attach_one_row(ranked(reps, ["replicate"], [("_h", "asc"), (cluster, "asc")], "_r"), n_one)
-    reps = reps.select(cluster, "replicate", (F.col("_r") <= F.col("_k")).cast("int").alias("label"))
-    seen = cl.select(cluster, F.lit(-1).alias("replicate"), F.col("d").cast("int").alias("label"))
-    cells = scores.groupBy(cluster, F.col(p).cast("double").alias("score")).agg(F.count("*").alias("n"))
-    cells = cells.join(reps.unionByName(seen), cluster)
-    one = F.col("label") == 1
-    steps = running_totals(cells, ["replicate"], "score", {
-        "pos": F.sum(F.when(one, F.col("n")).otherwise(0)), "neg": F.sum(F.when(~one, F.col("n")).otherwise(0))}, "desc")
-    auc = steps.groupBy("replicate").agg(
-        ratio(F.sum(F.col("neg") * (F.col("cum_pos") - F.col("pos") / 2)), F.sum("pos") * F.sum("neg")).alias("a"))
-    auc = auc.select("replicate", F.round(F.greatest("a", 1 - F.col("a")), 9).alias("auc"))
-    point = auc.where(F.col("replicate") == -1).select(F.col("auc").alias("observed"))
-    x = attach_one_row(auc.where(F.col("replicate") >= 0), point)
+    clean = scores.select(cluster, F.col(domain).cast("int").alias("d"), F.col(p).cast("double").alias("_p"))
+    steps = running_totals(clean, [], "_p", {"_n": F.count("*")}, "asc")
+    ranks = steps.select("_p", (F.col("cum__n") - (F.col("_n") - 1) / 2).alias("_rank"))  # equal scores share their mean rank
+    cl = null_safe_join(clean, ranks, ["_p"]).groupBy(cluster).agg(F.max("d").alias("d"), F.count("*").alias("n"), F.sum("_rank").alias("s"))
+    cl = cut_lineage(cl.withColumn("_key", F.col(cluster).cast("string")))
+    size = cl.agg(F.count("*").alias("k"), F.sum("d").alias("one"), F.sum("n").alias("n")).first()
+    spark, total, ones = scores.sparkSession, int(size.n or 0), int(size.one or 0)
+    whole = cl.agg(F.sum(F.when(F.col("d") == 1, F.col("n"))).alias("n1"), F.sum(F.when(F.col("d") == 1, F.col("s"))).alias("s1"))
+    if size.k <= CLUSTER_ROWS:
+        rows = sorted(((r._key or "", int(r.n), float(r.s)) for r in cl.select("_key", "n", "s").collect()))
+        keys, n, s = [r[0].encode() for r in rows], np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows])
+        shared = spark.sparkContext.broadcast((keys, n, s))
+
+        def drawn(batches):
+            keys, n, s = shared.value
+            for batch in batches:
+                out = []
+                for r in batch.column(0).to_pylist():
+                    start = hashlib.sha256(f"{context}|{r}|".encode())
+                    h = np.empty(len(keys), np.int64)
+                    for i, key in enumerate(keys):
+                        one = start.copy()
+                        one.update(key)
+                        h[i] = int.from_bytes(one.digest()[:8], "big") >> 4
+                    chosen = np.argsort(h, kind="stable")[:ones]
+                    out.append((r, int(n[chosen].sum()), float(s[chosen].sum())))
+                yield pa.record_batch([pa.array([o[i] for o in out]) for i in range(3)], ["replicate", "n1", "s1"])
+
+        reps = spark.range(replicates, numPartitions=min(replicates, 4 * spark.sparkContext.defaultParallelism)).mapInArrow(drawn, "replicate bigint, n1 bigint, s1 double")
+    else:
+        reps = cl.select("_key", "n", "s", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
+        reps = reps.withColumn("_h", u60(key_text(context, F.col("replicate"), F.col("_key"))))
+        reps = ranked(reps, ["replicate"], [("_h", "asc"), ("_key", "asc")], "_r").where(F.col("_r") <= ones)
+        reps = reps.groupBy("replicate").agg(F.sum("n").alias("n1"), F.sum("s").alias("s1"))
+    pairs = F.col("n1") * (F.lit(total) - F.col("n1"))
+    a = ratio(F.col("s1") - F.col("n1") * (F.col("n1") + 1) / 2, pairs.cast("double"))
+    oriented = F.round(F.greatest(a, 1 - a), 9).alias("auc")
+    x = attach_one_row(reps.select("replicate", oriented), whole.select(oriented).withColumnRenamed("auc", "observed"))
     hits = n_if(F.col("auc") >= F.col("observed"))
     return x.agg(F.max("observed").alias("auc"), hits.alias("exceed"), F.round((hits + 1) / (replicates + 1), 9).alias("p_value"))
 
 
-def random_panel_expectation(rows: DataFrame, query: str, item: str, value: str, hit: str, size: int, draws: int,
-                             context: str) -> DataFrame:
-    """Expected best value and hit rate of a uniform random panel of `size` items per query."""
-    from labeltrail.operators.ranking import top_k
+def random_panel_expectation(rows: DataFrame, query: str, item: str, value: str, hit: str, size: int) -> DataFrame:
+    """Expected best value and hit rate of a uniform random panel of `size` items per query, in closed form.
 
-    x = rows.select(query, item, F.col(value).cast("double").alias("v"), F.col(hit).cast("int").alias("h"),
-                    F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
-    x = x.withColumn("_h", u60(key_text(context, F.col("draw"), F.col(query), F.col(item))))
-    panel = top_k(x, [query, "draw"], [("_h", "asc"), (item, "asc")], size)
-    best = panel.groupBy(query, "draw").agg(F.max("v").alias("v"), F.max("h").alias("h"))
-    return best.groupBy(query).agg(F.round(F.avg("v"), 9).alias("expected_best"), F.round(F.avg("h"), 9).alias("expected_hit"))
+    The item of rank i from below among n is the best of a panel of k with chance C(i-1, k-1) / C(n, k); a panel misses all
+    h hits with chance C(n-h, k) / C(n, k).  Items without a value never are the best.  A query with fewer items is one panel.
+    """
+    x = rows.select(query, item, F.col(value).cast("double").alias("v"), F.col(hit).cast("int").alias("h"))
+    x = ranked(x, [query], [("v", "desc"), (item, "asc")], "_r")  # nulls last
+    x = null_safe_join(x, x.groupBy(query).agg(F.count("*").alias("_n")), [query])
+    i, n = F.col("_n") - F.col("_r") + 1, F.col("_n")
+    k = F.least(F.lit(size), n)
+
+    def chance(top: Column, bottom: Column, terms: int, used: Column) -> Column:
+        """Product of (top - j) / (bottom - j) over the first `used` of `terms` factors."""
+        out = F.lit(1.0)
+        for j in range(terms):
+            out = out * F.when(F.lit(j) < used, F.greatest(top - j, F.lit(0)) / (bottom - j)).otherwise(1.0)
+        return out
+
+    best = k / n * chance(i - 1, n - 1, size - 1, k - 1)
+    g = x.withColumn("_b", best * F.col("v")).groupBy(query, "_n").agg(F.sum("_b").alias("b"), F.sum(F.coalesce("h", F.lit(0))).alias("h"))
+    miss = chance(n - F.col("h"), n, size, k)
+    return g.select(query, F.round("b", 9).alias("expected_best"), F.round(1 - miss, 9).alias("expected_hit"))
 
 
 def bh_adjust(tests: DataFrame, p: str, tie: str, within: list[str] | None = None) -> DataFrame:
@@ -286,23 +337,6 @@ def bh_adjust(tests: DataFrame, p: str, tie: str, within: list[str] | None = Non
     return out.drop("_q", "_slice", "_after", "_rank", "_m")
 
 
-def exact_binomial_p(n10, n01) -> Column:
-    """Two-sided exact binomial p at 1/2 of n10 out of n10+n01 (1 when there are none).
-
-    Sums the smaller tail through log ratios of successive terms.
-    """
-    a, b = F.least(n10, n01), F.greatest(n10, n01)
-    n = a + b
-    # term(i+1)/term(i) = (n-i)/(i+1); start from 2^-n and double the tail.
-    log_start = -n.cast("double") * F.log(F.lit(2.0))
-    logs = F.transform(F.sequence(F.lit(1), F.greatest(a, F.lit(1))), lambda i: F.log((n - i + 1) / i))
-    state = F.struct(log_start.alias("log"), F.exp(log_start).alias("sum"))
-    tail = F.aggregate(logs, state, lambda s, x: F.struct(
-        (s["log"] + x).alias("log"), (s["sum"] + F.exp(s["log"] + x)).alias("sum")))
-    p = F.when(a > 0, tail["sum"]).otherwise(F.exp(log_start)) * 2
-    return F.when(n == 0, F.lit(1.0)).when(a == b, F.lit(1.0)).otherwise(F.least(F.lit(1.0), p))
-
-
 def paired_difference(detail: DataFrame, by: list[str], high: str, low: str) -> DataFrame:
     """Risk difference, discordant counts, corrected odds ratio and exact McNemar p."""
     h, l = F.col(high).cast("int"), F.col(low).cast("int")
@@ -311,4 +345,4 @@ def paired_difference(detail: DataFrame, by: list[str], high: str, low: str) ->
         F.round(F.avg(h - l), 9).alias("risk_difference"), n_if((h == 1) & (l == 0)).alias("n10"),
         n_if((h == 0) & (l == 1)).alias("n01"))
     return s.withColumns({"odds_ratio": F.round((F.col("n10") + 0.5) / (F.col("n01") + 0.5), 9),
-                          "mcnemar_p": F.round(exact_binomial_p(F.col("n10"), F.col("n01")), 9)})
+                          "mcnemar_p": F.round(exact_sign_p(F.col("n10"), F.col("n01")), 9)})

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from labeltrail.functions.hashing import bucket, key_text, split_by_share, u60, unit_interval
 from labeltrail.functions.measures import n_if
-from labeltrail.operators.ranking import attach_one_row, ranked, top_k
+from labeltrail.functions.permutation import permuted_index
+from labeltrail.operators.ranking import attach_one_row, null_safe_join, ranked, top_k
 from labeltrail.session import cut_lineage
 
 
@@ -132,54 +133,78 @@ def hard_case_flags(identity, qcov, tcov, structure_rank, same_l3, same_l4, same
     return F.array_join(F.filter(F.array(*[F.when(z(c), F.lit(k)) for k, c in flags.items()]), lambda x: x.isNotNull()), "+")
 
 
-def pool_picks(queries: DataFrame, pool: DataFrame, k: int, source: str, own: str | None = None) -> DataFrame:
-    """k uniform picks per query from the pool of its label, without pairing query and pool.
+def keyed_picks(queries: DataFrame, pool: DataFrame, k: int, source: str, seed: int, truth: DataFrame | None = None) -> DataFrame:
+    """min(k, eligible) uniform picks per query from the pool of its label: (query_id, label, item, eligible, inclusion_probability).
 
-    queries: (query_id, label[, own item]); pool: (label, item).  The pool of a label is
-    indexed once in hash order; a query takes k evenly spaced positions from a keyed start,
-    so every eligible item has inclusion probability min(1, k/n).  The query's own item is
-    skipped by shifting positions past it.
+    queries: (query_id, label, node); pool: (label, l4, exact, node, item).  Items of the query's own node are not eligible.  With
+    `truth` (query_id, level, label; levels l4 and exact) neither are items that share a documented label.  Pick i is the eligible
+    position that the permutation keyed seed|query|source:label sends i to, so picks do not repeat and any engine can replay them.
+
+    A pool is numbered once, in the order (l4, exact, node, item), where all that a query excludes is a few blocks of
+    positions; no query meets its pool.  Blocks may nest or overlap: each counts from where the earlier ones end.  Null labels have no pool.
     """
-    p = ranked(pool.withColumn("_h", u60(key_text(source, F.col("label"), F.col("item")))), ["label"],
-               [("_h", "asc"), ("item", "asc")], "_pos").withColumn("_pos", F.col("_pos") - 1).drop("_h")
-    n = p.groupBy("label").agg(F.count("*").alias("_n"))
-    q = queries.join(n, "label")
-    if own is not None:
-        mine = p.select("label", F.col("item").alias(own), F.col("_pos").alias("_own"))
-        q = q.join(mine, ["label", own], "left")
-        q = q.withColumn("_n", F.col("_n") - F.col("_own").isNotNull().cast("int"))
-    else:
-        q = q.withColumn("_own", F.lit(None).cast("bigint"))
-    q = q.where(F.col("_n") > 0).withColumn("_k", F.least(F.lit(k), F.col("_n")))
-    start = F.pmod(u60(key_text(source, F.col("query_id"), F.col("label"))), F.col("_n"))
-    q = q.withColumn("_start", start).withColumn("_i", F.explode(F.sequence(F.lit(0), (F.col("_k") - 1).cast("int"))))
-    j = F.pmod(F.col("_start") + F.floor(F.col("_i") * F.col("_n") / F.col("_k")), F.col("_n"))
-    pos = F.when(F.col("_own").isNotNull() & (j >= F.col("_own")), j + 1).otherwise(j)
-    picks = q.withColumn("_pos", pos).join(p, ["label", "_pos"])
-    return picks.select("query_id", "label", "item", (F.col("_k") / F.col("_n")).alias("inclusion_probability"))
-
-
-def divergent_picks(truth: DataFrame, pool: DataFrame, k: int, source: str) -> DataFrame:
-    """k uniform picks per query from all pool items whose label is not documented for it.
-
-    truth: (query_id, label); pool: (label, item).  Items are indexed in (label, item)
-    order, so a documented label is one block of indexes.  The j-th eligible position is
-    shifted past the query's blocks, which needs only the blocks, never the pool.
+    levels = ["label", "l4", "exact", "node"]
+    p = ranked(pool.select(*levels, "item"), ["label"], [("l4", "asc"), ("exact", "asc"), ("node", "asc"), ("item", "asc")], "_pos")
+    p = p.where(F.col("label").isNotNull()).withColumn("_pos", F.col("_pos") - 1)
+    q = queries.select("query_id", "label", "node").distinct().join(p.groupBy("label").agg(F.count("*").alias("_size")), "label")
+
+    def runs(*keys: str) -> DataFrame:
+        return p.groupBy(*keys).agg(F.min("_pos").alias("start"), (F.max("_pos") + 1).alias("end"))
+
+    out = q.join(runs(*levels), ["label", "node"]).select("query_id", "label", "start", "end")
+    if truth is not None:
+        for level, keys in (("l4", levels[:2]), ("exact", levels[:3])):
+            said = truth.where(F.col("level") == level).select("query_id", F.col("label").alias(level)).distinct()
+            out = out.unionByName(q.join(said, "query_id").join(runs(*keys), ["label", level]).select("query_id", "label", "start", "end"))
+    blocks = out.groupBy("query_id", "label").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("_b"))  # of one query's labels and node
+    none = F.array().cast("array<struct<start:bigint,end:bigint>>")
+    x = null_safe_join(q, blocks, ["query_id", "label"], "left").withColumn("_b", F.coalesce("_b", none))
+    nothing = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit(0).cast("bigint").alias("done"))
+
+    def covered(s: Column, b: Column) -> Column:
+        return F.struct((s["at"] + F.greatest(b["end"] - F.greatest(b["start"], s["done"]), F.lit(0))).alias("at"), F.greatest(s["done"], b["end"]).alias("done"))
+
+    def passed(s: Column, b: Column) -> Column:
+        """The position once the block is left out, if it begins at or before it."""
+        fresh = F.greatest(b["start"], s["done"])
+        jump = F.when((s["at"] >= fresh) & (b["end"] > fresh), b["end"] - fresh).otherwise(0)
+        return F.struct((s["at"] + jump).alias("at"), F.greatest(s["done"], b["end"]).alias("done"))
+
+    x = x.withColumn("eligible", F.col("_size") - F.aggregate("_b", nothing, covered, lambda s: s["at"])).where(F.col("eligible") > 0)
+    x = x.withColumn("_k", F.least(F.lit(k), F.col("eligible"))).withColumn("_i", F.explode(F.sequence(F.lit(0), (F.col("_k") - 1).cast("int"))))
+    key = F.concat_ws("|", F.lit(str(seed)), F.col("query_id").cast("string"), F.concat_ws(":", F.lit(source), "label"))
+    x = x.withColumn("_j", permuted_index(F.col("_i"), F.col("eligible"), key))
+    start = F.struct(F.col("_j").alias("at"), F.lit(0).cast("bigint").alias("done"))
+    x = x.withColumn("_pos", F.aggregate("_b", start, passed, lambda s: s["at"]))
+    return x.join(p.select("label", "_pos", "item"), ["label", "_pos"]).select(
+        "query_id", "label", "item", "eligible", (F.col("_k") / F.col("eligible")).alias("inclusion_probability"))
+
+
+def augmentation_picks(queries: DataFrame, truth: DataFrame, items: DataFrame, counts: dict[str, int], seed: int) -> DataFrame:
+    """(query_id, item, mechanisms, inclusion_probability): picks of all six pools, one row per query and item.
+
+    queries: (query_id, node, family, match); truth: (query_id, level, label) with levels exact, l4, l3; items: (item, node, exact, l4, l3,
+    family, match).  Items of a documented exact, l4 or l3 label come from that label's pool; items of the query's family, of its
+    match group and of all are taken only where they share no documented l4 or exact label.  `counts` names picks per pool,
+    for the first three per label.  mechanisms: sources with their labels, sorted, joined by `+`; the probability is the largest.
     """
-    p = ranked(pool, [], [("label", "asc"), ("item", "asc")], "_pos").withColumn("_pos", F.col("_pos") - 1)
-    blocks = p.groupBy("label").agg(F.min("_pos").alias("start"), F.count("*").alias("size"))
-    total = p.agg(F.count("*").alias("_total"))
-    q = truth.select("query_id", "label").distinct().join(blocks, "label", "left").groupBy("query_id").agg(
-        F.array_sort(F.collect_list(F.when(F.col("start").isNotNull(), F.struct("start", "size")))).alias("_b"),
-        F.coalesce(F.sum("size"), F.lit(0)).alias("_out"))
-    q = attach_one_row(q, total).withColumn("_n", F.col("_total") - F.col("_out")).where(F.col("_n") > 0)
-    q = q.withColumn("_k", F.least(F.lit(k), F.col("_n")))
-    start = F.pmod(u60(key_text(source, F.col("query_id"))), F.col("_n"))
-    q = q.withColumn("_start", start).withColumn("_i", F.explode(F.sequence(F.lit(0), (F.col("_k") - 1).cast("int"))))
-    j = F.pmod(F.col("_start") + F.floor(F.col("_i") * F.col("_n") / F.col("_k")), F.col("_n"))
-    q = q.withColumn("_pos", F.aggregate("_b", j.cast("bigint"), lambda x, b: F.when(x >= b["start"], x + b["size"]).otherwise(x)))
-    return q.join(p, "_pos").select("query_id", "label", "item", F.col("_n").alias("eligible"),
-                                    (F.col("_k") / F.col("_n")).alias("inclusion_probability"))
+    wide, parts = ["l4", "exact", "node", "item"], []
+    for level in ("exact", "l4", "l3"):
+        asked = truth.where(F.col("level") == level).select("query_id", "label").join(queries.select("query_id", "node"), "query_id")
+        pool = items.withColumn("label", F.col(level)).select("label", *wide)
+        source = f"same_{level}"
+        picks = keyed_picks(asked, pool, counts[source], source, seed)
+        parts.append(picks.withColumn("mechanism", F.concat_ws(":", F.lit(source), "label")))
+    documented = queries.join(truth.select("query_id").distinct(), "query_id", "left_semi")
+    for source, column in (("same_family_divergent", F.col("family")), ("matched_control", F.col("match")), ("global_control", F.lit(""))):
+        asked = documented.select("query_id", column.alias("label"), "node")
+        picks = keyed_picks(asked, items.select(column.alias("label"), *wide), counts[source], source, seed, truth)
+        parts.append(picks.withColumn("mechanism", F.lit(source)))
+    every = parts[0]
+    for more in parts[1:]:
+        every = every.unionByName(more)
+    return every.groupBy("query_id", "item").agg(F.array_join(F.array_sort(F.collect_set("mechanism")), "+").alias("mechanisms"),
+                                                 F.max("inclusion_probability").alias("inclusion_probability"))
 
 
 def domain_balanced_weights(rows: DataFrame, weight: str, source: str) -> DataFrame:

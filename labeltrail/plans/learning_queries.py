@@ -135,10 +135,10 @@ def _l09(t):
     return ft.ensemble_mean(t.scored.select("query_id", "reference_id", items), ["query_id", "reference_id"], "s")
 
 
-@query("l10_blend_weight_choice", f"""with g as (select st, same_l3, weight, round(st/20.0::double*raw + (1 - st/20.0::double)*ident, 9) score from v_scored cross join (select unnest(range(21)) st)), a as ({auc_sql("st", "score", "same_l3", "g")})
-    select round(min(st)/20.0::double, 6) alpha, max(ap) average_precision from (select st, round(average_precision, 9) ap, max(round(average_precision, 9)) over () m from a) where ap = m""")
+@query("l10_blend_weight_choice", f"""with g as (select st, same_l3, weight, round(st/40.0::double*raw + (1 - st/40.0::double)*ident, 9) score from v_scored cross join (select unnest(range(41)) st)), a as ({auc_sql("st", "score", "same_l3", "g")})
+    select round(min(st)/40.0::double, 6) alpha, max(ap) average_precision from (select st, round(average_precision, 9) ap, max(round(average_precision, 9)) over () m from a) where ap = m""")
 def _l10(t):
-    return ft.choose_blend(t.scored, "raw", "ident", "same_l3", "weight", 20)
+    return ft.choose_blend(t.scored, "raw", "ident", "same_l3", "weight", 40)
 
 
 META_SQL = {"v_meta": """select p_partkey id, p_size length, p_brand family, e.embedding, [p_brand, p_type] domains, p_size % 3 <> 0 has_structure from part left join embeddings e on e.vec_id = p_partkey"""}

@@ -63,11 +63,10 @@ def _a04(t):
 
 
 @query("a05_component_totals", f"""select c.component_id, m.endpoint, m.method, {", ".join(f"coalesce(sum(x.{k}), 0)::bigint {k}" for k in ("n", "hit", "tp", "emitted_labels"))}
-    from (select distinct component_id from v_queries) c cross join (select distinct endpoint, method from v_counts where stratum = 'F') m
-    left join v_counts x on x.component_id = c.component_id and x.endpoint = m.endpoint and x.method = m.method and x.stratum = 'F' group by 1, 2, 3""", COUNTS_SQL)
+    from (select distinct component_id from v_queries) c cross join (select distinct endpoint, method from v_counts) m
+    left join v_counts x on x.component_id = c.component_id and x.endpoint = m.endpoint and x.method = m.method group by 1, 2, 3""", COUNTS_SQL)
 def _a05(t):
-    rows = count_rows(t).where(F.col("stratum") == "F")
-    return metrics.component_totals(rows, "component_id", ["endpoint", "method"], ["n", "hit", "tp", "emitted_labels"], t.queries)
+    return metrics.component_totals(count_rows(t), "component_id", ["endpoint", "method"], ["n", "hit", "tp", "emitted_labels"], t.queries)
 
 
 THREE_SQL = {"v_three": """select component_id, endpoint, method, sum(n) n, sum(evaluable) evaluable, sum(hit) hit, sum(emitted) has_output,

@@ -198,27 +198,35 @@ def paired_diff(t):
     return p.groupBy("query_id").agg((one("RAW") - one("DISC")).alias("d"))
 
 
-@query("r14_sign_flip_permutation", f"""with f as (select r, sum(case when {H60.format("'flip|'||r||'|'||query_id")} % 2 = 1 then d else -d end) s from v_diff cross join (select unnest(range(100)) r) group by 1),
-    o as (select sum(d) s, count(*) n from v_diff) select n, round(o.s::double/n, 9) mean, count(*) filter (where abs(f.s) >= abs(o.s)) exceed,
-    round((count(*) filter (where abs(f.s) >= abs(o.s)) + 1)/101.0::double, 9) p_value from f cross join o group by n, o.s""", DIFF_SQL)
+FLIPS = 20_000
+
+
+@query("r14_sign_flip_permutation", f"""with c as (select abs(d)::double v, count(*) c, sum(d) s from v_diff group by 1), b as (select *, least(c - 60*b, 60)::int m from (select *, unnest(range((c + 59)//60)) b from c where v > 0)),
+    f as (select r, sum(v*(2*bit_count({H60.format("'flip|'||r||'|'||v::decimal(38,9)::varchar||'|'||b")} & ((1::bigint << m) - 1)) - m)) s from b cross join (select unnest(range({FLIPS})) r) group by 1),
+    o as (select sum(s) s, sum(c) n from c) select n::bigint n, round(o.s::double/n, 9) mean, count(*) filter (where abs(f.s) >= abs(o.s)) exceed,
+    round((count(*) filter (where abs(f.s) >= abs(o.s)) + 1)/{FLIPS + 1}.0::double, 9) p_value from f cross join o group by n, o.s""", DIFF_SQL)
 def _r14(t):
-    return resample.sign_flip_test(paired_diff(t), "query_id", "d", 100, "flip")
+    return resample.sign_flip_test(paired_diff(t), "d", FLIPS, "flip")
+
+
+PERMUTATIONS = 1000
 
 
 @query("r15_cluster_label_permutation", f"""with cl as (select component_id, max(domain) d from v_dom group by 1),
-    pr as (select component_id, r replicate, row_number() over (partition by r order by {H60.format("'perm|'||r||'|'||component_id")}, component_id) <= (select sum(d) from cl) lab from cl cross join (select unnest(range(30)) r)
+    pr as (select component_id, r replicate, row_number() over (partition by r order by {H60.format("'perm|'||r||'|'||component_id")}, component_id) <= (select sum(d) from cl) lab from cl cross join (select unnest(range({PERMUTATIONS})) r)
       union all select component_id, -1, d = 1 from cl),
     j as (select replicate, p, lab, count(*) m from v_dom join pr using (component_id) group by all),
     a as (select replicate, round(greatest(a, 1-a), 9) auc from {AUC_REPS.format(one="lab", src="j")}), o as (select auc from a where replicate = -1)
-    select max(o.auc) auc, count(*) filter (where a.auc >= o.auc) exceed, round((count(*) filter (where a.auc >= o.auc) + 1)/31.0::double, 9) p_value from a cross join o where replicate >= 0""", R08_DOM)
+    select max(o.auc) auc, count(*) filter (where a.auc >= o.auc) exceed, round((count(*) filter (where a.auc >= o.auc) + 1)/{PERMUTATIONS + 1}.0::double, 9) p_value from a cross join o where replicate >= 0""", R08_DOM)
 def _r15(t):
-    return resample.cluster_label_permutation(domain_rows(t), "component_id", "domain", "p", 30, "perm")
+    return resample.cluster_label_permutation(domain_rows(t), "component_id", "domain", "p", PERMUTATIONS, "perm")
 
 
-@query("r16_random_panel_expectation", f"""with x as (select query_id, ident, same_l4::int h, r, row_number() over (partition by query_id, r order by {H60.format("'panel|'||r||'|'||query_id||'|'||reference_id")}, reference_id) rn from v_scored cross join (select unnest(range(20)) r)),
-    b as (select query_id, r, max(ident) v, max(h) h from x where rn <= 2 group by 1, 2) select query_id, round(avg(v), 9) expected_best, round(avg(h), 9) expected_hit from b group by 1""")
+@query("r16_random_panel_expectation", """with x as (select query_id, ident, same_l4::int h, row_number() over (partition by query_id order by ident, reference_id desc) i, count(*) over (partition by query_id) n from v_scored)
+    select query_id, round(sum(ident*case when n = 1 then 1 else 2.0::double*(i - 1)/(n*(n - 1.0::double)) end), 9) expected_best,
+      round(case when n = 1 then sum(h) else 1 - (n - sum(h))*(n - sum(h) - 1.0::double)/(n*(n - 1.0::double)) end, 9) expected_hit from x group by query_id, n""")
 def _r16(t):
-    return resample.random_panel_expectation(t.scored, "query_id", "reference_id", "ident", "same_l4", 2, 20, "panel")
+    return resample.random_panel_expectation(t.scored, "query_id", "reference_id", "ident", "same_l4", 2)
 
 
 WL = """(({s}::double/{n} + 3.8414588206941236/(2*{n}) - 1.959963984540054*sqrt(({s}::double/{n}*(1-{s}::double/{n}) + 3.8414588206941236/(4*{n}))/{n})) / (1 + 3.8414588206941236/{n}))"""

@@ -180,26 +180,64 @@ def _p12(t):
     return w.select("query_id", "reference_id", F.round("sample_weight", 8).alias("sample_weight"))
 
 
-@query("p14_augmentation_picks", f"""with p as (select l4 label, reference_id item, row_number() over (partition by l4 order by {H60.format("'same_l4|'||l4||'|'||reference_id")}, reference_id) - 1 pos, count(*) over (partition by l4) n from v_refs),
-    q as (select item query_id, label, pos own, n - 1 n, least(3, n-1) k, {H60.format("'same_l4|'||item||'|'||label")} h from p where n > 1),
-    j as (select query_id, label, own, n, k, (h % n + (i*n)//k) % n j from (select *, unnest(range(k)) i from q))
-    select query_id, label, p.item, round(j.k::double/j.n, 9) inclusion_probability from j join p using (label) where p.pos = case when j.j >= own then j.j + 1 else j.j end""")
+# Picks per query, for the first three per documented label.
+AUGMENTATION = {"same_exact": 2, "same_l4": 1, "same_l3": 1, "same_family_divergent": 2, "matched_control": 2, "global_control": 2}
+PICK_SEED = 20260819
+
+
+def walk_sql(base: str) -> str:
+    """SQL twin of `permuted_index`: `base` yields (id columns..., i, size, key) with size > 1; adds j."""
+    steps = "select *, v >> half l0, v & ((1::bigint << half) - 1) r0 from w where step = 0 or v >= size"
+    for t in range(6):
+        steps = f"select *, r{t} l{t + 1}, xor(l{t}, {H60.format(f"key||'|{t}|'||r{t}")} & ((1::bigint << half) - 1)) r{t + 1} from ({steps})"
+    return f"""with recursive b as ({base}), w as (select query_id, source, label, i, size, key, greatest(1, (length(bin(size - 1)) + 1)//2)::int half, i::bigint v, 0 step from b
+      union all select query_id, source, label, i, size, key, half, (l6 << half) | r6, step + 1 from ({steps})) select query_id, source, label, i, size, v j from w where step > 0 and v < size"""
+
+
+PICK_SQL = {
+    "v_item": "select reference_id item, cluster_id node, exact, l4, l3, family, floor(ref_price/250)::int::varchar||'|'||family match from v_refs",
+    "v_said": "select query_id, lower(endpoint) level, label from v_truth",
+    "v_home": "select query_id, node, family, match from (select query_id, min(reference_id) item from v_hits where flag = 'R' group by 1) join v_item using (item)",
+    "v_asked": """select query_id, 'same_'||level source, label, node from v_said join v_home using (query_id) union all
+      select query_id, s source, case s when 'same_family_divergent' then family when 'matched_control' then match else '' end label, node from v_home cross join (select unnest(['same_family_divergent', 'matched_control', 'global_control']) s)"""}
+
+
+def eligible_sql(sources: str) -> str:
+    return f"""select a.query_id, a.source, a.label, i.item, row_number() over (partition by a.query_id, a.source, a.label order by i.l4, i.exact, i.node, i.item) - 1 r, count(*) over (partition by a.query_id, a.source, a.label) size
+      from v_asked a join v_item i on a.label = case a.source when 'same_exact' then i.exact when 'same_l4' then i.l4 when 'same_l3' then i.l3 when 'same_family_divergent' then i.family when 'matched_control' then i.match else '' end
+      left join v_said s4 on s4.query_id = a.query_id and s4.level = 'l4' and s4.label = i.l4 left join v_said se on se.query_id = a.query_id and se.level = 'exact' and se.label = i.exact
+      where i.node <> a.node and (a.source in ('same_exact', 'same_l4', 'same_l3') or (s4.label is null and se.label is null)) and a.source in ({sources})"""
+
+
+def picks_sql(sources: list[str]) -> dict[str, str]:
+    k = "case e.source " + " ".join(f"when '{s}' then {n}" for s, n in AUGMENTATION.items()) + " end"
+    base = f"""select * from (select query_id, source, label, size, unnest(range(least({k}, size))) i, '{PICK_SEED}|'||query_id||'|'||source||':'||label "key" from (select distinct query_id, source, label, size from v_el) e) where size > 1"""
+    return {**PICK_SQL, "v_el": eligible_sql(", ".join(f"'{s}'" for s in sources)), "v_walk": walk_sql(base),
+            "v_pick": f"""select e.query_id, e.source, e.label, e.item, e.size, least({k}, e.size)::double/e.size p from v_el e left join v_walk w on w.query_id = e.query_id and w.source = e.source and w.label = e.label and w.j = e.r where e.size = 1 or w.j is not null"""}
+
+
+def augmentation_tables(t):
+    items = t.refs.select(F.col("reference_id").alias("item"), F.col("cluster_id").alias("node"), "exact", "l4", "l3", "family",
+                          F.concat_ws("|", F.floor(F.col("ref_price") / 250).cast("string"), "family").alias("match"))
+    truth = t.truth.select("query_id", F.lower("endpoint").alias("level"), "label")
+    home = t.hits.where(F.col("flag") == "R").groupBy("query_id").agg(F.min("reference_id").alias("item"))
+    return home.join(items, "item").select("query_id", "node", "family", "match"), truth, items
+
+
+@query("p14_augmentation_picks", """select query_id, item, string_agg(distinct m, '+' order by m) mechanisms, round(max(p), 9) inclusion_probability
+    from (select *, case when source in ('same_exact', 'same_l4', 'same_l3') then source||':'||label else source end m from v_pick) group by 1, 2""", picks_sql(list(AUGMENTATION)))
 def _p14(t):
-    items = t.refs.select(F.col("l4").alias("label"), F.col("reference_id").alias("item"))
-    q = items.select(F.col("item").alias("query_id"), "label", F.col("item").alias("own_item"))
-    out = sampling.pool_picks(q, items, 3, "same_l4", "own_item")
-    return out.select("query_id", "label", "item", F.round("inclusion_probability", 9).alias("inclusion_probability"))
+    out = sampling.augmentation_picks(*augmentation_tables(t), AUGMENTATION, PICK_SEED)
+    return out.withColumn("inclusion_probability", F.round("inclusion_probability", 9))
 
 
-@query("p15_global_divergent_picks", f"""with p as (select l4 label, reference_id item, row_number() over (order by l4, reference_id) - 1 pos from v_refs), tr as (select query_id, label from v_truth where endpoint = 'L4'),
-    e as (select query_id, (select count(*) from p) - sum(c) n from tr join (select label, count(*) c from p group by 1) using (label) group by 1),
-    el as (select t.query_id, p.item, p.label, row_number() over (partition by t.query_id order by p.pos) - 1 r from (select distinct query_id from tr) t join p on not exists (select 1 from tr where tr.query_id = t.query_id and tr.label = p.label)),
-    j as (select query_id, n, ({H60.format("'divergent|'||query_id")} % n + (i*n)//2) % n j from e cross join (select unnest([0, 1]) i))
-    select j.query_id, el.label, el.item, j.n::bigint eligible, round(2.0::double/j.n, 9) inclusion_probability from j join el on el.query_id = j.query_id and el.r = j.j""")
+@query("p15_global_divergent_picks", "select query_id, item, size eligible, round(p, 9) inclusion_probability from v_pick", picks_sql(["global_control"]))
 def _p15(t):
-    truth = t.truth.where(F.col("endpoint") == "L4")
-    out = sampling.divergent_picks(truth, t.refs.select(F.col("l4").alias("label"), F.col("reference_id").alias("item")), 2, "divergent")
-    return out.withColumn("inclusion_probability", F.round("inclusion_probability", 9))
+    queries, truth, items = augmentation_tables(t)
+    every = F.lit("").alias("label")
+    out = sampling.keyed_picks(queries.select("query_id", every, "node"), items.select(every, "l4", "exact", "node", "item"), AUGMENTATION["global_control"],
+                               "global_control", PICK_SEED, truth)
+    return out.select("query_id", "item", "eligible", F.round("inclusion_probability", 9).alias("inclusion_probability"))
 
 
 @query("p16_domain_balanced_weights", """select query_id, reference_id, round(weight/sum(weight) over (partition by stratum) * count(*) over () / (select count(distinct stratum) from v_scored), 8) balanced_weight from v_scored""")

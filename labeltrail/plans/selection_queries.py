@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from labeltrail.functions import measures as ms
+from labeltrail.functions.binomial import exact_lower_bound
 from labeltrail.operators import curves, matching, metrics, resample
 from labeltrail.operators.ranking import exact_quantiles, top_k, top_one
 from labeltrail.plans.metric_queries import SAFE_Q, TOP_SQL, VOTE_SQL, WILSON, agreement, tops
@@ -33,19 +34,19 @@ def index_sql(source: str, key: str, within: str = "") -> str:
 
 
 @query("a34_domain_guarded_cutoff", f"""with so as (select raw s, row_number() over (order by raw) - 1 i, count(*) over () n from v_top),
-    q as (select j, l.s + (h.s - l.s)*(j*(l.n-1)/40.0::double - (j*(l.n-1))//40) thr from (select unnest(range(41)) j) join so l on l.i = (j*(l.n-1))//40 join so h on h.i = (j*(l.n-1)+39)//40),
+    q as (select j, l.s + (h.s - l.s)*(j*(l.n-1)/120.0::double - (j*(l.n-1))//120) thr from (select unnest(range(121)) j) join so l on l.i = (j*(l.n-1))//120 join so h on h.i = (j*(l.n-1)+119)//120),
     q1 as (select thr, min(j) j from q group by 1),
     src as (select j, thr, stratum, count(*) n, sum(same_l3::int) ok from q1 join v_top v on v.raw >= thr group by 1, 2, 3),
     acc as (select j, thr, sum(n) n, sum(ok) ok, count(*) filter (where stratum <> 'F' and n >= 8 and ok::double/n < 0.2) br from src group by 1, 2),
     fine as (select acc.*, c.c from acc join (select j, count(distinct component_id) c from q1 join v_top v on v.raw >= thr group by 1) c using (j)
        where n >= 50 and c.c >= 20 and ok::double/n >= 0.25 and br = 0),
     cells as (select f.j step, component_id, sum(same_l3::int) ok, count(*) n from fine f join v_top v on v.raw >= f.thr group by 1, 2),
-    dr as ({draws_sql("cells", "component_id", 40, "guard", "step")}),
+    dr as ({draws_sql("cells", "component_id", 200, "guard", "step")}),
     low as (select step, quantile_cont(p, 0.025) lower from (select step, replicate, sum(ok*multiplicity)::double/sum(n*multiplicity) p from cells join dr using (step, component_id) group by 1, 2) group by 1)
     select thr threshold, n::bigint accepted, c clusters, round(ok::double/n, 9) "precision", round(lower, 9) lower from fine join low on low.step = fine.j
     where lower >= 0.25 order by n desc, ok::double/n desc, thr limit 1""", TOP_SQL)
 def _a34(t):
-    return curves.guarded_cutoff(tops(t), "raw", "same_l3", "component_id", "stratum", "F", 0.25, 0.2, 40, "guard", steps=40)
+    return curves.guarded_cutoff(tops(t), "raw", "same_l3", "component_id", "stratum", "F", 0.25, 0.2, 200, "guard", steps=120)
 
 
 BUDGETS = [1, 2, 99]
@@ -67,11 +68,11 @@ def _safe_cte(name, src, score, y, keys, m, minimum):
 
 
 @query("a35_budget_rule_table", f"""with t3 as (select *, unnest([0.2, 0.3])::double target from v_btop where lv = 'L3'),
-    {_safe_cte("a", "t3", "raw", "same_l3", ["budget", "target"], 200, 60)},
+    {_safe_cte("a", "t3", "raw", "same_l3", ["budget", "target"], 1000, 60)},
     g as (select d.budget, d.target, coalesce(b.b.thr, 1.000001) thr, coalesce(b.b.n, 0) n, coalesce(b.b.s, 0)::bigint ok, d.c from
       (select budget, target, count(*) c from t3 group by 1, 2) d left join a_b b using (budget, target)),
     t4 as (select v.*, g.target from v_btop v join g using (budget) where v.lv = 'L4' and v.raw >= g.thr),
-    {_safe_cte("e", "t4", "ident", "same_l4", ["budget", "target"], 200, 60)}
+    {_safe_cte("e", "t4", "ident", "same_l4", ["budget", "target"], 1000, 60)}
     select 'L3' level, budget, target, thr threshold, n accepted, ok accepted_correct, round(n::double/c, 9) coverage from g
     union all select 'L4', g.budget, g.target, coalesce(b.b.thr, 1.000001), coalesce(b.b.n, 0), coalesce(b.b.s, 0)::bigint, round(coalesce(b.b.n, 0)::double/coalesce(d.c, 1), 9)
       from g left join (select budget, target, count(*) c from t4 group by 1, 2) d using (budget, target) left join e_b b using (budget, target)""", RULE_SQL)
@@ -81,7 +82,7 @@ def _a35(t):
     tie = ("reference_id", "asc")
     picks = {lv: top_one(rows, ["query_id", "budget"], [(s, "desc"), tie]) for lv, s in (("L3", "raw"), ("L4", "ident"))}
     out = curves.hierarchy_rules(picks, ["budget"], {"L3": "raw", "L4": "ident"}, {"L3": "same_l3", "L4": "same_l4"},
-                                 [0.2, 0.3], 60, 200)
+                                 [0.2, 0.3], 60, 1000)
     return out.select("level", "budget", "target", "threshold", "accepted", "accepted_correct", "coverage")
 
 
@@ -267,18 +268,23 @@ def _a51(t):
                                  z(f <= 5).alias("hit_5"), z(1 / f).alias("mrr"))
 
 
-@query("a52_blinded_cohort_measure", f"""with a as (select stratum, component_id, count(*) n, sum(same_l3::int) ok from v_top where raw >= 0.3 group by 1, 2),
-    t as (select stratum, count(*) tot from v_queries group by 1), dr as ({draws_sql("a", "component_id", 40, "measure", "stratum")}),
-    b as (select stratum, quantile_cont(p, 0.025) lo, quantile_cont(p, 0.975) hi from (select stratum, replicate, sum(ok*multiplicity)::double/sum(n*multiplicity) p from a join dr using (stratum, component_id) group by 1, 2) group by 1)
-    select stratum, tot total_queries, sum(n)::bigint accepted, count(*) clusters, round(sum(n)::double/tot, 9) coverage, sum(ok)::bigint correct, round(sum(ok)::double/sum(n), 9) "precision",
-      round(lo, 9) lower, round(hi, 9) upper, (sum(n) >= 50 and count(*) >= 20 and sum(ok)::double/sum(n) >= 0.3 and lo >= 0.3)::int qualifies from a join t using (stratum) join b using (stratum) group by stratum, tot, lo, hi""", TOP_SQL)
+@query("a52_blinded_cohort_measure", f"""with recursive a as (select stratum, component_id, count(*) n, sum(same_l3::int) ok from v_top where raw >= 0.3 group by 1, 2),
+    t as (select stratum, count(*) tot from v_queries group by 1), dr as ({draws_sql("a", "component_id", 2000, "measure", "stratum")}),
+    b as (select stratum, quantile_cont(p, 0.025) lo, quantile_cont(p, 0.975) hi from (select stratum, replicate, sum(ok*multiplicity)::double/sum(n*multiplicity) p from a join dr using (stratum, component_id) group by 1, 2) group by 1),
+    h as (select stratum, sum(n)::bigint n, sum(ok)::bigint s, 0.0::double lo, 1.0::double hi, 0 i from a group by 1 having sum(ok) > 0 union all
+      select stratum, n, s, case when q < 0.025 then m else lo end, case when q < 0.025 then hi else m end, i + 1 from (select *, list_sum(list_transform(range(s, n + 1), lambda k: exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + k*ln(m) + (n - k)*ln(1 - m)))) q
+        from (select *, (lo + hi)/2 m from h where i < 60))),
+    cp as (select stratum, (lo + hi)/2 cp from h where i = 60)
+    select stratum, any_value(round(coalesce(cp, 0), 8)) exact_lower, tot total_queries, sum(n)::bigint accepted, count(*) clusters, round(sum(n)::double/tot, 9) coverage, sum(ok)::bigint correct, round(sum(ok)::double/sum(n), 9) "precision",
+      round(lo, 9) lower, round(hi, 9) upper, (sum(n) >= 50 and count(*) >= 20 and sum(ok)::double/sum(n) >= 0.3 and lo >= 0.3)::int qualifies from a join t using (stratum) join b using (stratum) left join cp using (stratum) group by stratum, tot, lo, hi""", TOP_SQL)
 def _a52(t):
     acc = tops(t).where(F.col("raw") >= 0.3)
-    m = resample.precision_lower_bound(acc, "component_id", ["stratum"], "same_l3", 40, "measure")
+    m = resample.precision_lower_bound(acc, "component_id", ["stratum"], "same_l3", 2000, "measure")
     total = t.queries.groupBy("stratum").agg(F.count("*").alias("total_queries"))
     q = (F.col("n") >= 50) & (F.col("clusters") >= 20) & (F.col("precision") >= 0.3) & (F.col("lower") >= 0.3)
     return m.join(total, "stratum").select("stratum", "total_queries", F.col("n").alias("accepted"), "clusters", F.round(F.col("n") / F.col("total_queries"), 9).alias("coverage"),
-                                           F.col("ok").alias("correct"), "precision", "lower", "upper", q.cast("int").alias("qualifies"))
+                                           F.col("ok").alias("correct"), "precision", "lower", "upper", q.cast("int").alias("qualifies"),
+                                           F.round(exact_lower_bound(F.col("ok"), F.col("n")), 8).alias("exact_lower"))
 
 
 @query("a53_unique_mapping_resolution", """select query_id, exact, case when count(distinct l4) = 1 then min(l4) end l4, case when count(distinct l4) = 1 then 'UNIQUE_MAPPING' else 'AMBIGUOUS_MAPPING' end basis
@@ -328,14 +334,14 @@ def _a55(t):
                                                 ms.rate("correct").alias("precision_top1"), F.round(ms.n_if("correct") / n, 9).alias("correct_coverage"))
 
 
-@query("a56_native_score_policy", """with c as (select "method", direction, thr, count(*) n, sum(correct::int) ok, count(distinct component_id) cl from (
-      select a."method", d.direction, a.thr, v.correct, v.component_id from (select distinct "method", score thr from v_mtop) a cross join (select unnest(['HIGH','LOW']) direction) d
-      join v_mtop v on v."method" = a."method" and case when d.direction = 'HIGH' then v.score >= a.thr else v.score <= a.thr end where a."method" <> 'PRICE') group by 1, 2, 3)
-    select "method", direction, thr threshold, n accepted, cl clusters, round(ok::double/n, 9) "precision" from (select *, row_number() over (partition by "method" order by n desc, round(ok::double/n, 9) desc, abs(thr), direction desc, thr desc) rn from c
+@query("a56_native_score_policy", """with d as (select "method", direction, case when direction = 'HIGH' then score else -score end x, correct, component_id from v_mtop cross join (select unnest(['HIGH','LOW']) direction)),
+    s as (select "method", direction, x, count(*) n, sum(correct::int) ok from d group by 1, 2, 3),
+    f as (select "method", direction, x, count(*) cl from (select "method", direction, component_id, max(x) x from d group by 1, 2, 3) group by 1, 2, 3),
+    c as (select "method", direction, case when direction = 'HIGH' then x else -x end thr, sum(n) over w n, sum(ok) over w ok, sum(coalesce(cl, 0)) over w cl from s left join f using ("method", direction, x) window w as (partition by "method", direction order by x desc))
+    select "method", direction, thr threshold, n::bigint accepted, cl::bigint clusters, round(ok::double/n, 9) "precision" from (select *, row_number() over (partition by "method" order by n desc, round(ok::double/n, 9) desc, abs(thr), direction desc, thr desc) rn from c
       where n >= 20 and cl >= 10 and round(ok::double/n, 9) >= 0.335) where rn = 1""", METHOD_SQL)
 def _a56(t):
-    rows = method_tops(t).where(F.col("method") != "PRICE")
-    return curves.native_policy(rows, ["method"], "score", "correct", "component_id", 20, 10, 0.335)
+    return curves.native_policy(method_tops(t), ["method"], "score", "correct", "component_id", 20, 10, 0.335)
 
 
 @query("a57_spearman_of_metric_pairs", """with r as (select rank() over (order by raw) + (count(*) over (partition by raw) - 1)/2.0::double a, rank() over (order by ref_price) + (count(*) over (partition by ref_price) - 1)/2.0::double b from v_scored join v_refs using (reference_id))

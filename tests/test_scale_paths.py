@@ -99,12 +99,39 @@ def test_pps_scale_reaches_target(spark):
     assert abs(sum(min(1.0, c / (i + 1)) for i in range(200)) - 50) < 1e-6
 
 
-def test_pool_picks_are_distinct_and_skip_own(spark):
-    pool = spark.range(50).select((F.col("id") % 3).cast("string").alias("label"), F.col("id").alias("item"))
-    q = pool.select(F.col("item").alias("query_id"), "label", F.col("item").alias("own"))
-    r = sampling.pool_picks(q, pool, 4, "x", "own")
-    assert r.where(F.col("query_id") == F.col("item")).count() == 0
-    assert r.count() == r.select("query_id", "item").distinct().count() == 200
+def test_keyed_picks_equal_a_plain_loop(spark):
+    import hashlib
+    import random
+
+    def walk(i, size, key):
+        bits = max(1, (max(size - 1, 1).bit_length() + 1) // 2)
+        mask = (1 << bits) - 1
+        while size > 1:
+            left, right = i >> bits, i & mask
+            for t in range(6):
+                left, right = right, left ^ (int(hashlib.sha256(f"{key}|{t}|{right}".encode()).hexdigest()[:15], 16) & mask)
+            i = (left << bits) | right
+            if i < size:
+                return i
+        return 0
+
+    rng = random.Random(1)
+    items = [(rng.choice("pq"), f"l{rng.randrange(4)}", rng.choice([None, "e1", "e2", "e3"]), rng.randrange(6), i) for i in range(160)]
+    truth = [(q, "l4", f"l{rng.randrange(5)}") for q in range(12)] + [(q, "exact", f"e{rng.randrange(1, 5)}") for q in range(12) for _ in range(2)]
+    queries = [(q, label, rng.randrange(7)) for q in range(13) for label in "pqr"] + [(3, None, 1)]
+    last = lambda x: (x is None, x or "")
+    pool = sorted(items, key=lambda r: (last(r[1]), last(r[2]), r[3], r[4]))
+    for divergent in (False, True):
+        got = sampling.keyed_picks(spark.createDataFrame(queries, "query_id long, label string, node long"),
+                                   spark.createDataFrame(items, "label string, l4 string, exact string, node long, item long").repartition(5), 4, "src", 7,
+                                   spark.createDataFrame(truth, "query_id long, level string, label string") if divergent else None)
+        want = []
+        for q, label, node in queries:
+            said = {(lv, x) for i, lv, x in truth if i == q} if divergent else set()
+            free = [r for r in pool if r[0] == label and r[3] != node and ("l4", r[1]) not in said and ("exact", r[2]) not in said]
+            k = min(4, len(free))
+            want += [(q, label, free[walk(i, len(free), f"7|{q}|src:{label}")][4], len(free), k / len(free)) for i in range(k)]
+        assert sorted(map(tuple, got.collect())) == sorted(want)
 
 
 def test_components_of_a_path_and_a_hub(spark):
@@ -128,10 +155,3 @@ def test_nearest_neighbours_blocks_agree_with_brute_force(spark):
 def test_matching_is_one_to_one(skewed):
     m = matching.exact_stratum_match(skewed, [F.col("g")], F.col("y") == 1, F.col("y") == 0, ["id"])
     assert m.count() == m.select("t_id").distinct().count() == m.select("c_id").distinct().count()
-
-
-def test_domain_probabilities_cover_every_row_once(spark):
-    d = spark.range(240).select(F.col("id"), (F.col("id") % 40).alias("grp"), (F.col("id") % 40 < 20).cast("int").alias("dom"),
-                                ((F.col("id") % 40 < 20).cast("double") + F.col("id") % 3).alias("x"))
-    p = learning.domain_probabilities(d, ["x"], "dom", "grp", 2, 1)
-    assert p.count() == 240 and p.groupBy("grp").agg(F.count_distinct("fold").alias("f")).agg(F.max("f")).first()[0] == 1
