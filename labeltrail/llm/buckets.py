@@ -8,10 +8,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from labeltrail.llm.common import staged
+from labeltrail.llm.common import release, staged
 from labeltrail.operators.components import connected_minimum
 
 
+def within_difference(a: Callable[[str], Column], b: Callable[[str], Column], size: str, sketch: list[str], similarity: float) -> Column:
+    """Whether sizes and odd sketches leave a Jaccard similarity possible; never rules out a pair that has it.
+
+    An odd sketch flips one of its bits for each element, so two sketches differ in no more bits than the sets differ in elements, and
+    sets of n and m elements at the similarity differ in at most (n + m) * (1 - similarity) / (1 + similarity).
+    """
+    apart = F.lit(0)
+    for c in sketch:
+        apart = apart + F.bit_count(a(c).bitwiseXOR(b(c)))
+    n, m = a(size), b(size)
+    return (F.least(n, m) >= similarity * F.greatest(n, m)) & (apart * (1 + similarity) <= (n + m) * (1 - similarity) + 1e-6)
+
+
 def shared_buckets(keys: DataFrame) -> DataFrame:
     """The rows (key, node) of keys that more than one node has."""
     full = keys.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
@@ -28,11 +41,13 @@ def bucket_links(buckets: DataFrame, plausible: Callable[[DataFrame], DataFrame]
        belongs together.
     3. and on: members of the 16, 64, ... smallest components meet all members of other components, and leave.
     A bucket ends when one component is left: a group of copies costs a few comparisons a member, and any pair that could
-    still join two components is compared in the end.  Pairs are not verified twice.
+    still join two components is compared in the end.  Pairs are not verified twice.  What a round has staged goes with the
+    round, but for its pairs and links.
     """
     facts = [c for c in buckets.columns if c not in ("key", "node")]
     links, component, tested, turn = [], None, None, 0
     while True:
+        done = [buckets]
         if component is None:
             rows = buckets.withColumns({"component": F.col("node"), "c": F.lit(1).cast("long")})
         else:
@@ -43,13 +58,15 @@ def bucket_links(buckets: DataFrame, plausible: Callable[[DataFrame], DataFrame]
         rows = rows.select("key", "node", "component", "c", *facts)
         if turn:
             rows = staged(rows, "open")
+            done.append(rows)
             if rows.isEmpty():
-                return links
+                break
             place = F.row_number().over(Window.partitionBy("key").orderBy("c", "component", "node"))
             first = rows.withColumn("place", place).where(F.col("place") <= 16 * 4 ** max(turn - 2, 0)).drop("place")
         else:
             first = rows.join(rows.groupBy("key").agg(F.min("node").alias("node")), ["key", "node"])
         first = staged(first.select("key", F.col("node").alias("pivot"), F.col("component").alias("own"), *[F.col(c).alias(f"pivot_{c}") for c in facts]), "pivots")
+        done.append(first)
         others = rows
         if turn == 1:
             among = F.row_number().over(Window.partitionBy("key", "component").orderBy(F.xxhash64("node"), "node"))
@@ -63,14 +80,25 @@ def bucket_links(buckets: DataFrame, plausible: Callable[[DataFrame], DataFrame]
         pairs = staged(plausible(pairs), "pairs")
         links.append(staged(verified(pairs).distinct(), "links"))
         tested = pairs if tested is None else tested.unionByName(pairs)
-        if turn != 1:  # pivots have met everybody
-            buckets = rows.join(first.select("key", F.col("pivot").alias("node")), ["key", "node"], "left_anti")
-            again = buckets.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
-            buckets = staged(buckets.join(again.select("key"), "key").select("key", "node", *facts), "buckets")
+        if turn == 1:
+            release(*done[1:])
+        else:  # pivots have met everybody
+            left = rows.join(first.select("key", F.col("pivot").alias("node")), ["key", "node"], "left_anti")
+            again = left.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
+            buckets = staged(left.join(again.select("key"), "key").select("key", "node", *facts), "buckets")
+            release(*done)
             if buckets.isEmpty():
-                return links
+                done = [buckets]
+                break
         turn += 1
-        found = links[0]
-        for more in links[1:]:
-            found = found.unionByName(more)
-        component = connected_minimum(found.select("a", "b")).select("node", F.col("canonical").alias("component"))
+        component = connected_minimum(all_links(links)).select("node", F.col("canonical").alias("component"))
+    release(*done)
+    return links
+
+
+def all_links(links: list[DataFrame]) -> DataFrame:
+    """The links (a, b) of all rounds."""
+    out = links[0].select("a", "b")
+    for more in links[1:]:
+        out = out.unionByName(more.select("a", "b"))
+    return out

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from labeltrail.llm.buckets import bucket_links, shared_buckets
+from labeltrail.llm.buckets import bucket_links, shared_buckets, within_difference
 from labeltrail.llm.common import staged, text_of
 from labeltrail.llm.tokens import SPACES, chunks, distinct, mix, shingles, words
 from labeltrail.operators.components import connected_minimum
@@ -19,6 +19,8 @@ REGISTERS = 128
 BAND = 4
 #: Bits after the leading one that a register keeps beside the count of leading zeros.
 MANTISSA = 10
+#: Longs of the odd sketch that rules pairs out exactly; sets much larger than its bits only have the register bits.
+ODD = [f"odd{i}" for i in range(8)]
 #: Standard deviations below the threshold at which an estimate rules a pair out.
 SLACK = 6.0
 
@@ -79,8 +81,8 @@ def estimate(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.n
 
 
 def sketches(docs: DataFrame, words_per_shingle: int, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, n, s1, s2, registers, bands, low1, low2): size and two hashes of each whole text's shingle set, its sketch, and
-    the lowest bits of the registers as two integers."""
+    """(doc_id, n, s1, s2, registers, bands, low1, low2, odd...): size and two hashes of each whole text's shingle set, its sketch,
+    the lowest bits of the registers as two integers, and an odd sketch of the set."""
     source = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
     kind = source.schema["doc_id"].dataType.simpleString()
 
@@ -98,14 +100,18 @@ def sketches(docs: DataFrame, words_per_shingle: int, id_col: str, text_col: str
                 registers = registers_of(rows, hashes, n_rows)
                 bands = bands_of(registers)
                 low = np.ascontiguousarray(np.packbits((registers & 1).astype(np.uint8), axis=1)).view(np.int64)
+                bits = 64 * len(ODD)
+                odd = np.bincount(rows * bits + (mix(hashes ^ np.uint64(0x2545F4914F6CDD1D)) % np.uint64(bits)).astype(np.int64), minlength=n_rows * bits) & 1
+                odd = np.ascontiguousarray(np.packbits(odd.astype(np.uint8).reshape(n_rows, bits), axis=1)).view(np.int64)
                 yield pa.record_batch([
                     batch.column("doc_id").slice(first, n_rows), pa.array(n.astype(np.int64)), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)),
                     pa.array([r.tobytes() for r in registers], pa.binary()),
                     pa.FixedSizeListArray.from_arrays(pa.array(bands.ravel()), bands.shape[1]).cast(pa.list_(pa.int64())),
-                    pa.array(np.ascontiguousarray(low[:, 0])), pa.array(np.ascontiguousarray(low[:, 1]))],
-                    ["doc_id", "n", "s1", "s2", "registers", "bands", "low1", "low2"])
+                    pa.array(np.ascontiguousarray(low[:, 0])), pa.array(np.ascontiguousarray(low[:, 1])),
+                    *[pa.array(np.ascontiguousarray(odd[:, i])) for i in range(len(ODD))]],
+                    ["doc_id", "n", "s1", "s2", "registers", "bands", "low1", "low2", *ODD])
 
-    return source.mapInArrow(run, f"doc_id {kind}, n long, s1 long, s2 long, registers binary, bands array<long>, low1 long, low2 long")
+    return source.mapInArrow(run, f"doc_id {kind}, n long, s1 long, s2 long, registers binary, bands array<long>, low1 long, low2 long, " + ", ".join(f"{c} long" for c in ODD))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, words_per_shingle: int, percent: int) -> DataFrame:
@@ -139,7 +145,7 @@ def _near(a: Callable[[str], Column], b: Callable[[str], Column], percent: int)
     share = (1 - percent / 100) / 2  # of differing bits at the threshold
     apart = F.bit_count(a("low1").bitwiseXOR(b("low1"))) + F.bit_count(a("low2").bitwiseXOR(b("low2")))
     spread = math.sqrt(REGISTERS * share * (1 - share)) * F.sqrt(REGISTERS / F.least(a("n"), b("n"), F.lit(REGISTERS)))
-    return (100 * F.least(a("n"), b("n")) >= percent * F.greatest(a("n"), b("n"))) & (apart <= REGISTERS * share + SLACK * spread)
+    return within_difference(a, b, "n", ODD, percent / 100) & (apart <= REGISTERS * share + SLACK * spread)
 
 
 def _plausible(pairs: DataFrame, sketch: DataFrame, percent: int) -> DataFrame:
@@ -170,8 +176,8 @@ def near_duplicates(docs: DataFrame, words_per_shingle: int = 5, percent: int =
 
     Equal sets are one class from the start.  Classes share a bucket if a band of registers agrees; buckets are worked off in
     rounds (bucket_links), where every pair that could join two components is compared in the end and nothing is capped.
-    Sizes, register bits and corrected estimates rule pairs out 6 standard deviations below the threshold, full sets confirm
-    the rest.
+    Sizes and odd sketches rule pairs out exactly, register bits and corrected estimates 6 standard deviations below the
+    threshold; full sets confirm the rest.
 
     Null or empty texts and texts without words: 0 shingles, linked with nothing.  Rows with one id are one vertex.
     Null ids are linked with nothing and have a null component and kept true.  Empty table: no rows.  Other columns of `docs`
@@ -191,7 +197,7 @@ def near_duplicates(docs: DataFrame, words_per_shingle: int = 5, percent: int =
             classes.select("n", "s1", "s2", "node"), ["n", "s1", "s2"]).where(F.col("doc_id") == F.col("node"))
         sketch_of = nodes.select("node", "n", "registers").dropDuplicates(["node", "n"])
         once = nodes.dropDuplicates(["node", "n"])
-        buckets = shared_buckets(once.select("node", "n", "low1", "low2", F.explode("bands").alias("key")))
+        buckets = shared_buckets(once.select("node", "n", "low1", "low2", *ODD, F.explode("bands").alias("key")))
         wanted = buckets.select(F.col("node").alias("doc_id")).distinct()
         texts = staged(docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text")).join(wanted, "doc_id", "left_semi"), "texts")
         links = bucket_links(buckets, lambda pairs: _plausible(pairs, sketch_of, percent),
