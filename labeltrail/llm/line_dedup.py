@@ -10,18 +10,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from labeltrail.llm.buckets import bucket_links, shared_buckets
-from labeltrail.llm.common import staged, text_of
+from labeltrail.llm.buckets import all_links, bucket_links, shared_buckets, within_difference
+from labeltrail.llm.common import release, staged, text_of
 from labeltrail.operators.components import connected_minimum
 
 CLASSES = 12
+#: White space; a line of nothing else is blank, and lines are compared without it at their ends.
+WHITE = " \t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+#: Longs of the odd sketch that rules pairs out exactly.
+ODD = [f"odd{i}" for i in range(16)]
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, mark, at, line, node): every line with a visible character, trimmed; node is its hash, mark the text's checksum."""
+    """(doc_id, mark, at, line, node): every line with more than white space, trimmed; node is its hash, mark the text's checksum."""
     text = text_of(text_col)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.crc32(text).alias("mark"), F.posexplode(F.split(text, "\n")).alias("at", "line"))
-    rows = rows.withColumn("line", F.trim("line")).where("line <> ''")
+    rows = rows.withColumn("line", F.btrim("line", F.lit(WHITE))).where("line <> ''")
     return rows.withColumn("node", F.xxhash64("line"))
 
 
@@ -59,6 +63,14 @@ def _bands(lines: DataFrame, size: int) -> DataFrame:
     return rows.select("node", "n", F.explode(F.array(*[key(c) for c in range(0, CLASSES, 2)])).alias("key")).where("key is not null")
 
 
+def odd_sketches(lines: DataFrame, size: int) -> DataFrame:
+    """(node, odd...) of distinct lines: an odd sketch of their shingles."""
+    hashes = lines.select("node", F.explode(shingle_hashes(F.col("line"), size)).alias("h"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("h").bitwiseAND(63).cast("int"))
+    place = F.pmod(F.shiftrightunsigned("h", 6), F.lit(len(ODD)))
+    return hashes.groupBy("node").agg(*[F.coalesce(F.bit_xor(F.when(place == i, bit)), F.lit(0).cast("bigint")).alias(c) for i, c in enumerate(ODD)])
+
+
 def duplicate_lines(docs: DataFrame, size: int = 12, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, mark, removed): positions of the lines that repeat, or nearly repeat, an earlier line; mark is the text's checksum.
 
@@ -69,6 +81,8 @@ def duplicate_lines(docs: DataFrame, size: int = 12, similarity: float = 0.8, id
     buckets = shared_buckets(_bands(lines, size).distinct())
     wanted = buckets.select("node").distinct()
     texts = staged(lines.select("node", "line").join(wanted, "node", "left_semi").dropDuplicates(["node"]), "lines")
+    sketched = staged(buckets.join(odd_sketches(texts, size), "node"), "sketched")
+    release(buckets)
 
     def alike(a: Column, b: Column) -> Column:
         n = F.size(a) + F.size(b)
@@ -80,11 +94,8 @@ def duplicate_lines(docs: DataFrame, size: int = 12, similarity: float = 0.8, id
         sets = F.struct(shingle_hashes(F.col("la"), size).alias("a"), shingle_hashes(F.col("lb"), size).alias("b"))
         return both.where(F.exists(F.array(sets), lambda s: alike(s["a"], s["b"]))).select("a", "b")  # each set is made once
 
-    links = bucket_links(buckets, lambda pairs: pairs, verified, lambda a, b: F.least(a("n"), b("n")) >= similarity * F.greatest(a("n"), b("n")))
-    found = links[0]
-    for more in links[1:]:
-        found = found.unionByName(more)
-    component = connected_minimum(found.select("a", "b")).select("node", F.col("canonical").alias("c"))
+    links = bucket_links(sketched, lambda pairs: pairs, verified, lambda a, b: within_difference(a, b, "n", ODD, similarity))
+    component = connected_minimum(all_links(links)).select("node", F.col("canonical").alias("c"))
     rows = lines.select("doc_id", "mark", "at", "node").join(component, "node", "left").select("doc_id", "mark", "at", F.coalesce("c", "node").alias("c"))
     place = F.struct("doc_id", "mark", "at")
     first = rows.groupBy("c").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
@@ -118,7 +129,7 @@ def _rebuilt(docs: DataFrame, size: int, similarity: float, id_col: str, text_co
 def dedup_lines(docs: DataFrame, size: int = 12, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`docs` with the text less its repeated lines, and the columns n_lines and n_removed.
 
-    Blank lines are never removed.  A null text stays null, an empty one empty, with 0 removed.  Texts whose every line
+    Blank lines, of white space alone, are never removed; white space at the ends of a line is not compared.  A null text stays null, an empty one empty, with 0 removed.  Texts whose every line
     goes become empty.  Rows repeated whole are one document and keep the same lines; null ids come first in the order of lines.
     Empty table: no rows.  Columns of `docs` named n_lines or n_removed are replaced.
     """
@@ -130,4 +141,4 @@ def dedup_lines(docs: DataFrame, size: int = 12, similarity: float = 0.8, id_col
 def without_repeated_lines(docs: DataFrame, size: int = 12, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The columns of `docs`; documents that had lines and lost all of them go, all others stay."""
     out, _, n_removed = _rebuilt(docs, size, similarity, id_col, text_col)
-    return out.where(~((n_removed > 0) & (F.trim(F.replace(F.col(text_col), F.lit("\n"), F.lit(""))) == ""))).select(*docs.columns)
+    return out.where(~((n_removed > 0) & (F.btrim(F.col(text_col), F.lit(WHITE + "\n")) == ""))).select(*docs.columns)
