@@ -91,7 +91,7 @@ def _segments(data: np.ndarray, offsets: np.ndarray, length: int) -> Iterator[tu
 
 
 def _all_blocks(source: DataFrame, length: int) -> DataFrame:
-    """(doc_id, mark, first, count, far, anchor, bytes) of every block; mark is a 16-bit checksum of the text."""
+    """(doc_id, mark, first, count, far, anchor, bytes) of every block; mark is a 64-bit hash of the text, which tells rows of one id apart."""
     kind = source.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,7 +103,7 @@ def _all_blocks(source: DataFrame, length: int) -> DataFrame:
                                            pa.array(anchor.view(np.int64)), pa.array(everything.view(np.int64))],
                                           ["doc_id", "mark", "first", "count", "far", "anchor", "bytes"])
 
-    return source.mapInArrow(run, f"doc_id {kind}, mark int, first long, count smallint, far smallint, anchor long, bytes long")
+    return source.mapInArrow(run, f"doc_id {kind}, mark long, first long, count smallint, far smallint, anchor long, bytes long")
 
 
 def _pieces(source: DataFrame, length: int) -> DataFrame:
@@ -133,7 +133,7 @@ def _pieces(source: DataFrame, length: int) -> DataFrame:
                                        pa.array(core.view(np.int64)), pa.array(same.view(np.int64)),
                                        pa.ListArray.from_arrays(pa.array(np.r_[cut, len(starts)].astype(np.int32)), pa.array(window))], names)
 
-    return source.mapInArrow(run, f"doc_id {kind}, mark int, first long, count smallint, far smallint, many long, anchor long, bytes long, windows array<long>")
+    return source.mapInArrow(run, f"doc_id {kind}, mark long, first long, count smallint, far smallint, many long, anchor long, bytes long, windows array<long>")
 
 
 def _settle(rows: DataFrame, keep_first: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -155,6 +155,8 @@ def repeated_spans(docs: DataFrame, length: int = 200, keep_first: bool = True,
     """(doc_id, mark, spans) of the texts that hold a string of `length` bytes found elsewhere too; spans: [first window, windows]."""
     if length < LEAST_LENGTH:
         raise ValueError(f"length must be at least {LEAST_LENGTH}")
+    if length > 32_767:
+        raise ValueError("length must fit 16 bits, as distances inside a window do")
     source = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text")).withColumn("mark", _mark())
     every = staged(_all_blocks(source, length), "blocks")
     shared = every.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor")
@@ -185,7 +187,7 @@ def repeated_spans(docs: DataFrame, length: int = 200, keep_first: bool = True,
 
 
 def _mark():
-    return F.expr("cast(crc32(text) & 65535 as int)")
+    return F.xxhash64("text")
 
 
 def remove_repeats(docs: DataFrame, length: int = 200, keep_first: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
