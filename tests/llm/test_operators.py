@@ -346,7 +346,7 @@ def test_queries_and_pipeline(spark, tmp_path):
     import corpus_pipeline
     from labeltrail.llm.queries import ORACLES, QUERIES
 
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == [*range(1, 11)] and set(ORACLES) <= set(QUERIES)
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == [*range(1, 14)] and set(ORACLES) <= set(QUERIES)
     rng = random.Random(11)
     item, line = prose(rng, 30, 10**6), prose(rng, 30)
     texts = [prose(rng, 80) for _ in range(60)]
