@@ -39,7 +39,7 @@ def bucket_links(buckets: DataFrame, plausible: Callable[[DataFrame], DataFrame]
     1. the first node of each bucket is compared with the others and leaves.
     2. members of the 16 smallest components of a bucket meet four members of each other component, which mostly joins what
        belongs together.
-    3. and on: members of the 16, 64, ... smallest components meet all members of other components, and leave.
+    3. and on: members of the 256, 1024, ... smallest components meet all members of other components, and leave.
     A bucket ends when one component is left: a group of copies costs a few comparisons a member, and any pair that could
     still join two components is compared in the end.  Pairs are not verified twice.  What a round has staged goes with the
     round, but for its pairs and links.
@@ -62,7 +62,7 @@ def bucket_links(buckets: DataFrame, plausible: Callable[[DataFrame], DataFrame]
             if rows.isEmpty():
                 break
             place = F.row_number().over(Window.partitionBy("key").orderBy("c", "component", "node"))
-            first = rows.withColumn("place", place).where(F.col("place") <= 16 * 4 ** max(turn - 2, 0)).drop("place")
+            first = rows.withColumn("place", place).where(F.col("place") <= (16 if turn == 1 else 256 * 4 ** (turn - 2))).drop("place")
         else:
             first = rows.join(rows.groupBy("key").agg(F.min("node").alias("node")), ["key", "node"])
         first = staged(first.select("key", F.col("node").alias("pivot"), F.col("component").alias("own"), *[F.col(c).alias(f"pivot_{c}") for c in facts]), "pivots")
@@ -91,11 +91,30 @@ def bucket_links(buckets: DataFrame, plausible: Callable[[DataFrame], DataFrame]
                 done = [buckets]
                 break
         turn += 1
-        component = connected_minimum(all_links(links)).select("node", F.col("canonical").alias("component"))
+        component = merged(component, links[-1])
     release(*done)
     return links
 
 
+def merged(component: DataFrame | None, links: DataFrame) -> DataFrame:
+    """(node, component) after new links: only the graph of components that they join is closed."""
+    if component is None:
+        return staged(connected_minimum(links.select("a", "b")).select("node", F.col("canonical").alias("component")), "components")
+    of = lambda c: component.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}"))
+    ends = links.select("a", "b").join(of("a"), "a", "left").join(of("b"), "b", "left").select(
+        "a", "b", F.coalesce("of_a", "a").alias("ca"), F.coalesce("of_b", "b").alias("cb"))
+    if ends.isEmpty():
+        return component
+    ends = staged(ends, "ends")
+    roots = connected_minimum(ends.where(F.col("ca") != F.col("cb")).select("ca", "cb"))
+    fresh = ends.select(F.col("a").alias("node"), F.col("ca").alias("component")).unionByName(ends.select(F.col("b").alias("node"), F.col("cb").alias("component")))
+    every = component.unionByName(fresh.distinct().join(component.select("node"), "node", "left_anti"))
+    out = every.join(roots.withColumnRenamed("node", "component"), "component", "left").select("node", F.coalesce("canonical", "component").alias("component"))
+    out = staged(out, "components")
+    release(component, ends)
+    return out
+
+
 def all_links(links: list[DataFrame]) -> DataFrame:
     """The links (a, b) of all rounds."""
     out = links[0].select("a", "b")
