@@ -171,6 +171,8 @@ def keyed_picks(queries: DataFrame, pool: DataFrame, k: int, source: str, seed:
         return F.struct((s["at"] + jump).alias("at"), F.greatest(s["done"], b["end"]).alias("done"))
 
     x = x.withColumn("eligible", F.col("_size") - F.aggregate("_b", nothing, covered, lambda s: s["at"])).where(F.col("eligible") > 0)
+    # queries of one label would meet in one task for the permutation: they are dealt out anew
+    x = x.repartition(int(x.sparkSession.conf.get("spark.sql.shuffle.partitions")), "query_id")
     x = x.withColumn("_k", F.least(F.lit(k), F.col("eligible"))).withColumn("_i", F.explode(F.sequence(F.lit(0), (F.col("_k") - 1).cast("int"))))
     key = F.concat_ws("|", F.lit(str(seed)), F.col("query_id").cast("string"), F.concat_ws(":", F.lit(source), "label"))
     x = x.withColumn("_j", permuted_index(F.col("_i"), F.col("eligible"), key))
