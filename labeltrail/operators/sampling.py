@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from labeltrail.functions.hashing import bucket, key_text, split_by_share, u60, unit_interval
+from labeltrail.functions.hashing import bucket, key_text, split_by_share, stable_split, u60, unit_interval
 from labeltrail.functions.measures import n_if
 from labeltrail.functions.permutation import permuted_index
 from labeltrail.operators.ranking import attach_one_row, null_safe_join, ranked, top_k
@@ -60,6 +60,15 @@ def pps_sample(rows: DataFrame, weight: str, target: int, key: list[str], salt:
     return x.where(h <= F.col("sampling_probability")).withColumn("sample_weight", 1 / F.col("sampling_probability"))
 
 
+def scheme_splits(items: DataFrame, key: str, groups: dict[str, Column], seed: int, main: str) -> DataFrame:
+    """Split of every item under each grouping scheme (`<scheme>_split`) and, as `split`, that of the main scheme.
+
+    A scheme's name is part of what is hashed, so splits of different schemes are independent.  One pass, no shuffle.
+    """
+    out = items.select(key, *[stable_split(g, seed, name).alias(f"{name}_split") for name, g in groups.items()])
+    return out.withColumn("split", F.col(f"{main}_split"))
+
+
 def take_uniform(rows: DataFrame, by: list[str], n: int, stage: str, key: list[str], name: str) -> DataFrame:
     """First n rows per group in keyed-hash order, with inclusion probability min(1, n/size).
 
@@ -77,10 +86,10 @@ def take_uniform(rows: DataFrame, by: list[str], n: int, stage: str, key: list[s
 
 
 def balanced_sample(pairs: DataFrame, key: list[str], cluster: list[str], exact: str, label: str, hard: str, target: int,
-                    max_exact: int, max_label: int, difficult_share: float = 0.5) -> DataFrame:
+                    max_exact: int, max_label: int, difficult_share: float = 0.5, minimum: int = 0) -> DataFrame:
     """Cluster dedup, caps per exact label and per label, then difficult/ordinary quotas.
 
-    The quota step needs only the two stratum sizes, which are read as scalars.
+    The quota step needs only the two stratum sizes, which are read as scalars.  A selection below `minimum` rows is an error.
     """
     # Every stage counts and ranks its input, so each is materialised before the next.
     s = cut_lineage(take_uniform(cut_lineage(pairs), cluster, 1, "CLUSTER", key, "p_cluster"))
@@ -96,6 +105,8 @@ def balanced_sample(pairs: DataFrame, key: list[str], cluster: list[str], exact:
         oq += min(o - oq, target - dq - oq)
     else:
         dq, oq = d, o
+    if dq + oq < minimum:
+        raise ValueError(f"balanced sample has {dq + oq} rows, fewer than {minimum}")
     out = None
     for flag, quota, size, name in ((True, dq, d, "DIFFICULT"), (False, oq, o, "ORDINARY")):
         part = s.where(F.col(hard) == flag).withColumn("_h", u60(key_text("TARGET", name, *[F.col(k) for k in key])))
@@ -118,19 +129,32 @@ def cube_root_weights(rows: DataFrame, columns: list[str]) -> DataFrame:
     return attach_one_row(x, mean).withColumn("sample_weight", F.col("_raw") / F.col("_mean")).drop("_raw", "_mean")
 
 
-def hard_case_flags(identity, qcov, tcov, structure_rank, same_l3, same_l4, same_exact, exact_known, same_family) -> Column:
-    """`+`-joined hard-case flags of a pair; empty text when none applies."""
+# Names of the hard cases, in the order in which they are joined, and the text of pairs without one.
+H1 = "H1_SAME_EC3_DIFFERENT_EC4"
+H2 = "H2_SAME_EC4_DIFFERENT_RHEA"
+H3 = "H3_HIGH_SEQUENCE_IDENTITY_FINE_DIVERGENCE"
+H4 = "H4_FOLDSEEK_TOP10_FINE_DIVERGENCE_PROXY"
+H5 = "H5_SAME_PFAM_FINE_DIVERGENCE"
+H6 = "H6_LOW_SEQUENCE_IDENTITY_SAME_EXACT_RHEA"
+H7 = "H7_DIFFERENT_STRUCTURE_CLUSTER_SAME_RHEA_PROVISIONAL"
+NO_HARD_CASE = "NONE_AVAILABLE_BEFORE_GLOBAL_FEATURES"
+
+
+def hard_case_flags(identity, qcov, tcov, structure_rank, same_l3, same_l4, same_exact, exact_known, same_family,
+                    query_structure, reference_structure) -> Column:
+    """`+`-joined hard-case names of a pair, or NO_HARD_CASE; a condition on nulls does not hold.
+
+    The two structures are cluster ids; a side without a structure has null and never differs from the other.
+    """
     z = lambda c: F.coalesce(c, F.lit(False))
     divergent = ~z(same_l4) | (exact_known & ~z(same_exact))
     adequate = (qcov >= 0.70) & (tcov >= 0.70) & identity.isNotNull()
     flags = {
-        "H1_SAME_L3_DIFFERENT_L4": same_l3 & ~same_l4,
-        "H2_SAME_L4_DIFFERENT_EXACT": same_l4 & exact_known & ~z(same_exact),
-        "H3_HIGH_IDENTITY_DIVERGENCE": adequate & (identity >= 0.40) & divergent,
-        "H4_STRUCTURE_TOP_DIVERGENCE": (structure_rank <= 10) & divergent,
-        "H5_SAME_FAMILY_DIVERGENCE": same_family & divergent,
-        "H6_LOW_IDENTITY_SAME_EXACT": adequate & (identity < 0.30) & exact_known & z(same_exact)}
-    return F.array_join(F.filter(F.array(*[F.when(z(c), F.lit(k)) for k, c in flags.items()]), lambda x: x.isNotNull()), "+")
+        H1: same_l3 & ~same_l4, H2: same_l4 & exact_known & ~z(same_exact), H3: adequate & (identity >= 0.40) & divergent,
+        H4: (structure_rank <= 10) & divergent, H5: same_family & divergent,
+        H6: adequate & (identity < 0.30) & exact_known & z(same_exact), H7: z(same_exact) & (query_structure != reference_structure)}
+    found = F.filter(F.array(*[F.when(z(c), F.lit(k)) for k, c in flags.items()]), lambda x: x.isNotNull())
+    return F.when(F.size(found) > 0, F.array_join(found, "+")).otherwise(NO_HARD_CASE)
 
 
 def keyed_picks(queries: DataFrame, pool: DataFrame, k: int, source: str, seed: int, truth: DataFrame | None = None) -> DataFrame:

@@ -43,13 +43,17 @@ def _p04(t):
     return t.queries.select("query_id", split_by_share(key_text("random", 20260819, F.col("query_id")), [("train", 0.8), ("validation", 0.1), ("test", 0.1)]).alias("part"))
 
 
-SCHEMES = {"sequence": "cluster_id::varchar", "family": "family", "clan": "l3", "superfamily": "l4", "taxonomy": "exact"}
+# Names under which the schemes' groups are hashed.  The three sequence clusterings are not nested.
+SCHEMES = {"sequence30": "cluster_id::varchar", "sequence40": "cluster_id::varchar||'|'||family", "sequence50": "ref_name",
+           "pfam_family": "family", "pfam_clan": "l3", "cath_superfamily": "l4", "taxonomy_species": "exact"}
 
 
-@query("p05_multi_scheme_splits", "select reference_id, " + ", ".join(f"{split_sql(20260819, k, v)} {k}_split" for k, v in SCHEMES.items()) + " from v_refs")
+@query("p05_multi_scheme_splits", "select *, sequence30_split split from (select reference_id, " + ", ".join(f"{split_sql(20260819, k, v)} {k}_split" for k, v in SCHEMES.items()) + " from v_refs)")
 def _p05(t):
-    cols = {"sequence": "cluster_id", "family": "family", "clan": "l3", "superfamily": "l4", "taxonomy": "exact"}
-    return t.refs.select("reference_id", *[stable_split(F.col(c).cast("string"), 20260819, k).alias(f"{k}_split") for k, c in cols.items()])
+    cluster = F.col("cluster_id").cast("string")
+    groups = {"sequence30": cluster, "sequence40": F.concat(cluster, F.lit("|"), "family"), "sequence50": F.col("ref_name"),
+              "pfam_family": F.col("family"), "pfam_clan": F.col("l3"), "cath_superfamily": F.col("l4"), "taxonomy_species": F.col("exact")}
+    return sampling.scheme_splits(t.refs, "reference_id", groups, 20260819, "sequence30")
 
 
 @query("p06_multi_label_holdout", f"""with l as (select distinct query_id, {split_sql(20260819, 'holdout', 'label')} s from v_truth where endpoint = 'EXACT')
@@ -124,14 +128,16 @@ def stage_sql(src, name, by, n, stage, null_ok):
 
 
 HARD_SQL = {
-    "v_hard": """select *, array_to_string([x for x in [case when same_l3 and not same_l4 then 'H1_SAME_L3_DIFFERENT_L4' end, case when same_l4 and ek and not coalesce(same_exact, false) then 'H2_SAME_L4_DIFFERENT_EXACT' end,
-      case when qc >= 0.7 and tc >= 0.7 and ident >= 0.4 and dv then 'H3_HIGH_IDENTITY_DIVERGENCE' end, case when srank <= 10 and dv then 'H4_STRUCTURE_TOP_DIVERGENCE' end,
-      case when same_l3 and dv then 'H5_SAME_FAMILY_DIVERGENCE' end, case when qc >= 0.7 and tc >= 0.7 and ident < 0.3 and ek and coalesce(same_exact, false) then 'H6_LOW_IDENTITY_SAME_EXACT' end] if x is not null], '+') flags
-      from (select s.*, same_exact is not null ek, not same_l4 or (same_exact is not null and not coalesce(same_exact, false)) dv, 1 - 5*disc qc, 1 - 5*tax tc, r.rk srank from v_scored s
-        left join (select query_id, reference_id, row_number() over (partition by query_id order by qty desc, reference_id) rk from v_pairs where tax <= 0.06) r using (query_id, reference_id))""",
-    "v_b0": "select query_id, reference_id, cluster_id, exact, l4, family, flags, flags like '%H1%' or flags like '%H2%' or flags like '%H6%' hard from v_hard",
+    "v_hard": f"""select * exclude (flags), coalesce(nullif(flags, ''), '{sampling.NO_HARD_CASE}') flags from (select *, array_to_string([x for x in [case when same_l3 and not same_l4 then '{sampling.H1}' end, case when same_l4 and ek and not coalesce(same_exact, false) then '{sampling.H2}' end,
+      case when qc >= 0.7 and tc >= 0.7 and ident >= 0.4 and dv then '{sampling.H3}' end, case when srank <= 10 and dv then '{sampling.H4}' end,
+      case when same_l3 and dv then '{sampling.H5}' end, case when qc >= 0.7 and tc >= 0.7 and ident < 0.3 and ek and coalesce(same_exact, false) then '{sampling.H6}' end,
+      case when same_exact and qs <> rs then '{sampling.H7}' end] if x is not null], '+') flags
+      from (select s.*, v_refs.ref_name activity, case when component_id % 4 <> 0 then component_id % 12 end qs, case when s.cluster_id % 5 <> 0 then s.cluster_id % 12 end rs,
+        same_exact is not null ek, not same_l4 or (same_exact is not null and not coalesce(same_exact, false)) dv, 1 - 5*disc qc, 1 - 5*tax tc, r.rk srank from v_scored s join v_refs using (reference_id)
+        left join (select query_id, reference_id, row_number() over (partition by query_id order by qty desc, reference_id) rk from v_pairs where tax <= 0.06) r using (query_id, reference_id)))""",
+    "v_b0": f"select query_id, reference_id, cluster_id, activity, exact, l4, family, flags, flags <> '{sampling.NO_HARD_CASE}' hard from v_hard",
 }
-HARD_SQL["v_b1"] = stage_sql("v_b0", "cluster", ["query_id", "cluster_id"], 1, "CLUSTER", False)
+HARD_SQL["v_b1"] = stage_sql("v_b0", "cluster", ["query_id", "cluster_id", "activity"], 1, "CLUSTER", False)
 HARD_SQL["v_b2"] = stage_sql("v_b1", "exact", ["exact"], 8, "EXACT_CAP", True)
 HARD_SQL["v_b3"] = stage_sql("v_b2", "label", ["l4"], 20, "LABEL_CAP", False)
 HARD_SQL["v_quota"] = """select d, o, dq + least(d-dq, 400-dq-oq) dq, least(o, oq + greatest(0, 400 - oq - dq - least(d-dq, 400-dq-oq))) oq from (
@@ -145,9 +151,12 @@ def hard_rows(t):
     st = ranked(t.pairs.where(F.col("tax") <= 0.06), ["query_id"], [("qty", "desc"), ("reference_id", "asc")], "srank").select("query_id", "reference_id", "srank")
     s = t.scored.join(st, ["query_id", "reference_id"], "left")
     c = F.col
+    qs = F.when(c("component_id") % 4 != 0, c("component_id") % 12)  # some sides have no structure
+    rs = F.when(c("cluster_id") % 5 != 0, c("cluster_id") % 12)
     flags = sampling.hard_case_flags(c("ident"), 1 - 5 * c("disc"), 1 - 5 * c("tax"), c("srank"), c("same_l3"), c("same_l4"), c("same_exact"),
-                                     c("same_exact").isNotNull(), c("same_l3"))
-    return s.withColumn("flags", flags)
+                                     c("same_exact").isNotNull(), c("same_l3"), qs, rs)
+    names = t.refs.select("reference_id", F.col("ref_name").alias("activity"))
+    return s.withColumn("flags", flags).join(names, "reference_id")
 
 
 @query("p13_hard_case_flags", "select query_id, reference_id, flags from v_hard", HARD_SQL)
@@ -156,9 +165,9 @@ def _p13(t):
 
 
 def balanced(t):
-    rows = hard_rows(t).select("query_id", "reference_id", "cluster_id", "exact", "l4", "family",
-                               F.col("flags").rlike("H1|H2|H6").alias("hard"))
-    return sampling.balanced_sample(rows, ["query_id", "reference_id"], ["query_id", "cluster_id"], "exact", "l4", "hard", 400, 8, 20)
+    rows = hard_rows(t).select("query_id", "reference_id", "cluster_id", "activity", "exact", "l4", "family",
+                               (F.col("flags") != sampling.NO_HARD_CASE).alias("hard"))
+    return sampling.balanced_sample(rows, ["query_id", "reference_id"], ["query_id", "cluster_id", "activity"], "exact", "l4", "hard", 400, 8, 20, minimum=100)
 
 
 @query("p11_balanced_capped_sampler", "select query_id, reference_id, stratum, round(p_cluster*p_exact*p_label*p_target, 9) sampling_probability from v_b4", HARD_SQL)
@@ -168,15 +177,15 @@ def _p11(t):
 
 @query("w23_hash_priority_top_n", "select query_id, reference_id, exact, p_exact from v_b2", HARD_SQL)
 def _w23(t):
-    rows = hard_rows(t).select("query_id", "reference_id", "cluster_id", "exact")
-    s = sampling.take_uniform(rows, ["query_id", "cluster_id"], 1, "CLUSTER", ["query_id", "reference_id"], "p_cluster")
+    rows = hard_rows(t).select("query_id", "reference_id", "cluster_id", "activity", "exact")
+    s = sampling.take_uniform(rows, ["query_id", "cluster_id", "activity"], 1, "CLUSTER", ["query_id", "reference_id"], "p_cluster")
     return sampling.take_uniform(s, ["exact"], 8, "EXACT_CAP", ["query_id", "reference_id"], "p_exact").select("query_id", "reference_id", "exact", "p_exact")
 
 
-@query("p12_cube_root_balance_weight", """with w as (select query_id, reference_id, pow(1.0::double/count(*) over (partition by reference_id)/count(*) over (partition by family)/count(*) over (partition by cluster_id), 1.0::double/3) r from v_b4)
+@query("p12_cube_root_balance_weight", """with w as (select query_id, reference_id, pow(1.0::double/count(*) over (partition by activity)/count(*) over (partition by family)/count(*) over (partition by cluster_id), 1.0::double/3) r from v_b4)
     select query_id, reference_id, round(r/avg(r) over (), 8) sample_weight from w""", HARD_SQL)
 def _p12(t):
-    w = sampling.cube_root_weights(balanced(t), ["reference_id", "family", "cluster_id"])
+    w = sampling.cube_root_weights(balanced(t), ["activity", "family", "cluster_id"])
     return w.select("query_id", "reference_id", F.round("sample_weight", 8).alias("sample_weight"))
 
 
