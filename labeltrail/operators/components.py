@@ -49,16 +49,23 @@ def connected_minimum(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
 
 def merge_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Components after union along node edges; canonical id is the smallest original id.
+    """Components after union along audited edges: canonical id is the smallest original id, with its size in nodes.
 
-    nodes: (node_id, component_id); edges: (node_a, node_b).
+    nodes: (node_id, component_id, role); edges: (node_a, node_b).  An edge that is not between known nodes of different
+    components and roles is an error, as the audit that made it has failed.
     """
-    c = nodes.select("node_id", "component_id")
-    pairs = edges.join(c.withColumnsRenamed({"node_id": "node_a", "component_id": "ca"}), "node_a").join(
-        c.withColumnsRenamed({"node_id": "node_b", "component_id": "cb"}), "node_b").where(F.col("ca") != F.col("cb"))
+    c = nodes.select("node_id", "component_id", "role")
+    end = lambda s: c.select(F.col("node_id").alias(f"node_{s}"), F.col("component_id").alias(f"c{s}"), F.col("role").alias(f"r{s}"))
+    pairs = cut_lineage(edges.select("node_a", "node_b").distinct().join(end("a"), "node_a", "left").join(end("b"), "node_b", "left"))
+    sound = F.coalesce((F.col("ca") != F.col("cb")) & (F.col("ra") != F.col("rb")), F.lit(False))
+    wrong = pairs.where(~sound).count()
+    if wrong:
+        raise ValueError(f"{wrong} edges are not between known nodes of different components and roles")
     canon = connected_minimum(pairs.select("ca", "cb").distinct())
     out = c.join(canon.withColumnRenamed("node", "component_id"), "component_id", "left")
-    return out.select("node_id", "component_id", F.coalesce("canonical", "component_id").alias("merged_id"))
+    out = out.select("node_id", "component_id", F.coalesce("canonical", "component_id").alias("merged_id"))
+    sizes = out.groupBy("merged_id").agg(F.count("*").alias("merged_size"))
+    return out.join(sizes, "merged_id").select("node_id", "component_id", "merged_id", "merged_size")
 
 
 def cross_role_edges(hits: DataFrame, nodes: DataFrame, identity: float, coverage: float) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from labeltrail.functions.measures import n_if, ratio, wilson_lower
-from labeltrail.operators.ranking import exact_quantiles, ranked, running_totals
+from labeltrail.operators.ranking import exact_quantiles, null_safe_join, ranked, running_totals
 from labeltrail.session import cut_lineage
 
 NO_CUTOFF = 1.000001
@@ -236,8 +236,11 @@ def operating_points(rows: DataFrame, score: str, y: str, cluster: str, total_qu
 
 
 def binned_rates(rows: DataFrame, by: list[str], metric: str, edges: list[float], targets: list[str], weight: str,
-                 cluster: str, query: str = "query_id") -> DataFrame:
-    """Weighted outcome rate per left-closed evidence bin with row, query and cluster counts."""
+                 cluster: str, query: str = "query_id", replicates: int = 2000, context: str = "curve") -> DataFrame:
+    """Weighted outcome rate per left-closed evidence bin with row, query and cluster counts.
+
+    Each rate has a 95% interval from resampling the clusters of its bin.
+    """
     valid = rows.where(F.col(metric).isNotNull())
     b = left_closed_bin(F.col(metric), edges)
     valid = valid.withColumn("bin", b).where(F.col("bin").isNotNull())
@@ -246,7 +249,19 @@ def binned_rates(rows: DataFrame, by: list[str], metric: str, edges: list[float]
         F.min(metric).alias("bin_lower"), F.max(metric).alias("bin_upper"), F.count("*").alias("pair_rows"),
         F.count_distinct(query).alias("queries"), F.count_distinct(cluster).alias("clusters"),
         *[F.round(ratio(F.sum(w * F.col(t).cast("int")), F.sum(w)), 9).alias("rate_" + t) for t in targets])
-    return agg
+    cells = valid.groupBy(*by, "bin", cluster).agg(F.sum(w).alias("w"), *[F.sum(w * F.col(t).cast("int")).alias("w_" + t) for t in targets])
+    return null_safe_join(agg, rate_intervals(cells, [*by, "bin"], cluster, targets, "rate_", replicates, context), [*by, "bin"])
+
+
+def rate_intervals(cells: DataFrame, by: list[str], cluster: str, targets: list[str], prefix: str, replicates: int, context: str) -> DataFrame:
+    """95% intervals of weighted rates per group from cluster totals w and w_<target>; a group's own clusters are resampled."""
+    from labeltrail.operators.resample import draw, interval, replicate_sums
+
+    cells = cut_lineage(cells)
+    draws = draw(cells, cluster, replicates, context, by)
+    reps = replicate_sums(cells, draws, cluster, by, ["w", *["w_" + t for t in targets]], by)
+    names = [prefix + t for t in targets]
+    return interval(reps.select(*by, "replicate", *[ratio("w_" + t, "w").alias(n) for t, n in zip(targets, names)]), by, names, replicates)
 
 
 def left_closed_bin(x: Column, edges: list[float]) -> Column:
@@ -267,29 +282,33 @@ def right_closed_bin(x: Column, edges: list[float]) -> Column:
 
 
 def threshold_sweep(rows: DataFrame, by: list[str], metric: str, thresholds: list[float], targets: list[str], weight: str,
-                    cluster: str, minimum: int = 20) -> DataFrame:
-    """Weighted precision and coverage at fixed cutoffs.
+                    cluster: str, minimum: int = 20, replicates: int = 0, context: str = "threshold") -> DataFrame:
+    """Weighted precision and coverage at fixed cutoffs with at least `minimum` rows.
 
-    Rows are first reduced per (group, highest cutoff reached); suffix sums over the few
-    cutoffs follow.  Clusters count at the highest cutoff any of their rows reaches.
+    Rows are first reduced per (group, cluster, highest cutoff reached); sums over the few cutoffs follow.  With
+    `replicates`, each precision has a 95% interval from resampling the clusters above its cutoff.
     """
     valid = rows.where(F.col(metric).isNotNull())
     level = sum((F.when(F.col(metric) >= t, 1).otherwise(0) for t in thresholds), F.lit(0))
     w = F.col(weight).cast("double")
-    valid = valid.withColumn("_level", level)
-    per = valid.groupBy(*by, "_level").agg(
+    sums = ["w", *["w_" + t for t in targets]]
+    cells = valid.withColumn("_level", level).groupBy(*by, cluster, "_level").agg(
         F.count("*").alias("n"), F.sum(w).alias("w"), *[F.sum(w * F.col(t).cast("int")).alias("w_" + t) for t in targets])
-    cl = valid.groupBy(*by, cluster).agg(F.max("_level").alias("_level")).groupBy(*by, "_level").agg(F.count("*").alias("c"))
+    total = cells.groupBy(*by).agg(F.sum("w").alias("_all"))
     cuts = F.explode(F.array(*[F.struct(F.lit(i + 1).alias("_i"), F.lit(float(t)).alias("threshold"))
                                for i, t in enumerate(thresholds)])).alias("_t")
-    total = per.groupBy(*by).agg(F.sum("w").alias("_all"))
-    per = per.join(cl, [*by, "_level"], "left").join(total, by)
-    spread = per.select("*", cuts).where(F.col("_level") >= F.col("_t._i"))
-    out = spread.groupBy(*by, F.col("_t.threshold").alias("threshold")).agg(
-        F.sum("n").alias("pair_rows"), F.coalesce(F.sum("c"), F.lit(0)).alias("clusters"),
-        F.round(ratio(F.sum("w"), F.max("_all")), 9).alias("coverage"),
-        *[F.round(ratio(F.sum("w_" + t), F.sum("w")), 9).alias("precision_" + t) for t in targets])
-    return out.where(F.col("pair_rows") >= minimum)
+    spread = cells.select("*", cuts).where(F.col("_level") >= F.col("_t._i")).withColumn("threshold", F.col("_t.threshold"))
+    spread = spread.groupBy(*by, "threshold", cluster).agg(F.sum("n").alias("n"), *[F.sum(c).alias(c) for c in sums])
+    if replicates:
+        spread = cut_lineage(spread)
+    out = spread.groupBy(*by, "threshold").agg(F.sum("n").alias("pair_rows"), F.count("*").alias("clusters"), *[F.sum(c).alias(c) for c in sums])
+    out = null_safe_join(out.where(F.col("pair_rows") >= minimum), total, by)
+    out = out.select(*by, "threshold", "pair_rows", "clusters", F.round(ratio("w", "_all"), 9).alias("coverage"),
+                     *[F.round(ratio("w_" + t, "w"), 9).alias("precision_" + t) for t in targets])
+    if not replicates:
+        return out
+    kept = null_safe_join(spread, out.select(*by, "threshold"), [*by, "threshold"], "left_semi")
+    return null_safe_join(out, rate_intervals(kept, [*by, "threshold"], cluster, targets, "precision_", replicates, context), [*by, "threshold"])
 
 
 def stratified_rates(rows: DataFrame, strata: dict[str, str], targets: list[str], weight: str, cluster: str,
@@ -331,23 +350,45 @@ def average_rank_correlation(rows: DataFrame, x: str, y: str) -> DataFrame:
 
 
 def native_policy(rows: DataFrame, by: list[str], score: str, y: str, cluster: str, minimum: int, min_clusters: int,
-                  precision: float) -> DataFrame:
-    """Best single-score cutoff over every distinct value, in both directions, per group.
+                  precision: float, replicates: int = 2000, context: str = "native") -> DataFrame:
+    """Best single-score cutoff over every distinct value, in both directions, one row per group.
 
-    Chooses most accepted rows, then precision, then the cutoff nearest zero; groups
-    without a qualifying cutoff are absent (abstain).
+    Chooses most accepted rows, then precision, then the lower bound of its cluster bootstrap interval, then the cutoff nearest
+    zero.  A group without a qualifying cutoff abstains: direction NONE, nothing accepted.
+
+    In one direction accepted rows grow from cutoff to cutoff, so at most one cutoff a direction can win, and only those are
+    resampled.
     """
+    from labeltrail.operators.resample import draw, interval, replicate_sums
+
+    rows = cut_lineage(rows.select(*by, score, F.col(y).cast("int").alias("_y"), cluster))
+    scored = rows.where(F.col(score).isNotNull())
     parts = []
     for direction, order, best in (("HIGH", "desc", F.max), ("LOW", "asc", F.min)):
-        steps = running_totals(rows, by, score, {"n": F.count("*"), "ok": F.sum(F.col(y).cast("int"))}, order)
-        firsts = rows.groupBy(*by, cluster).agg(best(score).alias(score)).groupBy(*by, score).agg(F.count("*").alias("c"))
+        steps = running_totals(scored, by, score, {"n": F.count("*"), "ok": F.sum("_y")}, order)
+        firsts = scored.groupBy(*by, cluster).agg(best(score).alias(score)).groupBy(*by, score).agg(F.count("*").alias("c"))
         marks = steps.select(*by, score, F.lit(0).cast("bigint").alias("c")).unionByName(firsts)
         cl = running_totals(marks, by, score, {"c": F.sum("c")}, order).select(*by, score, "cum_c")
-        s = steps.join(cl, [*by, score]).withColumn("direction", F.lit(direction))
+        s = null_safe_join(steps, cl, [*by, score]).withColumn("direction", F.lit(direction))
         parts.append(s.select(*by, "direction", F.col(score).alias("threshold"), F.col("cum_n").alias("accepted"),
                               F.col("cum_ok").alias("correct"), F.col("cum_c").alias("clusters")))
     cand = parts[0].unionByName(parts[1]).withColumn("precision", F.round(F.col("correct") / F.col("accepted"), 9))
     cand = cand.where((F.col("accepted") >= minimum) & (F.col("clusters") >= min_clusters) & (F.col("precision") >= precision))
-    pick = cand.groupBy(*by).agg(F.max(F.struct(
-        "accepted", "precision", (-F.abs("threshold")).alias("near"), "direction", "threshold", "clusters")).alias("b"))
-    return pick.select(*by, "b.direction", "b.threshold", "b.accepted", "b.clusters", "b.precision")
+    top = cand.groupBy(*by, "direction").agg(F.max(F.struct("accepted", "precision", "threshold", "clusters")).alias("b"))
+    top = cut_lineage(top.select(*by, "direction", "b.*"))  # at most two rows a group
+    best = top.groupBy(*by).agg(F.max(F.struct("accepted", "precision")).alias("_best"))
+    top = null_safe_join(top, best, by).where(F.struct("accepted", "precision") == F.col("_best")).drop("_best")
+    inside = F.when(F.col("direction") == "HIGH", F.col(score) >= F.col("threshold")).otherwise(F.col(score) <= F.col("threshold"))
+    cells = null_safe_join(scored, top.select(*by, "direction", "threshold"), by).where(inside)
+    groups = [*by, "direction"]
+    cells = cut_lineage(cells.groupBy(*groups, cluster).agg(F.sum("_y").alias("ok"), F.count("*").alias("n")))
+    reps = replicate_sums(cells, draw(cells, cluster, replicates, context, groups), cluster, groups, ["ok", "n"], groups)
+    ci = interval(reps.withColumn("precision", ratio("ok", "n")), groups, ["precision"], replicates)
+    pick = null_safe_join(top, ci, groups).groupBy(*by).agg(F.max(F.struct(
+        "accepted", "precision", "precision_lower", (-F.abs("threshold")).alias("near"), "direction", "threshold", "clusters",
+        "precision_upper")).alias("b"))
+    out = null_safe_join(rows.select(*by).distinct(), pick, by, "left")
+    return out.select(*by, F.coalesce("b.direction", F.lit("NONE")).alias("direction"), "b.threshold",
+                      F.coalesce("b.accepted", F.lit(0)).alias("accepted"), F.coalesce("b.clusters", F.lit(0)).alias("clusters"),
+                      "b.precision", "b.precision_lower", "b.precision_upper",
+                      F.when(F.col("b").isNull(), "ABSTAIN").otherwise("FROZEN").alias("policy_status"))

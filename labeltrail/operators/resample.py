@@ -113,24 +113,32 @@ def precision_lower_bound(rows: DataFrame, cluster: str, by: list[str], y: str,
                       F.coalesce(fixed, "precision_lower").alias("lower"), F.coalesce(fixed, "precision_upper").alias("upper"))
 
 
-def row_bootstrap_mean(rows: DataFrame, key: str, value: str, by: list[str], replicates: int, context: str) -> DataFrame:
-    """Row bootstrap of the mean: each row is its own component."""
+def row_bootstrap_mean(rows: DataFrame, key: str, value: str, by: list[str], replicates: int, context: str,
+                       within: list[str] | None = None) -> DataFrame:
+    """Row bootstrap of the mean: each row is its own component.
+
+    `within` (default all of `by`) names the groups that have draws of their own; the other groups share them and must hold the
+    same keys, so that their replicates are paired.
+    """
+    within = by if within is None else within
     clean = cut_lineage(rows.where(F.col(value).isNotNull()).select(*by, key, F.col(value).cast("double").alias("v"), F.lit(1).alias("one")))
-    draws = draw(clean, key, replicates, context, by)
-    reps = replicate_sums(clean, draws, key, by, ["v", "one"], by).withColumn("mean", ratio("v", "one"))
+    draws = draw(clean, key, replicates, context, within)
+    reps = replicate_sums(clean, draws, key, by, ["v", "one"], within).withColumn("mean", ratio("v", "one"))
     point = clean.groupBy(*by).agg(F.count("*").alias("n"), F.round(F.avg("v"), 9).alias("mean"))
     ci = interval(reps, by, ["mean"], replicates, 6)
-    return point.join(ci, by) if by else attach_one_row(point, ci)
+    return null_safe_join(point, ci, by) if by else attach_one_row(point, ci)
 
 
-def row_bootstrap_median(rows: DataFrame, key: str, value: str, by: list[str], replicates: int, context: str) -> DataFrame:
-    """Row bootstrap of the median from multiplicities: the value where the drawn copies reach half."""
+def row_bootstrap_median(rows: DataFrame, key: str, value: str, by: list[str], replicates: int, context: str,
+                         within: list[str] | None = None) -> DataFrame:
+    """Row bootstrap of the median from multiplicities: the value where the drawn copies reach half (`within` as for the mean)."""
+    within = by if within is None else within
     clean = cut_lineage(rows.where(F.col(value).isNotNull()).select(*by, key, F.col(value).cast("double").alias("v")))
-    draws = component_draws(clean, key, replicates, context, by)
-    drawn = clean.join(draws, [*by, key])
+    draws = component_draws(clean, key, replicates, context, within)
+    drawn = clean.join(draws, [*within, key])
     steps = running_totals(drawn, [*by, "replicate"], "v", {"m": F.sum("multiplicity")}, "asc")
     n = steps.groupBy(*by, "replicate").agg(F.max("cum_m").alias("_n"))
-    s = steps.join(n, [*by, "replicate"])
+    s = null_safe_join(steps, n, [*by, "replicate"])
     before = F.col("cum_m") - F.col("m")
     at = lambda i: F.max(F.when((before < i) & (F.col("cum_m") >= i), F.col("v")))
     lo, hi = F.floor((F.col("_n") + 1) / 2), F.floor(F.col("_n") / 2) + 1
@@ -214,27 +222,29 @@ def top_share_bootstrap(rows: DataFrame, component: str, score: str, tie: str, y
     return interval(reps, [], ["top_precision"], replicates)
 
 
-def sign_flip_test(rows: DataFrame, value: str, replicates: int, context: str) -> DataFrame:
-    """Two-sided sign-flip permutation p of a mean, with the add-one correction.
+def sign_flip_test(rows: DataFrame, value: str, replicates: int, context: str, by: list[str] | None = None) -> DataFrame:
+    """Two-sided sign-flip permutation p of a mean per group, with the add-one correction.
 
     Rows of equal size |value| differ in sign alone: their flipped sum is |value| * (2 * ones - rows), where ones counts
     fair bits.  A hash deals the bits of 60 rows, so work is blocks x replicates, with a block per 60 equal sizes.
+    Groups share the hashes.  A group of zeros alone has p = 1.
     """
+    by = by or []
     v = F.col(value).cast("double")
-    sizes = rows.where(v.isNotNull()).groupBy(F.abs(v).alias("_v")).agg(F.count("*").alias("_c"), F.sum(v).alias("_s"))
+    sizes = rows.where(v.isNotNull()).groupBy(*by, F.abs(v).alias("_v")).agg(F.count("*").alias("_c"), F.sum(v).alias("_s"))
     sizes = cut_lineage(sizes)
-    seen = sizes.agg(F.sum("_s").alias("_s"), F.sum("_c").alias("n"))
-    blocks = sizes.where("_v > 0").withColumn("_b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("_c") - 1) / 60).cast("bigint"))))
-    m = F.least(F.col("_c") - 60 * F.col("_b"), F.lit(60)).cast("int")
-    reps = blocks.withColumn("_m", m).withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+    seen = sizes.groupBy(*by).agg(F.sum("_s").alias("_s"), F.sum("_c").alias("n"))
+    blocks = sizes.withColumn("_b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("_c") - 1) / 60).cast("bigint"))))
+    m = F.when(F.col("_v") > 0, F.least(F.col("_c") - 60 * F.col("_b"), F.lit(60))).otherwise(0).cast("int")
+    reps = blocks.where("_v > 0 or _b = 0").withColumn("_m", m).withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
     place = F.round(F.col("_v"), 9).cast("decimal(38,9)").cast("string")
     bits = u60(key_text(context, F.col("replicate"), place, F.col("_b"))).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("_m")) - 1)
-    flips = reps.groupBy("replicate").agg(F.sum(F.col("_v") * (2 * F.bit_count(bits) - F.col("_m"))).alias("s"))
-    x = attach_one_row(flips, seen)
+    flips = reps.groupBy(*by, "replicate").agg(F.sum(F.col("_v") * (2 * F.bit_count(bits) - F.col("_m"))).alias("s"))
+    x = null_safe_join(flips, seen, by) if by else attach_one_row(flips, seen)
     tol = F.abs(F.col("_s")) - F.lit(1e-9) * F.greatest(F.abs(F.col("_s")), F.lit(1.0))
     hits = n_if(F.abs(F.col("s")) >= tol)
-    return x.agg(F.max("n").alias("n"), F.round(F.max(F.col("_s") / F.col("n")), 9).alias("mean"), hits.alias("exceed"),
-                 F.round((hits + 1) / (replicates + 1), 9).alias("p_value"))
+    return x.groupBy(*by).agg(F.max("n").alias("n"), F.round(F.max(F.col("_s") / F.col("n")), 9).alias("mean"), hits.alias("exceed"),
+                              F.round((hits + 1) / (replicates + 1), 9).alias("p_value"))
 
 
 #: Clusters up to which every permutation task gets them all (key, rows and rank sum of each).

@@ -45,12 +45,11 @@ def _e04(t):
     return t.raw("part").select("p_partkey", F.array_join(s, ",").alias("labels"), F.size(s).alias("n"))
 
 
-@query("e04b_json_objects_to_ids", "select p_partkey, 'PF'||least(p_size, p_partkey % 50)||','||'PF'||greatest(p_size, p_partkey % 50) ids from part where p_size <> p_partkey % 50 and length(p_size::varchar) = length((p_partkey % 50)::varchar)")
+@query("e04b_json_objects_to_ids", "select p_partkey, array_to_string(list_sort(list_distinct(['PF'||p_size, 'PF'||(p_partkey % 50)])), ',') ids from part")
 def _e04b(t):
     k = F.col("p_partkey") % 50
     text = F.concat(F.lit('[{"id":"PF'), F.col("p_size"), F.lit('"},{"id":"PF'), k, F.lit('"},{"id":""}]'))
-    rows = t.raw("part").where((F.col("p_size") != k) & (F.length(F.col("p_size").cast("string")) == F.length(k.cast("string"))))
-    return rows.select("p_partkey", F.array_join(lb.json_object_ids(text), ",").alias("ids"))
+    return t.raw("part").select("p_partkey", F.array_join(lb.json_object_ids(text), ",").alias("ids"))
 
 
 @query("e05_structure_name_to_accession", "select p_partkey, case when p_partkey % 2 = 0 then 'P'||p_partkey else upper(split_part(p_name, ' ', 1)) end accession from part")

@@ -302,27 +302,25 @@ def _j33(t):
         F.count("*").alias("queries"), ms.n_if("av").alias("candidate_available"), ms.n_if("same_l4").alias("top1_correct"), F.sum("n").alias("candidate_rows"))
 
 
-EDGE_SQL = {"v_link": "select query_id node_a, min(query_id) over (partition by reference_id) node_b from (select query_id, reference_id from v_pairs where qty >= 49)",
-    "v_cedge": """select distinct greatest(a.component_id, b.component_id) a, least(a.component_id, b.component_id) b from v_link l join v_queries a on a.query_id = l.node_a join v_queries b on b.query_id = l.node_b where a.component_id <> b.component_id"""}
+XROLE = """select query_node, target_node, a."role" query_role, b."role" target_role from (select query_id query_node, reference_id target_node, qty/50 fident, 1 - 5*disc qcov, 1 - 5*tax tcov from v_pairs) h join v_queries a on a.query_id = query_node join v_queries b on b.query_id = target_node
+    where fident > {identity} and qcov >= {coverage} and tcov >= {coverage} and a."role" <> b."role" """
+EDGE_SQL = {"v_xrole": XROLE.format(identity=0.9, coverage=0.9),
+    "v_cedge": """select distinct a.component_id a, b.component_id b from v_xrole join v_queries a on a.query_id = query_node join v_queries b on b.query_id = target_node"""}
 
 
-def links(t):
-    """Star edges between queries that share a reference at high quantity."""
-    m = t.pairs.where(F.col("qty") >= 49).select("query_id", "reference_id")
-    hub = m.groupBy("reference_id").agg(F.min("query_id").alias("node_b"))
-    return m.join(hub, "reference_id").select(F.col("query_id").alias("node_a"), "node_b").where(F.col("node_a") != F.col("node_b"))
+def cross_edges(t, identity, coverage):
+    h = t.pairs.select(F.col("query_id").alias("query_node"), F.col("reference_id").alias("target_node"), (F.col("qty") / 50).alias("fident"), (1 - 5 * F.col("disc")).alias("qcov"), (1 - 5 * F.col("tax")).alias("tcov"))
+    return components.cross_role_edges(h, t.queries.select(F.col("query_id").alias("node_id"), "role"), identity, coverage)
 
 
 @query("g01_component_closure", """with recursive sym as (select a x, b y from v_cedge union select b, a from v_cedge), reach as (select x node, x seen from sym union select r.node, s.y from reach r join sym s on s.x = r.seen)
-    select q.query_id node_id, q.component_id, coalesce(c.m, q.component_id) merged_id from v_queries q left join (select node, min(seen) m from reach group by 1) c on c.node = q.component_id""", EDGE_SQL)
+    select *, count(*) over (partition by merged_id) merged_size from (select q.query_id node_id, q.component_id, coalesce(c.m, q.component_id) merged_id from v_queries q left join (select node, min(seen) m from reach group by 1) c on c.node = q.component_id)""", EDGE_SQL)
 def _g01(t):
-    nodes = t.queries.select(F.col("query_id").alias("node_id"), "component_id")
-    return components.merge_components(nodes, links(t))
+    nodes = t.queries.select(F.col("query_id").alias("node_id"), "component_id", "role")
+    edges = cross_edges(t, 0.9, 0.9).select(F.col("query_node").alias("node_a"), F.col("target_node").alias("node_b"))
+    return components.merge_components(nodes, edges)
 
 
-@query("g02_cross_role_edges", """select query_node, target_node, a."role" query_role, b."role" target_role from (select query_id query_node, reference_id target_node, qty/50 fident, 1 - 5*disc qcov, 1 - 5*tax tcov from v_pairs) h join v_queries a on a.query_id = query_node join v_queries b on b.query_id = target_node
-    where fident > 0.3 and qcov >= 0.7 and tcov >= 0.7 and a."role" <> b."role" """)
+@query("g02_cross_role_edges", XROLE.format(identity=0.3, coverage=0.7))
 def _g02(t):
-    h = t.pairs.select(F.col("query_id").alias("query_node"), F.col("reference_id").alias("target_node"), (F.col("qty") / 50).alias("fident"), (1 - 5 * F.col("disc")).alias("qcov"), (1 - 5 * F.col("tax")).alias("tcov"))
-    e = components.cross_role_edges(h, t.queries.select(F.col("query_id").alias("node_id"), "role"), 0.3, 0.7)
-    return e.select("query_node", "target_node", "query_role", "target_role")
+    return cross_edges(t, 0.3, 0.7).select("query_node", "target_node", "query_role", "target_role")

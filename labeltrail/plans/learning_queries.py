@@ -117,11 +117,10 @@ def _l06(t):
 
 @query("l07_propensity_bins")
 def _l07(t):
-    rows = t.scored.select("query_id", "reference_id", "raw", "disc", "tax", (F.col("ident") >= 0.5).cast("int").alias("high"))
-    p = learning.propensity(rows, ["raw", "disc", "tax"], "high")
-    cuts = exact_quantiles(p, "propensity", 10).agg(F.array_sort(F.collect_set(F.when(F.col("step").between(1, 9), F.col("quantile")))).alias("_e"))  # nine numbers
-    b = F.size(F.filter("_e", lambda e: e < F.col("propensity"))).alias("bin")
-    return attach_one_row(p, cuts).groupBy(b).agg(F.count("*").alias("pairs"), F.sum("high").alias("high"))
+    """Fitted on one cohort, applied to another."""
+    rows = t.scored.select("query_id", "reference_id", "role", "raw", "disc", "tax", "ident")
+    p = learning.propensity_bins(rows.where(F.col("role") == "DEV"), rows.where(F.col("role") == "RETEST"), ["raw", "disc", "tax"], "ident")
+    return p.groupBy("bin").agg(F.count("*").alias("pairs"), F.sum("high").alias("high"))
 
 
 @query("l08_binomial_coefficients")

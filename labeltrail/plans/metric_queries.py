@@ -9,6 +9,7 @@ from labeltrail.operators import candidates as cd
 from labeltrail.operators import curves, metrics, trace
 from labeltrail.operators.ranking import exact_quantiles, ranked, top_k, top_one
 from labeltrail.plans.registry import query
+from labeltrail.plans.replay import REPS, ci_sql, draws_sql
 from labeltrail.plans.trace_queries import FUSED_SQL, TRACE_SQL, budget_states, trace_of
 
 CNT = ", ".join(f"sum({c})::bigint {c}" for c in ms.COUNT_COLUMNS)
@@ -205,20 +206,34 @@ def _a12(t):
 EDGES = [0.0, 0.2, 0.4, 0.6, 0.8, 1.01]
 
 
-@query("a13_binned_transfer_curve", """select "role", case when ident < 0.2 then 0 when ident < 0.4 then 1 when ident < 0.6 then 2 when ident < 0.8 then 3 else 4 end bin,
-    min(ident) bin_lower, max(ident) bin_upper, count(*) pair_rows, count(distinct query_id) queries, count(distinct component_id) clusters,
-    round(sum(weight*same_l3::int)/sum(weight), 9) rate_same_l3, round(sum(weight*same_l4::int)/sum(weight), 9) rate_same_l4 from v_scored group by 1, 2""")
+RATE_CELLS = "component_id, sum(weight) w, sum(weight*same_l3::int) w3, sum(weight*same_l4::int) w4"
+
+
+def rate_reps(prefix):
+    return ", ".join(f"sum(w{n}*multiplicity)/sum(w*multiplicity) {prefix}_same_l{n}" for n in (3, 4))
+
+
+@query("a13_binned_transfer_curve", f"""with s as (select *, case when ident < 0.2 then 0 when ident < 0.4 then 1 when ident < 0.6 then 2 when ident < 0.8 then 3 else 4 end bin from v_scored),
+    cells as (select "role", bin, {RATE_CELLS} from s group by 1, 2, 3), dr as ({draws_sql("cells", "component_id", REPS, "curve", '"role", bin')}),
+    reps as (select "role", bin, replicate, {rate_reps("rate")} from cells join dr using ("role", bin, component_id) group by 1, 2, 3)
+    select * from (select "role", bin, min(ident) bin_lower, max(ident) bin_upper, count(*) pair_rows, count(distinct query_id) queries, count(distinct component_id) clusters,
+      round(sum(weight*same_l3::int)/sum(weight), 9) rate_same_l3, round(sum(weight*same_l4::int)/sum(weight), 9) rate_same_l4 from s group by 1, 2)
+      join (select "role", bin, {ci_sql(["rate_same_l3", "rate_same_l4"])} from reps group by 1, 2) using ("role", bin)""")
 def _a13(t):
-    return curves.binned_rates(t.scored, ["role"], "ident", EDGES, ["same_l3", "same_l4"], "weight", "component_id")
+    return curves.binned_rates(t.scored, ["role"], "ident", EDGES, ["same_l3", "same_l4"], "weight", "component_id", replicates=REPS)
 
 
-@query("a14_threshold_sweep", """with s as (select *, sum(weight) over (partition by "role") tw from v_scored where "role" in ('CAL_FIT','RETEST'))
-    select "role", th threshold, count(*) pair_rows, count(distinct component_id) clusters, round(sum(weight)/max(tw), 9) coverage,
-    round(sum(weight*same_l3::int)/sum(weight), 9) precision_same_l3, round(sum(weight*same_l4::int)/sum(weight), 9) precision_same_l4
-    from s cross join (select unnest([0.0, 0.1, 0.3, 0.5, 0.7, 0.9, 0.95]) th) where ident >= th::double group by 1, 2 having count(*) >= 20""".replace("th threshold", "th::double threshold"))
+@query("a14_threshold_sweep", f"""with s as (select *, sum(weight) over (partition by "role") tw from v_scored where "role" in ('CAL_FIT','RETEST')),
+    x as (select s.*, th::double threshold from s cross join (select unnest([0.0, 0.1, 0.3, 0.5, 0.7, 0.9, 0.95]) th) where ident >= th::double),
+    p as (select "role", threshold, count(*) pair_rows, count(distinct component_id) clusters, round(sum(weight)/max(tw), 9) coverage,
+      round(sum(weight*same_l3::int)/sum(weight), 9) precision_same_l3, round(sum(weight*same_l4::int)/sum(weight), 9) precision_same_l4 from x group by 1, 2 having count(*) >= 20),
+    cells as (select "role", threshold, {RATE_CELLS} from x semi join p using ("role", threshold) group by 1, 2, 3), dr as ({draws_sql("cells", "component_id", REPS, "threshold", '"role", threshold')}),
+    reps as (select "role", threshold, replicate, {rate_reps("precision")} from cells join dr using ("role", threshold, component_id) group by 1, 2, 3)
+    select * from p join (select "role", threshold, {ci_sql(["precision_same_l3", "precision_same_l4"])} from reps group by 1, 2) using ("role", threshold)""")
 def _a14(t):
-    rows = t.scored.where(F.col("role").isin("CAL_FIT", "RETEST"))
-    return curves.threshold_sweep(rows, ["role"], "ident", [0.0, 0.1, 0.3, 0.5, 0.7, 0.9, 0.95], ["same_l3", "same_l4"], "weight", "component_id")
+    rows = t.scored.where(F.col("role").isin("CAL_FIT", "RETEST"))  # fitting and final cohorts
+    return curves.threshold_sweep(rows, ["role"], "ident", [0.0, 0.1, 0.3, 0.5, 0.7, 0.9, 0.95], ["same_l3", "same_l4"], "weight", "component_id",
+                                  replicates=REPS)
 
 
 WILSON = """((s::double/n + 3.8414588206941236/(2*n) - 1.959963984540054*sqrt((s::double/n*(1-s::double/n) + 3.8414588206941236/(4*n))/n)) / (1 + 3.8414588206941236/n))"""

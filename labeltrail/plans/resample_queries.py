@@ -9,19 +9,14 @@ from labeltrail.functions.hashing import key_text, sha_hex, u60
 from labeltrail.operators import matching, metrics, resample
 from labeltrail.plans.metric_queries import COUNTS_SQL, MEASURES_SQL, TOP_SQL, count_rows, tops
 from labeltrail.plans.registry import query
-from labeltrail.plans.selection_queries import H60, PANEL_SQL, draws_sql, index_sql, method_tops, panels, METHOD_SQL
+from labeltrail.plans.replay import H60, REPS, ci_sql, draws_sql, index_sql
+from labeltrail.plans.selection_queries import METHOD_SQL, PANEL_SQL, method_tops, panels
 from labeltrail.plans.trace_queries import PAIRED_SQL, SIX_SQL, paired_modes, six_rows
 
-#: Replicates of every cluster bootstrap.
-REPS = 2000
 #: Replicates of the exported draw table, which has a row for each component and replicate.
 EXPORTED = 200
 
 
-def ci_sql(cols, digits=9):
-    return ", ".join(f"round(quantile_cont({c}, 0.025), {digits}) {c}_lower, round(quantile_cont({c}, 0.975), {digits}) {c}_upper, count({c}) {c}_finite" for c in cols)
-
-
 BOOT = {"v_draws": draws_sql("v_queries", "component_id", REPS, "boot"), **COUNTS_SQL}
 
 
@@ -139,36 +134,35 @@ def _r09(t):
     return resample.precision_lower_bound(method_tops(t), "component_id", ["method"], "correct", REPS, "prec")
 
 
-@query("r10_row_bootstrap_mean", f"""with p as (select * from v_panel where panel_size = 1), dr as ({draws_sql("p", "query_id", REPS, "rows", '"method"')}),
-    reps as (select "method", replicate, sum(similarity*multiplicity)/sum(multiplicity) mean from p join dr using ("method", query_id) group by 1, 2)
-    select * from (select "method", count(*) n, round(avg(similarity), 9) mean from p group by 1) join (select "method", {ci_sql(["mean"], 6)} from reps group by 1) using ("method")""", PANEL_SQL)
+@query("r10_row_bootstrap_mean", f"""with dr as ({draws_sql("v_panel", "query_id", REPS, "rows", '"method"')}),
+    reps as (select "method", panel_size, replicate, sum(similarity*multiplicity)/sum(multiplicity) mean from v_panel join dr using ("method", query_id) group by 1, 2, 3)
+    select * from (select "method", panel_size, count(*) n, round(avg(similarity), 9) mean from v_panel group by 1, 2) join (select "method", panel_size, {ci_sql(["mean"], 6)} from reps group by 1, 2) using ("method", panel_size)""", PANEL_SQL)
 def _r10(t):
-    return resample.row_bootstrap_mean(panels(t).where(F.col("panel_size") == 1), "query_id", "similarity", ["method"], REPS, "rows")
+    return resample.row_bootstrap_mean(panels(t), "query_id", "similarity", ["method", "panel_size"], REPS, "rows", ["method"])
 
 
-@query("r10b_row_bootstrap_median", f"""with p as (select * from v_panel where panel_size = 1), dr as ({draws_sql("p", "query_id", 20, "med", '"method"')}),
-    x as (select "method", replicate, similarity v, sum(multiplicity) over (partition by "method", replicate order by similarity rows unbounded preceding) c, multiplicity m, sum(multiplicity) over (partition by "method", replicate) n from p join dr using ("method", query_id)),
-    reps as (select "method", replicate, (max(v) filter (where c-m < (n+1)//2 and c >= (n+1)//2) + max(v) filter (where c-m < n//2+1 and c >= n//2+1))/2 median from x group by 1, 2)
-    select "method", {ci_sql(["median"], 6)} from reps group by 1""", PANEL_SQL)
+@query("r10b_row_bootstrap_median", f"""with dr as ({draws_sql("v_panel", "query_id", 20, "med", '"method"')}),
+    x as (select "method", panel_size, replicate, similarity v, sum(multiplicity) over (partition by "method", panel_size, replicate order by similarity rows unbounded preceding) c, multiplicity m, sum(multiplicity) over (partition by "method", panel_size, replicate) n from v_panel join dr using ("method", query_id)),
+    reps as (select "method", panel_size, replicate, (max(v) filter (where c-m < (n+1)//2 and c >= (n+1)//2) + max(v) filter (where c-m < n//2+1 and c >= n//2+1))/2 median from x group by 1, 2, 3)
+    select "method", panel_size, {ci_sql(["median"], 6)} from reps group by 1, 2""", PANEL_SQL)
 def _r10b(t):
-    return resample.row_bootstrap_median(panels(t).where(F.col("panel_size") == 1), "query_id", "similarity", ["method"], 20, "med")
+    return resample.row_bootstrap_median(panels(t), "query_id", "similarity", ["method", "panel_size"], 20, "med", ["method"])
 
 
-@query("r11_family_block_bootstrap", f"""with p as (select v.query_id, v.similarity s, case when q.component_id % 3 = 0 then 'QUERY::'||v.query_id::varchar else q.component_id::varchar end block
-      from v_panel v join v_queries q using (query_id) where panel_size = 2 and "method" = 'RAW'),
-    tot as (select block, sum(s) s, count(*) n from p group by 1), dr as ({draws_sql("p", "block", REPS, "fam")}),
-    reps as (select replicate, sum(s*multiplicity)/sum(n*multiplicity) mean from tot join dr using (block) group by 1)
-    select (select count(*) from tot) blocks, {ci_sql(["mean"], 8)} from reps""", PANEL_SQL)
+@query("r11_family_block_bootstrap", f"""with p as (select v."method", v.panel_size, v.query_id, v.similarity s, case when q.component_id % 3 = 0 then 'QUERY::'||v.query_id::varchar else q.component_id::varchar end block
+      from v_panel v join v_queries q using (query_id)),
+    tot as (select "method", panel_size, block, sum(s) s, count(*) n from p group by 1, 2, 3), dr as ({draws_sql("p", "block", REPS, "fam")}),
+    reps as (select "method", panel_size, replicate, sum(s*multiplicity)/sum(n*multiplicity) mean from tot join dr using (block) group by 1, 2, 3)
+    select * from (select "method", panel_size, count(*) blocks from tot group by 1, 2) join (select "method", panel_size, {ci_sql(["mean"], 8)} from reps group by 1, 2) using ("method", panel_size)""", PANEL_SQL)
 def _r11(t):
-    p = panels(t).where((F.col("panel_size") == 2) & (F.col("method") == "RAW")).join(t.queries.select("query_id", "component_id"), "query_id")
+    by = ["method", "panel_size"]
+    p = panels(t).join(t.queries.select("query_id", "component_id"), "query_id")
     known = F.when(F.col("component_id") % 3 != 0, F.col("component_id").cast("string"))
     p = p.withColumns({"block": F.coalesce(known, F.concat(F.lit("QUERY::"), F.col("query_id").cast("string"))), "n": F.lit(1)})
-    totals = metrics.component_totals(p.withColumn("s", F.col("similarity")), "block", [], ["s", "n"])
-    s = resample.replicate_sums(totals, resample.draw(totals, "block", REPS, "fam"), "block", [], ["s", "n"])
-    ci = resample.interval(s.withColumn("mean", ms.ratio("s", "n")), [], ["mean"], REPS, 8)
-    from labeltrail.operators.ranking import attach_one_row
-
-    return attach_one_row(totals.agg(F.count("*").alias("blocks")), ci)
+    totals = metrics.component_totals(p.withColumn("s", F.col("similarity")), "block", by, ["s", "n"])
+    s = resample.replicate_sums(totals, resample.draw(totals, "block", REPS, "fam"), "block", by, ["s", "n"])
+    ci = resample.interval(s.withColumn("mean", ms.ratio("s", "n")), by, ["mean"], REPS, 8)
+    return totals.groupBy(*by).agg(F.count("*").alias("blocks")).join(ci, by)
 
 
 @query("r12_top_share_bootstrap", f"""with dr as ({draws_sql("v_top", "component_id", REPS, "share")}),
@@ -189,24 +183,26 @@ def _r13(t):
     return resample.bootstrap_ratios(rows, "component_id", [], ["n", "g34", "g4x"], {"gap_l3_l4": ms.ratio("g34", "n"), "gap_l4_exact": ms.ratio("g4x", "n")}, REPS, "gap")
 
 
-DIFF_SQL = {"v_diff": """select a.query_id, round(a.similarity*50)::bigint - round(b.similarity*50)::bigint d from v_panel a join v_panel b using (query_id, panel_size) where panel_size = 1 and a."method" = 'RAW' and b."method" = 'DISC'""", **PANEL_SQL}
+DIFF_SQL = {"v_diff": """select b."method", panel_size, a.query_id, round(a.similarity*50)::bigint - round(b.similarity*50)::bigint d from v_panel a join v_panel b using (query_id, panel_size) where a."method" = 'RAW' and b."method" <> 'RAW'""", **PANEL_SQL}
 
 
 def paired_diff(t):
-    p = panels(t).where(F.col("panel_size") == 1).withColumn("s", F.round(F.col("similarity") * 50).cast("bigint"))
-    one = lambda m: F.max(F.when(F.col("method") == m, F.col("s")))
-    return p.groupBy("query_id").agg((one("RAW") - one("DISC")).alias("d"))
+    """Similarity of the first policy less that of every other, per query and panel size."""
+    p = panels(t).select("query_id", "panel_size", "method", F.round(F.col("similarity") * 50).cast("bigint").alias("s"))
+    first = p.where(F.col("method") == "RAW").select("query_id", "panel_size", F.col("s").alias("_first"))
+    return p.where(F.col("method") != "RAW").join(first, ["query_id", "panel_size"]).withColumn("d", F.col("_first") - F.col("s"))
 
 
 FLIPS = 20_000
 
 
-@query("r14_sign_flip_permutation", f"""with c as (select abs(d)::double v, count(*) c, sum(d) s from v_diff group by 1), b as (select *, least(c - 60*b, 60)::int m from (select *, unnest(range((c + 59)//60)) b from c where v > 0)),
-    f as (select r, sum(v*(2*bit_count({H60.format("'flip|'||r||'|'||v::decimal(38,9)::varchar||'|'||b")} & ((1::bigint << m) - 1)) - m)) s from b cross join (select unnest(range({FLIPS})) r) group by 1),
-    o as (select sum(s) s, sum(c) n from c) select n::bigint n, round(o.s::double/n, 9) mean, count(*) filter (where abs(f.s) >= abs(o.s)) exceed,
-    round((count(*) filter (where abs(f.s) >= abs(o.s)) + 1)/{FLIPS + 1}.0::double, 9) p_value from f cross join o group by n, o.s""", DIFF_SQL)
+@query("r14_sign_flip_permutation", f"""with c as (select "method", panel_size, abs(d)::double v, count(*) c, sum(d) s from v_diff group by 1, 2, 3), b as (select *, case when v > 0 then least(c - 60*b, 60) else 0 end::int m from (select *, unnest(range((c + 59)//60)) b from c) where v > 0 or b = 0),
+    h as (select r, v, b, {H60.format("'flip|'||r||'|'||v::decimal(38,9)::varchar||'|'||b")} h from (select distinct v, b from b) cross join (select unnest(range({FLIPS})) r)),
+    f as (select "method", panel_size, r, sum(v*(2*bit_count(h & ((1::bigint << m) - 1)) - m)) s from b join h using (v, b) group by 1, 2, 3),
+    o as (select "method", panel_size, sum(s) s, sum(c) n from c group by 1, 2) select "method", panel_size, n::bigint n, round(o.s::double/n, 9) mean, count(*) filter (where abs(f.s) >= abs(o.s)) exceed,
+    round((count(*) filter (where abs(f.s) >= abs(o.s)) + 1)/{FLIPS + 1}.0::double, 9) p_value from f join o using ("method", panel_size) group by 1, 2, n, o.s""", DIFF_SQL)
 def _r14(t):
-    return resample.sign_flip_test(paired_diff(t), "d", FLIPS, "flip")
+    return resample.sign_flip_test(paired_diff(t), "d", FLIPS, "flip", ["method", "panel_size"])
 
 
 PERMUTATIONS = 1000

@@ -10,28 +10,9 @@ from labeltrail.operators import curves, matching, metrics, resample
 from labeltrail.operators.ranking import exact_quantiles, top_k, top_one
 from labeltrail.plans.metric_queries import SAFE_Q, TOP_SQL, VOTE_SQL, WILSON, agreement, tops
 from labeltrail.plans.registry import query
+from labeltrail.plans.replay import H60, REPS, ci_sql, draws_sql, index_sql  # noqa: F401
 from labeltrail.plans.trace_queries import FUSED_SQL, fused_scored
 
-H60 = "('0x'||substr(sha256({}),1,15))::bigint"
-
-
-def draws_sql(source: str, key: str, reps: int, context: str, within: str = "") -> str:
-    """SQL twin of component_draws: `source` yields (within.., key) rows."""
-    w = f"{within}, " if within else ""
-    part = f"partition by {within}" if within else ""
-    ctx = f"'{context}|'||" + "".join(f"{c}::varchar||'|'||" for c in within.split(", ") if c)
-    return f"""select i.{key}, {", ".join("i." + c for c in within.split(", ") if c) + ", " if within else ""}d.replicate, d.multiplicity from (
-      select {w}r replicate, ({H60.format(f"{ctx}r||'|'||key_index")} % k) key_index, count(*) multiplicity from (
-        select *, unnest(range({reps})) r from ({index_sql(source, key, within)})) group by all) d
-      join ({index_sql(source, key, within)}) i on i.key_index = d.key_index {"".join(f" and i.{c} = d.{c}" for c in within.split(", ") if c)}"""
-
-
-def index_sql(source: str, key: str, within: str = "") -> str:
-    w = f"{within}, " if within else ""
-    part = f"partition by {within} " if within else ""
-    return f"""select {w}{key}, row_number() over ({part}order by {H60.format(f"{key}::varchar")} % 64, {key}) - 1 key_index,
-      count(*) over ({part}) k from (select distinct {w}{key} from {source})"""
-
 
 @query("a34_domain_guarded_cutoff", f"""with so as (select raw s, row_number() over (order by raw) - 1 i, count(*) over () n from v_top),
     q as (select j, l.s + (h.s - l.s)*(j*(l.n-1)/120.0::double - (j*(l.n-1))//120) thr from (select unnest(range(121)) j) join so l on l.i = (j*(l.n-1))//120 join so h on h.i = (j*(l.n-1)+119)//120),
@@ -334,14 +315,25 @@ def _a55(t):
                                                 ms.rate("correct").alias("precision_top1"), F.round(ms.n_if("correct") / n, 9).alias("correct_coverage"))
 
 
-@query("a56_native_score_policy", """with d as (select "method", direction, case when direction = 'HIGH' then score else -score end x, correct, component_id from v_mtop cross join (select unnest(['HIGH','LOW']) direction)),
+#: Precision that a frozen cutoff must reach.
+NATIVE_PRECISION = 0.335
+
+
+@query("a56_native_score_policy", f"""with d as (select "method", direction, case when direction = 'HIGH' then score else -score end x, correct, component_id from v_mtop cross join (select unnest(['HIGH','LOW']) direction)),
     s as (select "method", direction, x, count(*) n, sum(correct::int) ok from d group by 1, 2, 3),
     f as (select "method", direction, x, count(*) cl from (select "method", direction, component_id, max(x) x from d group by 1, 2, 3) group by 1, 2, 3),
-    c as (select "method", direction, case when direction = 'HIGH' then x else -x end thr, sum(n) over w n, sum(ok) over w ok, sum(coalesce(cl, 0)) over w cl from s left join f using ("method", direction, x) window w as (partition by "method", direction order by x desc))
-    select "method", direction, thr threshold, n::bigint accepted, cl::bigint clusters, round(ok::double/n, 9) "precision" from (select *, row_number() over (partition by "method" order by n desc, round(ok::double/n, 9) desc, abs(thr), direction desc, thr desc) rn from c
-      where n >= 20 and cl >= 10 and round(ok::double/n, 9) >= 0.335) where rn = 1""", METHOD_SQL)
+    c as (select "method", direction, x, sum(n) over w n, sum(ok) over w ok, sum(coalesce(cl, 0)) over w cl from s left join f using ("method", direction, x) window w as (partition by "method", direction order by x desc)),
+    q as (select *, round(ok::double/n, 9) pr from c where n >= 20 and cl >= 10 and round(ok::double/n, 9) >= {NATIVE_PRECISION}),
+    top as (select * from (select *, rank() over (partition by "method" order by n desc, pr desc) rk from (select * from q qualify row_number() over (partition by "method", direction order by n desc) = 1)) where rk = 1),
+    cells as (select "method", direction, component_id, sum(correct::int) ok, count(*) n from d join top using ("method", direction) where d.x >= top.x group by 1, 2, 3),
+    dr as ({draws_sql("cells", "component_id", REPS, "native", '"method", direction')}),
+    reps as (select "method", direction, replicate, sum(ok*multiplicity)::double/sum(n*multiplicity) "precision" from cells join dr using ("method", direction, component_id) group by 1, 2, 3),
+    best as (select * from (select *, case when direction = 'HIGH' then x else -x end thr from top) join (select "method", direction, {ci_sql(["precision"])} from reps group by 1, 2) using ("method", direction)
+      qualify row_number() over (partition by "method" order by precision_lower desc, abs(thr), direction desc, thr desc) = 1)
+    select m."method", coalesce(direction, 'NONE') direction, thr threshold, coalesce(n, 0)::bigint accepted, coalesce(cl, 0)::bigint clusters, pr "precision", precision_lower, precision_upper,
+      case when n is null then 'ABSTAIN' else 'FROZEN' end policy_status from (select distinct "method" from v_mtop) m left join best using ("method")""", METHOD_SQL)
 def _a56(t):
-    return curves.native_policy(method_tops(t), ["method"], "score", "correct", "component_id", 20, 10, 0.335)
+    return curves.native_policy(method_tops(t), ["method"], "score", "correct", "component_id", 20, 10, NATIVE_PRECISION, REPS)
 
 
 @query("a57_spearman_of_metric_pairs", """with r as (select rank() over (order by raw) + (count(*) over (partition by raw) - 1)/2.0::double a, rank() over (order by ref_price) + (count(*) over (partition by ref_price) - 1)/2.0::double b from v_scored join v_refs using (reference_id))
