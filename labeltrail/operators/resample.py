@@ -236,10 +236,12 @@ def sign_flip_test(rows: DataFrame, value: str, replicates: int, context: str, b
     seen = sizes.groupBy(*by).agg(F.sum("_s").alias("_s"), F.sum("_c").alias("n"))
     blocks = sizes.withColumn("_b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("_c") - 1) / 60).cast("bigint"))))
     m = F.when(F.col("_v") > 0, F.least(F.col("_c") - 60 * F.col("_b"), F.lit(60))).otherwise(0).cast("int")
-    reps = blocks.where("_v > 0 or _b = 0").withColumn("_m", m).withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+    blocks = cut_lineage(blocks.where("_v > 0 or _b = 0").withColumn("_m", m))
     place = F.round(F.col("_v"), 9).cast("decimal(38,9)").cast("string")
-    bits = u60(key_text(context, F.col("replicate"), place, F.col("_b"))).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("_m")) - 1)
-    flips = reps.groupBy(*by, "replicate").agg(F.sum(F.col("_v") * (2 * F.bit_count(bits) - F.col("_m"))).alias("s"))
+    dealt = blocks.select("_v", "_b").distinct().withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+    dealt = dealt.withColumn("_h", u60(key_text(context, F.col("replicate"), place, F.col("_b"))))  # once for all groups
+    ones = F.bit_count(F.col("_h").bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("_m")) - 1))
+    flips = blocks.join(dealt, ["_v", "_b"]).groupBy(*by, "replicate").agg(F.sum(F.col("_v") * (2 * ones - F.col("_m"))).alias("s"))
     x = null_safe_join(flips, seen, by) if by else attach_one_row(flips, seen)
     tol = F.abs(F.col("_s")) - F.lit(1e-9) * F.greatest(F.abs(F.col("_s")), F.lit(1.0))
     hits = n_if(F.abs(F.col("s")) >= tol)
