@@ -164,25 +164,33 @@ def repeated_spans(docs: DataFrame, length: int = 200, keep_first: bool = True,
     release(every)
     del every, shared
     settled, still, runs = _settle(rows, keep_first)
+    settled = staged(settled, "settled")
+    release(rows)
+    del rows
     wanted = still.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("first", "count", "far", "anchor", "many")).alias("open"))
     texts = source.join(wanted.withColumnsRenamed({"doc_id": "_id", "mark": "_mark"}), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark")))
     pieces = staged(_pieces(texts.select("doc_id", "mark", "text", "open"), length), "pieces")
+    release(runs)
+    del runs, still, wanted, texts
     once = pieces.drop("windows").dropDuplicates(["doc_id", "mark", "first", "anchor"])  # rows repeated whole
     common = once.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor")
     settled_pieces, left, piece_runs = _settle(once.join(common, "anchor"), keep_first)
+    settled_pieces = staged(settled_pieces, "settled_pieces")
     left = left.select(F.struct("doc_id", "mark", "first").alias("k"), "anchor", "many")
     named = pieces.select(F.struct("doc_id", "mark", "first").alias("p"), F.col("anchor").alias("a"), "windows").dropDuplicates(["p", "a"])
     single = left.join(named, F.col("k").eqNullSafe(F.col("p")) & (F.col("anchor") == F.col("a"))).select("k.*", "many", "anchor", F.posexplode("windows").alias("i", "window"))
     single = staged(single.withColumn("first", F.col("first") + F.col("i")).drop("i"), "windows")
+    release(pieces, piece_runs)
+    del pieces, piece_runs, once, common, left, named
     place = F.struct("doc_id", "mark", "first")
     names = single.groupBy("anchor", "window").agg(F.sum("many").alias("all"), F.min(place).alias("least")).where("all > 1")
     named = single.join(names, ["anchor", "window"])
     named = named.where(~place.eqNullSafe(F.col("least"))) if keep_first else named
     spans = settled.unionByName(settled_pieces).unionByName(named.select("doc_id", "mark", "first", F.lit(1).cast("smallint").alias("count")))
     spans = staged(spans.groupBy("doc_id", "mark").agg(F.collect_list(F.array(F.col("first"), F.col("count").cast("long"))).alias("spans")), "spans")
-    done = (rows, pieces, single, runs, piece_runs)
-    del settled, still, wanted, texts, once, common, settled_pieces, left, named, names
-    release(*done)
+    parts = (settled, settled_pieces, single)
+    del settled, settled_pieces, single, named, names
+    release(*parts)
     return spans
 
 
