@@ -192,16 +192,18 @@ def position_map(alignments: DataFrame, sites: DataFrame) -> DataFrame:
     gaps as `-`; sites: (pair_id, position).  Positions count non-gap symbols, so the query
     position at alignment column i is start - 1 + non-gap symbols among the first i.
     """
-    a = alignments.withColumn("_ok", (F.length("query_alignment") > 0) & (F.length("query_alignment") == F.length("reference_alignment")))
-    cols = a.where("_ok").select(
-        "pair_id", "query_start", "reference_start", "query_alignment", "reference_alignment",
-        F.posexplode(F.split("reference_alignment", "")).alias("_i", "reference_symbol")).where(
-        (F.col("reference_symbol") != "-") & (F.col("reference_symbol") != ""))
-    upto = lambda c: F.length(F.replace(F.substring(F.col(c), F.lit(1), F.col("_i") + 1), F.lit("-"), F.lit("")))
-    sym = F.substring(F.col("query_alignment"), F.col("_i") + 1, F.lit(1))
-    cols = cols.select("pair_id", (F.col("reference_start") - 1 + upto("reference_alignment")).alias("position"),
-                       (F.col("query_start") - 1 + upto("query_alignment")).alias("_q"), sym.alias("query_symbol"), "reference_symbol")
-    out = sites.join(a.select("pair_id", "_ok"), "pair_id", "left").join(cols, ["pair_id", "position"], "left")
+    ok = (F.length("query_alignment") > 0) & (F.length("query_alignment") == F.length("reference_alignment"))
+    columns = F.sequence(F.lit(1), F.length("reference_alignment"))
+    symbols = F.filter(columns, lambda i: F.substring(F.col("reference_alignment"), i, F.lit(1)) != "-")  # columns that hold a reference position
+    a = alignments.select("pair_id", "query_start", "reference_start", "query_alignment", "reference_alignment",
+                          ok.alias("_ok"), F.when(ok, symbols).alias("_at"))
+    # Looked up in the alignment's own row: the symbols of all alignments are never a table that a size estimate could broadcast.
+    out = sites.join(a.hint("merge"), "pair_id", "left")
+    back = F.col("position") - F.col("reference_start")
+    out = out.withColumn("_i", F.when(back.between(0, F.size("_at") - 1), F.get("_at", back.cast("int"))))
+    upto = F.length(F.replace(F.substring(F.col("query_alignment"), F.lit(1), F.col("_i")), F.lit("-"), F.lit("")))
+    at = lambda c: F.substring(F.col(c), F.col("_i"), F.lit(1))
+    out = out.withColumns({"_q": F.col("query_start") - 1 + upto, "query_symbol": at("query_alignment"), "reference_symbol": at("reference_alignment")})
     gap = F.col("query_symbol") == "-"
     status = (F.when(~F.coalesce("_ok", F.lit(False)), "NO_VALID_BACKTRACE").when(F.col("query_symbol").isNull(), "REFERENCE_SITE_OUTSIDE_ALIGNMENT")
               .when(gap, "REFERENCE_SITE_ALIGNS_TO_QUERY_GAP").otherwise("PASS"))
