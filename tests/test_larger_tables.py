@@ -19,3 +19,15 @@ def test_position_map_looks_symbols_up_in_the_row(spark):
     assert got == {(1, 2): outside, (1, 3): (5, "A", "A", "PASS"), (1, 4): (None, None, "B", "REFERENCE_SITE_ALIGNS_TO_QUERY_GAP"),
                    (1, 5): (7, "D", "D", "PASS"), (1, 6): outside, (1, 2**40): outside, (2, 1): none, (3, 2): none, (4, 1): none}
     assert "Generate" not in plan_of(out) and "BroadcastExchange" not in plan_of(out)
+
+
+def test_distances_round_like_their_sql(spark):
+    import duckdb
+
+    from labeltrail.plans.ranking_queries import distances
+
+    prices = [(i, 0, p) for i, p in enumerate([2003.5, 2010.5, 2011.5, 84197.5, 900.68, 104999.91] + [1000.5 + i for i in range(4000)])]
+    hits = spark.createDataFrame(prices, "reference_id long, source_id long, price double")
+    got = {r.reference_id: r.d for r in distances(type("T", (), {"hits": hits})).collect()}
+    for i, _, p in prices[:6] + prices[6::40]:
+        assert got[i] == duckdb.execute("select round(?::double/1000, 3)", [p]).fetchone()[0]
