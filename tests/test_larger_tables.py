@@ -31,3 +31,40 @@ def test_distances_round_like_their_sql(spark):
     got = {r.reference_id: r.d for r in distances(type("T", (), {"hits": hits})).collect()}
     for i, _, p in prices[:6] + prices[6::40]:
         assert got[i] == duckdb.execute("select round(?::double/1000, 3)", [p]).fetchone()[0]
+
+
+def test_draws_stay_on_the_executors(spark, monkeypatch):
+    import hashlib
+
+    from labeltrail.operators import draws, resample
+
+    monkeypatch.setattr(draws, "PIECE", 4)
+    monkeypatch.setattr(draws, "blocks", None)  # blocks of the matrix pass through the driver
+    rows = [("a" if i % 3 else "b", 100 + i, f"g{i % 2}", float(i * i % 11), None if i % 5 else i) for i in range(31)]
+    t = spark.createDataFrame(rows, "w string, c long, g string, x double, y long")
+    d = resample.draw(t, "c", 7, "ctx", ["w"])
+    got = {(r.g, r.w, r.replicate): (r.x, r.y) for r in resample.replicate_sums(t, d, "c", ["g"], ["x", "y"], ["w"]).collect()}
+    want = {}
+    number = lambda s: int(hashlib.sha256(s.encode()).hexdigest()[:15], 16)
+    for w in "ab":
+        keys = sorted({r[1] for r in rows if r[0] == w}, key=lambda k: (number(str(k)) % 64, k))
+        for rep in range(7):
+            for i in range(len(keys)):
+                for r in (r for r in rows if r[1] == keys[number(f"ctx|{w}|{rep}|{i}") % len(keys)]):
+                    x, y = want.get((r[2], w, rep), (0.0, None))
+                    want[r[2], w, rep] = (x + r[3], y if r[4] is None else (y or 0) + r[4])
+    assert got == want
+
+
+def test_curves_of_few_places_come_from_sums_per_place(spark, monkeypatch):
+    from labeltrail.operators import draws, resample
+
+    t = spark.range(400).select((F.col("id") % 37).alias("c"), (F.col("id") % 7 / 7).alias("p"), (F.col("id") * 5 % 13 / 13).alias("q"),
+                                (F.col("id") * 11 % 17 < 6).cast("int").alias("y"), (F.col("id") % 3).cast("double").alias("w"), (F.col("id") % 37 % 2).cast("int").alias("d"))
+    run = lambda: [r.first().asDict() for r in (resample.ranking_difference_bootstrap(t, "c", ("p", "q"), "y", "w", 30, "k"),
+                                                resample.oriented_auc_bootstrap(t, "c", "d", "p", 30, "k"))]
+    with monkeypatch.context() as m:
+        m.setattr(draws, "PLACES", 1)  # sorted passes
+        long = run()
+    monkeypatch.setattr(draws, "blocks", None)
+    assert run() == long
