@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from labeltrail.functions.states import BUDGET_STATES, SET_TRACE_STATES, TRACE_STATES, first_true
 from labeltrail.operators.ranking import top_one
-from labeltrail.session import cut_lineage
 
 KEY = ["query_id", "endpoint"]
 
@@ -168,34 +167,30 @@ def score_change(rows: DataFrame, key: list[str], budgets: dict[int, int], rank:
                  row_id: str, carry: list[str]) -> DataFrame:
     """Raw-score winner against calibrated-score winner per key and budget, with both top sets.
 
-    Ties inside a winner go to the smallest row id.  Top sets come from counts per score
-    value, so a large pool is combined on the map side.
+    Ties inside a winner go to the smallest row id.  Ranks are row numbers, so a key has at most the largest budget's rows: rows are
+    dealt by key once, and everything after that stays in place.
     """
-    # Both winners, the top scores and the top sets read the pool: materialise it once.
-    rows = cut_lineage(rows.select(*key, *carry, rank, raw, cal, label, ok, row_id))
+    rows = rows.select(*key, *carry, rank, raw, cal, label, ok, row_id).where(F.col(rank) <= max(budgets.values()))
+    rows = rows.repartition(*key)
     grid = F.explode(F.array(*[F.struct(F.lit(b).alias("budget"), F.lit(k).alias("_k")) for b, k in budgets.items()])).alias("_b")
     pool = rows.select("*", grid).where(F.col(rank) <= F.col("_b._k")).withColumn("budget", F.col("_b.budget")).drop("_b")
     by = [*key, "budget"]
-    win = lambda s, p: top_one(pool, by, [(s, "desc"), (row_id, "asc")]).select(
-        *by, F.col(row_id).alias(f"{p}_winner"), F.col(label).alias(f"_{p}_label"), F.col(ok).alias(f"_{p}_ok"),
-        *([F.col(c) for c in carry] if p == "raw" else []))
-    tops = pool.groupBy(*by).agg(F.max(raw).alias("_mr"), F.max(cal).alias("_mc"))
-    marked = pool.join(tops, by)
+    whole = Window.partitionBy(*by)
+    marked = pool.withColumns({"_mr": F.max(raw).over(whole), "_mc": F.max(cal).over(whole)})
     r_top, c_top = F.col(raw) == F.col("_mr"), F.col(cal) == F.col("_mc")
-    # Labels are counted through one row per label, so only one distinct count (raw values
-    # inside the calibrated top set) is left and no row is expanded per distinct column.
+    row = F.struct(F.col(row_id).alias("id"), F.col(label).alias("label"), F.col(ok).alias("ok"), *[F.col(c).alias(f"_c_{c}") for c in carry])
     flag = lambda c: F.max(c.cast("int"))
-    per_label = marked.groupBy(*by, label).agg(
-        F.count("*").alias("n"), F.count(F.when(r_top, 1)).alias("nr"), F.count(F.when(c_top, 1)).alias("nc"),
-        flag(F.col(ok)).alias("ok_any"), flag(F.col(ok) & c_top).alias("_cm"), flag(F.col(ok) & r_top).alias("_rm"))
-    stats = per_label.groupBy(*by).agg(
-        F.sum("n").alias("candidate_rows"), F.count("*").alias("candidate_labels"), F.max("ok_any").alias("matching_candidate"),
-        F.sum("nr").alias("raw_top_rows"), F.count(F.when(F.col("nr") > 0, 1)).alias("raw_top_labels"),
-        F.sum("nc").alias("calibrated_top_rows"), F.count(F.when(F.col("nc") > 0, 1)).alias("calibrated_top_labels"),
-        F.max("_cm").alias("_cm"), F.max("_rm").alias("_rm"))
-    levels = marked.where(c_top).groupBy(*by).agg(F.count_distinct(raw).alias("raw_levels_in_calibrated_top"))
-    stats = stats.join(levels, by)
-    out = win(raw, "raw").join(win(cal, "calibrated"), by).join(stats, by)
+    distinct = lambda c, v: F.size(F.collect_set(F.when(c, v))).cast("bigint")  # noqa: E731  (at most the largest budget's values)
+    stats = marked.groupBy(*by).agg(
+        F.min(F.when(F.col(raw).eqNullSafe(F.col("_mr")), row)).alias("_w"), F.min(F.when(F.col(cal).eqNullSafe(F.col("_mc")), row)).alias("_v"),
+        F.count("*").alias("candidate_rows"), distinct(F.lit(True), F.col(label)).alias("candidate_labels"), flag(F.col(ok)).alias("matching_candidate"),
+        F.count(F.when(r_top, 1)).alias("raw_top_rows"), distinct(r_top, F.col(label)).alias("raw_top_labels"),
+        F.count(F.when(c_top, 1)).alias("calibrated_top_rows"), distinct(c_top, F.col(label)).alias("calibrated_top_labels"),
+        distinct(c_top, F.col(raw) + F.lit(0.0)).alias("raw_levels_in_calibrated_top"),
+        flag(F.col(ok) & c_top).alias("_cm"), flag(F.col(ok) & r_top).alias("_rm"))
+    out = stats.where("calibrated_top_rows > 0").select(
+        "*", *[F.col(f"_w._c_{c}").alias(c) for c in carry], F.col("_w.id").alias("raw_winner"), F.col("_v.id").alias("calibrated_winner"),
+        F.col("_w.label").alias("_raw_label"), F.col("_v.label").alias("_calibrated_label"), F.col("_w.ok").alias("_raw_ok"), F.col("_v.ok").alias("_calibrated_ok"))
     i = lambda cond: cond.cast("int")
     a, b = F.col("_raw_ok"), F.col("_calibrated_ok")
     return out.select(

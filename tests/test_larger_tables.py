@@ -68,3 +68,16 @@ def test_curves_of_few_places_come_from_sums_per_place(spark, monkeypatch):
         long = run()
     monkeypatch.setattr(draws, "blocks", None)
     assert run() == long
+
+
+def test_score_change_deals_rows_once(spark):
+    from labeltrail.operators import trace
+
+    rows = [(1, 1, 0.5, 0.5, "a", True, 7), (1, 2, 0.6, 0.5, "b", False, 3), (1, 3, 0.6, 0.4, "b", True, 2), (2, 1, 0.1, 0.2, "a", False, 1)]
+    t = spark.createDataFrame(rows, "q long, rk int, raw double, cal double, lab string, ok boolean, id long").withColumn("comp", F.col("q") * 10)
+    out = trace.score_change(t, ["q"], {1: 1, 99: 99}, "rk", "raw", "cal", "lab", "ok", "id", ["comp"])
+    got = {(r.q, r.budget): (r.comp, r.candidate_rows, r.candidate_labels, r.raw_top_rows, r.raw_top_labels, r.calibrated_top_rows, r.calibrated_top_labels,
+                             r.raw_levels_in_calibrated_top, r.raw_winner, r.calibrated_winner, r.calibrated_tie_loss, r.raw_tie_loss) for r in out.collect()}
+    assert got == {(1, 1): (10, 1, 1, 1, 1, 1, 1, 1, 7, 7, 0, 0), (1, 99): (10, 3, 2, 2, 1, 2, 2, 2, 2, 3, 1, 0),
+                   (2, 1): (20, 1, 1, 1, 1, 1, 1, 1, 1, 1, 0, 0), (2, 99): (20, 1, 1, 1, 1, 1, 1, 1, 1, 1, 0, 0)}
+    assert plan_of(out).split("Initial Plan")[-1].count("Exchange ") == 1
