@@ -155,8 +155,8 @@ class Redactor:
         return out
 
 
-def fit_redactor(docs: DataFrame, max_docs: int = 4000, precision: float = 0.9, trees: int = 12, id_col: str = "doc_id", text_col: str = "text") -> Redactor:
-    """Fit on the candidates of at most `max_docs` documents that hold a digit or an @, first by the hash of their text.
+def fit_redactor(docs: DataFrame, max_docs: int | None = None, precision: float = 0.9, trees: int = 12, id_col: str = "doc_id", text_col: str = "text") -> Redactor:
+    """Fit on the candidates of all different documents that hold a digit or an @, or of `max_docs`, first by the hash of their text.
 
     The labels are the strict rules: a candidate is personal if it shares characters with a span of its
     kind that the strict rule accepts.
@@ -165,15 +165,20 @@ def fit_redactor(docs: DataFrame, max_docs: int = 4000, precision: float = 0.9,
     """
     text = text_of(text_col)
     able = docs.select(text.alias("text"), F.xxhash64(text).alias("h")).where(F.col("text").rlike("[0-9@]"))
-    chosen = able.select("h").distinct().orderBy("h").limit(max_docs)
-    picked = able.join(F.broadcast(chosen), "h").dropDuplicates(["h"])  # at most max_docs hashes
-    rows = candidates(picked, "text", ["h"])
+    if max_docs is None:
+        # Copies are dropped by their candidates, so that no text is shuffled.
+        rows = candidates(able, "text", ["h"]).dropDuplicates(["h", "kind", "start", "stop", "base", "wide"])
+    else:
+        chosen = able.select("h").distinct().orderBy("h").limit(max_docs)
+        picked = able.join(F.broadcast(chosen), "h").dropDuplicates(["h"])  # at most max_docs hashes
+        rows = candidates(picked, "text", ["h"])
     good = F.array_agg(F.when(F.col("base"), F.struct("kind", "start", "stop")))
     per_doc = rows.groupBy("h").agg(good.alias("good"), F.collect_list(F.struct("kind", "start", "stop", "value", "wide", "before", "after")).alias("c"))
     rows = per_doc.select("h", "good", F.explode("c").alias("c")).select("h", "good", "c.*")
     label = F.exists("good", lambda g: (g["kind"] == F.col("kind")) & (g["start"] < F.col("stop")) & (F.col("start") < g["stop"]))
     rows = featured(rows.withColumn("label", label.cast("double"))).select("h", "kind", "label", *FEATURES)
-    sample = VectorAssembler(inputCols=FEATURES, outputCol="x").transform(rows).select("h", "kind", "label", "x").coalesce(4).persist()
+    sample = VectorAssembler(inputCols=FEATURES, outputCol="x").transform(rows).select("h", "kind", "label", "x")
+    sample = (sample if max_docs is None else sample.coalesce(4)).persist()
     fit, held = sample.where("h % 5 <> 0"), sample.where("h % 5 = 0")
     if fit.select("label").distinct().count() < 2:
         sample.unpersist()

@@ -81,3 +81,21 @@ def test_score_change_deals_rows_once(spark):
     assert got == {(1, 1): (10, 1, 1, 1, 1, 1, 1, 1, 7, 7, 0, 0), (1, 99): (10, 3, 2, 2, 1, 2, 2, 2, 2, 3, 1, 0),
                    (2, 1): (20, 1, 1, 1, 1, 1, 1, 1, 1, 1, 0, 0), (2, 99): (20, 1, 1, 1, 1, 1, 1, 1, 1, 1, 0, 0)}
     assert plan_of(out).split("Initial Plan")[-1].count("Exchange ") == 1
+
+
+def test_redactor_is_fitted_on_all_documents(spark, monkeypatch):
+    from labeltrail.llm import pii
+
+    class Seen(Exception):
+        pass
+
+    def spy(rows):
+        raise Seen(rows.select("h").distinct().count(), rows.count())
+
+    monkeypatch.setattr(pii, "featured", spy)
+    docs = spark.range(4400).select("id", F.concat(F.lit("write to a"), (F.col("id") % 4200).cast("string"), F.lit("@b.org now")).alias("text"))
+    try:
+        pii.fit_redactor(docs)
+        raise AssertionError("not fitted")
+    except Seen as seen:
+        assert seen.args[0] == 4200 and seen.args[1] == pii.candidates(docs.where("id < 4200"), "text", ["id"]).count()
