@@ -160,10 +160,14 @@ def ensemble_mean(df: DataFrame, by: list[str], value: str) -> DataFrame:
 
 
 def choose_blend(rows: DataFrame, first: str, second: str, y: str, weight: str, points: int = 40) -> DataFrame:
-    """Blend weight with the best average precision; the smallest weight wins near ties."""
+    """Blend weight with the best average precision; the smallest weight wins near ties.
+
+    Rows of equal scores and outcome are added up before the grid multiplies them.
+    """
     from labeltrail.operators.curves import ranking_metrics
 
-    grid = rows.select(first, second, y, weight, F.explode(F.sequence(F.lit(0), F.lit(points))).alias("step"))
+    cells = rows.groupBy(first, second, y).agg(F.sum(F.col(weight).cast("double")).alias(weight))
+    grid = cells.select(first, second, y, weight, F.explode(F.sequence(F.lit(0), F.lit(points))).alias("step"))
     a = F.col("step") / points
     grid = grid.withColumn("score", F.round(a * F.col(first) + (1 - a) * F.col(second), 9))
     m = ranking_metrics(grid, ["step"], "score", y, weight)

@@ -99,3 +99,36 @@ def test_redactor_is_fitted_on_all_documents(spark, monkeypatch):
         raise AssertionError("not fitted")
     except Seen as seen:
         assert seen.args[0] == 4200 and seen.args[1] == pii.candidates(docs.where("id < 4200"), "text", ["id"]).count()
+
+
+def test_outcomes_need_one_deal_by_query(spark, tmp_path):
+    from labeltrail.operators.candidates import expand_levels, label_outcomes, outcomes_by_query
+    from labeltrail.plans.tables import Tables
+
+    rows = [(1, 1, 1, "a", "a.x", "a.x.1"), (1, 2, 0, "a", "a.y", None), (1, 3, 0, "b", "b.x", "b.x.1"), (2, 4, 0, "a", "a.x", "a.x.1"), (3, 5, 1, None, "a.y", None),
+            (3, 6, None, "", "a.y", "a.x.1"), (4, 7, 1, "", "", ""), (4, 8, 0, "", "", ""), (5, 9, 1, "c", "c.x", "c.x.1"), (5, 10, 0, "c", "c.x", "c.x.2")]
+    x = spark.createDataFrame(rows, "query_id long, reference_id long, returned int, l3 string, l4 string, exact string")
+    labels, outputs = {"L3": "l3", "L4": "l4", "EXACT": "exact"}, {"L3": "s3", "L4": "s4", "EXACT": "sx"}
+    truth = expand_levels(x.where("returned = 1"), labels, ["query_id"]).distinct()
+    names = ["query_id", "reference_id", "s3", "s4", "sx"]
+    got, want = outcomes_by_query(x, "returned", labels, outputs), label_outcomes(x, truth, labels, outputs)
+    assert sorted(got.select(*names).collect()) == sorted(want.select(*names).collect())
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        plan = plan_of(Tables(spark, "/root/testdata/sf0.001").scored)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    # pairs, pairs and references by reference, rows and queries by query
+    assert plan.count("Exchange hashpartitioning") <= 5
+
+
+def test_blends_multiply_distinct_scores_only(spark, monkeypatch):
+    from labeltrail.operators import curves, features
+
+    seen = []
+    real = curves.ranking_metrics
+    monkeypatch.setattr(curves, "ranking_metrics", lambda rows, *a, **k: seen.append(rows.count()) or real(rows, *a, **k))
+    x = spark.createDataFrame([(float(i % 3), float(i % 2), i % 5 == 0, 1.0 + i % 4) for i in range(600)], "a double, b double, y boolean, w double")
+    features.choose_blend(x, "a", "b", "y", "w", 4).collect()
+    assert seen == [5 * 12]  # grid points times distinct (a, b, y), not 5 * 600
