@@ -135,9 +135,8 @@ def _w14(t):
 @query("w15_dense_vote_rank", "select query_id, label, dense_rank() over (partition by query_id order by candidate_votes desc) vote_rank from v_votestats", VOTE_SQL)
 def _w15(t):
     a = agreement(t).select("query_id", "label", "candidate_votes")
-    # Dense rank over distinct vote counts (at most one per method), joined back.
-    levels = ranked(a.select("query_id", "candidate_votes").distinct(), ["query_id"], [("candidate_votes", "desc")], "vote_rank")
-    return a.join(levels, ["query_id", "candidate_votes"]).select("query_id", "label", "vote_rank")
+    by_votes = Window.partitionBy("query_id").orderBy(F.col("candidate_votes").desc())  # at most a label per method
+    return a.select("query_id", "label", F.dense_rank().over(by_votes).cast("bigint").alias("vote_rank"))
 
 
 @query("w16_first_rank", "select stratum, component_id, n, row_number() over (partition by stratum order by n desc, component_id) first_rank from (select stratum, component_id, count(*) n from v_queries group by 1, 2)")

@@ -132,3 +132,21 @@ def test_blends_multiply_distinct_scores_only(spark, monkeypatch):
     x = spark.createDataFrame([(float(i % 3), float(i % 2), i % 5 == 0, 1.0 + i % 4) for i in range(600)], "a double, b double, y boolean, w double")
     features.choose_blend(x, "a", "b", "y", "w", 4).collect()
     assert seen == [5 * 12]  # grid points times distinct (a, b, y), not 5 * 600
+
+
+def test_ranks_inside_a_query_are_not_dealt_again(spark, monkeypatch):
+    from labeltrail.operators import ranking
+    from labeltrail.plans import BUILDERS
+    from labeltrail.plans.tables import Tables
+
+    monkeypatch.setattr(ranking, "_parts", None)  # range-partitions and writes all rows
+    t = Tables(spark, "/root/testdata/sf0.001")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        ranks, hits = BUILDERS["w15_dense_vote_rank"](t), BUILDERS["a51_hit_at_k_reciprocal_rank"](t)
+        # pairs, pairs and references by reference, rows by query, once for the labels and once for their totals
+        assert plan_of(ranks).count("Exchange hashpartitioning") <= 8
+        assert ranks.count() > 0 and hits.count() > 0
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
