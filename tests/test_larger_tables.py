@@ -150,3 +150,25 @@ def test_ranks_inside_a_query_are_not_dealt_again(spark, monkeypatch):
         assert ranks.count() > 0 and hits.count() > 0
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+def test_picks_are_dealt_without_the_blocks_of_their_node(spark, monkeypatch):
+    from labeltrail.operators import sampling
+
+    monkeypatch.setattr(sampling, "OWN_QUERIES", 3)
+    items = [("", f"f{i % 5}", f"f{i % 5}.{i}", i % 7, i) for i in range(140)]
+    pool = spark.createDataFrame(items, "label string, l4 string, exact string, node int, item long")
+    queries = spark.createDataFrame([(q, "", q % 7 if q % 9 else None) for q in range(40)], "query_id long, label string, node int")
+    truth = spark.createDataFrame([(q, "l4", f"f{q % 5}") for q in range(0, 40, 2)] + [(q, "exact", "f1.6") for q in range(0, 40, 3)], "query_id long, level string, label string")
+    dealt = []
+    frame = type(queries)
+    real = frame.repartition
+    monkeypatch.setattr(frame, "repartition", lambda df, *a: dealt.append(df.columns) or real(df, *a))
+    out = sampling.keyed_picks(queries, pool, 1000, "s", 1, truth).collect()
+    assert dealt and not [c for c in dealt if "_b" in c or "_own" in c]
+    for q in range(40):
+        said4 = {f"f{q % 5}"} if q % 2 == 0 else set()
+        saidx = {"f1.6"} if q % 3 == 0 else set()
+        want = {i[4] for i in items if i[3] != (q % 7 if q % 9 else None) and i[1] not in said4 and i[2] not in saidx}
+        got = [r for r in out if r.query_id == q]
+        assert sorted(r.item for r in got) == sorted(want) and {r.eligible for r in got} == {len(want)}
