@@ -32,8 +32,8 @@ def shared_buckets(keys: DataFrame) -> DataFrame:
 
 
 def bucket_links(buckets: DataFrame, plausible: Callable[[DataFrame], DataFrame], verified: Callable[[DataFrame], DataFrame],
-                 fits: Callable[[Callable[[str], Column], Callable[[str], Column]], Column] | None = None) -> list[DataFrame]:
-    """Tables of verified links (a, b) that connect whatever the buckets' pairs can connect.
+                 fits: Callable[[Callable[[str], Column], Callable[[str], Column]], Column] | None = None) -> tuple[list[DataFrame], DataFrame]:
+    """Tables of verified links (a, b) that connect whatever the buckets' pairs can connect, and the components (node, component) of the linked nodes.
 
     buckets: key, node and facts about the node, by which `fits` rules pairs out before they are made.  Works in rounds:
     1. the first node of each bucket is compared with the others and leaves.
@@ -88,12 +88,12 @@ def bucket_links(buckets: DataFrame, plausible: Callable[[DataFrame], DataFrame]
             buckets = staged(left.join(again.select("key"), "key").select("key", "node", *facts), "buckets")
             release(*done)
             if buckets.isEmpty():
-                done = [buckets]
+                component, done = merged(component, links[-1]), [buckets]
                 break
         turn += 1
         component = merged(component, links[-1])
     release(*done)
-    return links
+    return links, component
 
 
 def merged(component: DataFrame | None, links: DataFrame) -> DataFrame:
@@ -113,11 +113,3 @@ def merged(component: DataFrame | None, links: DataFrame) -> DataFrame:
     out = staged(out, "components")
     release(component, ends)
     return out
-
-
-def all_links(links: list[DataFrame]) -> DataFrame:
-    """The links (a, b) of all rounds."""
-    out = links[0].select("a", "b")
-    for more in links[1:]:
-        out = out.unionByName(more.select("a", "b"))
-    return out

@@ -200,7 +200,7 @@ def near_duplicates(docs: DataFrame, words_per_shingle: int = 5, percent: int =
         buckets = shared_buckets(once.select("node", "n", "low1", "low2", *ODD, F.explode("bands").alias("key")))
         wanted = buckets.select(F.col("node").alias("doc_id")).distinct()
         texts = staged(docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text")).join(wanted, "doc_id", "left_semi"), "texts")
-        links = bucket_links(buckets, lambda pairs: _plausible(pairs, sketch_of, percent),
+        links, _ = bucket_links(buckets, lambda pairs: _plausible(pairs, sketch_of, percent),
                              lambda pairs: _verified(pairs, texts, words_per_shingle, percent), lambda a, b: _near(a, b, percent))
     for more in links:
         edges = edges.unionByName(more)

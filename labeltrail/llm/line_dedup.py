@@ -10,9 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from labeltrail.llm.buckets import all_links, bucket_links, shared_buckets, within_difference
+from labeltrail.llm.buckets import bucket_links, shared_buckets, within_difference
 from labeltrail.llm.common import release, staged, text_of
-from labeltrail.operators.components import connected_minimum
 
 CLASSES = 12
 #: White space; a line of nothing else is blank, and lines are compared without it at their ends.
@@ -94,9 +93,8 @@ def duplicate_lines(docs: DataFrame, size: int = 12, similarity: float = 0.8, id
         sets = F.struct(shingle_hashes(F.col("la"), size).alias("a"), shingle_hashes(F.col("lb"), size).alias("b"))
         return both.where(F.exists(F.array(sets), lambda s: alike(s["a"], s["b"]))).select("a", "b")  # each set is made once
 
-    links = bucket_links(sketched, lambda pairs: pairs, verified, lambda a, b: within_difference(a, b, "n", ODD, similarity))
-    component = connected_minimum(all_links(links)).select("node", F.col("canonical").alias("c"))
-    rows = lines.select("doc_id", "mark", "at", "node").join(component, "node", "left").select("doc_id", "mark", "at", F.coalesce("c", "node").alias("c"))
+    _, component = bucket_links(sketched, lambda pairs: pairs, verified, lambda a, b: within_difference(a, b, "n", ODD, similarity))
+    rows = lines.select("doc_id", "mark", "at", "node").join(component.withColumnRenamed("component", "c"), "node", "left").select("doc_id", "mark", "at", F.coalesce("c", "node").alias("c"))
     place = F.struct("doc_id", "mark", "at")
     first = rows.groupBy("c").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
     gone = rows.join(first, "c").where(~place.eqNullSafe(F.col("first")))

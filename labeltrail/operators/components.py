@@ -2,50 +2,62 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from labeltrail.session import cut_lineage
 
 
+#: Edges up to which a round of the closure runs in one partition, so that it needs no shuffle; more are shuffled.
+FEW_EDGES = 1 << 18
+
+
 def _oriented(edges: DataFrame) -> DataFrame:
     return edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where(F.col("a") != F.col("b")).distinct()
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _with_least(edges: DataFrame, whole: bool) -> DataFrame:
+    """(a, b, m): m is the smallest b of an a; `whole` edges lie in one partition, where a window needs no shuffle."""
+    if whole:
+        return edges.withColumn("m", F.min("b").over(Window.partitionBy("a")))
+    return edges.join(edges.groupBy("a").agg(F.min("b").alias("m")), "a")
+
+
+def _large_star(edges: DataFrame, whole: bool) -> DataFrame:
     """Every larger neighbour of a node is linked to the node's smallest neighbour."""
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return _oriented(both.where(F.col("b") > F.col("a")).join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")))
+    both = edges.select(F.inline(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))))
+    return _oriented(_with_least(both, whole).where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.least("a", "m").alias("b")))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, whole: bool) -> DataFrame:
     """Every smaller neighbour of a node, and the node, are linked to the smallest of them."""
-    low = edges.groupBy("a").agg(F.min("b").alias("m"))
-    moved = edges.join(low, "a").where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return _oriented(moved.unionByName(low.select("a", F.col("m").alias("b"))))
+    low = _with_least(edges, whole)  # the smallest neighbour's own row links the node itself
+    return _oriented(low.select(F.when(F.col("b") != F.col("m"), F.col("b")).otherwise(F.col("a")).alias("a"), F.col("m").alias("b")))
 
 
 def connected_minimum(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, canonical) with the smallest id of each connected component, for linked nodes.
 
     Large-star/small-star rounds: minima and joins only, no neighbour list is collected, so
-    a hub node is combined on the map side.  Each round is checkpointed to cut lineage.
+    a hub node is combined on the map side.  Each round is checkpointed to cut lineage.  The edges never grow in number; once
+    there are at most FEW_EDGES of them, a round takes a few tasks in place of several shuffles
+    into all partitions.
     """
     current = cut_lineage(_oriented(edges.select(F.col(edges.columns[0]).alias("a"), F.col(edges.columns[1]).alias("b"))))
     state = lambda e: e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
     before = state(current)
     for _ in range(max_rounds):
-        current = cut_lineage(_small_star(_large_star(current)))
+        whole = before[0] <= FEW_EDGES
+        current = cut_lineage(_small_star(_large_star(current.coalesce(1) if whole else current, whole), whole))
         after = state(current)
         if after == before:
             break
         before = after
     else:
         raise RuntimeError("component closure did not settle")
-    roots = current.select(F.col("b").alias("node")).distinct().join(current.select(F.col("a").alias("node")), "node", "left_anti")
-    return current.select(F.col("a").alias("node"), F.col("b").alias("canonical")).unionByName(
-        roots.select("node", F.col("node").alias("canonical")))
+    current = current.coalesce(1) if before[0] <= FEW_EDGES else current
+    # now every edge leads to the smallest id of its component
+    return current.select(F.inline(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("canonical")), F.struct(F.col("b").alias("node"), F.col("b").alias("canonical"))))).distinct()
 
 
 def merge_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:

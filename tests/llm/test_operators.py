@@ -223,6 +223,19 @@ def kept_lines(texts, size=12, percent=80):
     return ["\n".join(x for k, x in enumerate(t.split("\n")) if (i, k) not in gone) for i, t in enumerate(texts)]
 
 
+def test_rounds_end_with_the_components_of_their_links(spark):
+    from labeltrail.llm.buckets import bucket_links
+    from labeltrail.llm.common import staged
+    from labeltrail.operators.components import connected_minimum
+
+    keys = spark.createDataFrame([(k, n) for k in range(3) for n in range(40) if n % (k + 2)] + [(9, 70), (9, 71)], "key long, node long")
+    links, found = bucket_links(staged(keys, "buckets"), lambda p: p, lambda p: p.where("(a + b) % 7 = 0 or a = 70"))
+    every = links[0]
+    for more in links[1:]:
+        every = every.unionByName(more)
+    assert len(links) > 1 and sorted(map(tuple, found.collect())) == sorted(map(tuple, connected_minimum(every).collect()))
+
+
 def test_line_dedup_without_blanks(spark):
     from labeltrail.llm.line_dedup import dedup_lines
 

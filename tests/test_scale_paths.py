@@ -142,6 +142,28 @@ def test_components_of_a_path_and_a_hub(spark):
     assert all(r[i] == 100 for i in range(100, 161)) and all(r[i] == 500 for i in range(500, 600)) and r[901] == 900
 
 
+def test_few_edges_close_in_few_tasks_and_as_many_edges_do(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    edges = [(int(a), int(b)) for a, b in rng.integers(0, 400, (260, 2))] + [(1000 + i, 1001 + i) for i in range(40)] + [(2000, 2001 + i) for i in range(50)] + [(7, 7)]
+    table = spark.createDataFrame(edges, "a long, b long")
+    before, tracker = spark.conf.get("spark.sql.shuffle.partitions"), spark.sparkContext.statusTracker()
+    found, tasks = [], []
+    spark.conf.set("spark.sql.shuffle.partitions", 37)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for most in (components.FEW_EDGES, 0):
+            monkeypatch.setattr(components, "FEW_EDGES", most)
+            spark.sparkContext.setJobGroup(f"closure {most}", "closure")
+            found.append(sorted(map(tuple, components.connected_minimum(table).collect())))
+            stages = {i for j in tracker.getJobIdsForGroup(f"closure {most}") for i in tracker.getJobInfo(j).stageIds}
+            tasks.append(sum(x.numCompletedTasks for x in map(tracker.getStageInfo, stages) if x))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert found[0] == found[1] and dict(found[0])[1040] == 1000 and 10 * tasks[0] < tasks[1]
+
+
 def test_nearest_neighbours_blocks_agree_with_brute_force(spark):
     rng = np.random.default_rng(1)
     m = rng.normal(size=(60, 8))
