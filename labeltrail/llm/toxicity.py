@@ -95,8 +95,8 @@ def fit_chain(rows: list[set[str]], labels: np.ndarray, categories: list[str], m
     if len(rows) == 0:
         return Chain(categories, {}, [np.zeros(k + 1) for k in range(len(categories))], [0.5] * len(categories))
     seen: dict[str, int] = {}
-    pairs = [(i, seen.setdefault(w, len(seen))) for i, row in enumerate(rows) for w in sorted(row)]
-    at = np.array(pairs, dtype=np.int64).reshape(-1, 2)
+    cells = np.fromiter((seen.setdefault(w, len(seen)) for row in rows for w in sorted(row)), np.int64)
+    at = np.c_[np.repeat(np.arange(len(rows)), [len(row) for row in rows]), cells]
     total = np.bincount(at[:, 1], minlength=len(seen)).astype(float)
     n, worth = len(rows), np.zeros(len(seen))
     for k in range(len(categories)):
@@ -109,9 +109,10 @@ def fit_chain(rows: list[set[str]], labels: np.ndarray, categories: list[str], m
     kept = able[np.lexsort((names[able].astype(str), -worth[able]))][:max_words] if len(able) else able
     column = {c: j for j, c in enumerate(kept.tolist())}
     x = np.zeros((n, len(kept)))
-    for i, c in pairs:
-        if c in column:
-            x[i, column[c]] = 1
+    place = np.full(len(seen), -1)
+    place[kept] = np.arange(len(kept))
+    used = place[at[:, 1]] >= 0
+    x[at[used, 0], place[at[used, 1]]] = 1
     fold = np.arange(n) % folds
     chain, held = Chain(categories, {names[c]: j for c, j in column.items()}), np.zeros((n, 0))
     for k in range(len(categories)):
@@ -146,10 +147,16 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, categories: dict[str, str],
             yield pa.record_batch([*[batch.column(c) for c in named], words], [*named, "words"])
 
     kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in named)
-    found = rows.mapInArrow(distinct_words, kinds + ", words array<string>").toPandas()
+    table = rows.mapInArrow(distinct_words, kinds + ", words array<string>").toArrow()
+    found = table.select(named).to_pandas()
     found = found.drop_duplicates("_id").sort_values("_id") if len(found) else found
     y = found[named[1:]].to_numpy().reshape(-1, len(flags))
-    return fit_chain([set(w) for w in found["words"]], y, list(categories))
+    # rows share one text a word, else the driver holds one a word and row
+    words = table.column("words").combine_chunks()
+    coded, ends = words.flatten().dictionary_encode(), np.r_[0, np.cumsum(words.value_lengths().to_numpy(zero_copy_only=False))]
+    names, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
+    del table, words, coded
+    return fit_chain([{names[c] for c in codes[ends[i]:ends[i + 1]]} for i in found.index], y, list(categories))
 
 
 def category_chances(chain: Chain, text_col: str = "text") -> Column:

@@ -355,6 +355,20 @@ def test_toxicity(spark):
     assert left.columns == docs.columns + ["toxic"] and {r.doc_id for r in left.collect()} == {i for i, r in out.items() if not r.toxic}
 
 
+def test_toxicity_holds_each_word_once(spark, monkeypatch):
+    from labeltrail.llm import toxicity
+
+    seen = []
+    monkeypatch.setattr(toxicity, "fit_chain", lambda rows, y, categories: seen.append((rows, y.tolist())))
+    docs = spark.createDataFrame([(2, "shared words Here"), (1, "shared other words"), (1, "a copy of the id"), (3, None), (4, "unlabelled words")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0, 1), (2, 1, 0), (3, 0, 0)], "doc_id long, quality int, toxic int")
+    toxicity.fit_toxicity(docs.coalesce(1), labels, {"toxic": "toxic = 1"})
+    (rows, y), = seen
+    assert y == [[1], [0], [0]] and rows[1:] == [{"shared", "words", "here"}, set()] and rows[0] in ({"shared", "other", "words"}, {"a", "copy", "of", "the", "id"})
+    held = [{w: id(w) for w in r} for r in rows]
+    assert all(held[0][w] == held[1][w] for w in held[0].keys() & held[1].keys())
+
+
 def test_queries_and_pipeline(spark, tmp_path):
     import corpus_pipeline
     from labeltrail.llm.queries import ORACLES, QUERIES
