@@ -8,14 +8,16 @@ is SHA-256(context|r|i) mod k, which any engine can replay.  Draws are vectors (
 
 from __future__ import annotations
 
-import hashlib
+from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from labeltrail.functions.binomial import exact_sign_p
+from labeltrail.functions.digests import Keys, numbered
 from labeltrail.functions.hashing import key_text, u60
 from labeltrail.functions.measures import n_if, ratio
 from labeltrail.operators.draws import (Draws, as_rows, auc_step, average_precision_step, place_sums, sorted_curve, top_share_step,
@@ -235,29 +237,63 @@ def top_share_bootstrap(rows: DataFrame, component: str, score: str, tie: str, y
     return interval(reps, [], ["top_precision"], replicates)
 
 
+#: Bytes of flipped sums that a task holds before it sends them on.
+FLIP_BYTES = 1 << 26
+
+
 def sign_flip_test(rows: DataFrame, value: str, replicates: int, context: str, by: list[str] | None = None) -> DataFrame:
     """Two-sided sign-flip permutation p of a mean per group, with the add-one correction.
 
     Rows of equal size |value| differ in sign alone: their flipped sum is |value| * (2 * ones - rows), where ones counts
     fair bits.  A hash deals the bits of 60 rows, so work is blocks x replicates, with a block per 60 equal sizes.
-    Groups share the hashes.  A group of zeros alone has p = 1.
+    Groups share the hashes: a block is hashed once, for all groups that have it.  A group of zeros alone has p = 1.
     """
     by = by or []
     v = F.col(value).cast("double")
     sizes = rows.where(v.isNotNull()).groupBy(*by, F.abs(v).alias("_v")).agg(F.count("*").alias("_c"), F.sum(v).alias("_s"))
-    sizes = cut_lineage(sizes)
-    seen = sizes.groupBy(*by).agg(F.sum("_s").alias("_s"), F.sum("_c").alias("n"))
-    blocks = sizes.withColumn("_b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("_c") - 1) / 60).cast("bigint"))))
-    m = F.when(F.col("_v") > 0, F.least(F.col("_c") - 60 * F.col("_b"), F.lit(60))).otherwise(0).cast("int")
-    reps = blocks.where("_v > 0 or _b = 0").withColumn("_m", m).withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+    sizes = cut_lineage(sizes.withColumn("_g", F.to_json(F.struct(F.lit(0).alias("_0"), *by))))
+    seen = sizes.groupBy(*by, "_g").agg(F.sum("_s").alias("_s"), F.sum("_c").alias("n"))
+    blocks = sizes.where("_v > 0").withColumn("_b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("_c") - 1) / 60).cast("bigint"))))
+    m = F.least(F.col("_c") - 60 * F.col("_b"), F.lit(60)).cast("int")
     place = F.round(F.col("_v"), 9).cast("decimal(38,9)").cast("string")
-    bits = u60(key_text(context, F.col("replicate"), place, F.col("_b"))).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("_m")) - 1)
-    flips = reps.groupBy(*by, "replicate").agg(F.sum(F.col("_v") * (2 * F.bit_count(bits) - F.col("_m"))).alias("s"))
-    x = null_safe_join(flips, seen, by) if by else attach_one_row(flips, seen)
-    tol = F.abs(F.col("_s")) - F.lit(1e-9) * F.greatest(F.abs(F.col("_s")), F.lit(1.0))
-    hits = n_if(F.abs(F.col("s")) >= tol)
-    return x.groupBy(*by).agg(F.max("n").alias("n"), F.round(F.max(F.col("_s") / F.col("n")), 9).alias("mean"), hits.alias("exceed"),
-                              F.round((hits + 1) / (replicates + 1), 9).alias("p_value"))
+    tail = F.concat(F.lit("|"), key_text(place, F.col("_b")))
+    # the rows of a block, one for each group, meet in a task
+    blocks = blocks.select("_g", "_v", m.alias("_m"), tail.alias("_t"))
+    tasks = rows.sparkSession.sparkContext.defaultParallelism * 4
+    blocks = blocks.repartition(tasks, "_t").sortWithinPartitions("_t")
+
+    def flipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, last, h = {}, None, None
+        out = lambda: pa.record_batch([pa.array(list(sums)), pa.array([s.tobytes() for s in sums.values()], pa.binary())], ["_g", "sums"])
+        for batch in batches:
+            for g, size, rows_of, t in zip(*(c.to_pylist() for c in batch.columns)):
+                if t != last:
+                    last, h = t, numbered(f"{context}|".encode(), 0, replicates, t.encode())
+                if g not in sums:
+                    if (len(sums) + 1) * replicates * 8 > FLIP_BYTES and sums:
+                        yield out()
+                        sums.clear()
+                    sums[g] = np.zeros(replicates)
+                sums[g] += size * (2 * np.bitwise_count(h & ((1 << rows_of) - 1)).astype(np.int64) - rows_of)
+        if sums:
+            yield out()
+
+    def reached(part: pd.DataFrame) -> pd.DataFrame:
+        total = np.zeros(replicates)
+        for s in part["sums"]:
+            if s is not None:
+                total += np.frombuffer(s)
+        own = abs(float(part["_s"].iloc[0]))
+        as_far = (np.abs(total) >= own - 1e-9 * max(own, 1.0)) | np.isnan(total)
+        return pd.DataFrame({"_g": [part["_g"].iloc[0]], "exceed": [int(as_far.sum())]})
+
+    sums = blocks.mapInArrow(flipped, "_g string, sums binary")
+    hits = seen.select("_g", "_s").join(sums, "_g", "left").groupBy("_g").applyInPandas(reached, "_g string, exceed bigint")
+    found = seen.join(hits, "_g")
+    if not by:  # one row, also without rows
+        found = found.agg(F.max("n").alias("n"), F.max("_s").alias("_s"), F.coalesce(F.max("exceed"), F.lit(0)).alias("exceed"))
+    return found.select(*by, "n", F.round(F.col("_s") / F.col("n"), 9).alias("mean"), "exceed",
+                        F.round((F.col("exceed") + 1) / (replicates + 1), 9).alias("p_value"))
 
 
 #: Clusters up to which every permutation task gets them all (key, rows and rank sum of each).
@@ -281,7 +317,7 @@ def cluster_label_permutation(scores: DataFrame, cluster: str, domain: str, p: s
     whole = cl.agg(F.sum(F.when(F.col("d") == 1, F.col("n"))).alias("n1"), F.sum(F.when(F.col("d") == 1, F.col("s"))).alias("s1"))
     if size.k <= CLUSTER_ROWS:
         rows = sorted(((r._key or "", int(r.n), float(r.s)) for r in cl.select("_key", "n", "s").collect()))
-        keys, n, s = [r[0].encode() for r in rows], np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows])
+        keys, n, s = Keys([r[0].encode() for r in rows]), np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows])
         shared = spark.sparkContext.broadcast((keys, n, s))
 
         def drawn(batches):
@@ -289,12 +325,7 @@ def cluster_label_permutation(scores: DataFrame, cluster: str, domain: str, p: s
             for batch in batches:
                 out = []
                 for r in batch.column(0).to_pylist():
-                    start = hashlib.sha256(f"{context}|{r}|".encode())
-                    h = np.empty(len(keys), np.int64)
-                    for i, key in enumerate(keys):
-                        one = start.copy()
-                        one.update(key)
-                        h[i] = int.from_bytes(one.digest()[:8], "big") >> 4
+                    h = keys.first60(f"{context}|{r}|".encode())
                     chosen = np.argsort(h, kind="stable")[:ones]
                     out.append((r, int(n[chosen].sum()), float(s[chosen].sum())))
                 yield pa.record_batch([pa.array([o[i] for o in out]) for i in range(3)], ["replicate", "n1", "s1"])

@@ -5,7 +5,7 @@ import hashlib
 import numpy as np
 
 from labeltrail.functions import digests
-from labeltrail.operators import draws
+from labeltrail.operators import draws, resample
 
 
 def one(text: bytes) -> int:
@@ -41,3 +41,22 @@ def test_draws_of_a_large_set_are_hashed_by_blocks(monkeypatch):
     drawn = np.array([one(b"boot|7|%d" % i) % 60_000 for i in range(60_000)])
     assert (counts == np.bincount(drawn, minlength=60_000)).all()
     assert sum(calls) < 12_000
+
+
+def test_sign_flips_hash_a_block_once_for_all_groups(spark):
+    """Blocks are not multiplied by groups and replicates; zeros, no rows and one group keep their results."""
+    df = spark.createDataFrame([(g, float(d % 5 - 1)) for g in ("a", "b", "c") for d in range(200)] + [("z", 0.0)], "g string, d double")
+    out = resample.sign_flip_test(df, "d", 400, "x", ["g"])
+    assert "sha2" not in out._jdf.queryExecution().toString()
+    got = {r.g: (r.n, r["mean"], r.exceed, r.p_value) for r in out.collect()}
+    assert got["a"] == got["b"] == got["c"]
+    assert got["z"] == (1, 0.0, 400, 1.0)
+    sums = np.zeros(400)
+    for size, rows in ((1.0, 80), (2.0, 40), (3.0, 40)):
+        for b in range(-(-rows // 60)):
+            m = min(rows - 60 * b, 60)
+            h = [one(f"x|{r}|{size:.9f}|{b}".encode()) & ((1 << m) - 1) for r in range(400)]
+            sums += size * np.array([2 * v.bit_count() - m for v in h])
+    assert got["a"][2] == int((np.abs(sums) >= 200).sum())
+    empty = resample.sign_flip_test(df.where("g = 'none'"), "d", 400, "x").first()
+    assert (empty.n, empty.exceed) == (None, 0)
