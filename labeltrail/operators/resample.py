@@ -296,46 +296,61 @@ def sign_flip_test(rows: DataFrame, value: str, replicates: int, context: str, b
                         F.round((F.col("exceed") + 1) / (replicates + 1), 9).alias("p_value"))
 
 
-#: Clusters up to which every permutation task gets them all (key, rows and rank sum of each).
-CLUSTER_ROWS = 1 << 20
+#: Clusters of a piece, and how many standard errors around the expected cut a piece lists its clusters one by one.
+CLUSTERS, SPREAD = 1 << 16, 8.0
 
 
 def cluster_label_permutation(scores: DataFrame, cluster: str, domain: str, p: str, replicates: int, context: str) -> DataFrame:
     """Permutation p of the oriented AUC of fixed scores when domain labels are shuffled over clusters.
 
     Each replicate gives the label 1 to the clusters with the smallest hashes, as many as carried it.  An AUC needs no more than
-    its clusters' rows and rank sums, so scores are ranked once; a task makes one replicate at a time.  More than CLUSTER_ROWS
-    clusters are ranked by hash in one sort of clusters x replicates.  `refits.refit_permutation` fits the scores anew.
+    its clusters' rows and rank sums, so scores are ranked once.  Hashes are even, so the cut of a replicate lies near
+    ones / clusters of their range: a piece of the clusters adds up those well below it and lists those near it, which then are sorted by
+    replicate.  Replicates whose cut lies elsewhere are sorted whole.  `refits.refit_permutation` fits the scores anew.
     """
     clean = scores.select(cluster, F.col(domain).cast("int").alias("d"), F.col(p).cast("double").alias("_p"))
     steps = running_totals(clean, [], "_p", {"_n": F.count("*")}, "asc")
     ranks = steps.select("_p", (F.col("cum__n") - (F.col("_n") - 1) / 2).alias("_rank"))  # equal scores share their mean rank
     cl = null_safe_join(clean, ranks, ["_p"]).groupBy(cluster).agg(F.max("d").alias("d"), F.count("*").alias("n"), F.sum("_rank").alias("s"))
-    cl = cut_lineage(cl.withColumn("_key", F.col(cluster).cast("string")))
+    cl = cut_lineage(cl.withColumn("_key", F.coalesce(F.col(cluster).cast("string"), F.lit(""))))
     size = cl.agg(F.count("*").alias("k"), F.sum("d").alias("one"), F.sum("n").alias("n")).first()
-    spark, total, ones = scores.sparkSession, int(size.n or 0), int(size.one or 0)
+    total, ones, k = int(size.n or 0), int(size.one or 0), int(size.k)
     whole = cl.agg(F.sum(F.when(F.col("d") == 1, F.col("n"))).alias("n1"), F.sum(F.when(F.col("d") == 1, F.col("s"))).alias("s1"))
-    if size.k <= CLUSTER_ROWS:
-        rows = sorted(((r._key or "", int(r.n), float(r.s)) for r in cl.select("_key", "n", "s").collect()))
-        keys, n, s = Keys([r[0].encode() for r in rows]), np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows])
-        shared = spark.sparkContext.broadcast((keys, n, s))
-
-        def drawn(batches):
-            keys, n, s = shared.value
-            for batch in batches:
-                out = []
-                for r in batch.column(0).to_pylist():
-                    h = keys.first60(f"{context}|{r}|".encode())
-                    chosen = np.argsort(h, kind="stable")[:ones]
-                    out.append((r, int(n[chosen].sum()), float(s[chosen].sum())))
-                yield pa.record_batch([pa.array([o[i] for o in out]) for i in range(3)], ["replicate", "n1", "s1"])
-
-        reps = spark.range(replicates, numPartitions=min(replicates, 4 * spark.sparkContext.defaultParallelism)).mapInArrow(drawn, "replicate bigint, n1 bigint, s1 double")
-    else:
-        reps = cl.select("_key", "n", "s", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
-        reps = reps.withColumn("_h", u60(key_text(context, F.col("replicate"), F.col("_key"))))
-        reps = ranked(reps, ["replicate"], [("_h", "asc"), ("_key", "asc")], "_r").where(F.col("_r") <= ones)
-        reps = reps.groupBy("replicate").agg(F.sum("n").alias("n1"), F.sum("s").alias("s1"))
+    share = ones / max(k, 1)
+    near = SPREAD * ((share * (1 - share) / max(k, 1)) ** 0.5 + 1 / max(k, 1))
+    low, high = (int(min(max(x, 0.0), 1.0) * (1 << 60)) for x in (share - near, share + near))
+
+    def hashed(part: pd.DataFrame) -> pd.DataFrame:
+        """One piece: for each replicate the clusters, rows and rank sum below the range of its cut, and lists of those in it."""
+        keys, n, s, out = Keys([t.encode() for t in part["_key"]]), part["n"].to_numpy(np.int64), part["s"].to_numpy(np.float64), []
+        for r in range(int(part["_chunk"].iloc[0]), replicates, chunks):
+            h = keys.first60(f"{context}|{r}|".encode())
+            below, at = h < low, np.flatnonzero((h >= low) & (h < high))
+            out.append((r, int(below.sum()), int(n[below].sum()), float(s[below].sum()), h[at], part["_key"].to_numpy()[at], n[at], s[at]))
+        return pd.DataFrame(out, columns=["replicate", "k", "n", "s", "hs", "keys", "ns", "ss"])
+
+    def drawn(part: pd.DataFrame) -> pd.DataFrame:
+        """One replicate: rows and rank sum of its `ones` clusters of smallest hashes, null if its cut is out of range."""
+        below = int(part["k"].sum())
+        near_by = sorted((h, t, n, s) for row in zip(part["hs"], part["keys"], part["ns"], part["ss"]) for h, t, n, s in zip(*row))
+        r, chosen = int(part["replicate"].iloc[0]), near_by[:max(ones - below, 0)]
+        if below > ones or below + len(chosen) < ones:
+            return pd.DataFrame({"replicate": [r], "n1": pd.array([None], "Int64"), "s1": [None]})
+        return pd.DataFrame({"replicate": [r], "n1": pd.array([int(part["n"].sum() + sum(c[2] for c in chosen))], "Int64"),
+                             "s1": [float(part["s"].sum() + sum(c[3] for c in chosen))]})
+
+    n_pieces = max(-(-k // CLUSTERS), 1)
+    chunks = min(max(1, scores.sparkSession.sparkContext.defaultParallelism * 4 // n_pieces), replicates)  # of replicates: few pieces still fill the tasks
+    pieces = cl.select("_key", "n", "s", F.pmod(F.xxhash64("_key"), F.lit(n_pieces)).alias("_piece"), F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("_chunk"))
+    # a count of its own, as few bytes here mean much work
+    pieces = pieces.repartition(2 * n_pieces * chunks, "_piece", "_chunk").groupBy("_piece", "_chunk")
+    lists = pieces.applyInPandas(hashed, "replicate int, k bigint, n bigint, s double, hs array<bigint>, keys array<string>, ns array<bigint>, ss array<double>")
+    reps = cut_lineage(lists.groupBy("replicate").applyInPandas(drawn, "replicate int, n1 bigint, s1 double"))
+    if not reps.where("n1 is null").isEmpty():
+        again = cl.select("_key", "n", "s").crossJoin(reps.where("n1 is null").select("replicate"))
+        again = again.withColumn("_h", u60(key_text(context, F.col("replicate"), F.col("_key"))))
+        again = ranked(again, ["replicate"], [("_h", "asc"), ("_key", "asc")], "_r").where(F.col("_r") <= ones)
+        reps = reps.where("n1 is not null").unionByName(again.groupBy("replicate").agg(F.sum("n").alias("n1"), F.sum("s").alias("s1")))
     pairs = F.col("n1") * (F.lit(total) - F.col("n1"))
     a = ratio(F.col("s1") - F.col("n1") * (F.col("n1") + 1) / 2, pairs.cast("double"))
     oriented = F.round(F.greatest(a, 1 - a), 9).alias("auc")

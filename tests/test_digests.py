@@ -60,3 +60,29 @@ def test_sign_flips_hash_a_block_once_for_all_groups(spark):
     assert got["a"][2] == int((np.abs(sums) >= 200).sum())
     empty = resample.sign_flip_test(df.where("g = 'none'"), "d", 400, "x").first()
     assert (empty.n, empty.exceed) == (None, 0)
+
+
+def test_permuted_labels_pass_no_clusters_through_the_driver(spark, monkeypatch):
+    """The cut of every replicate is exact from the lists near it, and where it lies outside of them from the whole sort."""
+    rows = spark.createDataFrame([(c, int(c % 7 == 0), float((c * 37) % 101)) for c in range(500) for _ in range(1 + c % 3)], "c long, d int, p double")
+    data = [(c, int(c % 7 == 0), float((c * 37) % 101)) for c in range(500) for _ in range(1 + c % 3)]
+    score = np.array([x[2] for x in data])
+    rank = np.array([(score < v).sum() + ((score == v).sum() + 1) / 2 for v in score])
+
+    def auc(chosen):
+        at = np.array([x[0] in chosen for x in data])
+        a = (rank[at].sum() - at.sum() * (at.sum() + 1) / 2) / (at.sum() * (~at).sum())
+        return round(max(a, 1 - a), 9)
+
+    observed, ones = auc({c for c in range(500) if c % 7 == 0}), len(range(0, 500, 7))
+    drawn = [auc(set(sorted(range(500), key=lambda c: (one(f"x|{r}|{c}".encode()), str(c)))[:ones])) for r in range(60)]
+    want = (observed, sum(a >= observed for a in drawn))
+    kind, seen = type(rows), []
+    collect = kind.collect
+    monkeypatch.setattr(kind, "collect", lambda df: seen.append(collect(df)) or seen[-1])
+    monkeypatch.setattr(resample, "CLUSTERS", 100)
+    for spread in (8.0, 0.2, 0.0):
+        monkeypatch.setattr(resample, "SPREAD", spread)
+        r = resample.cluster_label_permutation(rows, "c", "d", "p", 60, "x").first()
+        assert (r.auc, r.exceed) == want, spread
+    assert max(len(s) for s in seen) < 10
