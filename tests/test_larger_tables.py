@@ -172,3 +172,30 @@ def test_picks_are_dealt_without_the_blocks_of_their_node(spark, monkeypatch):
         want = {i[4] for i in items if i[3] != (q % 7 if q % 9 else None) and i[1] not in said4 and i[2] not in saidx}
         got = [r for r in out if r.query_id == q]
         assert sorted(r.item for r in got) == sorted(want) and {r.eligible for r in got} == {len(want)}
+
+
+def test_picks_walk_no_list_of_their_node(spark):
+    """Own blocks are passed by search: no query meets them, and a task's batches need not end with a group."""
+    from labeltrail.operators import sampling
+
+    items = [("ab"[i % 2], f"f{i % 11}", f"f{i % 11}.{i}" if i % 3 else None, i % 4, i) for i in range(400)]
+    pool = spark.createDataFrame(items, "label string, l4 string, exact string, node int, item long")
+    queries = spark.createDataFrame([(q, "ab"[q % 2], q % 5 if q % 9 else None) for q in range(60)], "query_id long, label string, node int")
+    truth = spark.createDataFrame([(q, "l4", f"f{(q + d) % 11}") for q in range(0, 60, 2) for d in range(2)] + [(q, "exact", f"f{i % 11}.{i}") for q in range(0, 60, 3) for i in (1, 2, 4, 5, 22, 25)],
+                                  "query_id long, level string, label string")
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    got = []
+    try:
+        for rows in (3, 10000):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+            out = sampling.keyed_picks(queries, pool, 500, "s", 1, truth)
+            assert "aggregate(" not in plan_of(out)
+            got.append(out.collect())
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    assert sorted(map(str, got[0])) == sorted(map(str, got[1]))
+    for q in range(60):
+        said = {f"f{(q + d) % 11}" for d in range(2)} if q % 2 == 0 else set()
+        exact = {f"f{i % 11}.{i}" for i in (1, 2, 4, 5, 22, 25)} if q % 3 == 0 else set()
+        want = {i[4] for i in items if i[0] == "ab"[q % 2] and i[3] != (q % 5 if q % 9 else None) and i[1] not in said and i[2] not in exact}
+        assert sorted(r.item for r in got[0] if r.query_id == q) == sorted(want)
