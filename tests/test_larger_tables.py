@@ -199,3 +199,28 @@ def test_picks_walk_no_list_of_their_node(spark):
         exact = {f"f{i % 11}.{i}" for i in (1, 2, 4, 5, 22, 25)} if q % 3 == 0 else set()
         want = {i[4] for i in items if i[0] == "ab"[q % 2] and i[3] != (q % 5 if q % 9 else None) and i[1] not in said and i[2] not in exact}
         assert sorted(r.item for r in got[0] if r.query_id == q) == sorted(want)
+
+
+def test_guarded_cutoff_resamples_no_cutoff_after_the_answer(spark, monkeypatch):
+    from labeltrail.operators import curves
+
+    # precision rises with the score: the lower bound holds from some cutoff on
+    rows = spark.createDataFrame([(i / 400, int((i * 7919) % 400 < i), i % 80, "F") for i in range(400)], "s double, y int, c long, src string")
+    asked, real = [], curves.count_lower_bound
+
+    def bound(cells, *rest):
+        asked.extend(r.step for r in cells.select("step").distinct().collect())
+        return real(cells, *rest)
+
+    monkeypatch.setattr(curves, "count_lower_bound", bound)
+    for target in (0.7, 0.999):
+        asked.clear()
+        got = curves.guarded_cutoff(rows, "s", "y", "c", "src", "F", target, 0.2, 50, "t", steps=20).collect()
+        cells = spark.createDataFrame([(j, i % 80, int((i * 7919) % 400 < i)) for j in range(21) for i in range(400) if i >= 399 * j / 20], "step int, c long, y int")
+        low = {r.step: r.lower for r in real(cells.groupBy("c", "step").agg(F.count("*").alias("n"), F.sum("y").alias("ok")), "c", ["step"], 50, "t").collect()}
+        held = {j: [int((i * 7919) % 400 < i) for i in range(400) if i >= 399 * j / 20] for j in range(21)}
+        fit = [j for j in range(21) if len(held[j]) >= 50 and sum(held[j]) / len(held[j]) >= target and low[j] >= target]
+        assert [(r.accepted, r.lower) for r in got] == [(len(held[j]), round(low[j], 9)) for j in fit[:1]]
+        if fit:
+            fine = [j for j in range(21) if len(held[j]) >= 50 and sum(held[j]) / len(held[j]) >= target]
+            assert len(asked) == len(set(asked)) <= 2 * fine.index(fit[0]) + 1
