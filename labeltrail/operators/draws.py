@@ -186,6 +186,12 @@ def replicate_sums(totals: DataFrame, draws: Draws, by: list[str], columns: list
     return done.select(*groups, "replicate", *[value(v, c) for v, c in zip(values, columns)])
 
 
+def few_values(rows: DataFrame, by: list[str], place: str) -> bool:
+    """Whether no group has more than PLACES distinct values."""
+    most = rows.select(*by, place).distinct().groupBy(*by).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+    return (most or 0) <= PLACES
+
+
 def place_sums(cells: DataFrame, place: str, columns: list[str], draws: Draws) -> DataFrame | None:
     """(replicate, place, columns) where an order has at most PLACES places, else None."""
     if cells.select(place).distinct().limit(PLACES + 1).count() > PLACES:

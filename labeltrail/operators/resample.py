@@ -20,7 +20,7 @@ from labeltrail.functions.binomial import exact_sign_p
 from labeltrail.functions.digests import Keys, numbered
 from labeltrail.functions.hashing import key_text, u60
 from labeltrail.functions.measures import n_if, ratio
-from labeltrail.operators.draws import (Draws, as_rows, auc_step, average_precision_step, place_sums, sorted_curve, top_share_step,
+from labeltrail.operators.draws import (Draws, as_rows, auc_step, average_precision_step, few_values, place_sums, sorted_curve, top_share_step,
                                         vector_draws)
 from labeltrail.operators.draws import replicate_sums as vector_sums
 from labeltrail.operators.ranking import attach_one_row, dense_index, null_safe_join, ranked, running_totals
@@ -136,9 +136,15 @@ def row_bootstrap_median(rows: DataFrame, key: str, value: str, by: list[str], r
     """Row bootstrap of the median from multiplicities: the value where the drawn copies reach half (`within` as for the mean)."""
     within = by if within is None else within
     clean = cut_lineage(rows.where(F.col(value).isNotNull()).select(*by, key, F.col(value).cast("double").alias("v")))
-    draws = component_draws(clean, key, replicates, context, within)
-    drawn = clean.join(draws, [*within, key])
-    steps = running_totals(drawn, [*by, "replicate"], "v", {"m": F.sum("multiplicity")}, "asc")
+    draws = draw(clean, key, replicates, context, within)
+    if isinstance(draws, Draws) and few_values(clean, by, "v"):
+        # copies of each distinct value come from sums per value, so no row meets its draws one by one
+        copies = replicate_sums(clean.withColumn("m", F.lit(1)), draws, key, [*by, "v"], ["m"], within)
+        upto = Window.partitionBy(*by, "replicate").orderBy(F.col("v").asc_nulls_last())  # at most PLACES rows
+        steps = copies.withColumn("cum_m", F.sum("m").over(upto))
+    else:
+        drawn = clean.join(component_draws(clean, key, replicates, context, within), [*within, key])
+        steps = running_totals(drawn, [*by, "replicate"], "v", {"m": F.sum("multiplicity")}, "asc")
     n = steps.groupBy(*by, "replicate").agg(F.max("cum_m").alias("_n"))
     s = null_safe_join(steps, n, [*by, "replicate"])
     before = F.col("cum_m") - F.col("m")

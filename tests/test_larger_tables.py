@@ -224,3 +224,19 @@ def test_guarded_cutoff_resamples_no_cutoff_after_the_answer(spark, monkeypatch)
         if fit:
             fine = [j for j in range(21) if len(held[j]) >= 50 and sum(held[j]) / len(held[j]) >= target]
             assert len(asked) == len(set(asked)) <= 2 * fine.index(fit[0]) + 1
+
+
+def test_median_of_few_values_joins_no_row_to_its_draws(spark, monkeypatch):
+    from labeltrail.operators import draws, resample
+
+    rows = spark.createDataFrame([(q, m, s, None if q % 17 == 0 else float((q * q + s) % 7)) for q in range(90) for m in "ab" for s in (1, 2) if (q + len(m) * s) % 5], "q long, method string, s int, v double")
+    asked = []
+    real = resample.component_draws
+    monkeypatch.setattr(resample, "component_draws", lambda *a: asked.append(1) or real(*a))
+    got = {}
+    for most in (draws.PLACES, 0):
+        monkeypatch.setattr(draws, "PLACES", most)
+        got[most] = sorted(map(tuple, resample.row_bootstrap_median(rows, "q", "v", ["method", "s"], 15, "t", ["method"]).collect()))
+        assert len(asked) == (0 if most else 1)
+    first, second = got.values()
+    assert first == second and len(first) == 4
