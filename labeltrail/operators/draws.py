@@ -286,6 +286,66 @@ def sorted_curve(cells: DataFrame, order: Order, a: str, b: str, draws: Draws, s
     return np.stack([np.concatenate([t for t, _ in found]), np.concatenate([w[0] for _, w in found]), np.concatenate([w[1] for _, w in found])])
 
 
+#: Cells (replicates x rows near the cut) that a task holds for `share_cuts`.
+CUT_CELLS = 1 << 21
+
+
+def share_cuts(rows: DataFrame, share: float, draws: Draws, low: int, high: int) -> DataFrame:
+    """(replicate, k, used): k = floor(share * copies), and the copies of good rows among the first k; null if the cut is not in low..high.
+
+    rows: draws' key (no `within`), `_pos` from 1 in order, `_y`.  A piece adds up its rows before `low` and sends on the copies of those
+    in low..high alone; they meet by chunks of replicates, whose cells fit CUT_CELLS or are one replicate's.
+    """
+    size, y = draws.piece, F.coalesce(F.col("_y").cast("int"), F.lit(0))
+    chunk = max(1, min(draws.replicates, CUT_CELLS // max(high - low + 1, 1)))
+    work = null_safe_join(rows, draws.index, [draws.key]).select("_c", F.col("_pos").cast("bigint").alias("_pos"), (y > 0).cast("int").alias("_y"))
+    before = (F.col("_pos") < low).cast("int")
+    sums = work.groupBy("_c").agg(F.count("*").alias("_t"), F.sum(before).alias("_b"), F.sum(before * F.col("_y")).alias("_g"))
+    none, zero = F.lit(None).cast("bigint"), F.lit(0).cast("bigint")
+    near = work.where(F.col("_pos").between(low, high)).select("_c", zero.alias("_t"), zero.alias("_b"), zero.alias("_g"), "_pos", "_y")
+    table = sums.select("*", none.alias("_pos"), F.lit(0).alias("_y")).unionByName(near)
+    columns = ["_chunk", "replicates", "sums", "pos", "good", "counts"]
+
+    def listed(pieces: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        """One piece: for each chunk of replicates the sums of its components, and the copies of its rows near the cut."""
+        out = []
+        if len(pieces) and len(rows):
+            pieces = pieces.sort_values("replicate")
+            n, replicates = int(pieces["_n"].iloc[0]), pieces["replicate"].to_numpy(np.int64)
+            matrix = np.stack([_unpacked(c, n) for c in pieces["counts"]])
+            c, whole = rows["_c"].to_numpy(np.int64) % size, rows["_pos"].isna().to_numpy()
+            x, total = rows[["_t", "_b", "_g"]].to_numpy(np.float64)[whole], np.zeros((len(replicates), 3))
+            for at in range(0, len(x), ROWS):
+                total += matrix[:, c[whole][at:at + ROWS]].astype(np.float64) @ x[at:at + ROWS]
+            pos, good = rows["_pos"].to_numpy(np.float64)[~whole].astype(np.int64), rows["_y"].to_numpy(np.int8)[~whole]
+            for i in np.unique(replicates // chunk):
+                own = replicates // chunk == i
+                copies = np.ascontiguousarray(matrix[own][:, c[~whole]]).astype(np.uint16)
+                out.append((int(i), replicates[own].tobytes(), total[own].tobytes(), pos.tobytes(), good.tobytes(), zlib.compress(copies.tobytes(), 1)))
+        return pd.DataFrame(out, columns=columns)
+
+    def cut(part: pd.DataFrame) -> pd.DataFrame:
+        """One chunk of replicates."""
+        replicates = np.frombuffer(part["replicates"].iloc[0], np.int64)
+        total = sum(np.frombuffer(s).reshape(-1, 3) for s in part["sums"])
+        pos, good = (np.concatenate([np.frombuffer(b, kind) for b in part[name]]) for name, kind in (("pos", np.int64), ("good", np.int8)))
+        m = np.concatenate([np.frombuffer(zlib.decompress(c), np.uint16).reshape(len(replicates), -1) if p else np.zeros((len(replicates), 0), np.uint16)
+                            for c, p in zip(part["counts"], part["pos"])], axis=1)
+        order = np.argsort(pos)
+        m, good, k = m[:, order].astype(np.int64), good[order], np.floor(share * total[:, 0])
+        upto = np.cumsum(m, axis=1)
+        used = np.clip(k[:, None].astype(np.int64) - (total[:, 1:2].astype(np.int64) + upto - m), 0, m) @ good.astype(np.int64)
+        last = total[:, 1] + (upto[:, -1] if upto.shape[1] else 0)
+        inside = (total[:, 1] <= k) & (k <= last)
+        return pd.DataFrame({"replicate": replicates.astype(np.int32), "k": k, "used": np.where(inside, total[:, 2] + used, np.nan)})
+
+    pieces = draw_pieces(draws).groupBy("_p")
+    rows_of = table.withColumn("_p", F.floor(F.col("_c") / size).cast("bigint")).groupBy("_p")
+    parts = pieces.cogroup(rows_of).applyInPandas(lambda a, b: listed(a, b), "_chunk long, replicates binary, sums binary, pos binary, good binary, counts binary")
+    cuts = parts.groupBy("_chunk").applyInPandas(cut, "replicate int, k double, used double")
+    return cuts.withColumn("used", F.when(~F.isnan("used"), F.col("used")))
+
+
 def average_precision_step(a, b, ca, cb, whole_a, whole_b) -> np.ndarray:
     """Positives of a place times the precision up to it; over all positives it is the average precision."""
     n = ca + cb
@@ -297,16 +357,6 @@ def auc_step(a, b, ca, cb, whole_a, whole_b) -> np.ndarray:
     return b * (ca - a / 2)
 
 
-def top_share_step(share: float) -> Step:
-    """Copies of good rows (b) among the first floor(share * copies) of a; the row at the cut counts in part."""
-
-    def step(a, b, ca, cb, whole_a, whole_b) -> np.ndarray:
-        used = np.clip(np.floor(share * whole_a) - (ca - a), 0, a)
-        return np.where(b > 0, used, 0.0)
-
-    return step
-
-
 def as_rows(draws: Draws, spark, values: dict[str, np.ndarray]) -> DataFrame:
     """(replicate, values): one row for each replicate; not-a-number becomes null."""
     names = list(values)

@@ -20,7 +20,7 @@ from labeltrail.functions.binomial import exact_sign_p
 from labeltrail.functions.digests import Keys, numbered
 from labeltrail.functions.hashing import key_text, u60
 from labeltrail.functions.measures import n_if, ratio
-from labeltrail.operators.draws import (Draws, as_rows, auc_step, average_precision_step, few_values, place_sums, sorted_curve, top_share_step,
+from labeltrail.operators.draws import (Draws, as_rows, auc_step, average_precision_step, few_values, place_sums, share_cuts, sorted_curve,
                                         vector_draws)
 from labeltrail.operators.draws import replicate_sums as vector_sums
 from labeltrail.operators.ranking import attach_one_row, dense_index, null_safe_join, ranked, running_totals
@@ -224,11 +224,20 @@ def top_share_bootstrap(rows: DataFrame, component: str, score: str, tie: str, y
     rows = cut_lineage(rows.select(component, score, tie, y))
     draws = vector_draws(rows, component, replicates, context)
     if draws is not None:
-        cells = rows.select(component, score, tie, F.lit(1).alias("n"), F.col(y).cast("int").alias("y"))
-        used, n, _ = sorted_curve(cells, [(score, "desc"), (tie, "asc")], "n", "y", draws, top_share_step(share))
-        k = np.floor(share * n)
-        top = np.divide(used, k, out=np.full(len(used), np.nan), where=k > 0)
-        return interval(as_rows(draws, rows.sparkSession, {"top_precision": top}), [], ["top_precision"], replicates)
+        known = rows.where(F.col(component).isNotNull()).select(component, score, tie, F.col(y).cast("int").alias("_y"))
+        order = [(score, "desc"), (tie, "asc"), (component, "asc"), ("_y", "desc")]
+        placed = cut_lineage(ranked(known, [], list(dict(order).items()), "_pos").select(component, "_pos", "_y"))
+        n = placed.count()
+        # copies before place share * n less that share of all copies have mean 0 and at most this deviation
+        per = placed.groupBy(component).agg(F.count("*").alias("t"), n_if(F.col("_pos") <= share * n).alias("a"))
+        off = F.col("a") - share * F.col("t")
+        near = SPREAD * (per.agg(F.sum(off * off)).first()[0] or 0.0) ** 0.5 + SPREAD
+        low, high = max(1, int(share * n - near)), min(n, int(share * n + near) + 1)
+        cuts = cut_lineage(share_cuts(placed, share, draws, low, high))
+        if (low > 1 or high < n) and not cuts.where("used is null").isEmpty():
+            cuts = share_cuts(placed, share, draws, 1, n)
+        top = F.when(F.col("k") > 0, F.col("used") / F.col("k"))
+        return interval(cuts.select("replicate", top.alias("top_precision")), [], ["top_precision"], replicates)
     draws = component_draws(rows, component, replicates, context)
     cells = ranked(rows.select(component, score, tie, F.col(y).cast("int").alias("y")), [],
                    [(score, "desc"), (tie, "asc")], "position").join(draws, component)
@@ -302,7 +311,7 @@ def sign_flip_test(rows: DataFrame, value: str, replicates: int, context: str, b
                         F.round((F.col("exceed") + 1) / (replicates + 1), 9).alias("p_value"))
 
 
-#: Clusters of a piece, and how many standard errors around the expected cut a piece lists its clusters one by one.
+#: Clusters of a piece, and how many standard errors around the expected cut a piece lists its clusters (or rows) one by one.
 CLUSTERS, SPREAD = 1 << 16, 8.0
 
 

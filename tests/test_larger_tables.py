@@ -1,5 +1,6 @@
 """Steps that failed on larger tables: what they send, shuffle and round."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from labeltrail.operators import joins
@@ -240,3 +241,26 @@ def test_median_of_few_values_joins_no_row_to_its_draws(spark, monkeypatch):
         assert len(asked) == (0 if most else 1)
     first, second = got.values()
     assert first == second and len(first) == 4
+
+
+def test_top_share_sends_no_matrix_through_the_driver(spark, monkeypatch):
+    from labeltrail.operators import draws, resample
+
+    rng = np.random.default_rng(3)
+    rows = [(int(c), float(s), i, bool(g)) for i, (c, s, g) in enumerate(zip(rng.integers(0, 300, 4000), rng.integers(0, 8, 4000), rng.integers(0, 2, 4000)))]
+    rows += [(7, 3.0, 4000 + i, i % 3 == 0) for i in range(900)]  # a hot component
+    table = spark.createDataFrame(rows, "c long, s double, id long, y boolean")
+    monkeypatch.setattr(draws, "blocks", None)  # the matrix by blocks
+    want = []
+    keys = {r.c: r.key_index for r in resample.dense_index(table, "c").collect()}
+    order = sorted(rows, key=lambda r: (-r[1], r[2]))
+    index, good = np.array([keys[r[0]] for r in order]), np.array([r[3] for r in order])
+    for r in range(40):
+        m = draws._drawn(f"t|{r}|".encode(), 300)[index].astype(int)
+        k = np.floor(0.1 * m.sum())
+        want.append((np.clip(k - (np.cumsum(m) - m), 0, m) * good).sum() / k)
+    for spread in (8.0, 0.0):  # the second finds cuts out of its range
+        monkeypatch.setattr(resample, "SPREAD", spread)
+        got = resample.top_share_bootstrap(table, "c", "s", "id", "y", 0.1, 40, "t").first()
+        assert got.top_precision_finite == 40
+        assert np.allclose([got.top_precision_lower, got.top_precision_upper], np.percentile(want, [2.5, 97.5]), atol=1e-8)
