@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from labeltrail.functions.labels import cosine, jaccard, length_ratio, log1p_clip
 from labeltrail.functions.measures import n_if, ratio, sigmoid
 from labeltrail.operators.ranking import attach_one_row, exact_quantiles
+from labeltrail.session import cut_lineage
 
 
 def site_pair_means(sites: DataFrame) -> DataFrame:
@@ -166,10 +167,10 @@ def choose_blend(rows: DataFrame, first: str, second: str, y: str, weight: str,
     """
     from labeltrail.operators.curves import ranking_metrics
 
-    cells = rows.groupBy(first, second, y).agg(F.sum(F.col(weight).cast("double")).alias(weight))
+    cells = cut_lineage(rows.groupBy(first, second, y).agg(F.sum(F.col(weight).cast("double")).alias(weight)))
     grid = cells.select(first, second, y, weight, F.explode(F.sequence(F.lit(0), F.lit(points))).alias("step"))
     a = F.col("step") / points
     grid = grid.withColumn("score", F.round(a * F.col(first) + (1 - a) * F.col(second), 9))
-    m = ranking_metrics(grid, ["step"], "score", y, weight)
+    m = ranking_metrics(grid, ["step"], "score", y, weight, curves=points + 1)
     best = m.agg(F.min(F.struct((-F.round("average_precision", 9)).alias("n"), "step")).alias("b"))
     return best.select(F.round(F.col("b.step") / points, 6).alias("alpha"), (-F.col("b.n")).alias("average_precision"))

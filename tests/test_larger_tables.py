@@ -264,3 +264,19 @@ def test_top_share_sends_no_matrix_through_the_driver(spark, monkeypatch):
         got = resample.top_share_bootstrap(table, "c", "s", "id", "y", 0.1, 40, "t").first()
         assert got.top_precision_finite == 40
         assert np.allclose([got.top_precision_lower, got.top_precision_upper], np.percentile(want, [2.5, 97.5]), atol=1e-8)
+
+
+def test_blends_are_dealt_once(spark, monkeypatch):
+    from labeltrail.operators import curves, features, ranking
+
+    rng = np.random.default_rng(11)
+    x = [(float(round(a, 2)), int(b) / 5, bool(t), float(w)) for a, b, t, w in zip(rng.normal(size=700), rng.integers(0, 6, 700), rng.integers(0, 2, 700), rng.integers(1, 9, 700))]
+    table = spark.createDataFrame(x + [(float("nan"), 0.2, True, 1.0), (1e9, 0.4, False, 2.0)], "a double, b double, y boolean, w double")
+    grid = table.select("y", "w", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("step"), "a", "b").withColumn("s", F.round(F.col("step") / 5 * F.col("a") + (1 - F.col("step") / 5) * F.col("b"), 9))
+    want = sorted((r.step, r.average_precision) for r in curves.ranking_metrics(grid, ["step"], "s", "y", "w").collect())
+    monkeypatch.setattr(ranking, "_parts", None)  # range-partitions and writes all rows
+    got = curves.ranking_metrics(grid, ["step"], "s", "y", "w", curves=6)
+    assert sorted((r.step, round(r.average_precision, 9)) for r in got.collect()) == want
+    best = features.choose_blend(table, "a", "b", "y", "w", 5).first()
+    top = max(ap for _, ap in want)
+    assert (best.alpha, best.average_precision) == (min(i for i, ap in want if ap == top) / 5, top)
