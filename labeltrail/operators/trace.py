@@ -164,14 +164,14 @@ def audit_existing(existing: DataFrame, model: DataFrame) -> DataFrame:
 
 
 def score_change(rows: DataFrame, key: list[str], budgets: dict[int, int], rank: str, raw: str, cal: str, label: str, ok: str,
-                 row_id: str, carry: list[str]) -> DataFrame:
+                 row_id: str, carry: list[str], dealt: bool = False) -> DataFrame:
     """Raw-score winner against calibrated-score winner per key and budget, with both top sets.
 
     Ties inside a winner go to the smallest row id.  Ranks are row numbers, so a key has at most the largest budget's rows: rows are
-    dealt by key once, and everything after that stays in place.
+    dealt by key once, and everything after that stays in place.  `dealt` says that rows are dealt by a part of the key already.
     """
     rows = rows.select(*key, *carry, rank, raw, cal, label, ok, row_id).where(F.col(rank) <= max(budgets.values()))
-    rows = rows.repartition(*key)
+    rows = rows if dealt else rows.repartition(*key)
     grid = F.explode(F.array(*[F.struct(F.lit(b).alias("budget"), F.lit(k).alias("_k")) for b, k in budgets.items()])).alias("_b")
     pool = rows.select("*", grid).where(F.col(rank) <= F.col("_b._k")).withColumn("budget", F.col("_b.budget")).drop("_b")
     by = [*key, "budget"]

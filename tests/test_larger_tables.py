@@ -280,3 +280,32 @@ def test_blends_are_dealt_once(spark, monkeypatch):
     best = features.choose_blend(table, "a", "b", "y", "w", 5).first()
     top = max(ap for _, ap in want)
     assert (best.alpha, best.average_precision) == (min(i for i, ap in want if ap == top) / 5, top)
+
+
+def test_fused_candidates_are_dealt_by_query_once(spark):
+    from labeltrail.operators import candidates as cd
+    from labeltrail.plans import BUILDERS
+    from labeltrail.plans.tables import Tables
+    from labeltrail.plans.trace_queries import fused_scored
+
+    rows = [(q, r if r % 11 else None, float((q * r) % 5) if r % 7 else None, float((q + r) % 3), (q * r) % 4, r % 3) for q in range(12) for r in range(1, 3 + q)]
+    rows = [x for x in rows if x[1] is not None or x[0] == 11]
+    x = spark.createDataFrame(rows, "query_id int, reference_id int, a double, b double, c int, d int")
+    key = ["query_id", "reference_id", "fused_rank", "fused_score"]
+    got = cd.fused_ranks(x, [(F.col("c") <= 2, "a"), (F.col("d") <= 1, "b")], 4)
+    union = cd.fused_union(cd.modality_ranks(x.where("c <= 2"), "a", 4), cd.modality_ranks(x.where("d <= 1"), "b", 4), "a", "b")
+    want = cd.budget_rank(union, "fused_score", "fused_rank", bounded=True)
+    known = F.col("reference_id").isNotNull()
+    assert sorted(got.where(known).select(key).collect()) == sorted(want.where(known).select(key).collect())
+    twice = x.crossJoin(spark.range(2))  # two names of a reference share its rank
+    twice = cd.fused_ranks(twice, [(F.col("c") <= 2, "a"), (F.col("d") <= 1, "b")], 4).where(known)
+    assert sorted(twice.select(key).distinct().collect()) == sorted(got.where(known).select(key).collect())
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        t = Tables(spark, "/root/testdata/sf0.001")
+        # pairs, pairs and references by reference, rows and queries by query
+        assert plan_of(fused_scored(t)).count("Exchange hashpartitioning") <= 5
+        assert plan_of(BUILDERS["m15_raw_vs_calibrated_selection"](t)).count("Exchange hashpartitioning") <= 5
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
