@@ -309,3 +309,26 @@ def test_fused_candidates_are_dealt_by_query_once(spark):
         assert plan_of(BUILDERS["m15_raw_vs_calibrated_selection"](t)).count("Exchange hashpartitioning") <= 5
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+def test_sweep_spreads_totals_and_no_cluster(spark):
+    from labeltrail.operators import curves
+
+    rng = np.random.default_rng(2)
+    rows = [("gh"[int(a)] if a < 2 else None, int(c) if c else None, float(m), float(w), bool(y)) for a, c, m, w, y in
+            zip(rng.integers(0, 3, 900), rng.integers(0, 40, 900), rng.integers(0, 11, 900) / 10, rng.integers(1, 5, 900), rng.integers(0, 2, 900))]
+    x = spark.createDataFrame(rows, "g string, c long, m double, w double, y boolean")
+    cuts = [0.0, 0.25, 0.5, 0.9]
+    got = curves.threshold_sweep(x, ["g"], "m", cuts, ["y"], "w", "c", 20, plain=True)
+    want = []
+    for g in {r[0] for r in rows}:
+        for t in cuts:
+            own = [r for r in rows if r[0] == g and r[2] >= t]
+            if len(own) >= 20:
+                w = sum(r[3] for r in own)
+                want.append((g, t, len(own), len({r[1] for r in own}), round(w / sum(r[3] for r in rows if r[0] == g), 9), round(sum(r[3] for r in own if r[4]) / w, 9),
+                             round(sum(r[4] for r in own) / len(own), 9)))
+    key = lambda r: (str(r[0]), r[1])
+    names = ["g", "threshold", "pair_rows", "clusters", "coverage", "precision_y", "raw_precision_y"]
+    assert sorted(map(tuple, got.select(names).collect()), key=key) == sorted(want, key=key)
+    assert not [line for line in plan_of(got).split("\n") if "Exchange" in line and "threshold#" in line and " c#" in line]
